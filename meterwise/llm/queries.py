@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import bottomk, dac, feistel, urlrules
+from meterwise.llm import bottomk, dac, feistel, suffix_dedup, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,7 +53,7 @@ def op8_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-QUERIES = {f.__name__: f for f in (op5_dac, op6_feistel, op7_bottomk, op8_urlrules)}
+QUERIES = {f.__name__: f for f in (op3_suffix, op5_dac, op6_feistel, op7_bottomk, op8_urlrules)}
 
 SQL = {
     "op8_urlrules": r"""
