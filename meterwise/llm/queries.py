@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import bottomk, dac, feistel, suffix_dedup, urlrules
+from meterwise.llm import bottomk, dac, feistel, jaccard, suffix_dedup, tiling, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,15 @@ def op8_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix, op5_dac, op6_feistel, op7_bottomk, op8_urlrules)}
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op3_suffix, op5_dac, op6_feistel, op7_bottomk, op8_urlrules, op9_jaccard, op10_tiling)}
 
 SQL = {
     "op8_urlrules": r"""
