@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import bottomk, dac, feistel, jaccard, suffix_dedup, tiling, urlrules
+from meterwise.llm import bottomk, dac, feistel, jaccard, suffix_dedup, tiling, toxicity, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,18 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def remainder(column: str, n: int):
+    """crc32 of a column as text, modulo n."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
+    rows = toxicity.score(docs, *toxicity.fit(docs, labels))
+    return rows.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -61,7 +73,7 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix, op5_dac, op6_feistel, op7_bottomk, op8_urlrules, op9_jaccard, op10_tiling)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_suffix, op5_dac, op6_feistel, op7_bottomk, op8_urlrules, op9_jaccard, op10_tiling)}
 
 SQL = {
     "op8_urlrules": r"""
