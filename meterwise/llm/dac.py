@@ -12,18 +12,18 @@ texts have the end id alone.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterwise.llm.common import documents, partitions, ranges
+from meterwise.llm.common import WHITE, documents, partitions, ranges, text_chunks
 
 END = 1
 MAGIC = b"DAC1"
@@ -96,66 +96,103 @@ class Codes:
         return out
 
 
+#: Bytes between letters at which the tokenizer's own pattern always parts words: white space, and these signs where an
+#: ASCII or Latin letter stands on the other side.
+SIGNS = np.isin(np.arange(256), np.frombuffer(b"!#$%&*.,;:?(){}[]=+/_-@~^", np.uint8))
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
 _tokenizers: dict = {}
 
 
-def tokenizer(path: str):
-    if path not in _tokenizers:
+class Words:
+    """A tokenizer and the ids of the words it met lately, as bytes; old words go when there are too many."""
+
+    def __init__(self, path: str, most: int = 120_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        young, old = self.young, self.old
+        missing = []
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    missing.append(w)
+        for lo in range(0, len(missing), 2000):
+            run = missing[lo : lo + 2000]
+            for w, e in zip(run, self.tokenizer.encode_batch_fast(run, add_special_tokens=False), strict=True):
+                young[w] = np.array(e.ids, "<u4").tobytes()
+        out = [young[w] for w in words]
+        if len(young) > self.most:
+            self.old, self.young = young, {}
+        return out
 
 
-def encode_texts(texts: pa.Array, path: str, known: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of texts one after the other, and how many each has; each distinct word is encoded once.
+def words_of(path: str) -> Words:
+    if path not in _tokenizers:
+        _tokenizers[path] = Words(path)
+    return _tokenizers[path]
+
 
-    The tokenizer's words end at white space, so the ids of a text are those of its pieces between ASCII white space.
-    """
-    tok, cache = tokenizer(path)
-    parts = pc.ascii_split_whitespace(texts)
-    flat = parts.values if hasattr(parts, "values") else parts.flatten()
+def _pieces(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes without white space, cuts into pieces whose ids don't depend on each other, and the first piece of each text."""
+    white = WHITE[data]
+    cut = np.zeros(data.size + 1, bool)
+    cut[offsets] = True
+    cut[1:] |= white
+    cut[:-1] |= white
+    letter, sign = LETTERS[data], SIGNS[data]
+    # two-byte letters U+00C0..U+017F but for the signs of multiplication and division
+    lead, tail = data[:-1], data[1:]
+    latin = ((lead == 0xC3) & (tail >= 0x80) & (tail != 0x97) & (tail != 0xB7)) | ((lead >= 0xC4) & (lead <= 0xC5))
+    first, last = letter.copy(), letter.copy()
+    first[:-1] |= latin
+    last[1:] |= latin
+    cut[1:-1] |= (last[:-1] & sign[1:]) | (sign[:-1] & first[1:])
+    keep = ~white
+    before = np.concatenate([[0], np.cumsum(keep)])
+    edges = np.unique(before[np.flatnonzero(cut)])
+    body = data[keep]
+    if not (data == 60).any():  # without <, no special token of the vocabulary can be met by lowering
+        body = LOWER[body]
+    return body, edges, np.searchsorted(edges, before[offsets])
+
+
+def encode_texts(offsets: np.ndarray, data: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of texts one after the other, and how many each has; each distinct word is encoded once."""
+    body, edges, first = _pieces(offsets, data)
+    flat = pa.Array.from_buffers(pa.large_string(), edges.size - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(body)]) if edges.size > 1 else pa.array([], pa.large_string())
     coded = flat.dictionary_encode()
-    pieces = coded.dictionary.to_pylist()
-    new = [p for p in pieces if p not in cache]
-    if len(cache) + len(new) > known:
-        cache.clear()
-        new = pieces
-    for lo in range(0, len(new), 20_000):
-        run = new[lo : lo + 20_000]
-        cache.update((p, e.ids) for p, e in zip(run, tok.encode_batch(run, add_special_tokens=False), strict=True))
-    own = [cache[p] for p in pieces]
-    size = np.fromiter(map(len, own), np.int64, len(own))
-    ids = np.fromiter((i for x in own for i in x), np.uint32, int(size.sum()))
-    first = np.cumsum(size) - size
+    own = words_of(path).ids(coded.dictionary.to_pylist())
+    size = np.fromiter((len(x) // 4 for x in own), np.int64, len(own))
+    ids = np.frombuffer(b"".join(own), "<u4")
     code = coded.indices.to_numpy(zero_copy_only=False)
     counts = size[code]
     sums = np.concatenate([[0], np.cumsum(counts)])
-    offsets = parts.offsets.to_numpy()
-    return ids[ranges(first[code], counts)], sums[offsets[1:]] - sums[offsets[:-1]]
-
-
-def _texts(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, int]]:
-    size = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))])
-    lo = 0
-    while lo < batch.num_rows:
-        hi = min(batch.num_rows, max(lo + 1, int(np.searchsorted(size, size[lo] + most, "right")) - 1))
-        yield lo, hi
-        lo = hi
+    return ids[ranges((np.cumsum(size) - size)[code], counts)], sums[first[1:]] - sums[first[:-1]]
 
 
 FILE = "part int, seq int, n_docs long, n_tokens long, doc_ids binary, no_id binary, first binary, codes binary"
 
 
-def encode(docs: DataFrame, path: str, end: int = END, block_bytes: int = 2 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, end: int = END, block_bytes: int = 1 << 20) -> DataFrame:
     """Blocks of codes, in ascending order of doc_id over (part, seq)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = 0
         for batch in batches:
-            for lo, hi in _texts(batch, block_bytes):
+            for lo, hi, offsets, data in text_chunks(batch, most=block_bytes):
                 rows = batch.slice(lo, hi - lo)
-                ids, counts = encode_texts(rows.column("text"), path)
+                ids, counts = encode_texts(offsets, data, path)
                 at = np.cumsum(counts)
                 ids = np.insert(ids, at, end)
                 first = np.concatenate([[0], at + np.arange(1, at.size + 1)])
