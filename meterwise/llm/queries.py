@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import bottomk, dac, feistel, jaccard, suffix_dedup, tiling, toxicity, urlrules
+from meterwise.llm import bottomk, dac, feistel, jaccard, langid, suffix_dedup, tiling, toxicity, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = langid.predict(docs, *langid.fit(docs.where(F.coalesce(remainder("doc_id", 3) != 1, F.lit(True)))))
+    return rows.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op5_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,7 +79,7 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_suffix, op5_dac, op6_feistel, op7_bottomk, op8_urlrules, op9_jaccard, op10_tiling)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_suffix, op4_langid, op5_dac, op6_feistel, op7_bottomk, op8_urlrules, op9_jaccard, op10_tiling)}
 
 SQL = {
     "op8_urlrules": r"""
