@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import bottomk, dac, feistel, jaccard, langid, suffix_dedup, tiling, toxicity, urlrules
+from meterwise.llm import bottomk, dac, feistel, jaccard, langid, segment, suffix_dedup, tiling, toxicity, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_gumbel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return segment.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=3, ids=False)
+
+
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -79,7 +85,7 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_suffix, op4_langid, op5_dac, op6_feistel, op7_bottomk, op8_urlrules, op9_jaccard, op10_tiling)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_gumbel, op3_suffix, op4_langid, op5_dac, op6_feistel, op7_bottomk, op8_urlrules, op9_jaccard, op10_tiling)}
 
 SQL = {
     "op8_urlrules": r"""

@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from meterwise.llm.common import Substrings, documents, mix, partitions, ranges, text_chunks
+from meterwise.llm.common import Substrings, mix, partitions, ranges, text_chunks
 
 LENGTH = 50
 NAME = 20
@@ -313,7 +314,7 @@ def _remove(length: int, name: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "starts", "ends")}
+            out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256", "starts", "ends")}
             for lo, hi, offsets, data in text_chunks(batch):
                 step = np.zeros(data.size + 1, np.int64)
                 size = np.diff(offsets)
@@ -350,7 +351,7 @@ def _remove(length: int, name: int):
                 kept_at = offsets - total[offsets]
                 for i in range(n):
                     own = raw[kept_at[i] : kept_at[i + 1]]
-                    out["kept"].append(own)
+                    out["kept_text"].append(own.decode("utf-8", "ignore"))
                     out["kept_sha256"].append(hashlib.sha256(own).hexdigest())
                     s, e = starts[spans[i] : spans[i + 1]] - offsets[i], ends[spans[i] : spans[i + 1]] - offsets[i]
                     out["starts"].append(s)
@@ -360,18 +361,24 @@ def _remove(length: int, name: int):
                 out["n_spans"] += np.diff(spans).tolist()
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()),
-                "n_spans": pa.array(out["n_spans"], pa.int64()), "kept": pa.array(out["kept"], pa.binary()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()),
-                "starts": pa.array(out["starts"], pa.list_(pa.int64())), "ends": pa.array(out["ends"], pa.list_(pa.int64())), "text_sha256": batch.column("sha"),
+                "n_spans": pa.array(out["n_spans"], pa.int64()), "kept_text": pa.array(out["kept_text"], pa.string()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()),
+                "starts": pa.array(out["starts"], pa.list_(pa.int64())), "ends": pa.array(out["ends"], pa.list_(pa.int64())), "carried": batch.column("carried"),
             })
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, name: int = NAME, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left), kept_sha256, starts and ends of removed spans."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, name: int = NAME, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_text, kept_sha256 (of the bytes left), starts and ends of removed spans.
+
+    kept_text is the bytes left as text, without the rest of characters that a span cuts through. `carried` is a
+    struct of the columns named in `carry`, as they came.
+    """
     n = partitions(docs.sparkSession)
     buckets = 4 * n
-    rows = documents(docs).select(F.coalesce("doc_id", F.lit(NONE)).alias("doc_id"), "text", F.sha2("text", 256).alias("sha"))
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("_"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), carried.alias("carried"))
+    rows = rows.withColumn("sha", F.sha2("text", 256))
     ids = rows.select("doc_id", "sha").where(F.col("doc_id") != NONE).groupBy("doc_id").agg(F.min("sha").alias("sha"), (F.min("sha") != F.max("sha")).alias("several"))
     least = ids.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     info = ids.join(least, "sha", "left").where("several or first is not null").select("doc_id", F.col("sha").alias("own"), "first")
@@ -379,15 +386,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, name: int = NAME, hot:
     # the one shuffle of texts; every later step meets them there, so no filter may slip below it
     texts = rows.repartition(n, "doc_id").join(info, "doc_id", "left")
     judged = (F.col("own").isNull() | (F.col("own") == F.col("sha"))) & (F.col("first").isNull() | (F.col("first") == F.col("doc_id")))
-    sent = texts.where(judged).select("doc_id", "text").mapInArrow(_anchors(buckets, length, name, hot), ANCHORS)
+    # all columns go everywhere, so that the shuffle of the texts is one and the same
+    sent = texts.where(judged).select("doc_id", "text", "carried").mapInArrow(_anchors(buckets, length, name, hot), ANCHORS)
     replies = sent.groupBy("bucket").applyInArrow(_rank_contexts, REPLIES)
     codes = replies.groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
-    asked = texts.where(judged).join(codes, "doc_id").select("doc_id", "text", "codes")
+    asked = texts.where(judged).join(codes, "doc_id").select("doc_id", "text", "carried", "codes")
     strings = asked.mapInArrow(_strings(buckets, length, name), STRINGS)
     spans = strings.groupBy("bucket").applyInArrow(_rank_strings(length, name), REPLIES)
     spans = spans.groupBy("doc_id").agg(F.collect_list("code").alias("spans"))
     found = texts.join(codes, "doc_id", "left").join(spans, "doc_id", "left").select(
-        F.nullif("doc_id", F.lit(NONE)).alias("doc_id"), "text", "sha", F.when(judged, F.col("codes")).alias("codes"), F.when(judged, F.col("spans")).alias("spans"),
+        F.nullif("doc_id", F.lit(NONE)).alias("doc_id"), "text", "sha", "carried", F.when(judged, F.col("codes")).alias("codes"), F.when(judged, F.col("spans")).alias("spans"),
         F.coalesce((F.col("own") == F.col("sha")) & (F.col("first") < F.col("doc_id")), F.lit(False)).alias("copy"),
     )
-    return found.mapInArrow(_remove(length, name), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, starts array<long>, ends array<long>, text_sha256 string")
+    schema = T.StructType([
+        T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
+        T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())),
+        T.StructField("carried", found.schema["carried"].dataType),
+    ])
+    out = found.mapInArrow(_remove(length, name), schema)
+    return out if carry else out.drop("carried")

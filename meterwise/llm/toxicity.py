@@ -197,28 +197,49 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = S
     return ftrl.Model(np.array([f for f, _ in got], np.int64), weights, np.array([0.0, next((w for f, w in found if f < 0), 0.0)]))
 
 
-def score(docs: DataFrame, model: np.ndarray, classifier: ftrl.Model, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, score, predicted of each row (and the columns of `keep`)."""
+def _scorer(model: np.ndarray, classifier: ftrl.Model):
     weight = dict(zip(classifier.features.tolist(), classifier.weights[:, 1].tolist(), strict=True))
     bias = float(classifier.intercept[1])
-    keep = keep or []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         words = Cache(lambda t: (w := restored(t, model), sum(weight.get(f, 0.0) for f in features(w)) if w else 0.0))
-        for batch in batches:
+
+        def scores(batch: pa.RecordBatch) -> np.ndarray:
             out = []
             for text in batch.column("text").to_pylist():
                 # a word counts once, however it was written
                 own = {words[t] for t in tokens(text or "")}
                 out.append(1 / (1 + math.exp(-max(-50.0, min(50.0, bias + math.fsum(x for _, x in own))))))
-            p = np.array(out, float)
-            cols = {"doc_id": batch.column("doc_id"), "score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))}
-            yield pa.RecordBatch.from_pydict(cols | {c: batch.column(c) for c in keep})
-
-    if not keep:
-        return documents(docs).mapInArrow(run, "doc_id long, score double, predicted int")
-    schema = ", ".join(["doc_id long, score double, predicted int", *(f"`{c}` {t}" for c, t in docs.dtypes if c in keep)])
-    return docs.mapInArrow(run, schema)
+            return np.array(out, float)
+
+        return scores
+
+    return make
+
+
+def score(docs: DataFrame, model: np.ndarray, classifier: ftrl.Model) -> DataFrame:
+    """doc_id, score, predicted of each row."""
+    make = _scorer(model, classifier)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = make()
+        for batch in batches:
+            p = scores(batch)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))})
+
+    return documents(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def clean(docs: DataFrame, model: np.ndarray, classifier: ftrl.Model) -> DataFrame:
+    """The rows of docs, all columns, that score below 0.5."""
+    make = _scorer(model, classifier)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = make()
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, ftrl.Model]:
