@@ -151,9 +151,10 @@ def _pieces(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     cut[1:] |= white
     cut[:-1] |= white
     letter, sign = LETTERS[data], SIGNS[data]
-    # two-byte letters U+00C0..U+017F but for the signs of multiplication and division
+    # two-byte letters U+00C0..U+017F but for the signs of multiplication and division, and for the dotted capital I,
+    # whose small form ends with a mark that the tokenizer joins to a sign
     lead, tail = data[:-1], data[1:]
-    latin = ((lead == 0xC3) & (tail >= 0x80) & (tail != 0x97) & (tail != 0xB7)) | ((lead >= 0xC4) & (lead <= 0xC5))
+    latin = ((lead == 0xC3) & (tail >= 0x80) & (tail != 0x97) & (tail != 0xB7)) | ((lead >= 0xC4) & (lead <= 0xC5) & ~((lead == 0xC4) & (tail == 0xB0)))
     first, last = letter.copy(), letter.copy()
     first[:-1] |= latin
     last[1:] |= latin
