@@ -722,3 +722,59 @@ def J12_outage_profiles(spark, sf_dir):
     parts = [f(docs, hours).withColumnRenamed("mw", n) for f, n in ((O.approximate, "approximate"), (O.persistence, "persistence"), (O.exact, "exact"))]
     out = J.full_outer(parts, ["t"])
     return out.select(K.stamp("t").alias("t"), *[r6(c).alias(c) for c in ("approximate", "persistence", "exact")])
+
+
+# ---- models: rows-only, tested for behaviour
+
+def day_arrays(spark, sf_dir) -> DataFrame:
+    """series, day, price (24), exog (2 x 24) of the whole days; gaps are filled forward first."""
+    w = wide(spark, sf_dir)
+    cols = ["click", "view", "error"]
+    w = K.fill_edges(w, cols, ["s"])
+    x = w.groupBy(F.col("s").alias("series"), F.to_date("t").alias("day")).agg(F.array_sort(F.collect_list(F.struct(F.hour("t").alias("h"), *cols))).alias("x"))
+    of = lambda c: F.transform("x", lambda e: e[c])
+    return x.where(F.size("x") == 24).select("series", "day", of("click").alias("price"), F.array(of("view"), of("error")).alias("exog"))
+
+
+@query(None)
+def M04_rolling_lear(spark, sf_dir):
+    from meterwise.models import lear
+
+    days = day_arrays(spark, sf_dir)
+    targets = days.select("series", "day").where(F.col("day") >= F.lit("2024-01-26"))
+    out = lear.rolling(days, targets, window=17)
+    return out.select("series", F.col("day").cast("string").alias("day"), F.col("hour").cast("long").alias("hour"), r6("pred").alias("pred"))
+
+
+@query(None)
+def M05_boosted_trees(spark, sf_dir):
+    from meterwise.models import trees
+
+    x = total(spark, sf_dir)
+    x = x.select("t", "v", F.hour("t").alias("hour"), F.weekday("t").alias("dow"), K.lag("v", 24, ["s"]).alias("lag24"), K.lag("v", 168, ["s"]).alias("lag168"))
+    cut = F.lit("2024-01-24").cast("timestamp_ntz")
+    out = trees.fit_predict(x.where(F.col("t") < cut), x.where(F.col("t") >= cut), ["hour", "dow", "lag24", "lag168"], "v", rounds=10)
+    return out.select(K.stamp("t").alias("t"), r6("pred").alias("pred"), r6("v").alias("v"))
+
+
+@query(None)
+def M08_net_ensemble(spark, sf_dir):
+    from meterwise.models import nets
+
+    x = total(spark, sf_dir).withColumn("lag", K.lag("v", 24, ["s"])).where("v is not null and lag is not null")
+    hour = 2 * F.pi() * F.hour("t") / 24
+    rows = x.select(F.col("s").alias("key"), "t", F.array(F.sin(hour), F.cos(hour), F.weekday("t").cast("double"), "lag").alias("x"), F.col("v").alias("y"))
+    cut = F.lit("2024-01-25").cast("timestamp_ntz")
+    out = nets.ensemble(rows.where(F.col("t") < cut).drop("t"), rows.where(F.col("t") >= cut), rounds=150)
+    return out.select("key", K.stamp("t").alias("t"), r6(F.element_at("q", 10)).alias("q10"), r6(F.element_at("q", 50)).alias("q50"), r6(F.element_at("q", 90)).alias("q90"))
+
+
+@query(None)
+def Q12_hourly_weights(spark, sf_dir):
+    from meterwise.models import mix
+
+    q = forecasts(spark, sf_dir)
+    one = lambda k, n: q.where(F.col("event_type") == k).select(F.col("q").alias(n))
+    pairs = total(spark, sf_dir).where("v is not null").join(F.broadcast(one("click", "a").join(one("view", "b"))))  # one row
+    got = mix.hourly_weights(mix.losses(pairs.select(F.col("s").alias("series"), F.hour("t").alias("hour"), "a", "b", F.col("v").alias("y"))))
+    return got.select("series", F.col("hour").cast("long").alias("hour"), "w")
