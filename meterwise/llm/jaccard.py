@@ -40,7 +40,6 @@ BLOCK = 4096
 TOLERANCE = 1e-6
 _rng = np.random.default_rng(5)
 MULTIPLY = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
-ADD = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64)
 
 
 def shingles(offsets: np.ndarray, data: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +65,10 @@ def shingles(offsets: np.ndarray, data: np.ndarray, size: int = SIZE) -> tuple[n
 def minhash(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """HASHES values of 32 bits for each set; sets must not be empty."""
     out = np.empty((first.size - 1, HASHES), np.uint32)
-    for i in range(HASHES):
-        out[:, i] = np.minimum.reduceat((values * MULTIPLY[i] + ADD[i]) >> np.uint64(32), first[:-1])
+    turned = np.empty_like(values)
+    for i in range(HASHES):  # shingle hashes are mixed already, so an odd factor gives another order of them
+        np.multiply(values, MULTIPLY[i], out=turned)
+        out[:, i] = np.minimum.reduceat(turned, first[:-1]) >> np.uint64(32)
     return out
 
 
@@ -189,18 +190,21 @@ class Entries:
 
 
 def candidates(a: np.ndarray, b: np.ndarray, least: dict[int, int]) -> np.ndarray:
-    """Which pairs of signatures stay possible, comparing values in steps."""
-    out = np.ones((len(a), len(b)), bool)
+    """Which pairs of signatures stay possible, comparing values in steps; of one block with itself, above the diagonal."""
+    out = np.zeros((len(a), len(b)), bool)
+    columns = np.ascontiguousarray(b.T)
     for lo in range(0, len(a), 256):
-        tile = a[lo : lo + 256]
-        equal = np.zeros((len(tile), len(b)), np.uint8)
+        tile, frm = a[lo : lo + 256], lo if a is b else 0
+        equal = np.zeros((len(tile), len(b) - frm), np.uint8)
+        left = np.ones(equal.shape, bool)
         for n in range(0, HASHES, STEP):
             for j in range(n, n + STEP):
-                equal += tile[:, j, None] == b[None, :, j]
-            out[lo : lo + 256] &= equal >= least[n + STEP]
-            if not out[lo : lo + 256].any():
+                equal += tile[:, j, None] == columns[None, j, frm:]
+            left &= equal >= least[n + STEP]
+            if not left.any():
                 break
-    return out
+        out[lo : lo + 256, frm:] = left
+    return np.triu(out, 1) if a is b else out
 
 
 def intersections(a: Entries, b: Entries, pairs: np.ndarray) -> np.ndarray:
@@ -241,7 +245,8 @@ def intersections(a: Entries, b: Entries, pairs: np.ndarray) -> np.ndarray:
             n = f[c + 1] - f[c]
             m[r[ranges(f[c], n)], np.repeat(np.arange(c.size), n)] = 1
         for t in range(0, len(x), 1024):
-            out[t : t + 1024] += x[t : t + 1024] @ y.T
+            frm = t if a is b else 0
+            out[t : t + 1024, frm:] += x[t : t + 1024] @ y[frm:].T
     return out
 
 
@@ -252,7 +257,8 @@ def linked(a: Entries, b: Entries, threshold: float, tolerance: float) -> np.nda
     shared = intersections(a, b, pairs)
     size = np.diff(a.first)[:, None] + np.diff(b.first)[None, :]
     # a margin for the float threshold, far below the step from one ratio of such sizes to the next
-    return pairs & (shared >= (threshold - 1e-9) * (size - shared))
+    pairs &= shared >= (threshold - 1e-9) * (size - shared)
+    return pairs | pairs.T if a is b else pairs
 
 
 FOUND = "kind int, doc_id long, value long, root long, block int, docs binary, copies binary, signatures binary, common binary, lack binary, n_lack binary, more binary, n_more binary"
@@ -260,6 +266,11 @@ LINKS, EDGE, PAYLOAD = 0, 1, 2
 PARTS = ("docs", "copies", "signatures", "common", "lack", "n_lack", "more", "n_more")
 
 
+def _weigh(links: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """The copies that each row links to."""
+    return np.concatenate([np.where(links[lo : lo + 256], copies, 0).sum(1) for lo in range(0, len(links), 256)])
+
+
 def _labels(links: np.ndarray) -> np.ndarray:
     """The least index of each row's component in a symmetric relation."""
     label = np.arange(len(links))
@@ -320,8 +331,7 @@ def _block(size: int, threshold: float, tolerance: float):
             signatures = np.frombuffer(b"".join(table.column("signature").slice(lo, hi - lo).take(keep).to_pylist()), "<u2").reshape(-1, HASHES)
             e = Entries(docs[lo:hi][keep], copies[lo:hi][keep], signatures, values[ranges(first[keep], n)], np.concatenate([[0], np.cumsum(n)]))
             found = linked(e, e, threshold, tolerance)
-            np.fill_diagonal(found, False)
-            links.append((e.docs, found @ e.copies if found.any() else np.zeros(e.docs.size, np.int64)))
+            links.append((e.docs, _weigh(found, e.copies)))
             edges.append((e.docs, e.docs[_labels(found)]))
             if many[lo] > 1:
                 payloads.append((int(roots[lo]), int(blocks[lo]), e.to_bytes()))
@@ -344,7 +354,7 @@ def _across(threshold: float, tolerance: float):
                 whole[: len(a.docs), len(a.docs) :] = found
                 whole[len(a.docs) :, : len(a.docs)] = found.T
                 docs = np.concatenate([a.docs, b.docs])
-                out = _rows([(a.docs, found @ b.copies), (b.docs, a.copies @ found)], [(docs, docs[_labels(whole)])], [])
+                out = _rows([(a.docs, _weigh(found, b.copies)), (b.docs, _weigh(found.T, a.copies))], [(docs, docs[_labels(whole)])], [])
                 yield from out.select(["kind", "doc_id", "value"]).to_batches()
 
     return run
@@ -374,7 +384,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, tolera
     # whole groups share tasks, a block of a large group has its own
     deal = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(8 * n))).otherwise(F.xxhash64("root", "block"))
     dealt = entries.join(rows, "doc_id").withColumn("deal", deal)
-    found = cut(dealt.groupBy("deal").applyInArrow(_block(size, threshold, tolerance), FOUND))
+    found = cut(dealt.repartition(n, "deal").groupBy("deal").applyInArrow(_block(size, threshold, tolerance), FOUND))
     payload = found.where(F.col("kind") == PAYLOAD)
     a, b = (payload.select("root", "block", *PARTS).toDF("root", f"{s}_block", *[f"{s}_{k}" for k in PARTS]) for s in "ab")
     pairs = a.join(b, "root").where("a_block < b_block").select(*[f"{s}_{k}" for s in "ab" for k in PARTS])
