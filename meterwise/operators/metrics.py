@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterwise.functions import quantiles as Q
 
@@ -62,7 +63,7 @@ def dm(df: DataFrame, a: str, p: str, q: str, keys: list[str] | None = None) ->
     return days.groupBy(*keys).agg(F.count("*").alias("n_days"), F.avg("d").alias("mean_diff"), F.when(var == 0, F.lit(0.0)).otherwise(F.avg("d") / F.sqrt(var / F.count("*"))).alias("dm"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def upper_tail(z: pd.Series) -> pd.Series:
     """1 - Phi(z)."""
     return z.map(lambda x: 0.5 * math.erfc(x / math.sqrt(2.0)))
