@@ -29,7 +29,8 @@ def fill_total(df: DataFrame, total: str, areas: list[str], steps: int = 24, win
     # the few (day, set) pairs to fill meet the history of the days before
     groups = df.where(cand).select(F.col("_day").alias("_d"), F.col("_set").alias("_s")).distinct()
     history = df.select("_day", "_hour", F.col(total).alias("_total"), *areas)
-    past = groups.join(history, (F.col("_day") < F.col("_d")) & (F.col("_day") >= F.date_sub("_d", window_days)))
+    asked = groups.withColumn("_day", F.explode(F.sequence(F.date_sub("_d", window_days), F.date_sub("_d", 1))))
+    past = asked.join(history, "_day")
     members = [F.array_contains(F.split("_s", r"\+"), a) for a in areas]
     set_sum = reduce(lambda a, b: a + b, [F.when(m, F.col(a)).otherwise(0.0) for m, a in zip(members, areas, strict=True)])
     past = past.withColumn("_num", set_sum).withColumn("_ok", F.col("_total").isNotNull() & F.col("_num").isNotNull())

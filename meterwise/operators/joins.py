@@ -63,14 +63,17 @@ def overlap(intervals: DataFrame, start: str, end: str, unit: str = "hour") -> D
     return df.withColumn("share", F.timestamp_diff("SECOND", starts, ends) / float(seconds)).drop("_a", "_z")
 
 
-def known_at(versions: DataFrame, cutoffs: DataFrame, key: list[str], created: str, revision: str) -> DataFrame:
-    """For each cut-off the rows of each key's largest revision among those created by then.
+def known_at(versions: DataFrame, cutoffs: DataFrame, key: list[str], created: str, revision: str, end: str) -> DataFrame:
+    """For each day the rows of each key's largest revision among those created by the day's cut-off.
 
-    cutoffs (column `cutoff`) is a calendar, one row a day: broadcast. A version is known at every cut-off from its
-    creation on, so the join grows with days times versions; callers bound both (see outages).
+    cutoffs: day, cutoff. A version meets the days from its creation to the last end that any version of its key has
+    (later days can't be touched), by an equi join on the day; so the join grows with life spans, not with all days.
     """
-    known = versions.join(F.broadcast(cutoffs), F.col(created) <= F.col("cutoff"))
-    w = Window.partitionBy("cutoff", *key)
+    until = F.max(end).over(Window.partitionBy(*key))
+    first = F.to_date(created)
+    spread = versions.withColumn("_u", F.greatest(F.to_date(until), first)).withColumn("day", F.explode(F.sequence(first, F.col("_u")))).drop("_u")
+    known = spread.join(cutoffs, "day").where(F.col(created) <= F.col("cutoff"))
+    w = Window.partitionBy("day", *key)
     return known.withColumn("_r", F.max(revision).over(w)).where(F.col(revision) == F.col("_r")).drop("_r")
 
 

@@ -70,8 +70,7 @@ def exact(versions: DataFrame, hours: DataFrame) -> DataFrame:
     """t, mw: the version current at each day's cut-off, averaged over the day's hours."""
     rows = versions.dropDuplicates(["mrid", "revision", "start", "end"])
     days = hours.select(F.to_date("t").alias("day")).distinct()
-    # only versions of documents that can still touch the day: created by the cut-off
-    known = active(known_at(rows, cutoffs(days), ["mrid"], "created_doc_time", "revision"))
+    known = active(known_at(rows, cutoffs(days), ["mrid"], "created_doc_time", "revision", "end"))
     clipped = known.withColumn("start", F.greatest("start", F.col("day").cast("timestamp_ntz"))).withColumn("end", F.least("end", F.date_add("day", 1).cast("timestamp_ntz")))
     got = hourly(clipped)
     return hours.join(got, "t", "left").select("t", F.coalesce("mw", F.lit(0.0)).alias("mw"))
