@@ -88,6 +88,32 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_gumbel, op3_suffix, op4_langid, op5_dac, op6_feistel, op7_bottomk, op8_urlrules, op9_jaccard, op10_tiling)}
 
 SQL = {
+    "op3_suffix": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        g AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS p FROM d)),
+        f AS (SELECT s, min(doc_id) AS m FROM g GROUP BY s),
+        c AS (SELECT g.doc_id, g.p FROM g JOIN f ON f.s = g.s WHERE f.m < g.doc_id),
+        b AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM c),
+        i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM b),
+        r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY doc_id, k),
+        q AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a, z FROM r),
+        t AS (SELECT q.doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substr(h, 2 * x + 1, 2 * (a - x)), '' ORDER BY x) AS kept FROM q JOIN d ON d.doc_id = q.doc_id GROUP BY q.doc_id)
+        SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN t ON t.doc_id = d.doc_id""",
+    "op9_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\t\n\x0B\f\r ]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b, i = na AND i = nb AS same FROM p WHERE 18 * i >= 8 * (na + nb)),
+        r AS (SELECT doc_id AS d, doc_id AS c FROM w UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.d),
+        c AS (SELECT d AS doc_id, min(c) AS class_id FROM r GROUP BY d),
+        k AS (SELECT a AS doc_id, count(*) AS n_links, min(b) FILTER (WHERE same) AS copy FROM l GROUP BY a)
+        SELECT c.doc_id, coalesce(least(c.doc_id, k.copy), c.doc_id) AS set_id, c.class_id, coalesce(k.n_links, 0) AS n_links FROM c LEFT JOIN k ON k.doc_id = c.doc_id""",
     "op8_urlrules": r"""
         WITH parsed AS (
             SELECT page_id,
