@@ -158,9 +158,10 @@ class Lattice:
             degree[state[a]] += 1
         self.first = np.concatenate([[0], np.cumsum(degree)])
         n_edges = int(self.first[-1])
-        self.to, self.piece, self.at, self.frm = (np.empty(n_edges, np.int64) for _ in range(4))
+        self.to, self.piece, self.at, self.frm = (np.empty(n_edges, np.int32) for _ in range(4))
         chance = np.empty(n_edges)
-        for a, t, i, x in zip(frm, to, piece, p, strict=True):
+        while frm:
+            a, t, i, x = frm.pop(0), to.pop(0), piece.pop(0), p.pop(0)
             own = state[a]
             degree[own] -= 1
             slot = self.first[own] + degree[own]
@@ -181,7 +182,7 @@ class Lattice:
 
     def draw(self, state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of a random way to the end from each state, one after the other, and the number of each."""
-        steps, live, n = [], np.arange(state.size), np.zeros(state.size, np.int64)
+        steps, live, n = [], np.arange(state.size, dtype=np.int32), np.zeros(state.size, np.int64)
         state, key, step = state.copy(), key.copy(), 0
         live = live[~self.end[state]]
         while live.size:
@@ -192,12 +193,12 @@ class Lattice:
             while more.size:
                 e[more] += 1
                 more = more[(r[more] > self.cum[e[more]]) & (e[more] < last[more])]
-            steps.append((live, e))
+            steps.append((live, e.astype(np.int32)))
             n[live] += 1
             state[live] = self.to[e]
             live = live[~self.end[state[live]]]
             step += 1
-        out, at = np.zeros(int(n.sum()), np.int64), np.cumsum(n) - n
+        out, at = np.zeros(int(n.sum()), np.int32), np.cumsum(n) - n
         for t, (own, e) in enumerate(steps):
             out[at[own] + t] = e
         return out, n
@@ -209,21 +210,22 @@ def _salt(i: int, by: int) -> np.uint64:
 
 def _truncated(phi: np.ndarray, bound: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Gumbels with location phi, given that they are below bound."""
-    with np.errstate(divide="ignore"):
-        return -np.logaddexp(-bound, np.log(-np.log(uniform(mix(key)))) - phi)
+    return -np.logaddexp(-bound, np.log(-np.log(uniform(mix(key)))) - phi)
 
 
 class Path:
-    __slots__ = ("edges", "frontier", "logp", "prefix", "rest", "taken", "value")
+    __slots__ = ("edges", "frontier", "logp", "taken", "value")
 
-    def __init__(self, edges, logp, prefix, rest, frontier, value, taken):
-        self.edges, self.logp, self.prefix, self.rest, self.frontier, self.value, self.taken = edges, logp, prefix, rest, frontier, value, taken
+    def __init__(self, edges, logp, frontier, value, taken):
+        self.edges, self.logp, self.frontier, self.value, self.taken = edges, logp, frontier, value, taken
 
 
-def sample(lat: Lattice, unit: np.ndarray, first: np.ndarray, key: np.ndarray, k: int) -> list[list[Path]]:
-    """The k + 1 (or all) best perturbed segmentations of each text; unit: its units' numbers, first: where texts start."""
+def sample(lat: Lattice, unit: np.ndarray, first: np.ndarray, key: np.ndarray, k: int) -> tuple[list[list[Path]], np.ndarray]:
+    """The k (or all) best perturbed segmentations of each text, and the value of the next one (-inf if there is none);
+    unit: its units' numbers, first: where texts start."""
     n_docs = first.size - 1
     out: list[list[Path]] = [[] for _ in range(n_docs)]
+    following = np.full(n_docs, -np.inf)
     sizes = np.diff(first)
     ordinal = np.arange(unit.size) - np.repeat(first[:-1], sizes)
     doc_of_unit = np.repeat(np.arange(n_docs), sizes)
@@ -233,8 +235,8 @@ def sample(lat: Lattice, unit: np.ndarray, first: np.ndarray, key: np.ndarray, k
     values = dict(enumerate(root.tolist()))
     for d in range(n_docs):
         if not sizes[d]:
-            out[d].append(Path(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros(0), np.zeros(0), float(root[d]), {}))
-    for s in range(k + 1):
+            out[d].append(Path(np.zeros(0, np.int64), 0.0, np.zeros(0), float(root[d]), {}))
+    for s in range(k):
         if not jobs:
             break
         d = np.array([j[0] for j in jobs])
@@ -270,19 +272,19 @@ def sample(lat: Lattice, unit: np.ndarray, first: np.ndarray, key: np.ndarray, k
                 turn[i] = t
                 rest[begins[i] + t] = left
         bound = np.array([values[j[0]] for j in jobs])
-        with np.errstate(divide="ignore"):
-            phi = prefix + np.log(rest)
         step = np.arange(flat.size) - np.repeat(begins, length)
-        fresh = step >= np.repeat(turn, length)
-        own_key = np.repeat(mix(key[d] + _salt(s, 0x8EBC6AF09C88C6E3)), length) + step.astype(np.uint64)
-        g = np.where(fresh & (rest > 0), _truncated(phi, np.repeat(bound, length), own_key), -np.inf)
+        # frontier nodes: the steps from the turn on that have other ways left; what is before belongs to the parents
+        job = np.repeat(np.arange(len(jobs)), length)
+        new = np.flatnonzero((step >= turn[job]) & (rest > 0))
+        own = job[new]
+        phi = prefix[new] + np.log(rest[new])
+        g = np.full(flat.size, -np.inf)
+        g[new] = _truncated(phi, bound[own], mix(key[d] + _salt(s, 0x8EBC6AF09C88C6E3))[own] + step[new].astype(np.uint64))
         for i, (doc, _, f, parent) in enumerate(jobs):
             a, b = begins[i], ends[i]
             taken = {} if parent is None else {parent[1]: parent[3]}
-            out[doc].append(Path(flat[a:b], float(logp[i]), prefix[a:b], rest[a:b], g[a:b], float(bound[i]), taken))
-        if s == k:
-            break
-        # open the largest frontier node of each text
+            out[doc].append(Path(flat[a:b], float(logp[i]), g[a:b], float(bound[i]), taken))
+        # open the largest frontier node of each text; after the last path its value alone is wanted
         jobs = []
         for doc in d.tolist():
             best, path, t = -np.inf, None, -1
@@ -290,7 +292,8 @@ def sample(lat: Lattice, unit: np.ndarray, first: np.ndarray, key: np.ndarray, k
                 at = int(p.frontier.argmax())
                 if p.frontier[at] > best:
                     best, path, t = float(p.frontier[at]), p, at
-            if path is None:
+            if s == k - 1 or path is None:
+                following[doc] = best
                 continue
             path.frontier[t] = -np.inf
             e = int(path.edges[t])
@@ -304,7 +307,7 @@ def sample(lat: Lattice, unit: np.ndarray, first: np.ndarray, key: np.ndarray, k
             values[doc] = best
             u_at = int(lat.end[lat.to[path.edges[:t]]].sum())  # units ended before step t
             jobs.append((doc, u_at, f, (path, t, max(left, 0.0), gone)))
-    return out
+    return out, following
 
 
 FIELDS = {"rank": pa.int32(), "n_pieces": pa.int32(), "ids_crc32": pa.int64(), "logp": pa.float64(), "perturbed": pa.float64(), "inclusion": pa.float64(), "decoded": pa.bool_()}
@@ -320,7 +323,7 @@ def encode(docs: DataFrame, path: str, k: int = 3, seed: int = 1, ids: bool = Tr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
-            for lo, hi, offsets, data in text_chunks(batch, most=2 << 20):
+            for lo, hi, offsets, data in text_chunks(batch, most=3 << 18):
                 keys = mix(batch.column("doc_id").slice(lo, hi - lo).fill_null(0).to_numpy().astype(np.uint64) + np.uint64(seed * 1_000_003 % (1 << 64)))
                 raw = data.tobytes()
                 texts = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -334,24 +337,40 @@ def encode(docs: DataFrame, path: str, k: int = 3, seed: int = 1, ids: bool = Tr
                     inner = np.frombuffer(flat.dictionary.buffers()[1], np.int64)[: len(flat.dictionary) + 1]
                     pieces = np.frombuffer(flat.dictionary.buffers()[2], np.uint8)[: inner[-1]]
                     lat = Lattice(v, pieces, inner)
-                    found = sample(lat, flat.indices.to_numpy(zero_copy_only=False), np.searchsorted(cuts, at), keys, k)
+                    found, following = sample(lat, flat.indices.to_numpy(zero_copy_only=False), np.searchsorted(cuts, at), keys, k)
                 else:
-                    found = sample_empty(keys, hi - lo)
-                out: dict[str, list] = {f: [] for f in FIELDS}
-                all_ids = []
-                for text, paths in zip(texts, found, strict=True):
-                    threshold = paths[k].value if len(paths) > k else -np.inf
-                    for r, p in enumerate(paths[:k]):
-                        got = _ids(v, lat, pieces, p.edges) if p.edges.size else np.zeros(0, np.int64)
-                        row = (r, got.size, zlib.crc32(got.astype("<u4").tobytes()), p.logp, p.value, -np.expm1(-np.exp(min(p.logp - threshold, 700.0))), v.decode(got) == text.replace(SPACE, b" "))
-                        for f, x in zip(out.values(), row, strict=True):
-                            f.append(x)
-                        if ids:
-                            all_ids.append(got)
+                    found, following = sample_empty(keys, hi - lo), np.full(hi - lo, -np.inf)
+                # by rank over all texts of the run; then rows in order of (text, rank)
+                rows_at, parts, crc, whole, logp, value, size = [], [], [], [], [], [], []
+                for r in range(k):
+                    docs_ = [i for i, paths in enumerate(found) if len(paths) > r]
+                    edges = [found[i][r].edges for i in docs_]
+                    got, n = _ids(v, lat, pieces, edges)
+                    raw_ids, ends = memoryview(got.astype("<u4").tobytes()), np.cumsum(n)
+                    # the ids' bytes against the texts; text by text only where they differ somewhere
+                    back = v.out_bytes[ranges(v.out_start[got], v.out_size[got])].tobytes()
+                    same = back == b"".join([signed[i] for i in docs_])
+                    for j, i in enumerate(docs_):
+                        own = raw_ids[4 * int(ends[j] - n[j]) : 4 * int(ends[j])]
+                        crc.append(zlib.crc32(own))
+                        whole.append(same or v.decode(np.frombuffer(own, "<u4").astype(np.int64)) == texts[i].replace(SPACE, b" "))
+                        logp.append(found[i][r].logp)
+                        value.append(found[i][r].value)
+                    rows_at += [i * k + r for i in docs_]
+                    size.append(n)
+                    parts.append(got)
+                order = np.argsort(rows_at, kind="stable")
+                size = np.concatenate(size)
+                logp, ranks = np.array(logp)[order], np.array(rows_at)[order] % k
+                gap = np.minimum(logp - following[np.array(rows_at)[order] // k], 700.0)
+                out = {
+                    "rank": ranks, "n_pieces": size[order], "ids_crc32": np.array(crc)[order], "logp": logp, "perturbed": np.array(value)[order], "inclusion": -np.expm1(-np.exp(gap)), "decoded": np.array(whole, bool)[order],
+                }
                 cols = {f: pa.array(x, FIELDS[f]) for f, x in out.items()}
                 if ids:
+                    begins = (np.cumsum(size) - size)[order]
                     ends = np.concatenate([[0], np.cumsum(out["n_pieces"])]).astype(np.int32)
-                    cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*all_ids, np.zeros(0, np.int64)]).astype(np.int32)))
+                    cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)[ranges(begins, out["n_pieces"])].astype(np.int32)))
                 rows = pa.StructArray.from_arrays(list(cols.values()), list(cols))
                 ends = np.concatenate([[0], np.cumsum([min(len(paths), k) for paths in found])]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "samples": pa.ListArray.from_arrays(pa.array(ends), rows)})
@@ -362,19 +381,26 @@ def encode(docs: DataFrame, path: str, k: int = 3, seed: int = 1, ids: bool = Tr
 def sample_empty(keys: np.ndarray, n: int) -> list[list[Path]]:
     none = np.zeros(0)
     root = -np.log(-np.log(uniform(mix(keys + np.uint64(77)))))
-    return [[Path(np.zeros(0, np.int64), 0.0, none, none, none, float(root[d]), {})] for d in range(n)]
-
-
-def _ids(v: Vocabulary, lat: Lattice, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    piece = lat.piece[edges]
-    if (piece >= 0).all():
-        return piece
-    n = np.where(piece < 0, -piece, 1)
+    return [[Path(np.zeros(0, np.int64), 0.0, none, float(root[d]), {})] for d in range(n)]
+
+
+def _ids(v: Vocabulary, lat: Lattice | None, data: np.ndarray, paths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of paths one after the other, and the number of each; a character without a piece becomes its bytes."""
+    count = np.array([len(p) for p in paths], np.int64)
+    if not count.sum():
+        return np.zeros(0, np.int64), count
+    edges = np.concatenate(paths)
+    piece = lat.piece[edges].astype(np.int64)
+    bare = piece < 0
+    if not bare.any():
+        return piece, count
+    n = np.where(bare, -piece, 1)
     out = np.repeat(piece, n)
-    low = np.repeat(piece < 0, n)
-    at = ranges(lat.at[edges], n)[low]
-    out[low] = v.byte_ids[data[at]]
-    return out
+    low = np.repeat(bare, n)
+    out[low] = v.byte_ids[data[ranges(lat.at[edges[bare]].astype(np.int64), n[bare])]]
+    total = np.concatenate([[0], np.cumsum(n)])
+    ends = np.cumsum(count)
+    return out, total[ends] - total[ends - count]
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

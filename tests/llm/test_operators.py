@@ -324,12 +324,13 @@ def test_gumbel_samples_follow_the_lattice():
     chance = {a + b: p * q for a, p in ways(lat.start[0]) for b, q in ways(lat.start[1])}
     assert sum(chance.values()) == pytest.approx(1)
     n = 6000
-    out = segment.sample(lat, np.tile([0, 1], n), np.arange(n + 1) * 2, mix(np.arange(n).astype(np.uint64)), 3)
-    assert all(len({tuple(p.edges.tolist()) for p in ps}) == 4 and all(a.value > b.value for a, b in zip(ps, ps[1:], strict=False)) for ps in out)
+    out, following = segment.sample(lat, np.tile([0, 1], n), np.arange(n + 1) * 2, mix(np.arange(n).astype(np.uint64)), 3)
+    assert all(len({tuple(p.edges.tolist()) for p in ps}) == 3 and all(a.value > b.value for a, b in zip(ps, ps[1:], strict=False)) for ps in out)
+    assert all(f < ps[2].value for f, ps in zip(following, out, strict=True))
     for rank, want in ((0, chance), (1, {w: sum(p * chance[w] / (1 - p) for x, p in chance.items() if x != w) for w in chance})):
         got = collections.Counter(tuple(ps[rank].edges.tolist()) for ps in out)
         assert all(abs(got[w] / n - p) < 0.03 for w, p in want.items())
-    unbiased = np.mean([sum(np.exp(p.logp) / -np.expm1(-np.exp(p.logp - ps[3].value)) for p in ps[:3]) for ps in out])
+    unbiased = np.mean([sum(np.exp(p.logp) / -np.expm1(-np.exp(p.logp - f)) for p in ps) for ps, f in zip(out, following, strict=True)])
     assert unbiased == pytest.approx(1, abs=0.02)
 
 
