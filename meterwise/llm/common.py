@@ -10,6 +10,8 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -71,22 +73,46 @@ def byte_values(seed: int = 1) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, MASK, 256, dtype=np.uint64) | np.uint64(1)
 
 
-@lru_cache(2)
+_grown: list[np.ndarray] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (BASE, pow(BASE, -1, 1 << 64)):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+    """At least n powers of the base and of its inverse; one pair of arrays is kept, and grows."""
+    if not _grown or _grown[0].size < n:
+        _grown.clear()
+        for b in (BASE, pow(BASE, -1, 1 << 64)):
+            p = np.full(n + n // 8, b, np.uint64)
+            p[0] = 1
+            _grown.append(np.multiply.accumulate(p))
+    return _grown[0], _grown[1]
+
+
+def freeing(run):
+    """A function over batches that gives memory back at the end; workers live on and serve later stages."""
+
+    def inner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 class Substrings:
     """Karp-Rabin prefix sums over bytes: the hash of any substring in constant time, wherever it stands."""
 
     def __init__(self, data: np.ndarray, seed: int = 1):
-        size = 1 << max(12, int(data.size + 1).bit_length())
-        powers, self.inverse = _powers(size)
+        powers, self.inverse = _powers(max(4096, data.size + 1))
         self.sums = np.zeros(data.size + 1, np.uint64)
         np.cumsum(byte_values(seed)[data] * powers[: data.size], out=self.sums[1:])
 
@@ -99,7 +125,7 @@ class Substrings:
         return mix((self.sums[k:] - self.sums[:n]) * self.inverse[:n] + np.uint64(k)) if n > 0 else np.zeros(0, np.uint64)
 
 
-def text_chunks(batch: pa.RecordBatch, name: str = "text", most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(batch: pa.RecordBatch, name: str = "text", most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, offsets, bytes) of runs of rows with about `most` bytes; a longer text makes its own run."""
     col = batch.column(batch.schema.get_field_index(name))
     col = col.cast(pa.large_binary() if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else pa.large_string())

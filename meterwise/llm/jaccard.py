@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.llm.common import Substrings, cut, documents, mix, partitions, ranges, text_chunks, words
+from meterwise.llm.common import Substrings, cut, documents, freeing, mix, partitions, ranges, release, text_chunks, words
 from meterwise.llm.components import components
 
 SIZE = 5
@@ -255,9 +255,11 @@ def linked(a: Entries, b: Entries, threshold: float, tolerance: float) -> np.nda
     if not pairs.any():
         return pairs
     shared = intersections(a, b, pairs)
-    size = np.diff(a.first)[:, None] + np.diff(b.first)[None, :]
-    # a margin for the float threshold, far below the step from one ratio of such sizes to the next
-    pairs &= shared >= (threshold - 1e-9) * (size - shared)
+    rows, columns = np.diff(a.first), np.diff(b.first)
+    for lo in range(0, len(rows), 256):
+        part = shared[lo : lo + 256].astype(np.float64)
+        # a margin for the float threshold, far below the step from one ratio of such sizes to the next
+        pairs[lo : lo + 256] &= part >= (threshold - 1e-9) * (rows[lo : lo + 256, None] + columns[None, :] - part)
     return pairs | pairs.T if a is b else pairs
 
 
@@ -335,7 +337,9 @@ def _block(size: int, threshold: float, tolerance: float):
             edges.append((e.docs, e.docs[_labels(found)]))
             if many[lo] > 1:
                 payloads.append((int(roots[lo]), int(blocks[lo]), e.to_bytes()))
-        return _rows(links, edges, payloads)
+        out = _rows(links, edges, payloads)
+        release()
+        return out
 
     return run
 
@@ -364,7 +368,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, tolera
     """doc_id, set_id, class_id, n_links of each document."""
     n = partitions(docs.sparkSession)
     rows = documents(docs).where("doc_id is not null")
-    signed = rows.mapInArrow(_sign(size), SIGNED)
+    signed = rows.mapInArrow(freeing(_sign(size)), SIGNED)
     signed = cut(signed)
     one = signed.groupBy("doc_id").agg(F.min("key").alias("key"), F.max("n").alias("n"))
 
@@ -388,7 +392,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, tolera
     payload = found.where(F.col("kind") == PAYLOAD)
     a, b = (payload.select("root", "block", *PARTS).toDF("root", f"{s}_block", *[f"{s}_{k}" for k in PARTS]) for s in "ab")
     pairs = a.join(b, "root").where("a_block < b_block").select(*[f"{s}_{k}" for s in "ab" for k in PARTS])
-    across = pairs.repartition(2 * n).mapInArrow(_across(threshold, tolerance), "kind int, doc_id long, value long")
+    across = pairs.repartition(2 * n).mapInArrow(freeing(_across(threshold, tolerance)), "kind int, doc_id long, value long")
     results = cut(found.where(F.col("kind") != PAYLOAD).select("kind", "doc_id", "value").unionByName(across))
     classes = components(results.where(F.col("kind") == EDGE).select(F.col("doc_id").alias("a"), F.col("value").alias("b")))
     links = results.where(F.col("kind") == LINKS).groupBy(F.col("doc_id").alias("set_id")).agg(F.sum("value").alias("links"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.llm.common import Substrings, documents, mix, ranges, text_chunks, uniform
+from meterwise.llm.common import Substrings, documents, freeing, mix, ranges, text_chunks, uniform
 
 SPACE = "▁".encode()
 RUN = 32
@@ -375,7 +375,7 @@ def encode(docs: DataFrame, path: str, k: int = 3, seed: int = 1, ids: bool = Tr
                 ends = np.concatenate([[0], np.cumsum([min(len(paths), k) for paths in found])]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "samples": pa.ListArray.from_arrays(pa.array(ends), rows)})
 
-    return documents(docs).mapInArrow(run, f"doc_id long, samples {SAMPLES.format(ids=',ids:array<int>' if ids else '')}")
+    return documents(docs).mapInArrow(freeing(run), f"doc_id long, samples {SAMPLES.format(ids=',ids:array<int>' if ids else '')}")
 
 
 def sample_empty(keys: np.ndarray, n: int) -> list[list[Path]]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterwise.llm.common import Substrings, mix, partitions, ranges, text_chunks
+from meterwise.llm.common import Substrings, freeing, mix, partitions, ranges, text_chunks
 
 LENGTH = 50
 NAME = 20
@@ -131,7 +131,7 @@ ANCHORS = "bucket long, name binary, context binary, doc binary, pos binary, ids
 PLAIN, MARK, OF_HOT, REPEAT = 0, 1, 2, 3
 
 
-def _anchors(buckets: int, length: int, name: int, hot: int, most: int = 1_000_000):
+def _anchors(buckets: int, length: int, name: int, hot: int, most: int = 700_000):
     """Step 1, sending side. Of a task's anchors, the first of each (name, context) goes to the task of its name.
 
     What is decided here only passes through, dealt evenly: repeats of a context by larger documents, and positions
@@ -387,11 +387,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, name: int = NAME, hot:
     texts = rows.repartition(n, "doc_id").join(info, "doc_id", "left")
     judged = (F.col("own").isNull() | (F.col("own") == F.col("sha"))) & (F.col("first").isNull() | (F.col("first") == F.col("doc_id")))
     # all columns go everywhere, so that the shuffle of the texts is one and the same
-    sent = texts.where(judged).select("doc_id", "text", "carried").mapInArrow(_anchors(buckets, length, name, hot), ANCHORS)
+    sent = texts.where(judged).select("doc_id", "text", "carried").mapInArrow(freeing(_anchors(buckets, length, name, hot)), ANCHORS)
     replies = sent.groupBy("bucket").applyInArrow(_rank_contexts, REPLIES)
     codes = replies.groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
     asked = texts.where(judged).join(codes, "doc_id").select("doc_id", "text", "carried", "codes")
-    strings = asked.mapInArrow(_strings(buckets, length, name), STRINGS)
+    strings = asked.mapInArrow(freeing(_strings(buckets, length, name)), STRINGS)
     spans = strings.groupBy("bucket").applyInArrow(_rank_strings(length, name), REPLIES)
     spans = spans.groupBy("doc_id").agg(F.collect_list("code").alias("spans"))
     found = texts.join(codes, "doc_id", "left").join(spans, "doc_id", "left").select(
@@ -403,5 +403,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, name: int = NAME, hot:
         T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())),
         T.StructField("carried", found.schema["carried"].dataType),
     ])
-    out = found.mapInArrow(_remove(length, name), schema)
+    out = found.mapInArrow(freeing(_remove(length, name)), schema)
     return out if carry else out.drop("carried")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterwise.llm import ftrl
-from meterwise.llm.common import documents, text_chunks
+from meterwise.llm.common import documents, freeing, text_chunks
 
 SAMPLE = 20_000
 FEATURES = 1 << 20
@@ -70,7 +70,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"gram": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
-    rows = documents(docs).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # 28^3 rows at most
+    rows = documents(docs).mapInArrow(freeing(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # 28^3 rows at most
     n = np.zeros(SYMBOLS**3)
     for gram, k in rows:
         n[gram] = k
@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = S
         w = m.weights[:, 1] - m.weights[:, 0]
         return pa.table({"feature": np.append(m.features, -1), "weight": np.append(w, m.intercept[1] - m.intercept[0])})
 
-    found = rows.mapInArrow(extract, "doc_id long, toxic int, index binary, value binary").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fit, "feature long, weight double").collect()
+    found = rows.mapInArrow(freeing(extract), "doc_id long, toxic int, index binary, value binary").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fit, "feature long, weight double").collect()
     got = sorted((f, w) for f, w in found if f >= 0)
     weights = np.array([[0.0, w] for _, w in got]).reshape(-1, 2)
     return ftrl.Model(np.array([f for f, _ in got], np.int64), weights, np.array([0.0, next((w for f, w in found if f < 0), 0.0)]))
@@ -227,7 +227,7 @@ def score(docs: DataFrame, model: np.ndarray, classifier: ftrl.Model) -> DataFra
             p = scores(batch)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))})
 
-    return documents(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+    return documents(docs).mapInArrow(freeing(run), "doc_id long, score double, predicted int")
 
 
 def clean(docs: DataFrame, model: np.ndarray, classifier: ftrl.Model) -> DataFrame:
@@ -239,7 +239,7 @@ def clean(docs: DataFrame, model: np.ndarray, classifier: ftrl.Model) -> DataFra
         for batch in batches:
             yield batch.filter(pa.array(scores(batch) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, ftrl.Model]:
