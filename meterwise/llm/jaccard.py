@@ -24,6 +24,7 @@ one document, with the text whose set digest is least. Rows with a null doc_id a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +140,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
+@lru_cache(8)
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> dict[int, int]:
     """For 32, 64, 96 compared values, the fewest equal ones at which the posterior still reaches the tolerance."""
     x = (np.arange(20_000) + 0.5) / 20_000
