@@ -4,8 +4,10 @@
    word edge.
 2. A token that looks disguised (signs or digits among its letters, letters three or more in a row, single letters
    parted by spaces) becomes a lattice: each sign may stand for a letter or for nothing, each run of a letter for one
-   or two of it. The Viterbi path through the lattice under the language model, weighed with the channel's own costs,
-   is the restored word. Plain tokens have one path and need no search.
+   or two of it, each gap between single letters for nothing or for the space between words. The Viterbi path through
+   the lattice under the language model, weighed with the channel's own costs, is the restored word (or words). Plain
+   tokens have one path and need no search. Where nothing but a doubled letter or gaps are odd, the letters may as well
+   be meant as they stand ("good", "boob"), so they count as a second reading beside the path's.
 3. The restored words and their beginnings (3 to 7 letters, counted over distinct words) are the features of a
    logistic regression with an elastic net, trained on labelled rows by follow-the-regularised-leader.
 
@@ -44,7 +46,10 @@ EDGE, OTHER, SYMBOLS = 0, 27, 28
 AS_LETTER, AS_SPACE, AS_NOTHING, LETTER_AS_NOTHING, PAIR_TO_ONE, RUN_CUT = 1.0, 1.0, 1.5, 8.0, 6.0, 0.7
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}")
 PARTED = re.compile(r"\w([.\-_*/~])(?:\w\1)+\w")
-RUN = re.compile(r"(.)\1\1")
+RUN, PAIR = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
+GAP = re.compile(r"[ \t]+")
+#: Of a token: equal characters (in a row of single ones, also over the gaps between them), or a gap.
+STEP = re.compile(r"(\S)(?: ?\1)*| +")
 STRIP = ".,!#%&*?;:\"'=()[]{}<>|~^`/\\-_"
 SYMBOL_OF_BYTE = np.zeros(256, np.int64)
 SYMBOL_OF_BYTE[97:123] = np.arange(1, 27)
@@ -83,19 +88,26 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 def restore(token: str, model: np.ndarray) -> str:
     """The most likely word behind a token of letters and signs, by Viterbi over its lattice."""
-    # lattice: for each run of equal characters the ways to read it, (letters, channel cost)
-    states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
-    for run in re.finditer(r"(.)\1*", token, re.DOTALL):
+    # lattice: for each run of equal characters the ways to read it, (letters, channel cost); texts are linked backwards
+    states: dict[tuple[int, int], tuple[float, tuple]] = {(EDGE, EDGE): (0.0, ())}
+    apart = LETTER_AS_NOTHING if "  " in token else AS_SPACE  # where some gaps are wide, the narrow ones hardly end words
+    for run in STEP.finditer(token):
         c, n = run[1], len(run[0])
-        if c.isalpha():
+        if c is None:
+            ways = [("", 0.0), (" ", apart)] if n == 1 else [(" ", 0.0), ("", AS_NOTHING)]
+        elif c.isalpha():
+            n = run[0].count(c)
             ways = [(c, 0.0)] if n == 1 else [(c, PAIR_TO_ONE), (c + c, 0.0)] if n == 2 else [(c, RUN_CUT), (c + c, RUN_CUT)]
+            if " " in run[0]:  # one of the gaps may be the space between words
+                ways += [(x, apart + (n > 2) * RUN_CUT) for x in (f"{c} {c}", f"{c}{c} {c}", f"{c} {c}{c}")[: 1 if n == 2 else 3]]
         else:
+            n = run[0].count(c)
             ways = [("", LETTER_AS_NOTHING if c in STANDS_FOR else AS_NOTHING), (" ", AS_SPACE + (c in STANDS_FOR) * 3.0)]
             for letter in STANDS_FOR.get(c, ""):
                 ways.append((letter, AS_LETTER + 0.5 * (n - 1)))
                 if n > 1:
                     ways.append((letter * 2, AS_LETTER + 0.5 * (n - 1)))
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
+        nxt: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (cost, text) in states.items():
             for letters, own in ways:
                 x, y, total = a, b, cost + own
@@ -104,26 +116,46 @@ def restore(token: str, model: np.ndarray) -> str:
                     total += model[x, y, z]
                     x, y = y, z
                 if (x, y) not in nxt or total < nxt[x, y][0]:
-                    nxt[x, y] = (total, text + letters)
+                    nxt[x, y] = (total, (text, letters))
         states = nxt
-    return min(((cost + model[a, b, EDGE], text) for (a, b), (cost, text) in states.items()), key=lambda s: s[0])[1]
+    text, out = min(((cost + model[a, b, EDGE], text) for (a, b), (cost, text) in states.items()), key=lambda s: s[0])[1], []
+    while text:
+        text, letters = text
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 def restored(token: str, model: np.ndarray) -> str:
     """A token without the signs around it, restored if it looks disguised; no letters: empty."""
-    core = token.strip(STRIP)
-    bare = core.rstrip("$")
-    if len(core) - len(bare) > 2 or not bare:  # three and more are ornament, one or two may be letters
-        core = bare.strip(STRIP)
+    around = STRIP + " " if " " in token else STRIP  # a row of single characters has gaps
+    core = token.strip(around)
+    bare = core.rstrip("$ " if " " in token else "$")
+    if core.count("$", len(bare)) > 2 or not bare:  # three and more are ornament, one or two may be letters
+        core = bare.strip(around)
     if not core or core.isalpha() and RUN.search(core) is None:
         return core
     if not any(c.isalpha() for c in core):
         return ""
-    if parted := PARTED.fullmatch(core):  # single letters parted by one and the same sign
-        core = core.replace(parted[1], "")
+    if parted := PARTED.fullmatch(core.replace(" ", "")):  # single letters parted by one and the same sign
+        core = core.replace(parted[1], "") if " " not in core else row(core.replace(parted[1], " ").strip())
     return restore(core, model)
 
 
+def row(spaced: str) -> str:
+    """A row of single characters with one space in its narrowest gaps and two in wider ones."""
+    gaps = [len(g) for g in GAP.findall(spaced)]
+    return "".join(c + ("" if g is None else " " if g == min(gaps) else "  ") for c, g in zip(spaced.split(), [*gaps, None], strict=True))
+
+
+def readings(token: str, model: np.ndarray) -> list[str]:
+    """The distinct words of a token; a plain one with doubled letters is read as it stands and through the lattice."""
+    word = restored(token, model)
+    out = word.split()
+    if word.isalpha() and PAIR.search(word):
+        out += restore(word, model).split()
+    return list(dict.fromkeys(out))
+
+
 def features(word: str) -> list[int]:
     """Hashed features of a restored token: its words and their beginnings."""
     out = []
@@ -134,12 +166,15 @@ def features(word: str) -> list[int]:
 
 
 def tokens(text: str) -> set[str]:
-    """Distinct lower-cased tokens; a row of single characters parted by spaces is one more token."""
+    """Distinct lower-cased tokens; a row of single characters parted by spaces is more: with its gaps, without them, parted by the wide ones alone."""
     text = text.lower()
-    out = set(text.split())
-    singles = [t for t in out if len(t) == 1]
-    if len(singles) > 2 and any(t.isalpha() for t in singles):
-        out.update("".join(m[0].split()) for m in SPACED.finditer(text))
+    every = text.split()
+    out = set(every)
+    if b"\1\1\1" in bytes(map((1).__eq__, map(len, every))):  # no three in a row: no match
+        for m in SPACED.finditer(text):
+            if any(c.isalpha() for c in m[0]):
+                own = row(m[0])
+                out |= {own, own.replace(" ", ""), *(x.replace(" ", "") for x in own.split("  "))}
     return out
 
 
@@ -162,9 +197,7 @@ class Cache:
 
 
 def _words(text: str, cache: Cache) -> set:
-    out = {cache[t] for t in tokens(text)}
-    out.discard("")
-    return out
+    return set().union(*(cache[t] for t in tokens(text)))
 
 
 def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAMPLE) -> ftrl.Model:
@@ -174,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = S
     rows = documents(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")  # at most `sample` rows of 12 bytes
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cache(lambda t: restored(t, model))
+        cache = Cache(lambda t: readings(t, model))
         for batch in batches:
             index, value = [], []
             for text in batch.column("text").to_pylist():
@@ -202,13 +235,13 @@ def _scorer(model: np.ndarray, classifier: ftrl.Model):
     bias = float(classifier.intercept[1])
 
     def make():
-        words = Cache(lambda t: (w := restored(t, model), sum(weight.get(f, 0.0) for f in features(w)) if w else 0.0))
+        words = Cache(lambda t: [(w, sum(weight.get(f, 0.0) for f in features(w))) for w in readings(t, model)])
 
         def scores(batch: pa.RecordBatch) -> np.ndarray:
             out = []
             for text in batch.column("text").to_pylist():
                 # a word counts once, however it was written
-                own = {words[t] for t in tokens(text or "")}
+                own = set().union(*(words[t] for t in tokens(text or "")))
                 out.append(1 / (1 + math.exp(-max(-50.0, min(50.0, bias + math.fsum(x for _, x in own))))))
             return np.array(out, float)
 

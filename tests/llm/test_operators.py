@@ -266,6 +266,17 @@ def test_viterbi_restores_disguised_words(spark):
     assert "stupid" in toxicity.tokens("you s t u p i d man")
 
 
+def test_spaced_rows_and_doubled_letters_are_decoded(spark):
+    rng = random.Random(2)
+    text = " ".join(rng.choice(["idiot", "stupid", "moron", "a", "you", "are", "dumb", "boob", "good", *WORDS]) for _ in range(6000))
+    model = toxicity.language_model(spark.createDataFrame([(1, text)], DOCS))
+    read = lambda t: toxicity._words(t, toxicity.Cache(lambda x: toxicity.readings(x, model)))
+    assert {"a", "stupid"} <= read("house a s t u p i d")
+    assert {"you", "are", "dumb"} <= read("y o u  a r e  d u m b") and {"you", "are", "dumb"} <= read("y o u \t a r e   d u m b")
+    assert "boob" in read("b o o b") and "stupid" in read("- s t u u p 1 d !") and "moron" in read("m . o . r . o . n")
+    assert {"stupid", "idiot", "good"} <= read("stuupid iiddiioott good") and read("a b") == {"a", "b"} and read("1 2 3 4") == set()
+
+
 def test_toxicity_learns_and_scores(spark, empty):
     rng = random.Random(4)
     data = [(i, sentence(rng, 60) + (" you st0pid m0ron loser" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(240)]
