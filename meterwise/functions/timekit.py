@@ -111,6 +111,18 @@ def trailing(df: DataFrame, value: Column, keys: list[str], first: int, last: in
     return value.over(w)
 
 
+def running_sum(df: DataFrame, col: str, name: str, unit: str = "month") -> DataFrame:
+    """df (t not null, distinct) with `name`, the sum of col up to each row in order of t.
+
+    Each unit of time is summed apart, from the total of the units before it: one row for each unit, so it can be broadcast.
+    """
+    x = df.withColumn("_b", trunc(unit, "t"))
+    before = Window.partitionBy(F.lit(1)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = x.groupBy("_b").agg(F.sum(col).alias("_s")).select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy("_b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    return x.join(F.broadcast(starts), "_b").withColumn(name, F.col("_o") + F.coalesce(F.sum(col).over(inside), F.lit(0))).drop("_b", "_o")
+
+
 def hsum(cols: list[str], least: int | None = None) -> Column:
     """Sum across columns: null unless `least` of them are there; None: missing counts as nothing, all missing as 0."""
     total = reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0.0)) for c in cols])

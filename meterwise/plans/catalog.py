@@ -542,11 +542,21 @@ def W06_rates(spark, sf_dir):
 
 @query(f"WITH i AS (SELECT * FROM ({LINES}) WHERE a < b), x AS (SELECT a AS t, CAST(round(mw * 100) AS BIGINT) AS d FROM i UNION ALL SELECT b, -CAST(round(mw * 100) AS BIGINT) FROM i), y AS (SELECT t, sum(d) AS d FROM x GROUP BY 1) SELECT {T.format('t')} AS t, CAST(sum(d) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cents FROM y WHERE t < TIMESTAMP '1995-06-01'")
 def W08_delta_sweep(spark, sf_dir):
+    """The sweep of W08_delta_sweep_all, as far as the SQL asks for it."""
+    x = sweep(spark, sf_dir).where(F.col("t") < F.lit("1995-06-01").cast("timestamp_ntz"))
+    return x.select(K.stamp("t").alias("t"), "cents")
+
+
+@query(f"WITH i AS (SELECT * FROM ({LINES}) WHERE a < b), x AS (SELECT a AS t, CAST(round(mw * 100) AS BIGINT) AS d FROM i UNION ALL SELECT b, -CAST(round(mw * 100) AS BIGINT) FROM i), y AS (SELECT t, sum(d) AS d FROM x GROUP BY 1) SELECT {T.format('t')} AS t, CAST(sum(d) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cents FROM y")
+def W08_delta_sweep_all(spark, sf_dir):
+    return sweep(spark, sf_dir).select(K.stamp("t").alias("t"), "cents")
+
+
+def sweep(spark, sf_dir) -> DataFrame:
+    """t, cents: what the intervals that run add up to, at each time at which one begins or ends."""
     i = lines(spark, sf_dir).where("a < b").withColumn("mw", F.round(F.col("mw") * 100).cast("long"))
     x = i.select(F.col("a").alias("t"), F.col("mw").alias("d")).unionByName(i.select(F.col("b").alias("t"), (-F.col("mw")).alias("d")))
-    y = x.groupBy("t").agg(F.sum("d").alias("d")).where(F.col("t") < F.lit("1995-06-01").cast("timestamp_ntz"))
-    w = Window.partitionBy(F.lit(1)).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return y.select(K.stamp("t").alias("t"), F.sum("d").over(w).alias("cents"))
+    return K.running_sum(x.groupBy("t").agg(F.sum("d").alias("d")), "d", "cents")
 
 
 DAYS = "SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS v FROM events GROUP BY 1, 2"

@@ -42,6 +42,12 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert canonical(map(tuple, df.collect()), df.columns) == canonical(want.fetchall(), columns)
 
 
+def test_sweep_covers_the_whole_table(spark, sf, duck):
+    first, last = duck.execute("SELECT min(l_shipdate), max(l_shipdate + to_hours(CAST(l_quantity AS BIGINT))) FROM lineitem").fetchone()
+    got = sorted(map(tuple, __spark_entry__.queries()["W08_delta_sweep_all"](spark, sf).select("t", "cents").collect()))
+    assert got[0][0] == str(first) and got[-1] == (str(last), 0)  # all that began has ended
+
+
 def test_entry(spark, sf):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
