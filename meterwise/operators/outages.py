@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterwise.operators.joins import known_at, overlap
+from meterwise.operators.joins import overlap
 
 # Fixed values of the documents' codes.
 INACTIVE = ["A09", "A13"]
@@ -70,7 +70,11 @@ def exact(versions: DataFrame, hours: DataFrame) -> DataFrame:
     """t, mw: the version current at each day's cut-off, averaged over the day's hours."""
     rows = versions.dropDuplicates(["mrid", "revision", "start", "end"])
     days = hours.select(F.to_date("t").alias("day")).distinct()
-    known = active(known_at(rows, cutoffs(days), ["mrid"], "created_doc_time", "revision", "end"))
+    # a version is current from its creation until a larger revision's; it counts on the days it touches, however long its document lives
+    larger = Window.partitionBy("mrid").orderBy("revision").rangeBetween(1, Window.unboundedFollowing)
+    rows = rows.where(F.col("revision").isNotNull()).withColumn("_until", F.min("created_doc_time").over(larger))
+    rows = active(rows.where("start < end")).withColumn("day", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))))
+    known = rows.join(cutoffs(days), "day").where((F.col("created_doc_time") <= F.col("cutoff")) & (F.col("_until").isNull() | (F.col("_until") > F.col("cutoff"))))
     clipped = known.withColumn("start", F.greatest("start", F.col("day").cast("timestamp_ntz"))).withColumn("end", F.least("end", F.date_add("day", 1).cast("timestamp_ntz")))
     got = hourly(clipped)
     return hours.join(got, "t", "left").select("t", F.coalesce("mw", F.lit(0.0)).alias("mw"))

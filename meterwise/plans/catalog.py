@@ -721,14 +721,18 @@ def M19_area_fill(spark, sf_dir):
 
 @query(None)
 def J12_outage_profiles(spark, sf_dir):
-    """Outage documents from lineitem: unavailable MW of each hour of May 1995, three ways."""
-    x = table(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= F.lit("1995-03-01").cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit("1995-06-01").cast("timestamp_ntz")))
+    """Outage documents from lineitem: unavailable MW of each hour, three ways.
+
+    Hours run from the day of the first start to the day after the last end, the last that can see an outage at its cut-off.
+    """
+    x = table(spark, sf_dir, "lineitem")
     end = F.col("l_shipdate") + F.make_dt_interval(F.lit(0), F.col("l_quantity").cast("int"))
     docs = x.select(
         F.col("l_orderkey").alias("mrid"), F.col("l_linenumber").alias("revision"), (F.col("l_shipdate") - F.expr("INTERVAL 3 DAYS")).alias("created_doc_time"), F.when(F.col("l_returnflag") == "A", "A09").alias("docstatus"),
         F.when(F.col("l_linestatus") == "F", O.PLANNED).otherwise("A54").alias("businesstype"), F.col("l_shipdate").alias("start"), end.alias("end"), F.col("l_extendedprice").alias("nominal_power"), (F.col("l_extendedprice") * F.col("l_discount")).alias("avail_qty"),
     )
-    hours = spark.sql("SELECT explode(sequence(TIMESTAMP_NTZ'1995-05-01', TIMESTAMP_NTZ'1995-05-31 23:00:00', INTERVAL 1 HOUR)) AS t")
+    span = docs.agg(K.trunc("day", F.min("start")).alias("lo"), (K.trunc("day", F.max("end")) + F.expr("INTERVAL 47 HOURS")).alias("hi"))  # one row
+    hours = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("t"))
     parts = [f(docs, hours).withColumnRenamed("mw", n) for f, n in ((O.approximate, "approximate"), (O.persistence, "persistence"), (O.exact, "exact"))]
     out = J.full_outer(parts, ["t"])
     return out.select(K.stamp("t").alias("t"), *[r6(c).alias(c) for c in ("approximate", "persistence", "exact")])

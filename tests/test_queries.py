@@ -2,6 +2,8 @@
 
 import math
 import os
+from collections import defaultdict
+from datetime import datetime, timedelta
 
 import pytest
 
@@ -56,3 +58,43 @@ def test_entry(spark, sf):
 @pytest.mark.parametrize("name", ["M19_area_fill", "J12_outage_profiles", "M08_net_ensemble", "Q12_hourly_weights"])
 def test_rows_only_queries_run(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
+
+
+def test_outage_profiles_cover_the_whole_table(spark, sf, duck):
+    rows = duck.execute("SELECT l_orderkey, l_linenumber, l_shipdate, l_shipdate + to_hours(CAST(l_quantity AS BIGINT)), l_extendedprice * (1 - l_discount), l_returnflag = 'A', l_linestatus = 'F' FROM lineitem").fetchall()
+    hour, day, at_ten = timedelta(hours=1), timedelta(days=1), timedelta(hours=10)
+    versions = defaultdict(list)
+    for key, revision, start, *_ in rows:
+        versions[key].append((revision, start - 3 * day))
+    floor = lambda t: datetime(t.year, t.month, t.day)
+    parts = {c: defaultdict(float) for c in ("approximate", "persistence", "exact")}
+
+    def run(part, start, end, mw):
+        while start < end:
+            parts[part][start] += mw  # starts and ends are full hours here
+            start += hour
+
+    for key, revision, start, end, mw, inactive, planned in rows:
+        if inactive:
+            continue
+        days = [floor(start) + i * day for i in range((floor(end) - floor(start)).days + 2)]
+        if revision == max(r for r, _ in versions[key]):
+            begin = min(s for k, r, s, *_ in rows if k == key and r == revision)
+            for d in days:
+                if start <= d - day + at_ten < end and begin <= d - day + at_ten - hour:
+                    run("persistence", d, d + day, mw)
+                    if not planned:
+                        run("approximate", d, d + day, mw)
+            if planned:
+                run("approximate", start, end, mw)
+        for d in days:
+            known = [r for r, created in versions[key] if created <= d - day + at_ten]
+            if start - 3 * day <= d - day + at_ten and revision == max(known):
+                run("exact", max(start, d), min(end, d + day), mw)
+    got = {r.t: r for r in catalog.QUERIES["J12_outage_profiles"](spark, sf).collect()}
+    first, last = floor(min(r[2] for r in rows)), floor(max(r[3] for r in rows)) + 2 * day
+    assert set(got) == {str(first + i * hour) for i in range(int((last - first) / hour))}
+    for part, want in parts.items():
+        assert {str(t) for t in want} <= set(got)
+        for t, r in got.items():
+            assert r[part] == pytest.approx(want.get(datetime.fromisoformat(t), 0.0), abs=1e-4), (part, t)
