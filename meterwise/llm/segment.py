@@ -1,8 +1,9 @@
 """SentencePiece encoding by Gumbel top-k sampling without replacement, and decoding.
 
-A text's lattice has a node for each character and an edge for each vocabulary piece that fits. Pieces don't reach over
-a space, a line end or 32 characters of an unbroken run, so the lattice is a chain of small units, and each distinct
-unit of a run of texts is built once: edges by hashed look-up, the mass of all ways to the end by a backward pass.
+A text's lattice has a node for each character and an edge for each vocabulary piece that fits. It is cut only where no
+piece reaches over: before a run of spaces and around a line end (if the vocabulary has no piece across these), and inside
+units of more than 32 bytes where none that fits goes on. So it is a chain of mostly small units, and each distinct unit
+of a run of texts is built once: edges by hashed look-up, the log mass of all ways to the end by a backward pass.
 
 The k segmentations are the k largest of Gumbel-perturbed log probabilities over all segmentations. They are found by
 A* search from the top down: the root holds the maximum of all; along the best path each step leaves a frontier node,
@@ -20,6 +21,7 @@ text has one segmentation without pieces (logp 0). A literal U+2581 decodes to a
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -45,7 +47,9 @@ class Vocabulary:
         rank = {i: r for r, i in enumerate(sorted(normal, key=lambda i: (-sp.get_score(i), i)))}
         total = sum(1 / (r + 10) for r in rank.values())
         pieces = {i: sp.id_to_piece(i).encode() for i in normal}
-        usable = [i for i in normal if SPACE not in pieces[i][1:] and b"\n" not in pieces[i] and len(pieces[i]) <= RUN]
+        usable = [i for i in normal if pieces[i]]
+        self.over_space = any(SPACE in re.sub(b"^(?:%s)+" % SPACE, b"", x) for x in pieces.values())
+        self.over_line = any(b"\n" in x and len(x) > 1 for x in pieces.values())
         ids, raw = np.array(usable), [pieces[i] for i in usable]
         ends = np.cumsum([len(x) for x in raw])
         starts = ends - np.array([len(x) for x in raw])
@@ -71,6 +75,22 @@ class Vocabulary:
         self.out_size = np.array([len(x) for x in out])
         self.out_start = np.cumsum(self.out_size) - self.out_size
 
+    def matches(self, data: np.ndarray, at: np.ndarray, rem: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By length: (bytes, places among `at` where a piece of so many bytes fits, its number); rem: bytes left from each byte on."""
+        subs = Substrings(data)
+        for n in range(1, self.longest + 1):
+            at = at[rem[at] >= n]
+            h = subs.hash(at, at + n)
+            place = (h >> np.uint64(42)).astype(np.int64)
+            alive = self.begin_bits[place]
+            at, h, place = at[alive], h[alive], place[alive]
+            if not at.size:
+                break
+            maybe = np.flatnonzero(self.bits[place])
+            k = np.minimum(np.searchsorted(self.hashes, h[maybe]), self.hashes.size - 1)
+            hit = self.hashes[k] == h[maybe]
+            yield n, at[maybe[hit]], k[hit]
+
     def decode(self, ids: np.ndarray) -> bytes:
         raw = self.out_bytes[ranges(self.out_start[ids], self.out_size[ids])].tobytes().replace(SPACE, b" ")
         return raw[1:] if raw[:1] == b" " else raw
@@ -85,20 +105,37 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of the lattice's units in texts whose spaces are already signs; with the end of all at the end."""
+def units(data: np.ndarray, offsets: np.ndarray, v: Vocabulary | None = None) -> np.ndarray:
+    """Starts of the lattice's units in texts whose spaces are already signs; with the end of all at the end.
+
+    With a vocabulary no piece that fits spans a cut; without one, units end at spaces, line ends and each RUN bytes.
+    """
     start = np.zeros(data.size + 1, bool)
     start[offsets] = True
-    sign = np.flatnonzero(data == SPACE[0])
-    sign = sign[sign + 2 < data.size]
-    start[sign[(data[sign + 1] == SPACE[1]) & (data[sign + 2] == SPACE[2])]] = True
-    line = np.flatnonzero(data == 10)
-    start[line] = True
-    start[line + 1] = True
+    if v is None or not v.over_space:
+        sign = np.flatnonzero(data == SPACE[0])
+        sign = sign[sign + 2 < data.size]
+        sign = sign[(data[sign + 1] == SPACE[1]) & (data[sign + 2] == SPACE[2])]
+        # a run of spaces stays together, but not over the start of a text
+        start[sign if v is None else sign[np.diff(sign, prepend=-9) != 3]] = True
+    if v is None or not v.over_line:
+        line = np.flatnonzero(data == 10)
+        start[line] = True
+        start[line + 1] = True
     at = np.flatnonzero(start)
     size = np.diff(at)
     long = np.flatnonzero(size > RUN)
-    if long.size:
+    if long.size and v is not None:
+        place = ranges(at[long], size[long])
+        part, ends = data[place], np.cumsum(size[long])
+        head = part & 0xC0 != 0x80
+        turns = np.zeros(part.size + 1, np.int64)  # of pieces: one more that has begun before this byte, one that has ended
+        for n, a, _ in v.matches(part, np.flatnonzero(head), np.repeat(ends, size[long]) - np.arange(part.size)):
+            turns[a + 1] += 1
+            turns[a + n] -= 1
+        start[place[head & (np.cumsum(turns)[:-1] == 0)]] = True
+        at = np.flatnonzero(start)
+    elif long.size:
         more = (size[long] - 1) // RUN
         cut = np.repeat(at[long], more) + RUN * (ranges(np.zeros(long.size, np.int64), more) + 1)
         for _ in range(3):  # to the start of a character
@@ -117,24 +154,10 @@ class Lattice:
         pos = np.arange(data.size)
         rem = first[1:][unit] - pos
         head = data & 0xC0 != 0x80
-        subs = Substrings(data)
-        at = pos[head]
         frm, to, piece, p = [], [], [], []
         single = np.zeros(data.size, bool)
         width = np.where(data >= 0xF0, 4, np.where(data >= 0xE0, 3, np.where(data >= 0xC0, 2, 1)))
-        for n in range(1, v.longest + 1):
-            at = at[rem[at] >= n]
-            h = subs.hash(at, at + n)
-            place = (h >> np.uint64(42)).astype(np.int64)
-            alive = v.begin_bits[place]
-            at, h, place = at[alive], h[alive], place[alive]
-            if not at.size:
-                break
-            maybe = np.flatnonzero(v.bits[place])
-            k = np.searchsorted(v.hashes, h[maybe])
-            k = np.minimum(k, v.hashes.size - 1)
-            hit = v.hashes[k] == h[maybe]
-            a, k = at[maybe[hit]], k[hit]
+        for n, a, k in v.matches(data, pos[head], rem):
             frm.append(a)
             to.append(a + n)
             piece.append(v.ids[k])
@@ -167,18 +190,26 @@ class Lattice:
             slot = self.first[own] + degree[own]
             self.to[slot], self.piece[slot], self.at[slot], self.frm[slot], chance[slot] = t + unit[a], i, a, own, x
         s = self.frm
-        mass = self.end.astype(float)
-        depth = (self.at - first[:-1][unit[self.at]]).astype(np.uint8)
+        # logs, since the mass of a long unit is too small for a double; a depth's edges are in order of state
+        mass, chance = np.where(self.end, 0.0, -np.inf), np.log(chance)
+        depth = self.at - first[:-1][unit[self.at]]
+        depth = depth.astype(np.uint8 if size.max(initial=0) < 256 else np.uint16 if size.max() < 65_536 else np.int64)
         order = np.argsort(depth, kind="stable")
         cuts = np.concatenate([[0], np.cumsum(np.bincount(depth, minlength=1))])
         for d in range(len(cuts) - 2, -1, -1):
             e = order[cuts[d] : cuts[d + 1]]
-            np.add.at(mass, s[e], chance[e] * mass[self.to[e]])
-        self.q = chance * mass[self.to] / mass[s]
+            if e.size:
+                own = s[e]
+                begin = np.flatnonzero(np.diff(own, prepend=-1))
+                w = chance[e] + mass[self.to[e]]
+                top = np.maximum.reduceat(w, begin)
+                w = np.exp(w - np.repeat(top, np.diff(begin, append=e.size)))
+                mass[own[begin]] = top + np.log(np.add.reduceat(w, begin))
+        self.log_q = chance + mass[self.to] - mass[s]
+        self.q = np.exp(self.log_q)
         total = np.cumsum(self.q)
         self.cum = total - np.concatenate([[0.0], total])[self.first[s]]
         self.only = np.diff(self.first)[s] == 1
-        self.log_q = np.log(self.q)
 
     def draw(self, state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of a random way to the end from each state, one after the other, and the number of each."""
@@ -332,7 +363,7 @@ def encode(docs: DataFrame, path: str, k: int = 3, seed: int = 1, ids: bool = Tr
                 body = np.frombuffer(b"".join(signed), np.uint8)
                 lat, pieces = None, body
                 if body.size:
-                    cuts = units(body, at)
+                    cuts = units(body, at, v)
                     flat = pa.Array.from_buffers(pa.large_binary(), cuts.size - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(body)]).dictionary_encode()
                     inner = np.frombuffer(flat.dictionary.buffers()[1], np.int64)[: len(flat.dictionary) + 1]
                     pieces = np.frombuffer(flat.dictionary.buffers()[2], np.uint8)[: inner[-1]]

@@ -358,6 +358,24 @@ def test_segmentations_decode_and_repeat(spark, rows, docs, empty):
     assert {len(r.samples) for r in few} <= {1, 2, 3, 4, 5}
 
 
+def test_no_piece_spans_a_cut():
+    v = segment.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["a    b" + " " * 20 + "c  ", "https://example.net/international/organization?information=administration", "数据处理与国际化组织的信息管理系统以及相关的技术标准和发展", "x" * 70_000, "the cat\n\nsat", "\x01" * 400]
+    signed = [segment.SPACE + t.encode().replace(b" ", segment.SPACE) for t in texts]
+    body, at = np.frombuffer(b"".join(signed), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in signed])])
+    cuts = segment.units(body, at, v)
+    usable = set(v.ids.tolist())
+    raw, pieces, inside = body.tobytes(), {x for x in (v.out_bytes[a : a + n].tobytes() for i, (a, n) in enumerate(zip(v.out_start, v.out_size, strict=True)) if i in usable)}, set(at.tolist())
+    for c in cuts.tolist():
+        lo, hi = at[max(0, np.searchsorted(at, c, "right") - 1)], at[min(len(at) - 1, np.searchsorted(at, c, "right"))]
+        assert c in inside or not any(raw[a:b] in pieces for a in range(max(lo, c - v.longest), c) for b in range(c + 1, min(hi, a + v.longest) + 1)), c
+    assert {(segment.SPACE * n) in pieces for n in (2, 4, 8, 16)} == {True}
+    lat = segment.Lattice(v, body, cuts)
+    assert np.isfinite(lat.log_q[lat.q > 0]).all() and np.allclose(np.add.reduceat(lat.q, lat.first[:-1][np.diff(lat.first) > 0]), 1)
+    ids = {i for i, n in zip(v.ids, v.out_size[v.ids], strict=True) if n > 3 and set(v.out_bytes[v.out_start[i] : v.out_start[i] + n].tobytes().decode("utf-8", "replace")) == {"▁"}}
+    assert len(ids) > 10 and ids & set(lat.piece.tolist())
+
+
 def test_units_cut_long_runs_at_characters():
     body = np.frombuffer("é".encode() * 100 + b"\nab", np.uint8)
     cuts = segment.units(body, np.array([0, body.size]))
