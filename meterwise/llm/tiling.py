@@ -111,7 +111,7 @@ class Items:
         self.bits[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
 
     def leaks(self, h: np.ndarray, first: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-        """(text, item, coverage) of the texts whose seeds could reach the threshold, and of the best below it."""
+        """(text, item, coverage by tiles) of texts and items with common seeds; below the threshold the seeds' own, never less."""
         text, pos, seed = [], [], []
         for k in self.widths:
             r = rolling(h, k) + np.uint64(k)
@@ -210,7 +210,7 @@ def _score(items: Items, threshold: float):
         for batch in batches:
             leaks: list[set] = [set() for _ in range(batch.num_rows)]
             best: list[tuple[float, int | None]] = [(0.0, None)] * batch.num_rows
-            for row, name, share in _found(items, batch, threshold):
+            for row, name, share in _found(items, batch, 0.0):  # every pair is tiled
                 if share >= threshold:
                     leaks[row].add(name)
                 top, by = best[row]

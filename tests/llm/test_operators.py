@@ -376,6 +376,13 @@ def test_no_piece_spans_a_cut():
     assert len(ids) > 10 and ids & set(lat.piece.tolist())
 
 
+def test_coverage_below_the_threshold_is_by_tiles(spark):
+    phrase, rest = "one two three four five six", " ".join(f"w{i}" for i in range(48))
+    item = spark.createDataFrame([(7, f"{phrase} x {phrase} y {rest}")], "item_id long, text string")
+    got = tiling.scores(spark.createDataFrame([(1, f"a b {phrase} c d")], DOCS), item).first()
+    assert got.leaks == [] and got.item_id == 7 and got.coverage == pytest.approx(6 / 62)  # the phrase is there once
+
+
 def test_units_cut_long_runs_at_characters():
     body = np.frombuffer("é".encode() * 100 + b"\nab", np.uint8)
     cuts = segment.units(body, np.array([0, body.size]))
