@@ -1,18 +1,22 @@
 """Benchmark decontamination by greedy string tiling.
 
-Tokens are runs of letters and digits, lower-cased. Rolling Karp-Rabin hashes of five tokens are the seeds that a
-document shares with a test item. Along each diagonal, neighbouring seeds make a maximal match; the longest match of
-unmarked tokens is marked again and again until none of five tokens is left. The tiles don't overlap in the document
-or the item, and their order doesn't matter, so reordered passages are found too. A document leaks an item if the
-tiles cover at least `threshold` of the item's tokens.
-
-The items come in blocks of bounded size (`block_bytes` of text), each sent to all tasks; documents are read once for
-each block and never shuffled. An item with fewer than five tokens is matched as a whole.
-
-Result for every row of documents: doc_id, leaks (item ids, ascending), coverage and item_id of the best covered item
-(ties: the least item id; null and 0.0 if no seed is shared).
-
-Nulls: null and empty texts, and items without tokens or with a null id, leak nothing.
+Tokens are runs of letters and digits, lower-cased. Rolling Karp-Rabin hashes of five tokens are the seeds of a text.
+Spark joins the seeds of documents with those of test items; the matches of a pair meet in one row. Along each diagonal,
+neighbouring seeds make a maximal match; the longest match of unmarked tokens is marked again and again until none of
+five tokens is left (of equally long ones the first in the document, then in the item). The tiles don't overlap in the
+document or the item, and their order doesn't matter, so reordered passages are found too. A document leaks an item if
+the tiles cover at least `threshold` of the item's tokens. An item with fewer than five tokens is matched as a whole.
+
+Documents are read once, whatever the size of the benchmark: a Bloom filter of the items' seeds (16 bits a seed, at most
+`BLOOM_BITS`) leaves those positions that may have a partner, and each distinct text is judged once. The items' seeds are
+broadcast where their counted size is at most `BROADCAST_BYTES`; beyond, both sides are dealt by (seed, salt).
+
+Result for every row of documents (repeated rows and null ids included, each with a row of its own): doc_id, leaks (item
+ids, ascending), coverage and item_id of the best covered item (ties: the least item id; 0.0 and null if no seed is
+shared).
+
+Nulls: null and empty texts, and items without tokens or with a null id, leak nothing. Items that repeat count once;
+of items with one id and several texts each is tiled, and the best counts.
 """
 
 from __future__ import annotations
@@ -22,14 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm.common import Substrings, cut, documents, mix, ranges, text_chunks
+from meterwise.llm.common import Substrings, cut, documents, freeing, mix, text_chunks
 
 LEAST = 5
 THRESHOLD = 0.5
-BLOCK_BYTES = 4 << 20
+BLOOM_BITS = 1 << 27
+BROADCAST_BYTES = 16 << 20
+SALT = 16
 INSIDE = np.zeros(256, bool)
 INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -86,151 +92,137 @@ def tile(matches: list[tuple[int, int, int]], n_doc: int, n_item: int, least: in
     return out
 
 
-class Items:
-    """A block of test items with its seeds."""
-
-    def __init__(self, ids: list, texts: list[str], least: int = LEAST):
-        offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64)
-        h, first = tokens(offsets, np.frombuffer("".join(texts).encode(), np.uint8))
-        self.ids, self.least, self.size = ids, least, np.diff(first)
-        seeds, item, at, width = [], [], [], []
-        for i, n in enumerate(self.size):
-            k = min(least, int(n))
-            if k:
-                s = rolling(h[first[i] : first[i + 1]], k) + np.uint64(k)
-                seeds.append(s)
-                item.append(np.full(s.size, i))
-                at.append(np.arange(s.size))
-                width.append(np.full(s.size, k))
-        join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        seeds, self.item, self.at, width = join(seeds, np.uint64), join(item, np.int64), join(at, np.int64), join(width, np.int64)
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.item, self.at = seeds[order], self.item[order], self.at[order]
-        self.widths = sorted(set(width.tolist()))
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
-
-    def leaks(self, h: np.ndarray, first: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-        """(text, item, coverage by tiles) of texts and items with common seeds; below the threshold the seeds' own, never less."""
-        text, pos, seed = [], [], []
-        for k in self.widths:
-            r = rolling(h, k) + np.uint64(k)
-            hit = np.flatnonzero(self.bits[(r >> np.uint64(44)).astype(np.int64)])
-            at = np.searchsorted(self.seeds, r[hit])
-            hit = hit[self.seeds[np.minimum(at, self.seeds.size - 1)] == r[hit]]
-            own = np.searchsorted(first, hit, "right") - 1
-            keep = hit + k <= first[own + 1]
-            text.append(own[keep])
-            pos.append(hit[keep] - first[own[keep]])
-            seed.append(r[hit[keep]])
-        if not text:
-            return []
-        text, pos, seed = np.concatenate(text), np.concatenate(pos), np.concatenate(seed)
-        lo, hi = np.searchsorted(self.seeds, seed, "left"), np.searchsorted(self.seeds, seed, "right")
-        e = ranges(lo, hi - lo)
-        text, pos = np.repeat(text, hi - lo), np.repeat(pos, hi - lo)
-        item, at = self.item[e], self.at[e]
-        order = np.lexsort((pos, pos - at, item, text))
-        text, pos, item, at = text[order], pos[order], item[order], at[order]
-        cuts = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]), [True]])) if text.size else np.zeros(1, int)
-        out = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            p, q, i, n = pos[a:b], at[a:b], int(item[a]), int(self.size[item[a]])
-            k = min(self.least, n)
-            # a run of seeds on a diagonal is one match
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(p - q) != 0) | (np.diff(p) != 1)]))
-            length = np.diff(np.append(new, p.size)) + k - 1
-            # no tiling covers more than the seeds do
-            bound = np.zeros(n + 1, np.int64)
-            np.add.at(bound, q[new], 1)
-            np.add.at(bound, q[new] + length, -1)
-            covered = int((np.cumsum(bound[:-1]) > 0).sum())
-            if covered >= threshold * n and new.size > 1:
-                base = int(p.min())
-                tiles = tile(list(zip(length.tolist(), (p[new] - base).tolist(), q[new].tolist(), strict=True)), int(p.max()) - base + k, n, k)
-                covered = sum(x[0] for x in tiles)
-            out.append((int(text[a]), i, covered / n))
-        return out
-
-
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[list, list[str]]]:
-    ids, texts, size = [], [], 0
-    for row in items.toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1])
-        size += len(row[1])
-        if size >= block_bytes:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
-def scores(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, leaks, coverage and item_id of every row of documents; items: item_id, text."""
-    rows = documents(docs)
-    out = None
-    for ids, texts in _blocks(_items(items), block_bytes):
-        part = rows.mapInArrow(_score(Items(ids, texts, least), threshold), SCORED)
-        out = part if out is None else cut(out).unionByName(part)
-        several = out is not part
-    if out is None:
-        return rows.select("doc_id", F.array().cast("array<long>").alias("leaks"), F.lit(0.0).alias("coverage"), F.lit(None).cast("long").alias("item_id"))
-    if several:
-        # one row for each document again; repeated rows count once
-        best = F.max_by(F.struct("coverage", "item_id"), F.struct("coverage", -F.col("item_id")))
-        out = out.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("leaks")))).alias("leaks"), best.alias("b"))
-        out = out.select("doc_id", "leaks", "b.coverage", "b.item_id")
-    return out
+def tiled(pos: np.ndarray, at: np.ndarray, k: int, n_item: int) -> int:
+    """Item tokens covered by the greedy tiles of seeds of k tokens at document positions `pos` and item positions `at`."""
+    order = np.lexsort((pos, pos - at))
+    p, q = pos[order], at[order]
+    # a run of seeds on a diagonal is one match
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(p - q) != 0) | (np.diff(p) != 1)]))
+    length = np.diff(np.append(new, p.size)) + k - 1
+    if new.size == 1:
+        return int(length[0])
+    base = int(p.min())
+    return sum(x[0] for x in tile(list(zip(length.tolist(), (p[new] - base).tolist(), q[new].tolist(), strict=True)), int(p.max()) - base + k, n_item, k))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns, that leak no item."""
-    for ids, texts in _blocks(_items(items), block_bytes):
-        docs = docs.mapInArrow(_clean(Items(ids, texts, least), threshold), docs.schema)
-    return docs
+SEEDS = "seed long, item_id long, version long, at int, k int, n_item int"
+
 
+def item_seeds(items: DataFrame, least: int = LEAST) -> DataFrame:
+    """The seeds of the test items: hash, item (id and text hash), place in the item, width, tokens of the item."""
 
-def _items(items: DataFrame) -> DataFrame:
-    return items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null").distinct().orderBy("item_id", "text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, offsets, data in text_chunks(batch):
+                h, first = tokens(offsets, data)
+                size = np.diff(first)
+                k = np.minimum(size, least)
+                own = [(rolling(h[first[i] : first[i + 1]], int(k[i])) + np.uint64(k[i])) if k[i] else np.zeros(0, np.uint64) for i in range(hi - lo)]
+                count = np.array([x.size for x in own])
+                row = np.repeat(np.arange(hi - lo), count)
+                at = np.arange(row.size) - np.repeat(np.cumsum(count) - count, count)
+                yield pa.RecordBatch.from_pydict({
+                    "seed": pa.array(np.concatenate(own).view(np.int64)), "item_id": batch.column("item_id").slice(lo, hi - lo).take(pa.array(row)), "version": batch.column("version").slice(lo, hi - lo).take(pa.array(row)),
+                    "at": pa.array(at, pa.int32()), "k": pa.array(k[row], pa.int32()), "n_item": pa.array(size[row], pa.int32()),
+                })
 
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("item_id is not null").withColumn("version", F.xxhash64("text"))
+    return rows.dropDuplicates(["item_id", "version"]).mapInArrow(freeing(run), SEEDS)
 
-def _found(items: Items, batch: pa.RecordBatch, threshold: float) -> Iterator[tuple[int, int, float]]:
-    for lo, _, offsets, data in text_chunks(batch):
-        h, first = tokens(offsets, data)
-        for text, i, share in items.leaks(h, first, threshold):
-            yield lo + text, items.ids[i], share
 
+def _bits(seeds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(size - 1)
+    return (seeds & mask).astype(np.int64), ((seeds >> np.uint64(32)) & mask).astype(np.int64)
 
-SCORED = "doc_id long, leaks array<long>, coverage double, item_id long"
 
+def bloom(seeds: DataFrame, count: int) -> np.ndarray:
+    """A Bloom filter of two bits a seed, as bits packed in bytes; Spark sets them, words of 64 reach the driver."""
+    size = min(BLOOM_BITS, max(1 << 12, 1 << (16 * count).bit_length()))
 
-def _score(items: Items, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaks: list[set] = [set() for _ in range(batch.num_rows)]
-            best: list[tuple[float, int | None]] = [(0.0, None)] * batch.num_rows
-            for row, name, share in _found(items, batch, 0.0):  # every pair is tiled
-                if share >= threshold:
-                    leaks[row].add(name)
-                top, by = best[row]
-                if share > top or (share == top and by is not None and name < by):
-                    best[row] = (share, name)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "leaks": pa.array([sorted(x) for x in leaks], pa.list_(pa.int64())),
-                "coverage": pa.array([b[0] for b in best], pa.float64()), "item_id": pa.array([b[1] for b in best], pa.int64()),
-            })
-
-    return run
-
-
-def _clean(items: Items, threshold: float):
+            bit = np.unique(np.concatenate(_bits(batch.column("seed").to_numpy().view(np.uint64), size)))
+            yield pa.RecordBatch.from_pydict({"word": pa.array(bit >> 6), "bits": pa.array((np.uint64(1) << (bit & 63).astype(np.uint64)).view(np.int64))})
+
+    words = seeds.select("seed").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # BLOOM_BITS / 64 rows at most
+    out = np.zeros(size // 64, "<u8")
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out.view(np.uint8)
+
+
+def _meet(spark: SparkSession, docs: DataFrame, items: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key) of all documents, and (text_key, item_id, coverage) of each text and item with a common seed."""
+    seeds = cut(item_seeds(items, least))
+    count, widths = seeds.agg(F.count("*"), F.array_sort(F.collect_set("k"))).first()
+    filled = spark.sparkContext.broadcast((bloom(seeds, count), widths))  # BLOOM_BITS / 8 bytes at most
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, widths = filled.value
+        for batch in batches:
+            for lo, hi, offsets, data in text_chunks(batch):
+                h, first = tokens(offsets, data)
+                seed, pos, text = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for k in widths:
+                    r = rolling(h, k) + np.uint64(k)
+                    hit = np.arange(r.size)
+                    for place in _bits(r, bits.size * 8):
+                        hit = hit[(bits[place[hit] >> 3] >> (place[hit] & 7).astype(np.uint8)) & 1 > 0]
+                    own = np.searchsorted(first, hit, "right") - 1
+                    keep = hit + k <= first[own + 1]
+                    seed.append(r[hit[keep]])
+                    text.append(own[keep])
+                    pos.append(hit[keep] - first[own[keep]])
+                seed, pos, text = np.concatenate(seed), np.concatenate(pos), np.concatenate(text)
+                order = np.argsort(text, kind="stable")
+                ends = pa.array(np.searchsorted(text[order], np.arange(hi - lo + 1)), pa.int32())
+                hits = pa.StructArray.from_arrays([pa.array(seed[order].view(np.int64)), pa.array(pos[order], pa.int32())], ["seed", "pos"])
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "text_key": batch.column("text_key").slice(lo, hi - lo), "hits": pa.ListArray.from_arrays(ends, hits)})
+
+    rows = documents(docs).withColumn("text_key", F.unhex(F.sha2("text", 256)))
+    rows = cut(rows.mapInArrow(freeing(run), "doc_id long, text_key binary, hits array<struct<seed:long,pos:int>>"))
+    # equal texts have equal hits, so one of them does; they combine before the shuffle
+    texts = rows.where(F.size("hits") > 0).groupBy("text_key").agg(F.any_value("hits").alias("hits"))
+    found = texts.select("text_key", F.explode("hits").alias("h")).select("text_key", "h.seed", "h.pos")
+    if count * 64 <= BROADCAST_BYTES:
+        met = found.join(F.broadcast(seeds), "seed")
+    else:
+        salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        met = found.withColumn("salt", F.pmod(F.xxhash64("text_key"), F.lit(SALT)).cast("int")).join(salted, ["seed", "salt"])
+    pairs = met.groupBy("text_key", "item_id", "version", "k", "n_item").agg(F.collect_list(F.struct("pos", "at")).alias("m"))
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            filled = pa.record_batch({"text": batch.column("text").fill_null("")})
-            for row, _, share in _found(items, filled, threshold):
-                keep[row] &= share < threshold
-            yield batch.filter(pa.array(keep))
+            m = batch.column("m")
+            ends, flat = m.offsets.to_numpy(), m.values
+            pos, at = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64), flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            k, n = batch.column("k").to_numpy(), batch.column("n_item").to_numpy()
+            share = [tiled(pos[a:b], at[a:b], int(k[i]), int(n[i])) / int(n[i]) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
+            yield pa.RecordBatch.from_pydict({"text_key": batch.column("text_key"), "item_id": batch.column("item_id"), "coverage": pa.array(share, pa.float64())})
 
-    return run
+    return rows, pairs.mapInArrow(freeing(cover), "text_key binary, item_id long, coverage double")
+
+
+def scores(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
+    """doc_id, leaks, coverage and item_id of every row of documents; items: item_id, text."""
+    rows, covered = _meet(docs.sparkSession, docs, items, least)
+    best = F.max_by(F.struct("coverage", "item_id"), F.struct("coverage", -F.col("item_id")))
+    leaks = F.array_sort(F.collect_set(F.when(F.col("coverage") >= threshold, F.col("item_id"))))
+    judged = covered.groupBy("text_key").agg(leaks.alias("leaks"), best.alias("b"))
+    # only texts with a common seed have a judgement; the others don't wait for one
+    some = rows.where(F.size("hits") > 0).select("doc_id", "text_key").join(judged, "text_key", "left")
+    none = F.array().cast("array<long>")
+    out = some.select("doc_id", F.coalesce("leaks", none).alias("leaks"), F.coalesce("b.coverage", F.lit(0.0)).alias("coverage"), F.col("b.item_id").alias("item_id"))
+    return out.unionByName(rows.where(F.size("hits") == 0).select("doc_id", none.alias("leaks"), F.lit(0.0).alias("coverage"), F.lit(None).cast("long").alias("item_id")))
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
+    """The rows of docs, all columns, that leak no item."""
+    _, covered = _meet(docs.sparkSession, docs, items, least)
+    leaking = cut(covered.where(F.col("coverage") >= threshold).select("text_key").distinct())
+    key = "text_key"
+    while key in docs.columns:
+        key += "_"
+    leaking = leaking.withColumnRenamed("text_key", key)
+    if leaking.count() * 64 <= BROADCAST_BYTES:
+        leaking = F.broadcast(leaking)
+    return docs.withColumn(key, F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))).join(leaking, key, "left_anti").drop(key)

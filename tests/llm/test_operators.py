@@ -141,13 +141,58 @@ def test_tiling_finds_reordered_passages(spark, empty):
     got = {r.doc_id: (r.leaks, round(r.coverage, 6)) for r in tiling.scores(spark.createDataFrame(list(enumerate(texts)), DOCS), items).collect()}
     assert got[0] == ([1], 1.0) and got[1] == ([], round(1 / 3, 6)) and got[2] == ([2], 1.0)
     assert got[3] == got[4] == got[5] == ([], 0.0)
-    blocks = {r.doc_id: r.leaks for r in tiling.scores(spark.createDataFrame(list(enumerate(texts)), DOCS), items, block_bytes=1).collect()}
-    assert blocks == {k: v[0] for k, v in got.items()}
     kept = tiling.without_leaks(spark.createDataFrame(list(enumerate(texts)), DOCS), items)
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
     assert tiling.scores(empty, items).count() == 0 and tiling.scores(spark.createDataFrame([(1, "a")], DOCS), items.limit(0)).count() == 1
 
 
+def brute_coverage(doc, item, least=5):
+    """Item tokens covered: the longest common run of unmarked tokens is marked until none of `least` is left."""
+    k, marked_doc, marked_item, covered = min(least, len(item)), set(), set(), 0
+    while item:
+        best = (0, 0, 0)
+        for p in range(len(doc)):
+            for q in range(len(item)):
+                n = 0
+                while p + n < len(doc) and q + n < len(item) and doc[p + n] == item[q + n] and p + n not in marked_doc and q + n not in marked_item:
+                    n += 1
+                if n > best[0]:
+                    best = (n, p, q)
+        n, p, q = best
+        if n < k:
+            return covered / len(item)
+        marked_doc |= set(range(p, p + n))
+        marked_item |= set(range(q, q + n))
+        covered += n
+    return 0.0
+
+
+@pytest.mark.parametrize("broadcast", [1 << 24, 0])
+def test_tiling_is_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(tiling, "BROADCAST_BYTES", broadcast)
+    rng = random.Random(11)
+    words = lambda n: [rng.choice("abcdefgh") for _ in range(n)]
+    items = [(i, words(rng.choice([2, 4, 9, 25, 40]))) for i in range(12)] + [(3, words(12)), (20, ["zz"] * 12)]
+    texts = []
+    for i in range(24):
+        parts = [rng.choice(items)[1] for _ in range(rng.randint(0, 3))]
+        cuts = [p[rng.randint(0, 5) :] for p in parts]
+        texts.append([w for c in cuts for w in [*c, *words(3)]] or words(6))
+    texts.append(["zz"] * 30)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(1, " ".join(texts[1])), (None, " ".join(texts[2])), (None, " ".join(texts[3])), (50, None), (51, "")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], DOCS + ", text_key int, seed int")
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(0, " ".join(items[0][1])), (None, "a b c d e f")], "item_id long, text string")
+    want = []
+    for i, t in rows:
+        cover = [(brute_coverage((t or "").split(), w), -k) for k, w in items]
+        top, by = max(cover)
+        want.append((i, sorted({-k for c, k in cover if c >= 0.5}), round(top, 9), -by if top else None))
+    got = [(r.doc_id, r.leaks, round(r.coverage, 9), r.item_id) for r in tiling.scores(docs, table).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    kept = tiling.without_leaks(docs, table)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, leaks, *_ in want if not leaks)
+
+
 def test_greedy_tiles_take_the_longest_first():
     assert sorted(tiling.tile([(6, 0, 0), (9, 3, 10), (5, 20, 12)], 40, 40, 3)) == [(3, 0, 0), (9, 3, 10)]
 
