@@ -16,6 +16,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -119,19 +120,26 @@ class Words:
         self.old: dict[str, bytes] = {}
 
     def ids(self, words: list[str]) -> list[bytes]:
-        young, old = self.young, self.old
+        young = self.young
+        out = list(map(young.get, words))
+        unseen = [i for i, x in enumerate(out) if x is None]
+        older = list(map(self.old.get, map(words.__getitem__, unseen)))
         missing = []
-        for w in words:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    missing.append(w)
+        for i, x in zip(unseen, older, strict=True):
+            if x is None:
+                missing.append(i)
+            else:
+                out[i] = young[words[i]] = x
         for lo in range(0, len(missing), 2000):
-            run = missing[lo : lo + 2000]
-            for w, e in zip(run, self.tokenizer.encode_batch_fast(run, add_special_tokens=False), strict=True):
-                young[w] = np.array(e.ids, "<u4").tobytes()
-        out = [young[w] for w in words]
+            at = missing[lo : lo + 2000]
+            run = list(map(words.__getitem__, at))
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
+            ends = np.cumsum(list(map(len, ids))) * 4
+            raw = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+            begin = 0
+            for i, w, end in zip(at, run, ends.tolist(), strict=True):
+                out[i] = young[w] = raw[begin:end]
+                begin = end
         if len(young) > self.most:
             self.old, self.young = young, {}
         return out
@@ -161,7 +169,8 @@ def _pieces(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     cut[1:-1] |= (last[:-1] & sign[1:]) | (sign[:-1] & first[1:])
     keep = ~white
     before = np.concatenate([[0], np.cumsum(keep)])
-    edges = np.unique(before[np.flatnonzero(cut)])
+    edges = before[np.flatnonzero(cut)]  # in order; cuts around white space meet
+    edges = edges[np.diff(edges, prepend=-1) > 0]
     body = data[keep]
     if not (data == 60).any():  # without <, no special token of the vocabulary can be met by lowering
         body = LOWER[body]
@@ -174,7 +183,7 @@ def encode_texts(offsets: np.ndarray, data: np.ndarray, path: str) -> tuple[np.n
     flat = pa.Array.from_buffers(pa.large_string(), edges.size - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(body)]) if edges.size > 1 else pa.array([], pa.large_string())
     coded = flat.dictionary_encode()
     own = words_of(path).ids(coded.dictionary.to_pylist())
-    size = np.fromiter((len(x) // 4 for x in own), np.int64, len(own))
+    size = np.fromiter(map(len, own), np.int64, len(own)) // 4
     ids = np.frombuffer(b"".join(own), "<u4")
     code = coded.indices.to_numpy(zero_copy_only=False)
     counts = size[code]
@@ -210,7 +219,8 @@ def encode(docs: DataFrame, path: str, end: int = END, block_bytes: int = 1 << 2
 
 
 def write(docs: DataFrame, folder: str, path: str, end: int = END) -> None:
-    encode(docs, path, end).write.mode("errorifexists").option("compression", "zstd").parquet(folder)
+    """The blocks as Parquet, not compressed, so that a code is read where it stands without decoding a page."""
+    encode(docs, path, end).write.mode("errorifexists").option("compression", "uncompressed").parquet(folder)
 
 
 def read(blocks: DataFrame) -> DataFrame:
@@ -229,21 +239,23 @@ def read(blocks: DataFrame) -> DataFrame:
                     "first": first[:-1], "n_tokens": np.diff(first), "ids_crc32": pa.array([zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(first[:-1], first[1:], strict=True)], pa.int64()),
                 })
 
+    rows = blocks.mapInArrow(run, "part int, seq int, doc_id long, first long, n_tokens long, ids_crc32 long")
+    return rows.join(_starts(blocks).drop("n_tokens"), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _starts(blocks: DataFrame) -> DataFrame:
+    """part, seq, n_tokens and base (ids in all blocks before) of each block."""
     sizes = blocks.select("part", "seq", "n_tokens")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # one row for each part of the file: as many as the job has partitions, whatever the rows
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    inside = sizes.select("part", "seq", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")).alias("here"))
-    starts = inside.join(parts, "part").select("part", "seq", (F.col("before") + F.col("here")).alias("base"))
-    rows = blocks.mapInArrow(run, "part int, seq int, doc_id long, first long, n_tokens long, ids_crc32 long")
-    return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    inside = sizes.select("part", "seq", "n_tokens", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")).alias("here"))
+    return inside.join(parts, "part").select("part", "seq", "n_tokens", (F.col("before") + F.col("here")).alias("base"))
 
 
 def token(blocks: DataFrame, position: int) -> int | None:
     """The id at a position of the whole file, from its block alone."""
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    at = blocks.select("part", "seq", "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    hit = at.where((F.col("base") <= position) & (position < F.col("base") + F.col("n_tokens"))).first()
+    hit = _starts(blocks).where((F.col("base") <= position) & (position < F.col("base") + F.col("n_tokens"))).first()
     if hit is None:
         return None
     row = blocks.where((F.col("part") == hit["part"]) & (F.col("seq") == hit["seq"])).select("codes").first()
