@@ -226,7 +226,7 @@ def test_chain_is_exact():
     rng = np.random.default_rng(2)
     unary, pair = rng.uniform(0, 1, (4, 3)), rng.uniform(0, 1, (3, 3))
     cost = lambda k: sum(unary[h, k[h]] for h in range(4)) + sum(pair[k[h], k[h + 1]] for h in range(3))
-    assert cost(mix.chain(unary, pair)) == pytest.approx(min(map(cost, itertools.product(range(3), repeat=4))))
+    assert cost(mix.smoothest(unary, pair)) == pytest.approx(min(map(cost, itertools.product(range(3), repeat=4))))
 
 
 def test_learned_weights_prefer_the_better_model(spark):
@@ -241,9 +241,24 @@ def test_learned_weights_prefer_the_better_model(spark):
     assert len(got) == 24 and all(r.w > 0.8 for r in got)
     x = rng.normal(0, 1, (400, 2))
     y = np.where(x[:, 0] > 0, 50.0, 80.0)
-    theta, *_ = mix.logistic_weight(x, np.tile(normal_levels(50, 2), (400, 1)), np.tile(normal_levels(80, 2), (400, 1)), y, ridge=0.01)
-    assert theta[1] > abs(theta[2]) and theta[1] > 0.5
-    assert mix.served_weight(10, np.array([0.9]))[1] and not mix.served_weight(60, np.array([0.9]))[1]
+    fit = mix.Logistic(x, np.tile(normal_levels(50, 2), (400, 1)), np.tile(normal_levels(80, 2), (400, 1)), y, ridge=0.01)
+    assert fit.theta[1] > abs(fit.theta[2]) and fit.theta[1] > 0.5
+    # no point nearby is better, and the slope is that of differences
+    least, _ = fit.value(fit.theta)
+    assert all(fit.value(fit.theta + rng.normal(0, 0.05, 3))[0] > least - 1e-6 for _ in range(200))
+    at = np.array([0.3, -0.2, 0.1])
+    slope = [(fit.value(at + e)[0] - fit.value(at - e)[0]) / 2e-4 for e in np.eye(3) * 1e-4]
+    assert fit.value(at)[1] == pytest.approx(slope, abs=1e-3)
+
+
+def test_pinball_of_the_logistic_weight_is_the_plain_one():
+    rng = np.random.default_rng(8)
+    a, b, y, x = np.sort(rng.normal(0, 1, (40, 99))), np.sort(rng.normal(1, 2, (40, 99))), rng.normal(0, 2, 40), rng.normal(0, 1, (40, 3))
+    fit = mix.Logistic(x, a, b, y)
+    theta = rng.normal(0, 1, 4)
+    w = 1 / (1 + np.exp(-fit.standard(x) @ theta))
+    e = y[:, None] - (b + w[:, None] * (a - b))
+    assert fit.value(theta)[0] == pytest.approx(np.maximum(mix.LEVEL * e, (mix.LEVEL - 1) * e).mean() + 0.1 * theta @ theta)
 
 
 def test_monotone_regrid():
@@ -275,10 +290,35 @@ def test_lear_does_not_read_the_target_day_nor_the_last_hours(spark):
     hidden[31] = 1e6
     assert len(got) == 24 and np.abs(np.array(got) - load[31]).mean() < np.abs(load[24] - load[31]).mean()
     assert run(hidden) == got
-    x = lear.design(price, load[:, :, None], np.zeros(32, int))
     moved = price.copy()
-    moved[30, 22:] = 1e9
-    assert (lear.design(moved, load[:, :, None], np.zeros(32, int))[-1] == x[-1]).all()
+    moved[30, 22:] = 1e9  # hours 22 and 23 of the day before are targets of the fit, but no feature
+
+    def last_x(price):
+        rows = [("s", first + timedelta(days=d), price[d].tolist(), [load[d].tolist()]) for d in range(32)]
+        days = frame(spark, rows, "series string, day date, price array<double>, exog array<array<double>>")
+        return {r.day: r.x for r in lear.features(days).collect()}
+
+    x, y = last_x(price), last_x(moved)
+    assert x[first + timedelta(days=31)] == y[first + timedelta(days=31)] and len(x[first + timedelta(days=31)]) == 22 + 3 * 24 + 24 + 22 + 24
+    assert x[first + timedelta(days=6)] is None and x[first + timedelta(days=8)][:22] == price[7][:22].tolist()
+
+
+def test_hinges_have_the_window_s_knots(spark):
+    rng = np.random.default_rng(9)
+    first = date(2024, 1, 1)
+    load, res = rng.normal(50, 10, (20, 24)), rng.normal(20, 5, (20, 24))
+    rows = [("s", first + timedelta(days=d), load[d].tolist(), [load[d].tolist(), res[d].tolist()]) for d in range(20)]
+    days = frame(spark, rows, "series string, day date, price array<double>, exog array<array<double>>")
+    target = days.where(F.col("day") == first + timedelta(days=19)).select("series", "day")
+    k = lear.knots(days, lear.windows(target, 12), 0.1, 0.9)
+    got = days.join(k.withColumnRenamed("target", "day"), ["series", "day"]).select("lo", "hi", "mad", lear.hinges().alias("h")).first()
+    v = (load - res)[7:19]
+    lo, hi = np.quantile(v, [0.1, 0.9])
+    mad = np.median(np.abs(v - np.median(v))) / 0.6745
+    assert (got.lo, got.hi, got.mad) == pytest.approx((lo, hi, mad))
+    own = (load - res)[19]
+    assert got.h == pytest.approx([*np.maximum(lo - own, 0) / mad, *np.maximum(own - hi, 0) / mad])
+    assert lear.rolling(days, target, window=12, hinge=(0.1, 0.9)).count() == 24
 
 
 def test_networks_are_calibrated_enough(spark):
