@@ -81,13 +81,17 @@ def time_lag(df: DataFrame, cols: dict[str, str], interval: str, keys: list[str]
 
 def keep_last(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The row with the largest `order` for each key; the order must be total."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return _one(df, keys, F.max_by, order)
 
 
 def keep_first(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return _one(df, keys, F.min_by, order)
+
+
+def _one(df: DataFrame, keys: list[str], best, order: tuple[str, ...]) -> DataFrame:
+    """An aggregate, so rows combine before the shuffle; null sorts below all."""
+    row = best(F.struct(*[F.col(c) for c in df.columns]), F.struct(*[F.col(c) for c in order])).alias("_row")
+    return df.groupBy(*keys).agg(row).select("_row.*")
 
 
 def islands(df: DataFrame, keys: list[str], day: str = "day") -> DataFrame:
@@ -104,9 +108,14 @@ def whole_days(df: DataFrame, keys: list[str], cols: list[str], steps: int = 24)
     return df.withColumn("_n", F.count_if(full).over(w)).where(F.col("_n") == steps).drop("_n")
 
 
-def trailing(df: DataFrame, value: Column, keys: list[str], first: int, last: int, day: str = "day") -> Column:
+def steps_per_day(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, steps: a day by the least spacing of t; 24 where there are fewer than two rows."""
+    gap = F.timestamp_diff("SECOND", F.lag("t").over(_rows(keys)), F.col("t"))
+    return df.select(*keys, gap.alias("_s")).groupBy(*keys).agg(F.coalesce(F.floor(86_400 / F.min("_s")), F.lit(24)).cast("long").alias("steps"))
+
+
+def trailing(value: Column, keys: list[str], first: int, last: int, day: str = "day") -> Column:
     """An aggregate over the days from `first` to `last` days before, by calendar."""
-    del df
     w = Window.partitionBy(*keys).orderBy(F.datediff(F.col(day), F.lit("1970-01-01"))).rangeBetween(-first, -last)
     return value.over(w)
 
@@ -123,6 +132,27 @@ def running_sum(df: DataFrame, col: str, name: str, unit: str = "month") -> Data
     return x.join(F.broadcast(starts), "_b").withColumn(name, F.col("_o") + F.coalesce(F.sum(col).over(inside), F.lit(0))).drop("_b", "_o")
 
 
+def ranked(df: DataFrame, col: str, *ties: str, name: str = "n", cuts: int = 256) -> tuple[DataFrame, int]:
+    """df with `name`, its place (from 1) in order of a numeric col (not null) and ties, and the number of rows.
+
+    Rows fall into ranges cut at quantiles; each range is numbered apart, from the rows in the ranges before it.
+    """
+    got = df.agg(F.percentile_approx(col, [i / cuts for i in range(1, cuts)], 100 * cuts), F.count("*")).first()
+    bounds = F.array(*[F.lit(x) for x in sorted(set(got[0] or []))]) if got[0] else F.array().cast("array<double>")
+    rows = df.withColumn("_r", F.size(F.filter(bounds, lambda b: b < F.col(col))))
+    before = Window.partitionBy(F.lit(1)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_r").agg(F.count("*").alias("_c")).select("_r", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))  # a row for each range
+    inside = F.row_number().over(Window.partitionBy("_r").orderBy(col, *ties))
+    return rows.join(F.broadcast(starts), "_r").withColumn(name, F.col("_o") + inside).drop("_r", "_o"), got[1]
+
+
+def tile_of(n: Column, total: int, tiles: int) -> Column:
+    """The tile (from 1) of the n-th of `total` rows, sizes at most one apart, larger ones first."""
+    size, more = divmod(total, tiles)
+    late = F.lit(more + 1) + F.floor((n - more * (size + 1) - 1) / max(size, 1))
+    return F.when(n <= more * (size + 1), F.floor((n - 1) / (size + 1)) + 1).otherwise(late).cast("long")
+
+
 def hsum(cols: list[str], least: int | None = None) -> Column:
     """Sum across columns: null unless `least` of them are there; None: missing counts as nothing, all missing as 0."""
     total = reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0.0)) for c in cols])

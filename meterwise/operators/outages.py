@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from meterwise.operators.joins import overlap
 
-# Fixed values of the documents' codes.
-INACTIVE = ["A09", "A13"]
-PLANNED = "A53"
+# The documents' codes, and the names that tables of decoded documents hold instead.
+INACTIVE = ["A09", "A13", "Cancelled", "Withdrawn"]
+PLANNED, PLANNED_NAMES = "A53", ["A53", "Planned maintenance"]
 CUTOFF_HOUR = 10
 
 
@@ -52,9 +52,9 @@ def at_cutoffs(docs: DataFrame, points: DataFrame, start_by_hours: int = 1) -> D
 def approximate(docs: DataFrame, hours: DataFrame) -> DataFrame:
     """t, mw over `hours` (t): planned outages as they run, plus forced ones as they stood at the day's cut-off."""
     docs = active(latest(docs))
-    planned = hourly(docs.where(F.col("businesstype") == PLANNED))
+    planned = hourly(docs.where(F.col("businesstype").isin(PLANNED_NAMES)))
     days = hours.select(F.to_date("t").alias("day")).distinct()
-    forced = at_cutoffs(docs.where(F.col("businesstype") != PLANNED), cutoffs(days))
+    forced = at_cutoffs(docs.where(~F.col("businesstype").isin(PLANNED_NAMES)), cutoffs(days))
     out = hours.join(planned, "t", "left").withColumnRenamed("mw", "_p").withColumn("day", F.to_date("t")).join(forced, "day", "left")
     return out.select("t", (F.coalesce("_p", F.lit(0.0)) + F.coalesce("mw", F.lit(0.0))).alias("mw"))
 

@@ -491,8 +491,8 @@ def M01_scaler(spark, sf_dir):
 
 @query("""WITH x AS (SELECT o_orderkey, o_totalprice AS p, o_custkey, ntile(4) OVER (ORDER BY o_totalprice, o_orderkey) AS q FROM orders) SELECT CAST(q AS BIGINT) AS q, count(*) AS n, round(avg(p), 2) AS mean, round(quantile_cont(p, 0.5), 2) AS median FROM x GROUP BY 1""")
 def A34_quartiles(spark, sf_dir):
-    w = Window.partitionBy(F.lit(1)).orderBy("o_totalprice", "o_orderkey")
-    x = table(spark, sf_dir, "orders").withColumn("q", F.ntile(4).over(w).cast("long"))
+    x, total = K.ranked(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey")
+    x = x.withColumn("q", K.tile_of(F.col("n"), total, 4))
     return x.groupBy("q").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean"), F.round(F.percentile("o_totalprice", F.lit(0.5)), 2).alias("median"))
 
 
@@ -566,7 +566,7 @@ DAYS = "SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS v FROM events
 WINDOW w AS (PARTITION BY event_type ORDER BY datediff('day', DATE '1970-01-01', day) RANGE BETWEEN 9 PRECEDING AND 2 PRECEDING)""")
 def W11_trailing(spark, sf_dir):
     d = events(spark, sf_dir).groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
-    out = lambda x: K.trailing(d, x, ["event_type"], 9, 2)
+    out = lambda x: K.trailing(x, ["event_type"], 9, 2)
     return d.select("event_type", F.col("day").cast("string").alias("day"), r6(out(F.avg("v"))).alias("mean"), out(F.count("*")).alias("n"))
 
 
@@ -779,7 +779,7 @@ def M08_net_ensemble(spark, sf_dir):
     hour = 2 * F.pi() * F.hour("t") / 24
     rows = x.select(F.col("s").alias("key"), "t", F.array(F.sin(hour), F.cos(hour), F.weekday("t").cast("double"), "lag").alias("x"), F.col("v").alias("y"))
     cut = F.lit("2024-01-25").cast("timestamp_ntz")
-    out = nets.ensemble(rows.where(F.col("t") < cut).drop("t"), rows.where(F.col("t") >= cut), rounds=150)
+    out = nets.ensemble(rows.where(F.col("t") < cut).select("key", "x", F.array("y").alias("y")), rows.where(F.col("t") >= cut), rounds=150)
     return out.select("key", K.stamp("t").alias("t"), r6(F.element_at("q", 10)).alias("q10"), r6(F.element_at("q", 50)).alias("q50"), r6(F.element_at("q", 90)).alias("q90"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from meterwise.operators import metrics as M
 from meterwise.operators import weather as Wx
 from meterwise.plans import feature_table, site
 from meterwise.plans.catalog import ALL, HOLIDAYS, HOURS, LEVELS_SQL, NAIVE, QUARTERS, T, WIDE, by_type, events, forecasts, naives, quarters, query, r6, table, total, wide
+from meterwise.sources.tables import scratch
 
 MEMBERS = """m AS (SELECT date_trunc('day', ts) AS run_time, date_trunc('hour', ts) AS valid_time, CAST(user_id % 5 AS BIGINT) AS member, CAST(user_id % 3 AS DOUBLE) AS cell_lat, CAST(user_id % 2 AS DOUBLE) AS cell_lon, event_type AS variable, avg(value) AS value FROM events GROUP BY 1, 2, 3, 4, 5, 6)"""
 
@@ -209,10 +208,11 @@ def STREAM_hourly_means(spark, sf_dir):
 
     schema = table(spark, sf_dir, "events").schema
     stream = hourly.hourly_means(hourly.read(spark, f"{sf_dir}/events.parquet*", schema, 1000), ["event_type"], "value", late="60 days")
-    name = f"hourly_{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    out = scratch(spark)
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    run = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select("event_type", K.stamp("t").alias("t"), "n", r6("v").alias("v"))
+    return spark.read.parquet(out).select("event_type", K.stamp("t").alias("t"), "n", r6("v").alias("v"))
 
 
 @query(f"WITH {ALL} SELECT count(*) AS hours, count(v) AS present, {T.format('min(t)')} AS first, {T.format('max(t)')} AS last FROM a")

@@ -38,6 +38,19 @@ def mixed_rows(hours: DataFrame, other: DataFrame, quarters: DataFrame, componen
     return h.select(F.lit("h").alias("kind"), "t", F.col("_m").alias("q")).unionByName(qh.select(F.lit("qh").alias("kind"), "t", Q.shifted(F.col("_q"), F.col("_m"), F.col("q")).alias("q"))).withColumn("components", F.lit(components))
 
 
+def mix_logged(has_nets: Column, nets_evening: Column, has_other: Column, run_evening: Column) -> Column:
+    """components (none, nets, both) and t0_missing of what a run logs: never a mix across editions, and the nets' own rows,
+    flagged, where the other model is not there."""
+    own = has_nets & (F.coalesce(nets_evening, F.lit(False)) == run_evening)
+    return F.struct(F.when(~own, "none").when(has_other, "both").otherwise("nets").alias("components"), (own & ~has_other).alias("t0_missing"))
+
+
+def served_mix(stands: Column, logged: Column, again: Column) -> Column:
+    """q and source: the logged mix where it stands, else the one mixed again, else none (quarters are flat then)."""
+    have = stands & logged.isNotNull()
+    return F.struct(F.when(have, logged).otherwise(again).alias("q"), F.when(have, "logged").when(again.isNotNull(), "again").otherwise("flat").alias("source"))
+
+
 def day_documents(log: DataFrame, levels: tuple[int, ...] = (1, 5, 10, 25, 50, 75, 90, 95, 99)) -> DataFrame:
     """day, json: one document a day with nested hours; flags appear only if true. log: t, q, actual, evening."""
     point = F.struct(F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t"), *[F.round(F.element_at("q", k), 2).alias(f"q{k:02d}") for k in levels], F.round("actual", 2).alias("actual"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,26 @@ from pyspark.sql import types as T
 from meterwise.functions.timekit import keep_last
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir. Only a session on one machine may do without: it gets one."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="meterwise-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -27,25 +49,31 @@ def load(spark: SparkSession, path: str, schema: T.StructType, start: str | None
 
 
 def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows win as a whole, nulls included; columns are unioned."""
+    """New rows win as a whole, nulls included; columns are unioned. Of rows of one batch the largest counts, column by
+    column in order of name, so the outcome is the same in every run."""
     both = old.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)), allowMissingColumns=True)
-    return keep_last(both, keys, "_batch").drop("_batch")
+    return keep_last(both, keys, "_batch", *sorted(c for c, k in both.dtypes if c not in (*keys, "_batch") and "map<" not in k)).drop("_batch")
 
 
 def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str]) -> None:
     """Merge into a table partitioned by year; only the years that new rows fall in are rewritten.
 
-    The merged years are staged beside the table before they replace it, since Spark can't overwrite what it reads.
+    The merged years are staged beside the table, under a name of their own, before they replace it, since Spark can't
+    overwrite what it reads. The first write keeps one row for each key too.
     """
     new = new.withColumn("year", F.year("t"))
+    staged = f"{path}.{uuid.uuid4().hex}"
     if exists(spark, path):
         old = spark.read.parquet(path)
         years = new.select("year").distinct()  # a handful
         out = merged(old.join(F.broadcast(years), "year", "left_semi"), new, keys)
-        staged = f"{path}.staged"
-        out.write.mode("overwrite").parquet(staged)
+        out.write.parquet(staged)
         new = spark.read.parquet(staged)
+    else:
+        new = merged(new.limit(0), new, keys)
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def last_time(df: DataFrame) -> DataFrame:

@@ -325,14 +325,45 @@ def test_networks_are_calibrated_enough(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(0, 1, (600, 1))
     y = 10 * x[:, 0] + rng.normal(0, 2, 600)
-    for head in ("quantile", "normal"):
-        q = nets.Net(head, 1).fit(x[:450], y[:450], 300).predict(x[450:])
+    for head in ("quantile", "normal", "jsu"):
+        net = nets.Net(head, 1).fit(x[:450], y[:450], 300)
+        q = net.predict(x[450:])[:, 0]
+        assert (nets.Net.from_bytes(head, 1, net.to_bytes()).predict(x[450:])[:, 0] == q).all()
         assert (np.diff(q, axis=1) >= 0).all()
         assert np.abs(q[:, 49] - y[450:]).mean() < 3 and 0.6 < ((y[450:] >= q[:, 9]) & (y[450:] <= q[:, 89])).mean() < 0.95
-    rows = [("k", hours(60)[i], [float(x[i, 0])], float(y[i])) for i in range(60)]
-    df = frame(spark, rows, "key string, t timestamp_ntz, x array<double>, y double")
-    out = nets.ensemble(df.limit(50).drop("t"), df, seeds=1, rounds=20)
-    assert out.count() == 60 and out.where(F.size("q") == 99).count() == 60
+    rows = [("k", hours(60)[i], [float(x[i, 0])], [float(y[i]), -float(y[i])]) for i in range(60)]
+    df = frame(spark, rows, "key string, t timestamp_ntz, x array<double>, y array<double>")
+    fitted = nets.members(df.limit(50), ("jsu", "quantile"), 2, 20)
+    out = {(r.t, r.i): r.q for r in nets.predict(df, fitted).collect()}
+    assert len(out) == 120 and all(len(q) == 99 and q == sorted(q) for q in out.values())
+    nets.BROADCAST_BYTES, kept = 0, nets.BROADCAST_BYTES
+    try:
+        assert {(r.t, r.i): r.q for r in nets.predict(df, fitted).collect()} == out
+    finally:
+        nets.BROADCAST_BYTES = kept
+    with pytest.raises(ValueError, match="training rows"):
+        nets.members(df.limit(5), least=6)
+
+
+@pytest.mark.parametrize("head", ["quantile", "normal", "jsu"])
+def test_slopes_of_the_heads_are_those_of_differences(head):
+    rng = np.random.default_rng(4)
+    net = nets.Net(head, 1)
+    o, y = rng.normal(0, 0.7, (3, 2, nets.WIDTH[head])), rng.normal(0, 1, (3, 2))
+    _, d = net._loss(o, y)
+    for at in [(0, 0, 0), (1, 1, 1), (2, 0, nets.WIDTH[head] - 1), (1, 0, nets.WIDTH[head] // 2)]:
+        e = np.zeros_like(o)
+        e[at] = 1e-6
+        assert d[at] == pytest.approx((net._loss(o + e, y)[0] - net._loss(o - e, y)[0]) / 2e-6, abs=1e-5)
+
+
+def test_jsu_levels_are_its_quantiles():
+    net = nets.Net("jsu", 1)
+    o = np.array([[[0.3, 0.5, -0.4, 0.8]]])
+    q = net._levels(o)[0, 0]
+    scale, tail = (np.log1p(np.exp(v)) + 1e-3 for v in (0.5, 0.8))
+    z = -0.4 + tail * np.arcsinh((q - 0.3) / scale)
+    assert z == pytest.approx(nets.Z)
 
 
 def test_trees_take_nulls(spark):
