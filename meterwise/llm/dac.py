@@ -111,7 +111,7 @@ _tokenizers: dict = {}
 class Words:
     """A tokenizer and the ids of the words it met lately, as bytes; old words go when there are too many."""
 
-    def __init__(self, path: str, most: int = 120_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
         from tokenizers import Tokenizer
 
@@ -194,7 +194,7 @@ def encode_texts(offsets: np.ndarray, data: np.ndarray, path: str) -> tuple[np.n
 FILE = "part int, seq int, n_docs long, n_tokens long, doc_ids binary, no_id binary, first binary, codes binary"
 
 
-def encode(docs: DataFrame, path: str, end: int = END, block_bytes: int = 1 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, end: int = END, block_bytes: int = 4 << 20) -> DataFrame:
     """Blocks of codes, in ascending order of doc_id over (part, seq)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
