@@ -3,11 +3,13 @@
 Features are the 1-, 2- and 3-grams of the lower-cased characters (runs of anything but letters count as one space),
 hashed; values are log-damped counts times the inverse document frequency, normalised to length one. Document
 frequencies are counted over all rows to learn from. The regression is trained by follow-the-regularised-leader with
-an elastic net on a bounded sample of those rows (`sample`, the least hashes of doc_id); a fifth of the sample stays
-out and sets the temperature of the probabilities.
+an elastic net on a bounded sample of those rows: each language has an equal share of `sample` (the least hashes of
+doc_id), so that a rare one is learned too; a fifth of the sample stays out and sets the temperature of the
+probabilities. Texts are read whole, long ones in runs that carry the last characters over.
 
 Result for each row: doc_id, lang_pred, score (probability of lang_pred). Texts without a letter and null texts are
-`und` with score 0.0. Rows to learn from without text or lang are not used; without any, every text is `und`.
+`und` with score 0.0. Rows to learn from without text or lang are not used; without any, every text is `und`. Repeated
+rows are scored one by one and count one by one. Equal scores go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterwise.llm import ftrl
@@ -24,33 +26,50 @@ from meterwise.llm.common import mix
 
 FEATURES = 1 << 15
 SAMPLE = 8_000
-MOST_CHARS = 1 << 18
+RUN_CHARS = 1 << 18
+ALPHA = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 def grams(text: str) -> np.ndarray:
-    """Hashed n-grams of a text, in order, repeats included."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = ALPHA[np.minimum(points, ALPHA.size - 1)]
-    c = np.where(letter, points, 32)
-    gap = c == 32
-    c = c[~(gap & np.concatenate([[False], gap[:-1]]))] if c.size else c
-    c = np.concatenate([[32], c, [32]]).astype(np.uint64)
-    out = [mix(c * np.uint64(3) + np.uint64(1))]
+    """Hashed n-grams of a text, repeats included."""
+    return np.concatenate(list(_runs(text)))
+
+
+def _runs(text: str, run: int = RUN_CHARS) -> Iterator[np.ndarray]:
+    """The n-grams that end in each run of characters, with a space before and after the text."""
+    held, gap = np.full(1, 32, np.uint64), False
+    yield _hashed(held, 1)
+    for lo in range(0, len(text), run):
+        points = np.frombuffer(text[lo : lo + run].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.where(ALPHA[points], points, 32)
+        blank = c == 32
+        c = c[~(blank & np.concatenate([[gap], blank[:-1]]))]
+        gap = bool(blank[-1]) if blank.size else gap
+        if c.size:
+            held = np.concatenate([held, c.astype(np.uint64)])
+            yield _hashed(held, c.size)
+            held = held[-2:]
+    yield _hashed(np.append(held, np.uint64(32)), 1)
+
+
+def _hashed(c: np.ndarray, new: int) -> np.ndarray:
+    """The 1-, 2- and 3-grams that end in the last `new` places of c."""
+    out = [mix(c[-new:] * np.uint64(3) + np.uint64(1))]
     two = c[:-1] << np.uint64(21) | c[1:]
-    out.append(mix(two * np.uint64(3) + np.uint64(2)))
+    out.append(mix(two[-new:] * np.uint64(3) + np.uint64(2)))
     if c.size > 2:
-        out.append(mix((two[:-1] << np.uint64(21) | c[2:]) * np.uint64(3)))
+        out.append(mix((two[:-1] << np.uint64(21) | c[2:])[-new:] * np.uint64(3)))
     return (np.concatenate(out) >> np.uint64(49)).astype(np.int64)
 
 
-ALPHA = np.array([chr(i).isalpha() for i in range(0x3400)] + [True])  # beyond: scripts of letters above all
-
-
-def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features of a text and their counts; a very long text is counted in runs."""
-    total = np.zeros(FEATURES, np.int64)
-    for lo in range(0, max(1, len(text)), MOST_CHARS):
-        total += np.bincount(grams(text[lo : lo + MOST_CHARS]), minlength=FEATURES)
+def counts(text: str, run: int = RUN_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of a text and their counts."""
+    if len(text) <= run:
+        total = np.bincount(grams(text), minlength=FEATURES)
+    else:
+        total = np.zeros(FEATURES, np.int64)
+        for part in _runs(text, run):
+            total += np.bincount(part, minlength=FEATURES)
     at = np.flatnonzero(total)
     return at, total[at]
 
@@ -91,8 +110,12 @@ def fit(learn: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray,
     """Languages, inverse document frequencies and model from doc_id, text, lang."""
     rows = learn.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.col("lang").alias("lang")).where("text is not null and lang is not null")
     idf = document_frequencies(rows)
-    chosen = rows.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = rows.join(F.broadcast(chosen), "doc_id", "left_semi")  # `sample` ids at most
+    sizes = rows.where("doc_id is not null").groupBy("lang").agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_share", F.floor(F.lit(sample) / F.greatest(F.lit(1), F.count("*").over(Window.partitionBy(F.lit(1))))))  # a row for each language
+    # hashes are even, so four times a language's share is met by a threshold; of those the least are taken
+    near = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < (4 * F.greatest(F.col("_share"), F.lit(64)) / F.col("_n")) * 2.0**63
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    picked = rows.where("doc_id is not null").join(F.broadcast(sizes), "lang").where(near).withColumn("_at", F.row_number().over(first)).where("_at <= _share").select("doc_id", "text", "lang")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

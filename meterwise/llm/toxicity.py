@@ -15,7 +15,8 @@ The trainer sees a sample of at most `sample` labelled rows (the least hashes of
 model cover every text. Scores depend on the text alone.
 
 Result for each row: doc_id, score (0 to 1), predicted. Nulls: a null text is scored as the empty text, whose score is
-the model's intercept. Labels with a null doc_id or label are not used; of several labels of one doc_id the largest is.
+the model's intercept. Labels with a null doc_id or label are not used; of several labels of one doc_id the largest is, of several texts the first
+in order. Repeated rows are scored one by one.
 """
 
 from __future__ import annotations
@@ -205,6 +206,8 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = S
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = documents(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")  # at most `sample` rows of 12 bytes
+    # a repeated doc_id gives one row to the trainer, so that its bound holds
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Cache(lambda t: readings(t, model))
