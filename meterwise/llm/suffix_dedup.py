@@ -260,7 +260,8 @@ def _strings(buckets: int, length: int, name: int):
                     if pos.size:
                         doc = r.doc[ask][own_]
                         names = r.subs.hash(pos, pos + length)
-                        out = _messages(_bucket(names, buckets), buckets, name=names, doc=ids[lo:hi][doc], pos=(pos - offsets[doc]).astype("<u4"), body=np.zeros((pos.size, 0), np.uint8), length=np.zeros((pos.size, 0), np.uint8))
+                        other = Substrings(data, seed=2).hash(pos, pos + length)  # 128 bits in all
+                        out = _messages(_bucket(names, buckets), buckets, name=names, doc=ids[lo:hi][doc], pos=(pos - offsets[doc]).astype("<u4"), body=other, length=np.zeros((pos.size, 0), np.uint8))
                         yield _with_kind(out, ASK_HOT)
 
     return run
@@ -280,7 +281,7 @@ def _rank_strings(length: int, name: int):
         for kind, names, docs, pos, body, lengths in zip(*(table.column(k).to_pylist() for k in ("kind", "name", "doc", "pos", "body", "length")), strict=True):
             names, docs, pos = np.frombuffer(names, np.uint64), np.frombuffer(docs, np.int64), np.frombuffer(pos, "<u4").astype(np.int64)
             if kind[0] == ASK_HOT:
-                parts.append((names, names, docs, pos))
+                parts.append((names, np.frombuffer(body, np.uint64), docs, pos))
                 continue
             place, width = np.frombuffer(lengths, np.uint8).reshape(-1, 2).astype(np.int64).T
             base = np.arange(names.size) * room
