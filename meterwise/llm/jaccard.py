@@ -38,6 +38,8 @@ SIZE = 5
 THRESHOLD = 0.8
 HASHES, BAND, STEP = 96, 4, 32
 BLOCK = 4096
+#: Shingles of the corpus for each deal of groups.
+DEAL = 1 << 20
 TOLERANCE = 1e-6
 _rng = np.random.default_rng(5)
 MULTIPLY = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -299,8 +301,8 @@ def _rows(links: list, edges: list, payloads: list) -> pa.Table:
     n = len(cols["kind"])
     for k in cols:
         cols[k] += [None] * (n - len(cols[k]))
-    for root, block, parts in payloads:
-        for k, v in {"kind": PAYLOAD, "doc_id": None, "value": None, "root": root, "block": block, **parts}.items():
+    for root, block, blocks, parts in payloads:
+        for k, v in {"kind": PAYLOAD, "doc_id": None, "value": blocks, "root": root, "block": block, **parts}.items():
             cols[k].append(v)
     types = {"kind": pa.int32(), "block": pa.int32(), "doc_id": pa.int64(), "value": pa.int64(), "root": pa.int64()}
     return pa.table({k: pa.array(v, types.get(k, pa.binary())) for k, v in cols.items()})
@@ -338,7 +340,7 @@ def _block(size: int, threshold: float, tolerance: float):
             links.append((e.docs, _weigh(found, e.copies)))
             edges.append((e.docs, e.docs[_labels(found)]))
             if many[lo] > 1:
-                payloads.append((int(roots[lo]), int(blocks[lo]), e.to_bytes()))
+                payloads.append((int(roots[lo]), int(blocks[lo]), int(many[lo]), e.to_bytes()))
         out = _rows(links, edges, payloads)
         release()
         return out
@@ -387,13 +389,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, tolera
     )
     signatures = signed.groupBy("doc_id", "key").agg(F.min("signature").alias("signature"))
     entries = entries.join(signatures, ["doc_id", "key"])
-    # whole groups share tasks, a block of a large group has its own
-    deal = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(8 * n))).otherwise(F.xxhash64("root", "block"))
+    # whole groups share deals, a block of a large group has its own; there are as many deals as the shingles ask for
+    total = signed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    deal = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(max(8 * n, total // DEAL)))).otherwise(F.xxhash64("root", "block"))
     dealt = entries.join(rows, "doc_id").withColumn("deal", deal)
     found = cut(dealt.repartition(n, "deal").groupBy("deal").applyInArrow(_block(size, threshold, tolerance), FOUND))
-    payload = found.where(F.col("kind") == PAYLOAD)
-    a, b = (payload.select("root", "block", *PARTS).toDF("root", f"{s}_block", *[f"{s}_{k}" for k in PARTS]) for s in "ab")
-    pairs = a.join(b, "root").where("a_block < b_block").select(*[f"{s}_{k}" for s in "ab" for k in PARTS])
+    # a block goes to each pair of blocks that it is in; pairs are dealt one by one, however many a group has
+    payload = found.where(F.col("kind") == PAYLOAD).select("root", "block", *PARTS, F.explode(F.sequence(F.lit(0), F.col("value").cast("int") - 1)).alias("other"))
+    a = payload.where("block < other").select("root", F.col("block").alias("lo"), F.col("other").alias("hi"), *[F.col(k).alias(f"a_{k}") for k in PARTS])
+    b = payload.where("block > other").select("root", F.col("other").alias("lo"), F.col("block").alias("hi"), *[F.col(k).alias(f"b_{k}") for k in PARTS])
+    pairs = a.join(b, ["root", "lo", "hi"]).select(*[f"{s}_{k}" for s in "ab" for k in PARTS])
     across = pairs.repartition(2 * n).mapInArrow(freeing(_across(threshold, tolerance)), "kind int, doc_id long, value long")
     results = cut(found.where(F.col("kind") != PAYLOAD).select("kind", "doc_id", "value").unionByName(across))
     classes = components(results.where(F.col("kind") == EDGE).select(F.col("doc_id").alias("a"), F.col("value").alias("b")))
