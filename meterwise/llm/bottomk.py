@@ -85,7 +85,8 @@ def ranges_with_next(docs: DataFrame, per_partition: int = 2) -> tuple[DataFrame
 
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
-    """For each document its sketch, the sketch of its edited text, and the resemblance to that and to the next document.
+    """For each document its sketch, the sketch of its edited text, resemblance to that and to the next document, the share of
+    its shingles that each holds, and the numbers of distinct shingles.
 
     The edited text: the last floor(n/4) code points give way to the first as many (or all) of the next document.
     """
@@ -100,5 +101,7 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "edited_sketch",
         resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"),
         resemblance(F.col("sketch"), F.col("_next_sketch"), k).alias("near_next"),
-        distinct_count(F.col("sketch"), k).alias("n_shingles"),
+        distinct_count(F.col("sketch"), k).alias("n_shingles"), distinct_count(F.col("edited_sketch"), k).alias("edited_n_shingles"),
+        containment(F.col("sketch"), F.col("edited_sketch"), k).alias("in_edited"),
+        containment(F.col("sketch"), F.col("_next_sketch"), k).alias("in_next"),
     )

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterwise.sources.tables import shared_folder
+
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 WHITE = np.zeros(256, bool)
@@ -30,19 +32,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; only where that is unset (tests) one is made."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="meterwise-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder, so that lost executors cannot take it away."""
     sc = df.sparkSession.sparkContext

@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterwise.llm import bottomk, dac, feistel, jaccard, langid, segment, suffix_dedup, tiling, toxicity, urlrules
+from meterwise.sources.tables import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder's path in the shared checkpoint folder."""
-    from meterwise.llm.common import shared_folder
-
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-
-
 def remainder(column: str, n: int):
     """crc32 of a column as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
@@ -36,7 +28,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_gumbel(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return segment.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=3, ids=False)
+    return segment.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=3, ids="packed")
 
 
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +60,7 @@ def op7_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", bottomk.as_string(F.col("sketch")).alias("fingerprint"),
         bottomk.as_string(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next",
+        "n_shingles", "edited_n_shingles", "in_edited", "in_next",
     )
 
 

@@ -34,6 +34,7 @@ from meterwise.llm.common import Substrings, documents, freeing, mix, ranges, te
 
 SPACE = "▁".encode()
 RUN = 32
+SHARED = -2
 BYTE_P = 1e-6
 
 
@@ -56,10 +57,13 @@ class Vocabulary:
         h = Substrings(np.frombuffer(b"".join(raw), np.uint8)).hash(starts, ends)
         order = np.argsort(h)
         self.hashes, self.ids = h[order], ids[order].astype(np.int64)
-        self.p = np.array([1 / (rank[i] + 10) / total for i in usable])[order]
+        self.log_p = np.log(np.array([1 / (rank[i] + 10) / total for i in usable])[order])
         self.longest = int((ends - starts).max())
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
+        # a piece's number by 22 bits of its hash; SHARED where several have the same
+        place = (self.hashes >> np.uint64(42)).astype(np.int64)
+        self.number = np.full(1 << 22, -1, np.int32)
+        self.number[place] = np.arange(place.size)
+        self.number[place[1:][place[1:] == place[:-1]]] = SHARED
         # beginnings of pieces, so that a search stops where no piece goes on
         self.begin_bits = np.zeros(1 << 22, bool)
         every = np.frombuffer(b"".join(raw), np.uint8)
@@ -67,6 +71,16 @@ class Vocabulary:
         for m in range(1, self.longest + 1):
             at = starts[starts + m <= ends]
             self.begin_bits[(subs.hash(at, at + m) >> np.uint64(42)).astype(np.int64)] = True
+        # pieces of one and of two bytes, and pairs of bytes with which longer ones begin, without hashing
+        self.one, self.two, self.begins = np.full(256, -1, np.int32), np.full(1 << 16, -1, np.int32), np.zeros(1 << 16, bool)
+        place = np.argsort(order)
+        for i, x in enumerate(raw):
+            if len(x) == 1:
+                self.one[x[0]] = place[i]
+            else:
+                self.begins[x[0] << 8 | x[1]] = True
+                if len(x) == 2:
+                    self.two[x[0] << 8 | x[1]] = place[i]
         self.byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
         out = [pieces.get(i, b"") for i in range(n)]
         for b, i in enumerate(self.byte_ids):
@@ -77,8 +91,14 @@ class Vocabulary:
 
     def matches(self, data: np.ndarray, at: np.ndarray, rem: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """By length: (bytes, places among `at` where a piece of so many bytes fits, its number); rem: bytes left from each byte on."""
-        subs = Substrings(data)
-        for n in range(1, self.longest + 1):
+        k = self.one[data[at]]
+        yield 1, at[k >= 0], k[k >= 0]
+        at = at[rem[at] >= 2]
+        pair = data[at].astype(np.int32) << 8 | data[at + 1]
+        k = self.two[pair]
+        yield 2, at[k >= 0], k[k >= 0]
+        at, subs = at[self.begins[pair]], Substrings(data)
+        for n in range(3, self.longest + 1):
             at = at[rem[at] >= n]
             h = subs.hash(at, at + n)
             place = (h >> np.uint64(42)).astype(np.int64)
@@ -86,10 +106,12 @@ class Vocabulary:
             at, h, place = at[alive], h[alive], place[alive]
             if not at.size:
                 break
-            maybe = np.flatnonzero(self.bits[place])
-            k = np.minimum(np.searchsorted(self.hashes, h[maybe]), self.hashes.size - 1)
-            hit = self.hashes[k] == h[maybe]
-            yield n, at[maybe[hit]], k[hit]
+            k = self.number[place]
+            shared = np.flatnonzero(k == SHARED)
+            k[shared] = np.minimum(np.searchsorted(self.hashes, h[shared]), self.hashes.size - 1)
+            hit = np.flatnonzero(k >= 0)
+            hit = hit[self.hashes[k[hit]] == h[hit]]
+            yield n, at[hit], k[hit]
 
     def decode(self, ids: np.ndarray) -> bytes:
         raw = self.out_bytes[ranges(self.out_start[ids], self.out_size[ids])].tobytes().replace(SPACE, b" ")
@@ -161,14 +183,14 @@ class Lattice:
             frm.append(a)
             to.append(a + n)
             piece.append(v.ids[k])
-            p.append(v.p[k])
+            p.append(v.log_p[k])
             single[a[width[a] == n]] = True
         bare = np.flatnonzero(head & ~single)
         n = np.minimum(width[bare], rem[bare])
         frm.append(bare)
         to.append(bare + n)
         piece.append(-n)
-        p.append(BYTE_P**n)
+        p.append(n * np.log(BYTE_P))
         # states: one for each byte position, and one more at the end of each unit
         state = pos + unit
         n_states = data.size + size.size
@@ -191,7 +213,7 @@ class Lattice:
             self.to[slot], self.piece[slot], self.at[slot], self.frm[slot], chance[slot] = t + unit[a], i, a, own, x
         s = self.frm
         # logs, since the mass of a long unit is too small for a double; a depth's edges are in order of state
-        mass, chance = np.where(self.end, 0.0, -np.inf), np.log(chance)
+        mass = np.where(self.end, 0.0, -np.inf)
         depth = self.at - first[:-1][unit[self.at]]
         depth = depth.astype(np.uint8 if size.max(initial=0) < 256 else np.uint16 if size.max() < 65_536 else np.int64)
         order = np.argsort(depth, kind="stable")
@@ -345,8 +367,9 @@ FIELDS = {"rank": pa.int32(), "n_pieces": pa.int32(), "ids_crc32": pa.int64(), "
 SAMPLES = "array<struct<rank:int,n_pieces:int,ids_crc32:long,logp:double,perturbed:double,inclusion:double,decoded:boolean{ids}>>"
 
 
-def encode(docs: DataFrame, path: str, k: int = 3, seed: int = 1, ids: bool = True) -> DataFrame:
-    """doc_id and samples: the k best perturbed segmentations in order, with ids if asked for.
+def encode(docs: DataFrame, path: str, k: int = 3, seed: int = 1, ids: str | None = "array") -> DataFrame:
+    """doc_id and samples: the k best perturbed segmentations in order, with ids as an `array`, `packed` as
+    little-endian 32-bit integers in a binary (cheaper to write), or None.
 
     decoded says that decoding the ids gives the text back.
     """
@@ -354,7 +377,7 @@ def encode(docs: DataFrame, path: str, k: int = 3, seed: int = 1, ids: bool = Tr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
-            for lo, hi, offsets, data in text_chunks(batch, most=3 << 18):
+            for lo, hi, offsets, data in text_chunks(batch, most=1 << 20):
                 keys = mix(batch.column("doc_id").slice(lo, hi - lo).fill_null(0).to_numpy().astype(np.uint64) + np.uint64(seed * 1_000_003 % (1 << 64)))
                 raw = data.tobytes()
                 texts = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -401,12 +424,16 @@ def encode(docs: DataFrame, path: str, k: int = 3, seed: int = 1, ids: bool = Tr
                 if ids:
                     begins = (np.cumsum(size) - size)[order]
                     ends = np.concatenate([[0], np.cumsum(out["n_pieces"])]).astype(np.int32)
-                    cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)[ranges(begins, out["n_pieces"])].astype(np.int32)))
+                    flat = np.concatenate(parts).astype("<i4")[ranges(begins, out["n_pieces"])]
+                    if ids == "array":
+                        cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                    else:
+                        cols["ids"] = pa.Array.from_buffers(pa.binary(), ends.size - 1, [None, pa.py_buffer(ends * np.int32(4)), pa.py_buffer(flat)])
                 rows = pa.StructArray.from_arrays(list(cols.values()), list(cols))
                 ends = np.concatenate([[0], np.cumsum([min(len(paths), k) for paths in found])]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "samples": pa.ListArray.from_arrays(pa.array(ends), rows)})
 
-    return documents(docs).mapInArrow(freeing(run), f"doc_id long, samples {SAMPLES.format(ids=',ids:array<int>' if ids else '')}")
+    return documents(docs).mapInArrow(freeing(run), f"doc_id long, samples {SAMPLES.format(ids={"array": ",ids:array<int>", "packed": ",ids:binary", None: ""}[ids])}")
 
 
 def sample_empty(keys: np.ndarray, n: int) -> list[list[Path]]:
@@ -435,12 +462,12 @@ def _ids(v: Vocabulary, lat: Lattice | None, data: np.ndarray, paths: list[np.nd
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, rank, text of each sample of encode(ids=True)."""
+    """doc_id, rank, text of each sample of encode(), with ids of either form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
-            got = [v.decode(np.array(x, np.int64)).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
+            got = [v.decode(np.frombuffer(x, "<i4").astype(np.int64) if isinstance(x, bytes) else np.array(x, np.int64)).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "rank": batch.column("rank"), "text": pa.array(got, pa.string())})
 
     rows = encoded.select("doc_id", F.explode("samples").alias("s")).select("doc_id", F.col("s.rank").alias("rank"), F.col("s.ids").alias("ids"))

@@ -258,6 +258,10 @@ def test_bottomk_against_sets(spark, rows, docs, empty):
                 assert value == pytest.approx(want)
             else:
                 assert abs(value - want) < 0.3
+        if len(shingle_set(t)) < 64 and len(shingle_set(edited)) < 64 and len(shingle_set(t) | shingle_set(edited)) <= 64:
+            a, b = shingle_set(t), shingle_set(edited)
+            assert got[i].n_shingles == len(a) and got[i].edited_n_shingles == len(b)
+            assert got[i].in_edited == pytest.approx(len(a & b) / len(a) if a else 1.0)
     assert exact > 20 and bottomk.fingerprints(empty).count() == 0
     twice = spark.createDataFrame([rows[3], (1, rows[3][1]), (1, rows[3][1]), (None, None)], DOCS)
     same = {tuple(r.sketch) for r in bottomk.fingerprints(twice).collect() if r.doc_id is not None}
@@ -352,6 +356,37 @@ def test_language_id_learns(spark, empty):
     assert {r.lang_pred for r in langid.predict(docs, *langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def brute_grams(text):
+    c = [32]
+    last = None
+    for x in text.lower():
+        if x.isalpha() or last != 32:
+            c.append(ord(x) if x.isalpha() else 32)
+        last = ord(x) if x.isalpha() else 32
+    c.append(32)
+    return collections.Counter(tuple(c[i : i + n]) for n in (1, 2, 3) for i in range(len(c) - n + 1))
+
+
+@pytest.mark.parametrize("text", ["", "a", " ", "A b..c 12 d", "x" * 40, "日本 語!", "emoji \U0001f600\U0001f600 no letter", "ab  " * 30])
+def test_grams_of_runs_are_those_of_the_whole(text):
+    at, n = langid.counts(text)
+    for run in (1, 2, 7):
+        at2, n2 = langid.counts(text, run)
+        assert at.tolist() == at2.tolist() and n.tolist() == n2.tolist()
+    assert n.sum() == sum(brute_grams(text).values())
+    assert not langid.has_letter("\U0001f600 12")
+
+
+def test_a_rare_language_is_learned(spark):
+    rng = random.Random(7)
+    speech = {"en": ["the", "house", "with", "thing"], "sv": ["över", "från", "något", "hjälp"]}
+    rows = [(i, " ".join(rng.choice(speech["sv" if i % 100 == 0 else "en"]) for _ in range(12)), "sv" if i % 100 == 0 else "en", 1.0) for i in range(4000)]
+    rows += [(7, "the house", "en", 1.0)] * 50 + [(None, "från något", "sv", 1.0)]
+    docs = spark.createDataFrame(rows, DOCS + ", lang string, _n double")
+    got = langid.predict(docs, *langid.fit(docs, sample=200)).collect()
+    assert len(got) == len(rows) and np.mean([r.lang_pred == x[2] for r, x in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id)), sorted(rows, key=lambda x: (x[0] is None, x[0])), strict=True)]) > 0.99
+
+
 def test_ftrl_is_sparse_and_calibrated():
     rng = np.random.default_rng(0)
     rows, y = [], []
@@ -396,6 +431,9 @@ def test_segmentations_decode_and_repeat(spark, rows, docs, empty):
     got = {r.doc_id: r.samples for r in encoded.collect()}
     assert all(s.decoded for x in got.values() for s in x)
     assert {(r.doc_id, r.text) for r in segment.decode(encoded, path).collect()} == {(i, t or "") for i, t in rows}
+    packed = segment.encode(docs, path, k=3, ids="packed")
+    assert {(r.doc_id, s.rank): np.frombuffer(s.ids, "<i4").tolist() for r in packed.collect() for s in r.samples} == {(i, s.rank): s.ids for i, x in got.items() for s in x}
+    assert segment.decode(packed, path).where("text is null").count() == 0 and segment.decode(packed, path).count() == sum(map(len, got.values()))
     alone = segment.encode(docs.where("doc_id = 24").repartition(1), path, k=3).first().samples
     assert [s.ids for s in alone] == [s.ids for s in got[24]] and len({tuple(s.ids) for s in alone}) == len(alone)
     assert all(0 < s.inclusion <= 1 for s in alone) and segment.encode(empty, path).count() == 0
