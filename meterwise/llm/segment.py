@@ -367,71 +367,75 @@ FIELDS = {"rank": pa.int32(), "n_pieces": pa.int32(), "ids_crc32": pa.int64(), "
 SAMPLES = "array<struct<rank:int,n_pieces:int,ids_crc32:long,logp:double,perturbed:double,inclusion:double,decoded:boolean{ids}>>"
 
 
-def encode(docs: DataFrame, path: str, k: int = 3, seed: int = 1, ids: str | None = "array") -> DataFrame:
+def encode(docs: DataFrame, path: str, k: int = 3, seed: int = 1, ids: str | None = "array", run_bytes: int = 1 << 20) -> DataFrame:
     """doc_id and samples: the k best perturbed segmentations in order, with ids as an `array`, `packed` as
     little-endian 32-bit integers in a binary (cheaper to write), or None.
 
-    decoded says that decoding the ids gives the text back.
+    decoded says that decoding the ids gives the text back. `run_bytes` of text are worked on at a time, which bounds the
+    memory of a task and changes nothing else.
     """
 
+    def one(v: Vocabulary, batch: pa.RecordBatch, lo: int, hi: int, offsets: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+        keys = mix(batch.column("doc_id").slice(lo, hi - lo).fill_null(0).to_numpy().astype(np.uint64) + np.uint64(seed * 1_000_003 % (1 << 64)))
+        raw = data.tobytes()
+        texts = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        signed = [SPACE + t.replace(b" ", SPACE) if t else b"" for t in texts]
+        at = np.concatenate([[0], np.cumsum([len(t) for t in signed])])
+        body = np.frombuffer(b"".join(signed), np.uint8)
+        lat, pieces = None, body
+        if body.size:
+            cuts = units(body, at, v)
+            flat = pa.Array.from_buffers(pa.large_binary(), cuts.size - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(body)]).dictionary_encode()
+            inner = np.frombuffer(flat.dictionary.buffers()[1], np.int64)[: len(flat.dictionary) + 1]
+            pieces = np.frombuffer(flat.dictionary.buffers()[2], np.uint8)[: inner[-1]]
+            lat = Lattice(v, pieces, inner)
+            found, following = sample(lat, flat.indices.to_numpy(zero_copy_only=False), np.searchsorted(cuts, at), keys, k)
+        else:
+            found, following = sample_empty(keys, hi - lo), np.full(hi - lo, -np.inf)
+        # by rank over all texts of the run; then rows in order of (text, rank)
+        rows_at, parts, crc, whole, logp, value, size = [], [], [], [], [], [], []
+        for r in range(k):
+            docs_ = [i for i, paths in enumerate(found) if len(paths) > r]
+            edges = [found[i][r].edges for i in docs_]
+            got, n = _ids(v, lat, pieces, edges)
+            raw_ids, ends = memoryview(got.astype("<u4").tobytes()), np.cumsum(n)
+            # the ids' bytes against the texts; text by text only where they differ somewhere
+            back = v.out_bytes[ranges(v.out_start[got], v.out_size[got])].tobytes()
+            same = back == b"".join([signed[i] for i in docs_])
+            for j, i in enumerate(docs_):
+                own = raw_ids[4 * int(ends[j] - n[j]) : 4 * int(ends[j])]
+                crc.append(zlib.crc32(own))
+                whole.append(same or v.decode(np.frombuffer(own, "<u4").astype(np.int64)) == texts[i].replace(SPACE, b" "))
+                logp.append(found[i][r].logp)
+                value.append(found[i][r].value)
+            rows_at += [i * k + r for i in docs_]
+            size.append(n)
+            parts.append(got)
+        order = np.argsort(rows_at, kind="stable")
+        size = np.concatenate(size)
+        logp, ranks = np.array(logp)[order], np.array(rows_at)[order] % k
+        gap = np.minimum(logp - following[np.array(rows_at)[order] // k], 700.0)
+        out = {
+            "rank": ranks, "n_pieces": size[order], "ids_crc32": np.array(crc)[order], "logp": logp, "perturbed": np.array(value)[order], "inclusion": -np.expm1(-np.exp(gap)), "decoded": np.array(whole, bool)[order],
+        }
+        cols = {f: pa.array(x, FIELDS[f]) for f, x in out.items()}
+        if ids:
+            begins = (np.cumsum(size) - size)[order]
+            ends = np.concatenate([[0], np.cumsum(out["n_pieces"])]).astype(np.int32)
+            flat = np.concatenate(parts).astype("<i4")[ranges(begins, out["n_pieces"])]
+            if ids == "array":
+                cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            else:
+                cols["ids"] = pa.Array.from_buffers(pa.binary(), ends.size - 1, [None, pa.py_buffer(ends * np.int32(4)), pa.py_buffer(flat)])
+        rows = pa.StructArray.from_arrays(list(cols.values()), list(cols))
+        ends = np.concatenate([[0], np.cumsum([min(len(paths), k) for paths in found])]).astype(np.int32)
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "samples": pa.ListArray.from_arrays(pa.array(ends), rows)})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
-            for lo, hi, offsets, data in text_chunks(batch, most=1 << 20):
-                keys = mix(batch.column("doc_id").slice(lo, hi - lo).fill_null(0).to_numpy().astype(np.uint64) + np.uint64(seed * 1_000_003 % (1 << 64)))
-                raw = data.tobytes()
-                texts = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                signed = [SPACE + t.replace(b" ", SPACE) if t else b"" for t in texts]
-                at = np.concatenate([[0], np.cumsum([len(t) for t in signed])])
-                body = np.frombuffer(b"".join(signed), np.uint8)
-                lat, pieces = None, body
-                if body.size:
-                    cuts = units(body, at, v)
-                    flat = pa.Array.from_buffers(pa.large_binary(), cuts.size - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(body)]).dictionary_encode()
-                    inner = np.frombuffer(flat.dictionary.buffers()[1], np.int64)[: len(flat.dictionary) + 1]
-                    pieces = np.frombuffer(flat.dictionary.buffers()[2], np.uint8)[: inner[-1]]
-                    lat = Lattice(v, pieces, inner)
-                    found, following = sample(lat, flat.indices.to_numpy(zero_copy_only=False), np.searchsorted(cuts, at), keys, k)
-                else:
-                    found, following = sample_empty(keys, hi - lo), np.full(hi - lo, -np.inf)
-                # by rank over all texts of the run; then rows in order of (text, rank)
-                rows_at, parts, crc, whole, logp, value, size = [], [], [], [], [], [], []
-                for r in range(k):
-                    docs_ = [i for i, paths in enumerate(found) if len(paths) > r]
-                    edges = [found[i][r].edges for i in docs_]
-                    got, n = _ids(v, lat, pieces, edges)
-                    raw_ids, ends = memoryview(got.astype("<u4").tobytes()), np.cumsum(n)
-                    # the ids' bytes against the texts; text by text only where they differ somewhere
-                    back = v.out_bytes[ranges(v.out_start[got], v.out_size[got])].tobytes()
-                    same = back == b"".join([signed[i] for i in docs_])
-                    for j, i in enumerate(docs_):
-                        own = raw_ids[4 * int(ends[j] - n[j]) : 4 * int(ends[j])]
-                        crc.append(zlib.crc32(own))
-                        whole.append(same or v.decode(np.frombuffer(own, "<u4").astype(np.int64)) == texts[i].replace(SPACE, b" "))
-                        logp.append(found[i][r].logp)
-                        value.append(found[i][r].value)
-                    rows_at += [i * k + r for i in docs_]
-                    size.append(n)
-                    parts.append(got)
-                order = np.argsort(rows_at, kind="stable")
-                size = np.concatenate(size)
-                logp, ranks = np.array(logp)[order], np.array(rows_at)[order] % k
-                gap = np.minimum(logp - following[np.array(rows_at)[order] // k], 700.0)
-                out = {
-                    "rank": ranks, "n_pieces": size[order], "ids_crc32": np.array(crc)[order], "logp": logp, "perturbed": np.array(value)[order], "inclusion": -np.expm1(-np.exp(gap)), "decoded": np.array(whole, bool)[order],
-                }
-                cols = {f: pa.array(x, FIELDS[f]) for f, x in out.items()}
-                if ids:
-                    begins = (np.cumsum(size) - size)[order]
-                    ends = np.concatenate([[0], np.cumsum(out["n_pieces"])]).astype(np.int32)
-                    flat = np.concatenate(parts).astype("<i4")[ranges(begins, out["n_pieces"])]
-                    if ids == "array":
-                        cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                    else:
-                        cols["ids"] = pa.Array.from_buffers(pa.binary(), ends.size - 1, [None, pa.py_buffer(ends * np.int32(4)), pa.py_buffer(flat)])
-                rows = pa.StructArray.from_arrays(list(cols.values()), list(cols))
-                ends = np.concatenate([[0], np.cumsum([min(len(paths), k) for paths in found])]).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "samples": pa.ListArray.from_arrays(pa.array(ends), rows)})
+            for part in text_chunks(batch, most=run_bytes):
+                yield one(v, batch, *part)  # what a run needs is given back before the next one begins
 
     return documents(docs).mapInArrow(freeing(run), f"doc_id long, samples {SAMPLES.format(ids={"array": ",ids:array<int>", "packed": ",ids:binary", None: ""}[ids])}")
 
