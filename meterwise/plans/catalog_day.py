@@ -34,6 +34,13 @@ def market(spark, sf_dir) -> DataFrame:
     return w.select(F.col("s").alias("series"), "t", F.when(~hole, F.col("click")).alias("price"), F.col("view").alias("load"), F.col("error").alias("res"), F.col("purchase").alias("neighbours"), F.col("signup").alias("gas"), F.col("signup").alias("carbon"))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder, for plans that read it many times."""
+    path = tables.scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def date_of(x: str):
     return F.lit(x).cast("date")
 
@@ -492,7 +499,7 @@ def pair_hours(spark, sf_dir) -> DataFrame:
     w = K.fill_edges(wide(spark, sf_dir), ["click", "view", "error"], ["s"])
     move = lambda c, by: F.transform(c, lambda x: x + by)
     x = w.crossJoin(F.broadcast(both))
-    return x.select(F.col("s").alias("series"), "t", move("a", F.hour("t") / 4.0).alias("a"), move("b", -F.hour("t") / 2.0).alias("b"), F.col("click").alias("y"), F.col("view").alias("load"), F.col("error").alias("res"), F.lit(0.25).alias("holiday"), F.col("click").alias("price_before"))
+    return kept(x.select(F.col("s").alias("series"), "t", move("a", F.hour("t") / 4.0).alias("a"), move("b", -F.hour("t") / 2.0).alias("b"), F.col("click").alias("y"), F.col("view").alias("load"), F.col("error").alias("res"), F.lit(0.25).alias("holiday"), F.col("click").alias("price_before")))
 
 
 PAIRS = f"""{FILLED}, {LEVELS_SQL}, ph AS (SELECT e.t, CAST(e.t AS DATE) AS day, hour(e.t) AS h, list_transform(x.q, lambda v: v + hour(e.t) / 4.0) AS a, list_transform(z.q, lambda v: v - hour(e.t) / 2.0) AS b, click AS y, view AS load, error AS res FROM e, (SELECT q FROM f WHERE event_type = 'click') x, (SELECT q FROM f WHERE event_type = 'view') z)"""
@@ -525,7 +532,7 @@ def stand_in_history(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     shares = spark.sql("SELECT DATE'2024-01-06' AS day, 0.32D AS share")
     proxy = learned.day_features(x.select("series", "t", "load", "res"), x.select("series", "t", "y"), shares)
     prices = x.where(F.col("day") != date_of("2024-01-05")).select("series", "t", "y")
-    return x, learned.history(a, b, log.select("series", "t", *learned.FEATURES), seed.where(F.col("day") != date_of("2024-01-03")).select("series", "t", "a", "b", "y", *learned.FEATURES), prices, proxy)
+    return x, kept(learned.history(a, b, log.select("series", "t", *learned.FEATURES), seed.where(F.col("day") != date_of("2024-01-03")).select("series", "t", "a", "b", "y", *learned.FEATURES), prices, proxy))
 
 
 @query(f"""WITH {PAIRS}, dd AS (SELECT t, day, day >= DATE '2024-01-15' AND day <> DATE '2024-01-20' AS la, day >= DATE '2024-01-16' AND day <> DATE '2024-01-20' AS lb, day >= DATE '2024-01-18' AND day <> DATE '2024-01-20' AS lx, day < DATE '2024-01-22' AND day <> DATE '2024-01-03' AS sd, a, b, y, load FROM ph),
