@@ -540,11 +540,9 @@ def W06_rates(spark, sf_dir):
     return x.select("event_type", K.stamp("t").alias("t"), F.round(F.greatest(step, F.lit(0.0)) / 3600, 9).alias("rate"), F.count("v").over(after).alias("later"))
 
 
-@query(f"WITH i AS (SELECT * FROM ({LINES}) WHERE a < b), x AS (SELECT a AS t, CAST(round(mw * 100) AS BIGINT) AS d FROM i UNION ALL SELECT b, -CAST(round(mw * 100) AS BIGINT) FROM i), y AS (SELECT t, sum(d) AS d FROM x GROUP BY 1) SELECT {T.format('t')} AS t, CAST(sum(d) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cents FROM y WHERE t < TIMESTAMP '1995-06-01'")
+@query(f"WITH i AS (SELECT * FROM ({LINES}) WHERE a < b), x AS (SELECT a AS t, CAST(round(mw * 100) AS BIGINT) AS d FROM i UNION ALL SELECT b, -CAST(round(mw * 100) AS BIGINT) FROM i), y AS (SELECT t, sum(d) AS d FROM x GROUP BY 1) SELECT {T.format('t')} AS t, CAST(sum(d) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cents FROM y")
 def W08_delta_sweep(spark, sf_dir):
-    """The sweep of W08_delta_sweep_all, as far as the SQL asks for it."""
-    x = sweep(spark, sf_dir).where(F.col("t") < F.lit("1995-06-01").cast("timestamp_ntz"))
-    return x.select(K.stamp("t").alias("t"), "cents")
+    return sweep(spark, sf_dir).select(K.stamp("t").alias("t"), "cents")
 
 
 @query(f"WITH i AS (SELECT * FROM ({LINES}) WHERE a < b), x AS (SELECT a AS t, CAST(round(mw * 100) AS BIGINT) AS d FROM i UNION ALL SELECT b, -CAST(round(mw * 100) AS BIGINT) FROM i), y AS (SELECT t, sum(d) AS d FROM x GROUP BY 1) SELECT {T.format('t')} AS t, CAST(sum(d) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cents FROM y")
@@ -712,14 +710,38 @@ def Q07_mix_shift(spark, sf_dir):
 
 # ---- reconstruction
 
-@query(None)
+@query(f"""WITH {WIDE}, x AS (SELECT t, CAST(t AS DATE) AS day, hour(t) AS h, coalesce(click, purchase) AS a, coalesce(view, error) AS b FROM w),
+y AS (SELECT *, CASE WHEN h <> 5 OR dayofmonth(day) % 3 <> 0 THEN a + b END AS total, coalesce(a, 0) + coalesce(b, 0) AS own, concat_ws('+', CASE WHEN a IS NOT NULL THEN 'a' END, CASE WHEN b IS NOT NULL THEN 'b' END) AS s FROM x),
+c AS (SELECT *, total IS NULL AND s <> '' AND count(total) OVER (ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) >= 24 AS cand FROM y),
+g AS (SELECT DISTINCT day AS d, s FROM c WHERE cand),
+p AS (SELECT g.d, g.s, c.day, c.h, c.total, CASE g.s WHEN 'a' THEN c.a WHEN 'b' THEN c.b ELSE c.a + c.b END AS num FROM g JOIN c ON c.day BETWEEN g.d - 10 AND g.d - 1),
+f AS (SELECT * FROM (SELECT *, count(*) FILTER (WHERE total IS NOT NULL AND num IS NOT NULL) OVER (PARTITION BY d, s, day) AS n FROM p) WHERE n = 24),
+o AS (SELECT d, s, h, count(*) AS days, sum(num) AS num, sum(total) AS tot FROM f GROUP BY 1, 2, 3),
+r AS (SELECT c.*, o.num / o.tot AS part, CASE WHEN total IS NOT NULL THEN 'given' WHEN NOT cand THEN 'open' WHEN coalesce(o.days, 0) < 2 THEN 'guarded' WHEN o.tot > 0 AND o.num / o.tot > 0.02 AND o.num / o.tot < 1.5 THEN 'share'
+ WHEN o.tot / o.days <= 1 AND abs(own) <= 1 THEN 'night' ELSE 'guarded' END AS rule FROM c LEFT JOIN o ON o.d = c.day AND o.s = c.s AND o.h = c.h)
+SELECT {T.format('t')} AS t, round(CASE rule WHEN 'given' THEN total WHEN 'share' THEN own / part WHEN 'night' THEN 0 END, 6) AS filled, rule FROM r""")
 def M19_area_fill(spark, sf_dir):
-    w = wide(spark, sf_dir)
-    x = A.fill_total(w.withColumn("total", F.when(F.hour("t") != 5, K.hsum(["click", "view", "signup"], 3))), "total", ["click", "view", "signup"], window_days=10, min_days=2)
+    """Two areas; the total lacks five o'clock of every third day, and every hour in which an area is silent."""
+    w = wide(spark, sf_dir).select("s", "t", F.coalesce("click", "purchase").alias("a"), F.coalesce("view", "error").alias("b"))
+    kept = (F.hour("t") != 5) | (F.dayofmonth("t") % 3 != 0)
+    x = A.fill_total(w.withColumn("total", F.when(kept, K.hsum(["a", "b"], 2))), "total", ["a", "b"], window_days=10, min_days=2)
     return x.select(K.stamp("t").alias("t"), r6("filled").alias("filled"), "rule")
 
 
-@query(None)
+@query(f"""WITH d AS (SELECT l_orderkey AS mrid, l_linenumber AS revision, l_shipdate - INTERVAL 3 DAY AS created, coalesce(l_returnflag = 'A', false) AS inactive, coalesce(l_linestatus = 'F', false) AS planned,
+ l_shipdate AS a, l_shipdate + to_hours(CAST(l_quantity AS BIGINT)) AS b, greatest(0, l_extendedprice - l_extendedprice * l_discount) AS mw FROM lineitem),
+l AS (SELECT *, min(a) OVER (PARTITION BY mrid) AS began, min(a) OVER (PARTITION BY mrid, planned) AS began_alike FROM (SELECT *, max(revision) OVER (PARTITION BY mrid) AS r FROM d) WHERE revision = r AND NOT inactive),
+v AS (SELECT * FROM (SELECT *, min(created) OVER (PARTITION BY mrid ORDER BY revision RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS until FROM d) WHERE NOT inactive AND a < b),
+days AS (SELECT unnest(generate_series((SELECT date_trunc('day', min(a)) FROM d), (SELECT date_trunc('day', max(b)) + INTERVAL 1 DAY FROM d), INTERVAL 1 DAY)) AS day),
+hours AS (SELECT day, unnest(generate_series(day, day + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS t FROM days),
+run AS (SELECT t, sum(mw) AS mw FROM (SELECT unnest(generate_series(a, b - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS t, mw FROM l WHERE planned) GROUP BY 1),
+near AS (SELECT *, unnest(generate_series(date_trunc('day', a), date_trunc('day', b) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day FROM l),
+held AS (SELECT day, sum(mw) FILTER (WHERE began <= day - INTERVAL 15 HOUR) AS mw, sum(mw) FILTER (WHERE NOT planned AND began_alike <= day - INTERVAL 15 HOUR) AS forced FROM near WHERE a <= day - INTERVAL 14 HOUR AND b > day - INTERVAL 14 HOUR GROUP BY 1),
+vd AS (SELECT *, unnest(generate_series(date_trunc('day', a), date_trunc('day', b), INTERVAL 1 DAY)) AS day FROM v),
+known AS (SELECT t, sum(mw) AS mw FROM (SELECT unnest(generate_series(greatest(a, day), least(b, day + INTERVAL 1 DAY) - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS t, mw FROM vd
+ WHERE created <= day - INTERVAL 14 HOUR AND (until IS NULL OR until > day - INTERVAL 14 HOUR)) GROUP BY 1)
+SELECT {T.format('hours.t')} AS t, round(coalesce(run.mw, 0) + coalesce(held.forced, 0), 6) AS approximate, round(coalesce(held.mw, 0), 6) AS persistence, round(coalesce(known.mw, 0), 6) AS exact
+FROM hours LEFT JOIN run ON run.t = hours.t LEFT JOIN held ON held.day = hours.day LEFT JOIN known ON known.t = hours.t""")
 def J12_outage_profiles(spark, sf_dir):
     """Outage documents from lineitem: unavailable MW of each hour, three ways.
 
