@@ -7,8 +7,9 @@ documents are linked if the Jaccard similarity of their sets is at least the thr
    joined to the first of the band (in each task before the shuffle, then over all tasks), and the connected
    components of these joins are the candidate groups. At 0.8 a pair meets in no band with a chance of 3e-6.
 2. In a group, copies of one set are one entry with a count. Entries are dealt in blocks of at most 4096, so a group
-   of any size is many tasks. For each pair of blocks the MinHash values are compared 32 at a time, and pairs whose
-   posterior probability of reaching the threshold (uniform prior) falls below the tolerance are dropped.
+   of any size is many tasks. For each pair of blocks the MinHash values of pairs that share a band are compared 32 at
+   a time, and pairs whose posterior probability of reaching the threshold (uniform prior) falls below the tolerance
+   are dropped. Pairs of a group that is only a chain of band hits are not compared.
 3. What is left is verified exactly by shingles. No pairs leave a task: only each entry's number of links and one edge
    to the component it has in the task.
 
@@ -193,22 +194,52 @@ class Entries:
         return cls(docs, np.frombuffer(x["copies"], np.int64), np.frombuffer(x["signatures"], "<u2").reshape(docs.size, HASHES), values[order], np.searchsorted(rows[order], np.arange(docs.size + 1)))
 
 
-def candidates(a: np.ndarray, b: np.ndarray, least: dict[int, int]) -> np.ndarray:
-    """Which pairs of signatures stay possible, comparing values in steps; of one block with itself, above the diagonal."""
+def meetings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of signatures share a band (its four values as one word)."""
+    x, y = (np.ascontiguousarray(s).view("<u8") for s in (a, b))
     out = np.zeros((len(a), len(b)), bool)
+    for t in range(x.shape[1]):
+        values, inverse = np.unique(np.concatenate([x[:, t], y[:, t]]), return_inverse=True)
+        left, right = inverse[: len(a)], inverse[len(a) :]
+        n_left, n_right = np.bincount(left, minlength=values.size), np.bincount(right, minlength=values.size)
+        both = n_left * n_right
+        if both.sum() * 16 > out.size:
+            for lo in range(0, len(a), 256):
+                out[lo : lo + 256] |= left[lo : lo + 256, None] == right[None, :]
+            continue
+        first = np.cumsum(n_right) - n_right
+        own = both[left] > 0
+        count = n_right[left[own]]
+        out[np.repeat(np.flatnonzero(own), count), np.argsort(right, kind="stable")[ranges(first[left[own]], count)]] = True
+    return out
+
+
+def candidates(a: np.ndarray, b: np.ndarray, least: dict[int, int]) -> np.ndarray:
+    """Which pairs that share a band stay possible, comparing values in steps; of one block with itself, above the diagonal."""
+    out = np.triu(meetings(a, b), 1) if a is b else meetings(a, b)
+    if out.sum() * 16 <= out.size:
+        i, j = np.nonzero(out)
+        equal = np.zeros(i.size, np.int64)
+        for n in range(0, HASHES, STEP):
+            for lo in range(0, i.size, 1 << 16):
+                own = slice(lo, lo + (1 << 16))
+                equal[own] += (a[i[own], n : n + STEP] == b[j[own], n : n + STEP]).sum(1)
+            stay = equal >= least[n + STEP]
+            out[i[~stay], j[~stay]] = False
+            i, j, equal = i[stay], j[stay], equal[stay]
+        return out
     columns = np.ascontiguousarray(b.T)
     for lo in range(0, len(a), 256):
         tile, frm = a[lo : lo + 256], lo if a is b else 0
-        equal = np.zeros((len(tile), len(b) - frm), np.uint8)
-        left = np.ones(equal.shape, bool)
+        left = out[lo : lo + 256, frm:]
+        equal = np.zeros(left.shape, np.uint8)
         for n in range(0, HASHES, STEP):
             for j in range(n, n + STEP):
                 equal += tile[:, j, None] == columns[None, j, frm:]
             left &= equal >= least[n + STEP]
             if not left.any():
                 break
-        out[lo : lo + 256, frm:] = left
-    return np.triu(out, 1) if a is b else out
+    return out
 
 
 def intersections(a: Entries, b: Entries, pairs: np.ndarray) -> np.ndarray:
