@@ -16,7 +16,8 @@ Prefix doubling ranks positions by ever longer strings and drops those that stay
    line does not gather in one task.
 
 Exact copies of a text are settled beforehand by digest: all but the first are covered whole (texts of 50 bytes on).
-Names are compared as pairs of 96 bits and more, so a false match is not to be expected at any size.
+Names are compared as pairs of 96 bits and more, so a false match is not to be expected at any size. With
+every_position=True exact ranks of all positions are doubled instead (prefix_doubling), at many times the shuffle.
 
 Nulls: a null text is empty. Rows with a null doc_id neither cover others nor are covered. Repeated rows don't cover
 each other; where one doc_id has different texts, the one with the least digest is judged and the others stay whole.
@@ -33,11 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterwise.llm import prefix_doubling
 from meterwise.llm.common import Substrings, freeing, mix, partitions, ranges, text_chunks
 
 LENGTH = 50
 NAME = 20
 HOT = 64
+#: Bytes of text whose anchors one task ranks at once; there are as many buckets as the corpus asks for.
+BUCKET = 1 << 24
 WIDE = 1 << 20
 #: Stands for a null doc_id inside.
 NONE = -(1 << 63)
@@ -369,14 +373,15 @@ def _remove(length: int, name: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, name: int = NAME, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, name: int = NAME, hot: int = HOT, carry: tuple[str, ...] = (), every_position: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_text, kept_sha256 (of the bytes left), starts and ends of removed spans.
 
     kept_text is the bytes left as text, without the rest of characters that a span cuts through. `carried` is a
     struct of the columns named in `carry`, as they came.
     """
     n = partitions(docs.sparkSession)
-    buckets = 4 * n
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(4 * n, total // BUCKET)
     carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("_"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), carried.alias("carried"))
     rows = rows.withColumn("sha", F.sha2("text", 256))
@@ -388,12 +393,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, name: int = NAME, hot:
     texts = rows.repartition(n, "doc_id").join(info, "doc_id", "left")
     judged = (F.col("own").isNull() | (F.col("own") == F.col("sha"))) & (F.col("first").isNull() | (F.col("first") == F.col("doc_id")))
     # all columns go everywhere, so that the shuffle of the texts is one and the same
-    sent = texts.where(judged).select("doc_id", "text", "carried").mapInArrow(freeing(_anchors(buckets, length, name, hot)), ANCHORS)
-    replies = sent.groupBy("bucket").applyInArrow(_rank_contexts, REPLIES)
-    codes = replies.groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
-    asked = texts.where(judged).join(codes, "doc_id").select("doc_id", "text", "carried", "codes")
-    strings = asked.mapInArrow(freeing(_strings(buckets, length, name)), STRINGS)
-    spans = strings.groupBy("bucket").applyInArrow(_rank_strings(length, name), REPLIES)
+    if every_position:
+        starts = prefix_doubling.covered(texts.where(judged).where(F.col("doc_id") != NONE).select("doc_id", "text"), length)
+        codes = docs.sparkSession.createDataFrame([], "doc_id long, codes array<long>")
+        spans = starts.select("doc_id", (F.col("pos").cast("long") * WIDE + 1).alias("code"))
+    else:
+        sent = texts.where(judged).select("doc_id", "text", "carried").mapInArrow(freeing(_anchors(buckets, length, name, hot)), ANCHORS)
+        replies = sent.groupBy("bucket").applyInArrow(_rank_contexts, REPLIES)
+        codes = replies.groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
+        asked = texts.where(judged).join(codes, "doc_id").select("doc_id", "text", "carried", "codes")
+        strings = asked.mapInArrow(freeing(_strings(buckets, length, name)), STRINGS)
+        spans = strings.groupBy("bucket").applyInArrow(_rank_strings(length, name), REPLIES)
     spans = spans.groupBy("doc_id").agg(F.collect_list("code").alias("spans"))
     found = texts.join(codes, "doc_id", "left").join(spans, "doc_id", "left").select(
         F.nullif("doc_id", F.lit(NONE)).alias("doc_id"), "text", "sha", "carried", F.when(judged, F.col("codes")).alias("codes"), F.when(judged, F.col("spans")).alias("spans"),

@@ -11,7 +11,7 @@ import pytest
 
 pytest.importorskip("meterwise.llm")
 
-from meterwise.llm import bottomk, components, dac, feistel, ftrl, jaccard, langid, segment, suffix_dedup, tiling, toxicity, urlrules  # noqa: E402
+from meterwise.llm import bottomk, components, dac, feistel, ftrl, jaccard, langid, prefix_doubling, segment, suffix_dedup, tiling, toxicity, urlrules  # noqa: E402
 from meterwise.llm.common import mix  # noqa: E402
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -74,6 +74,33 @@ def test_suffix_dedup_is_brute_force(spark, rows, docs, hot):
     assert sorted(map(tuple, got), key=str) == brute_removed(rows, 50)
 
 
+@pytest.mark.parametrize("length", [50, 20])
+def test_doubling_of_every_position_is_brute_force(spark, rows, length):
+    some = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = suffix_dedup.remove_repeats(some, length=length, every_position=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute_removed(rows, length)
+
+
+def test_doubling_null_ids_repeated_rows_and_empty(spark, rows, empty):
+    some = spark.createDataFrame(rows[:12] + rows[:3] + [(None, rows[0][1])], DOCS)
+    got, plain = (suffix_dedup.remove_repeats(some, every_position=e).select("doc_id", "n_removed", "kept_sha256").collect() for e in (True, False))
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, plain), key=str)
+    assert suffix_dedup.remove_repeats(empty, every_position=True).count() == 0
+
+
+def test_doubling_across_batches(monkeypatch):
+    """Pairs that go over the end of a batch, batches of one row, and rows alone with their pair."""
+    rng = np.random.default_rng(1)
+    pairs = np.sort(rng.integers(0, 12, 40) * 100 + rng.integers(0, 3, 40))
+    whole = pa.RecordBatch.from_pydict({"doc_id": np.arange(40), "pos": np.arange(40, dtype=np.int32), "rank": pairs // 100, "next": pairs % 100})
+    monkeypatch.setattr(prefix_doubling.TaskContext, "get", classmethod(lambda cls: type("C", (), {"partitionId": lambda self: 2})()))
+    _, inverse, count = np.unique(pairs, return_inverse=True, return_counts=True)
+    for cuts in ([0, 40], list(range(41)), [0, 0, 7, 8, 21, 40]):
+        got = pa.Table.from_batches(prefix_doubling._number(whole.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)))
+        assert got.column("doc_id").to_pylist() == np.flatnonzero(count[inverse] > 1).tolist()
+        assert got.column("rank").to_pylist() == [2 * prefix_doubling.ROOM + int(x) for x in inverse[count[inverse] > 1]]
+
+
 def test_suffix_dedup_null_ids_repeated_rows_and_empty(spark, rows, empty):
     some = rows[:12] + rows[:3] + [(None, rows[0][1])]
     got = suffix_dedup.remove_repeats(spark.createDataFrame(some, DOCS)).select("doc_id", "n_removed").collect()
@@ -82,6 +109,26 @@ def test_suffix_dedup_null_ids_repeated_rows_and_empty(spark, rows, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize(("noise", "kinds"), [(0.02, 1), (0.1, 40), (0.3, 1), (0.3, 40), (0.6, 2)])
+def test_candidates_are_pairs_that_share_a_band(noise, kinds):
+    rng = np.random.default_rng(7)
+    base, least = rng.integers(0, 1 << 16, (kinds, jaccard.HASHES)).astype("<u2"), jaccard.least_matches()
+
+    def near(n):
+        out = base[rng.integers(0, kinds, n)].copy()
+        hit = rng.random(out.shape) < noise
+        out[hit] = rng.integers(0, 1 << 16, int(hit.sum()))
+        return out
+
+    a, b = near(300), near(170)
+    for x, y in ((a, b), (a, a), (a[:0], b)):
+        same = x[:, None, :] == y[None]
+        want = same.reshape(len(x), len(y), jaccard.HASHES // jaccard.BAND, jaccard.BAND).all(3).any(2)
+        for n, least_equal in least.items():
+            want &= same[:, :, :n].sum(2) >= least_equal
+        assert (jaccard.candidates(x, y, least) == (np.triu(want, 1) if x is y else want)).all()
+
+
 def shingle_set(text, n=5):
     w = (text or "").encode().split()
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
