@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterwise.llm import ftrl
-from meterwise.llm.common import documents, freeing, text_chunks
+from meterwise.llm.common import documents, freed, freeing, text_chunks
 
 SAMPLE = 20_000
 FEATURES = 1 << 20
@@ -227,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = S
         w = m.weights[:, 1] - m.weights[:, 0]
         return pa.table({"feature": np.append(m.features, -1), "weight": np.append(w, m.intercept[1] - m.intercept[0])})
 
-    found = rows.mapInArrow(freeing(extract), "doc_id long, toxic int, index binary, value binary").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fit, "feature long, weight double").collect()
+    found = rows.mapInArrow(freeing(extract), "doc_id long, toxic int, index binary, value binary").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(freed(fit), "feature long, weight double").collect()
     got = sorted((f, w) for f, w in found if f >= 0)
     weights = np.array([[0.0, w] for _, w in got]).reshape(-1, 2)
     return ftrl.Model(np.array([f for f, _ in got], np.int64), weights, np.array([0.0, next((w for f, w in found if f < 0), 0.0)]))
