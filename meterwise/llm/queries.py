@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm import bottomk, dac, feistel, jaccard, langid, segment, suffix_dedup, tiling, toxicity, urlrules
+from meterwise.llm import bottomk, dac, feistel, interpolate, jaccard, langid, merkle, resample, segment, suffix_dedup, tiling, toxicity, urlrules
 from meterwise.sources.tables import scratch
 
 
@@ -78,7 +78,36 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_gumbel, op3_suffix, op4_langid, op5_dac, op6_feistel, op7_bottomk, op8_urlrules, op9_jaccard, op10_tiling)}
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    left = remainder("doc_id", 7)
+    fold = F.when(left == 2, interpolate.HELD_OUT).when(left == 3, interpolate.DELETED).otherwise(interpolate.TRAIN)
+    rows = interpolate.score(docs, fold, interpolate.learn(docs, fold))
+    return rows.select("doc_id", (F.col("fold") == interpolate.HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_gumbel, op3_suffix, op4_langid, op5_dac, op6_feistel, op7_bottomk, op8_urlrules, op9_jaccard, op10_tiling, op11_resample, op12_interpolate, op13_merkle,
+)}
+
+#: The 256 entries of CRC-32's table, as a list t, by its rule.
+CRC_TABLE = """SELECT list(c ORDER BY i) AS t FROM (
+            SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) AS c FROM (SELECT unnest(range(0, 256)) AS i))"""
+
+
+def crc32_sql(hexed: str) -> str:
+    """The unsigned CRC-32 of bytes given in hex, in SQL that has the table t at hand."""
+    steps = f"list_transform(range(0, len({hexed}) // 2), lambda i: ('0x' || substr({hexed}, 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295::BIGINT)"
+
 
 SQL = {
     "op3_suffix": r"""
@@ -119,4 +148,59 @@ SQL = {
         FROM parsed p LEFT JOIN rules r
           ON (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath)
         GROUP BY p.page_id, p.host, p.path""",
+    "op11_resample": rf"""
+        WITH crc AS ({CRC_TABLE}),
+        w AS MATERIALIZED (
+            SELECT k, id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM (SELECT 0 AS k, row_number() OVER () AS id, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark)),
+        e AS (SELECT k, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM w),
+        n AS (SELECT k, id, g, count(*) AS n FROM e GROUP BY ALL),
+        h AS (SELECT g, {crc32_sql("h")} % 10000 AS b FROM (SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM n)), crc),
+        s AS (SELECT b, CAST(sum(n) FILTER (WHERE k = 0) AS BIGINT) AS s, CAST(sum(n) FILTER (WHERE k = 1) AS BIGINT) AS t FROM n JOIN h ON h.g = n.g GROUP BY b),
+        z AS (SELECT CAST(coalesce(sum(n) FILTER (WHERE k = 0), 0) + 10000 AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (WHERE k = 1), 0) + 10000 AS DOUBLE) AS t FROM n),
+        gain AS (SELECT b, floor(1000 * ln((coalesce(s.t, 0) + 1) * z.s / ((coalesce(s.s, 0) + 1) * z.t)))::BIGINT AS gain FROM s, z),
+        v AS (SELECT id, CAST(sum(n) AS BIGINT) AS n, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM n JOIN h ON h.g = n.g JOIN gain ON gain.b = h.b WHERE k = 0 GROUP BY id),
+        d AS (
+            SELECT w.doc_id, len(w.w) AS words, coalesce(v.n, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(CAST(w.doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+            FROM w LEFT JOIN v ON v.id = w.id WHERE w.k = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS r, count(*) OVER (PARTITION BY words >= 20) AS m FROM d)
+        SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND r <= 25 * m // 100 THEN r END AS rank FROM r""",
+    "op13_merkle": rf"""
+        WITH RECURSIVE crc AS ({CRC_TABLE}),
+        f AS (SELECT doc_id, lang, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)] AS c, text, hex(encode(CAST(doc_id AS VARCHAR))) AS h FROM documents),
+        l AS (
+            SELECT f.*, list_transform(c, lambda x: coalesce(octet_length(encode(x)) || ':' || x, '-')) AS s,
+                   coalesce(octet_length(encode(text)) || ':' || text, '-') AS own,
+                   CASE WHEN {crc32_sql("h")} % 3 = 0 THEN octet_length(encode(text)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS changed
+            FROM f, crc),
+        leaf AS (SELECT doc_id, lang, sha256(array_to_string(s, '') || own) AS leaf, sha256(array_to_string(s, '') || coalesce(changed, own)) AS given FROM l),
+        r AS (SELECT leaf.*, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaf),
+        -- nodes of each language, level by level, n the number on the level
+        node AS (
+            SELECT lang, 0 AS lvl, i, n, leaf AS h FROM r
+            UNION ALL
+            SELECT lang, lvl + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY lang, lvl, i // 8),
+        sub AS (SELECT lang, h AS subroot, lvl AS depth, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j, count(*) OVER () AS m FROM node WHERE n = 1),
+        high AS (
+            SELECT 0 AS lvl, j AS i, m AS n, subroot AS h FROM sub
+            UNION ALL
+            SELECT lvl + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY lvl, i // 8),
+        step AS (
+            SELECT a.lang, a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS x, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS y
+            FROM node a JOIN node b ON a.lang IS NOT DISTINCT FROM b.lang AND a.lvl = b.lvl AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY a.lang, a.lvl, a.i),
+        above AS (
+            SELECT a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS x, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS y
+            FROM high a JOIN high b ON a.lvl = b.lvl AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY a.lvl, a.i),
+        fold AS (
+            SELECT r.lang, r.i AS id, 0 AS k, r.i AS at, r.given AS h, '' AS proof, depth, j FROM r JOIN sub ON sub.lang IS NOT DISTINCT FROM r.lang
+            UNION ALL
+            SELECT f.lang, f.id, f.k + 1, CASE WHEN f.k + 1 = f.depth THEN f.j ELSE f.at // 8 END, sha256(coalesce(s.x, v.x) || f.h || coalesce(s.y, v.y)), f.proof || coalesce(s.x, v.x) || coalesce(s.y, v.y), f.depth, f.j
+            FROM fold f LEFT JOIN step s ON f.k < f.depth AND s.lang IS NOT DISTINCT FROM f.lang AND s.lvl = f.k AND s.i = f.at
+                        LEFT JOIN above v ON f.k >= f.depth AND v.lvl = f.k - f.depth AND v.i = CASE WHEN f.k = f.depth THEN f.j ELSE f.at END
+            WHERE s.i IS NOT NULL OR v.i IS NOT NULL),
+        done AS (SELECT lang, id, max_by(h, k) AS folded_root, max_by(proof, k) AS proof FROM fold GROUP BY lang, id),
+        top AS (SELECT h AS root FROM high WHERE n = 1)
+        SELECT r.doc_id, r.leaf, sub.subroot, top.root, sha256(done.proof) AS proof_sha256, done.folded_root, done.folded_root = top.root AS verified
+        FROM r JOIN sub ON sub.lang IS NOT DISTINCT FROM r.lang JOIN done ON done.lang IS NOT DISTINCT FROM r.lang AND done.id = r.i CROSS JOIN top""",
 }
