@@ -42,6 +42,7 @@ from meterwise.llm.common import MASK, Substrings, cut, freed, freeing, mix, par
 ORDER = 3
 RUN_BYTES = 8 << 20
 BUCKET_BYTES = 12 << 20
+HASH_BYTES = 1 << 20
 LEVELS = 32
 TRAIN, DELETED, HELD_OUT = 0, 1, 2
 LOWER = np.arange(256, dtype=np.uint8)
@@ -91,12 +92,16 @@ def joined(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sequence(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of texts, each with an end, and the first token of each text."""
-    data = LOWER[data]
-    start, end, first = words(offsets, data)
-    hashes = Substrings(data).hash(start, end)
-    tokens = np.insert(hashes, first[1:], mix(np.full(first.size - 1, END)))
-    return tokens, first + np.arange(first.size)
+    """Token hashes of texts, each with an end, and the first token of each text; texts are hashed a megabyte at a time."""
+    tokens, firsts, lo, total = [], [np.zeros(1, np.int64)], 0, 0
+    while lo < offsets.size - 1:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + HASH_BYTES, "right")) - 1)
+        part = LOWER[data[offsets[lo] : offsets[hi]]]
+        start, end, first = words(offsets[lo : hi + 1] - offsets[lo], part)
+        tokens.append(np.insert(Substrings(part).hash(start, end), first[1:], mix(np.full(hi - lo, END))))
+        firsts.append(first[1:] + np.arange(1, hi - lo + 1) + total)
+        lo, total = hi, total + tokens[-1].size
+    return np.concatenate(tokens), np.concatenate(firsts)
 
 
 def grams(tokens: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
@@ -122,11 +127,12 @@ class Run:
         tokens, self.first = sequence(offsets, data)
         self.order, self.tokens = order, tokens.size
         every = np.concatenate(grams(tokens, self.first, order))
-        at = np.argsort(every, kind="stable")
+        at = np.argsort(every)
         ordered = every[at]
-        new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if ordered.size else np.zeros(0, bool)
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
         self.keys = ordered[new]
         edges = np.append(np.flatnonzero(new), ordered.size)
+        del ordered
         self.counts = np.diff(edges)
         self.where = np.empty(every.size, np.int32)
         self.where[at] = np.cumsum(new, dtype=np.int32) - 1
