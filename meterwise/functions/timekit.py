@@ -40,10 +40,16 @@ def dense(df: DataFrame, keys: list[str], step: str = "1 hour") -> DataFrame:
     return spine(df, keys, step).join(df, [*keys, "t"], "left")
 
 
-def _rows(keys: list[str], *order: str):
+def _rows(keys: list[str], *order: str | Column):
     return Window.partitionBy(*keys).orderBy(*(order or ("t",)))
 
 
+def _ahead(keys: list[str]):
+    """This row and those after it, in descending order: a frame that grows row by row, where one that shrinks from an
+    unbounded end would be gone through anew for each row."""
+    return _rows(keys, F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def ffill(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
     w = _rows(keys).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
@@ -52,16 +58,16 @@ def ffill(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
 def fill_edges(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
     """Forward, then backward for what has nothing before it."""
     before = _rows(keys).rowsBetween(Window.unboundedPreceding, 0)
-    after = _rows(keys).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after)) for c in cols})
+    after = _ahead(keys)
+    return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.last(c, ignorenulls=True).over(after)) for c in cols})
 
 
 def interpolate(df: DataFrame, col: str, keys: list[str], hold_left: bool = False, hold_right: bool = True) -> DataFrame:
     """Nulls between anchors are linear in time; before the first and after the last anchor null or held."""
     before = _rows(keys).rowsBetween(Window.unboundedPreceding, 0)
-    after = _rows(keys).rowsBetween(0, Window.unboundedFollowing)
+    after = _ahead(keys)
     at = F.when(F.col(col).isNotNull(), F.struct(F.unix_micros(F.col("t").cast("timestamp")).alias("x"), F.col(col).alias("y")))
-    df = df.withColumn("_a", F.last(at, ignorenulls=True).over(before)).withColumn("_b", F.first(at, ignorenulls=True).over(after))
+    df = df.withColumn("_a", F.last(at, ignorenulls=True).over(before)).withColumn("_b", F.last(at, ignorenulls=True).over(after))
     x = F.unix_micros(F.col("t").cast("timestamp"))
     line = F.col("_a.y") + (F.col("_b.y") - F.col("_a.y")) * ((x - F.col("_a.x")) / (F.col("_b.x") - F.col("_a.x")))
     out = F.when(F.col("_a").isNull(), F.col("_b.y") if hold_left else F.lit(None).cast("double")).when(F.col("_b").isNull(), F.col("_a.y") if hold_right else F.lit(None).cast("double"))

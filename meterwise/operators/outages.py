@@ -71,7 +71,7 @@ def exact(versions: DataFrame, hours: DataFrame) -> DataFrame:
     rows = versions.dropDuplicates(["mrid", "revision", "start", "end"])
     days = hours.select(F.to_date("t").alias("day")).distinct()
     # a version is current from its creation until a larger revision's; it counts on the days it touches, however long its document lives
-    larger = Window.partitionBy("mrid").orderBy("revision").rangeBetween(1, Window.unboundedFollowing)
+    larger = Window.partitionBy("mrid").orderBy(F.desc("revision")).rangeBetween(Window.unboundedPreceding, -1)
     rows = rows.where(F.col("revision").isNotNull()).withColumn("_until", F.min("created_doc_time").over(larger))
     rows = active(rows.where("start < end")).withColumn("day", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))))
     known = rows.join(cutoffs(days), "day").where((F.col("created_doc_time") <= F.col("cutoff")) & (F.col("_until").isNull() | (F.col("_until") > F.col("cutoff"))))

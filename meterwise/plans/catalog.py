@@ -534,7 +534,7 @@ def W05_interpolate(spark, sf_dir):
 @query(f"WITH {HOURS} SELECT event_type, {T.format('t')} AS t, round(greatest(v - lag(v) OVER (PARTITION BY event_type ORDER BY t), 0) / 3600, 9) AS rate, count(v) OVER (PARTITION BY event_type ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM d WHERE v IS NOT NULL")
 def W06_rates(spark, sf_dir):
     x = by_type(spark, sf_dir).where("v is not null")
-    after = Window.partitionBy("event_type").orderBy("t").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("event_type").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
     step = F.col("v") - K.lag("v", 1, ["event_type"])
     # the first step has nothing before it: greatest skips null, as here it should
     return x.select("event_type", K.stamp("t").alias("t"), F.round(F.greatest(step, F.lit(0.0)) / 3600, 9).alias("rate"), F.count("v").over(after).alias("later"))
@@ -772,16 +772,46 @@ def day_arrays(spark, sf_dir) -> DataFrame:
     return x.where(F.size("x") == 24).select("series", "day", of("click").alias("price"), F.array(of("view"), of("error")).alias("exog"))
 
 
+def shipped_days(spark, sf_dir) -> DataFrame:
+    """series, day, price (24), exog (2 x 24): hourly means of all of lineitem over its years; gaps are filled forward first."""
+    x = table(spark, sf_dir, "lineitem").select((F.col("l_shipdate").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("l_quantity").cast("int") % 24)).alias("t"), F.col("l_extendedprice") / 1000.0, "l_tax", "l_discount").toDF("t", "price", "load", "res")
+    hours = x.groupBy("t").agg(*[F.avg(c).alias(c) for c in ("price", "load", "res")]).withColumn("series", F.lit("all"))
+    hours = K.fill_edges(K.dense(hours, ["series"]), ["price", "load", "res"], ["series"])
+    days = hours.groupBy("series", F.to_date("t").alias("day")).agg(F.array_sort(F.collect_list(F.struct(F.hour("t").alias("h"), "price", "load", "res"))).alias("x"))
+    return days.where(F.size("x") == 24).select("series", "day", F.col("x.price").alias("price"), F.array("x.load", "x.res").alias("exog"))
+
+
 @query(None)
 def M04_rolling_lear(spark, sf_dir):
+    """The last fortnight of lineitem's years, each day from the 56 days before it."""
     from meterwise.models import lear
-
-    days = day_arrays(spark, sf_dir)
-    targets = days.select("series", "day").where(F.col("day") >= F.lit("2024-01-26"))
-    out = lear.rolling(days, targets, window=17)
+    from meterwise.sources.tables import scratch
+
+    path = scratch(spark)
+    shipped_days(spark, sf_dir).write.parquet(path)  # read several times
+    days = spark.read.parquet(path)
+    last = days.agg(F.max("day").alias("last"))  # one row
+    targets = days.select("series", "day").join(F.broadcast(last), F.col("day") > F.date_sub("last", 14)).select("series", "day")
+    out = lear.rolling(days, targets, window=56)
     return out.select("series", F.col("day").cast("string").alias("day"), F.col("hour").cast("long").alias("hour"), r6("pred").alias("pred"))
 
 
+@query("""WITH g AS (SELECT l_linenumber AS line, strftime(l_shipdate, '%Y-%m') AS month, count(*) AS n, avg(l_tax) AS mx, avg(l_extendedprice / 1000) AS my, var_pop(l_tax) AS sxx, covar_pop(l_tax, l_extendedprice / 1000) AS sxy, var_pop(l_extendedprice / 1000) AS syy FROM lineitem GROUP BY ALL HAVING count(*) > 2 AND var_pop(l_tax) > 0),
+k AS (SELECT *, n * (syy - sxy * sxy / sxx) / (n - 2) AS noise FROM g),
+c AS (SELECT *, n * (syy - sxy * sxy / sxx) / noise + 2 < n * syy / noise AS takes FROM k WHERE noise > 1e-6)
+SELECT line, month, n, round(CASE WHEN takes THEN 0 ELSE abs(sxy) END, 6) AS penalty, round(CASE WHEN takes THEN sxy / sxx ELSE 0 END, 6) AS weight, round(CASE WHEN takes THEN my - mx * sxy / sxx ELSE my END, 6) AS intercept FROM c""")
+def M03_lasso_of_one(spark, sf_dir):
+    """The knot of least AIC of a path of one column: none of it, or all. Months with no noise left are not compared."""
+    from meterwise.models import lear
+
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("line"), F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_tax").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    got = lear.selected(x, ["line", "month"], ["x"], "y")
+    enough = x.groupBy("line", "month").agg(F.var_pop("x").alias("sxx"), F.covar_pop("x", "y").alias("sxy"), F.var_pop("y").alias("syy"), F.count("*").alias("m"))
+    enough = enough.where((F.col("m") > 2) & (F.col("sxx") > 0)).where(F.col("m") * (F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")) / (F.col("m") - 2) > 1e-6)
+    got = got.join(enough.select("line", "month"), ["line", "month"], "left_semi")
+    return got.select("line", "month", "n", r6("penalty").alias("penalty"), r6(F.element_at("weights", 1)).alias("weight"), r6("intercept").alias("intercept"))
+
+
 @query(None)
 def M05_boosted_trees(spark, sf_dir):
     from meterwise.models import trees

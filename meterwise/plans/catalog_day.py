@@ -505,11 +505,11 @@ def pair_hours(spark, sf_dir) -> DataFrame:
 PAIRS = f"""{FILLED}, {LEVELS_SQL}, ph AS (SELECT e.t, CAST(e.t AS DATE) AS day, hour(e.t) AS h, list_transform(x.q, lambda v: v + hour(e.t) / 4.0) AS a, list_transform(z.q, lambda v: v - hour(e.t) / 2.0) AS b, click AS y, view AS load, error AS res FROM e, (SELECT q FROM f WHERE event_type = 'click') x, (SELECT q FROM f WHERE event_type = 'view') z)"""
 
 
-@query(f"""WITH {PAIRS} SELECT {T.format('t')} AS t, CAST(16 AS BIGINT) AS width, round(sin(2 * pi() * h / 24), 6) AS first_, CAST(isodow(t) = 6 AS INT) AS saturday, round((load - res) / 1000, 6) AS residual, round(res / load, 6) AS share, round(abs(a[50] - b[50]), 6) AS apart, round(b[90] - b[10], 6) AS width_b FROM ph""")
+@query(f"""WITH {PAIRS} SELECT {T.format('t')} AS t, CAST(16 AS BIGINT) AS width, round(sin(2 * pi() * h / 24), 6) AS first_, CAST(isodow(t) = 6 AS INT) AS saturday, round(load - res, 6) AS residual_mw, round(res / load, 6) AS share, round(abs(a[50] - b[50]), 6) AS apart, round(b[90] - b[10], 6) AS width_b FROM ph""")
 def Q13_weight_features(spark, sf_dir):
     x = pair_hours(spark, sf_dir).withColumn("x", mix.weight_features())
     at = lambda i: r6(F.element_at("x", i))
-    return x.select(K.stamp("t").alias("t"), F.size("x").cast("long").alias("width"), at(1).alias("first_"), F.element_at("x", 7).cast("int").alias("saturday"), at(10).alias("residual"), at(11).alias("share"), at(14).alias("apart"), at(16).alias("width_b"))
+    return x.select(K.stamp("t").alias("t"), F.size("x").cast("long").alias("width"), at(1).alias("first_"), F.element_at("x", 7).cast("int").alias("saturday"), r6(F.element_at("x", 10) * 1000).alias("residual_mw"), at(11).alias("share"), at(14).alias("apart"), at(16).alias("width_b"))
 
 
 @query(None)

@@ -274,6 +274,47 @@ def test_lasso_finds_a_sparse_truth():
     assert w[4, 0] == pytest.approx(3, abs=0.1) and w[9, 0] == pytest.approx(-2, abs=0.1) and w[0, 1] == pytest.approx(5, abs=0.1) and b[0] == pytest.approx(1, abs=0.1)
 
 
+@pytest.mark.parametrize("case", range(40))
+def test_knots_of_the_path_meet_the_conditions_of_the_lasso(case):
+    rng = np.random.default_rng(case)
+    n, p = rng.integers(5, 60), rng.integers(1, 80)
+    x = rng.normal(0, 1, (n, p)) @ (np.eye(p) + 0.7 * rng.normal(0, 1, (p, p)) * (rng.random((p, p)) < 0.1))
+    if p > 8:  # a repeated column, one of zeros, and one that is the sum of two others
+        x[:, 7], x[:, 5], x[:, 6] = x[:, 3], 0, x[:, 2] + x[:, 1]
+    y = x[:, : min(p, 6)] @ rng.normal(0, 2, min(p, 6)) + rng.normal(0, 1, n)
+    x, y = x - x.mean(0), y - y.mean()
+    gram, cov = x.T @ x / n, x.T @ y / n
+    penalties, weights = lear.path(gram, cov)
+    assert (np.diff(penalties) <= 1e-12).all() and penalties[-1] <= 1e-9 * penalties[0] and not weights[0].any()
+    for penalty, w in zip(penalties, weights, strict=True):
+        slope = cov - gram @ w
+        assert np.abs(slope).max() <= penalty + 1e-8 * penalties[0]
+        assert np.abs(slope[w != 0] - np.sign(w[w != 0]) * penalty).max(initial=0) <= 1e-8 * penalties[0]
+    # between two knots the solution is on the line that joins them
+    for k in range(min(5, len(penalties) - 1)):
+        middle, w = penalties[k : k + 2].mean(), weights[k : k + 2].mean(0)
+        assert np.abs(cov - gram @ w).max() <= middle + 1e-8 * penalties[0]
+
+
+def test_the_knot_of_least_aic_of_sums_is_that_of_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, *map(float, rng.normal(0, 1, 3)), float(rng.normal())) for k in "ab" for _ in range(60)]
+    rows = [(k, a, b, c, 2 * a - (k == "b") * b + 0.3 * e + 5) for k, a, b, c, e in rows]
+    df = frame(spark, [*rows, ("a", None, 1.0, 1.0, 9.0), ("none", 1.0, 2.0, 3.0, None)], "k string, a double, b double, c double, y double")
+    got = {r.k: r for r in lear.selected(df, ["k"], ["a", "b", "c"], "y").collect()}
+    assert set(got) == {"a", "b"} and got["a"].n == 60
+    for k, r in got.items():
+        x, y = np.array([v[1:4] for v in rows if v[0] == k]), np.array([[v[4]] for v in rows if v[0] == k])
+        w, b = lear.lasso_by_aic(x, y)
+        assert r.weights == pytest.approx(w[:, 0], abs=1e-9) and r.intercept == pytest.approx(b[0], abs=1e-9) and r.penalty >= 0
+        # brute force: of all penalties on a fine grid none has a smaller criterion than the knot that was taken
+        xc, yc = x - x.mean(0), (y - y.mean())[:, 0]
+        noise = ((yc - xc @ np.linalg.lstsq(xc, yc, rcond=None)[0]) ** 2).sum() / (60 - 4)
+        aic = lambda w: ((yc - xc @ w) ** 2).sum() / noise + 2 * (np.abs(w) > 1e-15).sum()  # noqa: E731,B023
+        knots = lear.path(xc.T @ xc / 60, xc.T @ yc / 60)[1]
+        assert aic(w[:, 0]) == pytest.approx(min(map(aic, knots)))
+
+
 def test_lear_does_not_read_the_target_day_nor_the_last_hours(spark):
     rng = np.random.default_rng(6)
     first = date(2024, 1, 1)
