@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from meterwise.llm.common import MASK, Substrings, cut, freed, freeing, mix, partitions, ranges, words
 
 ORDER = 3
-RUN_BYTES = 8 << 20
-BUCKET_BYTES = 12 << 20
+RUN_BYTES = 6 << 20
+BUCKET_BYTES = 6 << 20
 HASH_BYTES = 1 << 20
 LEVELS = 32
 TRAIN, DELETED, HELD_OUT = 0, 1, 2
@@ -236,7 +236,7 @@ def with_answers(texts: DataFrame, answers: DataFrame, run_bytes: int, order: in
             offsets, data = joined(rows)
             ids = rows.column("doc_id").combine_chunks()
             yield pa.RecordBatch.from_pydict({
-                "run": pa.array([number], pa.int64()), "data": pa.array([data.tobytes()], pa.binary()), "sizes": pa.array([np.diff(offsets)], pa.list_(pa.int64())),
+                "run": pa.array([number], pa.int64()), "data": pa.array([pa.compress(data, "zstd", asbytes=True)], pa.binary()), "sizes": pa.array([np.diff(offsets)], pa.list_(pa.int64())),
                 "ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "folds": pa.array([rows.column("fold").to_pylist()], pa.list_(pa.int32())),
             })
 
@@ -245,7 +245,7 @@ def with_answers(texts: DataFrame, answers: DataFrame, run_bytes: int, order: in
             raise RuntimeError("a run of texts has come twice or not at all; docs must give the same partitions each time")
         sizes = left.column("sizes")[0].values.to_numpy(zero_copy_only=False)
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
-        data = pa.Array.from_buffers(pa.large_binary(), sizes.size, [None, offsets.buffers()[1], left.column("data")[0].as_buffer()])
+        data = pa.Array.from_buffers(pa.large_binary(), sizes.size, [None, offsets.buffers()[1], pa.decompress(left.column("data")[0].as_buffer(), int(sizes.sum()), "zstd")])
         rows = pa.table({"doc_id": left.column("ids")[0].values, "fold": left.column("folds")[0].values, "data": data})
         run = Run(rows, order)
         right = right.sort_by("bucket")
