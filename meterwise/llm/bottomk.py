@@ -50,9 +50,9 @@ def resemblance(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.array_intersect(a, b), both)) / F.size(both))
 
 
-def containment(a: Column, b: Column, k: int = K) -> Column:
-    """The share of a's shingles that are in b."""
-    j = resemblance(a, b, k)
+def containment(a: Column, b: Column, k: int = K, j: Column | None = None) -> Column:
+    """The share of a's shingles that are in b; j is their resemblance, if it is at hand."""
+    j = resemblance(a, b, k) if j is None else j
     shared = j / (1 + j) * (distinct_count(a, k) + distinct_count(b, k))
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), shared / distinct_count(a, k)))
 
@@ -97,11 +97,11 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     m = F.floor(n / 4).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - m), F.substring(F.col("_next"), F.lit(1), m)))
     rows = with_sketch(rows, "edited", "edited_sketch", k)
+    # named once: whatever needs them reads the column
+    rows = rows.withColumns({"near_edited": resemblance(F.col("sketch"), F.col("edited_sketch"), k), "near_next": resemblance(F.col("sketch"), F.col("_next_sketch"), k)})
     return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "edited_sketch",
-        resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"),
-        resemblance(F.col("sketch"), F.col("_next_sketch"), k).alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "edited_sketch", "near_edited", "near_next",
         distinct_count(F.col("sketch"), k).alias("n_shingles"), distinct_count(F.col("edited_sketch"), k).alias("edited_n_shingles"),
-        containment(F.col("sketch"), F.col("edited_sketch"), k).alias("in_edited"),
-        containment(F.col("sketch"), F.col("_next_sketch"), k).alias("in_next"),
+        containment(F.col("sketch"), F.col("edited_sketch"), k, F.col("near_edited")).alias("in_edited"),
+        containment(F.col("sketch"), F.col("_next_sketch"), k, F.col("near_next")).alias("in_next"),
     )

@@ -117,6 +117,15 @@ class Substrings:
         self.sums = np.zeros(data.size + 1, np.uint64)
         np.cumsum(byte_values(seed)[data] * powers[: data.size], out=self.sums[1:])
 
+    @classmethod
+    def of(cls, values: np.ndarray) -> Substrings:
+        """Over 64-bit values in place of bytes."""
+        out = cls.__new__(cls)
+        powers, out.inverse = _powers(max(4096, values.size + 1))
+        out.sums = np.zeros(values.size + 1, np.uint64)
+        np.cumsum(values * powers[: values.size], out=out.sums[1:])
+        return out
+
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 

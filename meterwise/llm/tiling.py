@@ -1,9 +1,11 @@
 """Benchmark decontamination by greedy string tiling.
 
 Tokens are runs of letters and digits, lower-cased. Rolling Karp-Rabin hashes of five tokens are the seeds of a text.
-Spark joins the seeds of documents with those of test items; the matches of a pair meet in one row. Along each diagonal,
-neighbouring seeds make a maximal match; the longest match of unmarked tokens is marked again and again until none of
-five tokens is left (of equally long ones the first in the document, then in the item). The tiles don't overlap in the
+Spark joins the distinct seeds of documents with those of test items, each with its places, so what a pair shares meets in one
+row whose size is the sum of both sides' places, not their product. The longest match of unmarked tokens is marked again and
+again until none of five tokens is left (of equally long ones the first in the document, then in the item). Where a pair has
+few matching places, neighbouring seeds along each diagonal make its maximal matches; where seeds repeat and there are more
+than `CELLS`, hashes of ever shorter runs of seeds are compared instead (the tiles are the same). The tiles don't overlap in the
 document or the item, and their order doesn't matter, so reordered passages are found too. A document leaks an item if
 the tiles cover at least `threshold` of the item's tokens. An item with fewer than five tokens is matched as a whole.
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm.common import Substrings, cut, documents, freeing, mix, text_chunks
+from meterwise.llm.common import Substrings, cut, documents, freeing, mix, ranges, text_chunks
 
 LEAST = 5
 THRESHOLD = 0.5
@@ -105,6 +107,75 @@ def tiled(pos: np.ndarray, at: np.ndarray, k: int, n_item: int) -> int:
     return sum(x[0] for x in tile(list(zip(length.tolist(), (p[new] - base).tolist(), q[new].tolist(), strict=True)), int(p.max()) - base + k, n_item, k))
 
 
+def covered(pos: pa.ListArray, at: pa.ListArray, k: int, n_item: int) -> int:
+    """Item tokens covered by the tiles of a pair that shares seeds, each with its places on either side."""
+    n_pos, n_at = (x.value_lengths().to_numpy() for x in (pos, at))
+    p, q = (x.flatten().to_numpy().astype(np.int64) for x in (pos, at))
+    if int(n_pos @ n_at) > CELLS:
+        seed = np.arange(n_pos.size)
+        return searched(p, np.repeat(seed, n_pos), q, np.repeat(seed, n_at), k)
+    # each place of a seed in the document beside each of its places in the item
+    each = np.repeat(n_at, n_pos)
+    return tiled(np.repeat(p, each), q[ranges(np.repeat(np.cumsum(n_at) - n_at, n_pos), each)], k, n_item)
+
+
+class Side:
+    """The places of shared seeds in a document or an item, in order, those of marked tokens left out."""
+
+    def __init__(self, place: np.ndarray, seed: np.ndarray, k: int):
+        order = np.argsort(place, kind="stable")
+        self.place, self.k = place[order], k
+        self.sums = Substrings.of(mix(seed[order].astype(np.uint64) + np.uint64(1)))
+        self.gone = np.zeros(place.size, bool)
+
+    def windows(self, w: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first place of each run of w seeds at places that follow each other, none of them gone."""
+        n = self.place.size - w + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        lost = np.concatenate([[0], np.cumsum(self.gone)])
+        at = np.flatnonzero((self.place[w - 1 :] - self.place[:n] == w - 1) & (lost[w:] == lost[:n]))
+        return self.sums.hash(at, at + w), self.place[at]
+
+    def mark(self, start: int, tokens: int) -> None:
+        """Seeds that touch the tokens can't be used any more."""
+        self.gone[np.searchsorted(self.place, start - self.k + 1) : np.searchsorted(self.place, start + tokens)] = True
+
+
+def searched(pos: np.ndarray, pos_seed: np.ndarray, at: np.ndarray, at_seed: np.ndarray, k: int) -> int:
+    """Item tokens covered by the greedy tiles, by a search for the longest run of seeds that both sides have."""
+    doc, item = Side(pos, pos_seed, k), Side(at, at_seed, k)
+
+    def match(w: int) -> tuple[int, int] | None:
+        a, p = doc.windows(w)
+        b, q = item.windows(w)
+        both = np.isin(a, b)
+        if not both.any():
+            return None
+        first = int(np.argmax(both))
+        return int(p[first]), int(q[np.argmax(b == a[first])])
+
+    covered, high = 0, min(pos.size, at.size)
+    while high > 0:
+        # the longest width that still has a match is between low and high; tiles never grow
+        low, best = 0, None
+        while low < high:
+            w = (low + high + 1) // 2
+            found = match(w)
+            if found is None:
+                high = w - 1
+            else:
+                low, best = w, found
+        if best is None:
+            break
+        for side, start in ((doc, best[0]), (item, best[1])):
+            side.mark(start, low + k - 1)
+        covered, high = covered + low + k - 1, low
+    return covered
+
+
+#: Matching places of a pair up to which they are listed one by one.
+CELLS = 1 << 12
 SEEDS = "seed long, item_id long, version long, at int, k int, n_item int"
 
 
@@ -173,16 +244,20 @@ def _meet(spark: SparkSession, docs: DataFrame, items: DataFrame, least: int) ->
                     text.append(own[keep])
                     pos.append(hit[keep] - first[own[keep]])
                 seed, pos, text = np.concatenate(seed), np.concatenate(pos), np.concatenate(text)
-                order = np.argsort(text, kind="stable")
-                ends = pa.array(np.searchsorted(text[order], np.arange(hi - lo + 1)), pa.int32())
-                hits = pa.StructArray.from_arrays([pa.array(seed[order].view(np.int64)), pa.array(pos[order], pa.int32())], ["seed", "pos"])
+                order = np.lexsort((pos, seed, text))
+                seed, pos, text = seed[order], pos[order], text[order]
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(seed) != 0) | (np.diff(text) != 0)])) if seed.size else np.zeros(0, np.int64)
+                places = pa.ListArray.from_arrays(pa.array(np.append(new, seed.size), pa.int32()), pa.array(pos, pa.int32()))
+                ends = pa.array(np.searchsorted(text[new], np.arange(hi - lo + 1)), pa.int32())
+                hits = pa.StructArray.from_arrays([pa.array(seed[new].view(np.int64)), places], ["seed", "pos"])
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "text_key": batch.column("text_key").slice(lo, hi - lo), "hits": pa.ListArray.from_arrays(ends, hits)})
 
     rows = documents(docs).withColumn("text_key", F.unhex(F.sha2("text", 256)))
-    rows = cut(rows.mapInArrow(freeing(run), "doc_id long, text_key binary, hits array<struct<seed:long,pos:int>>"))
+    rows = cut(rows.mapInArrow(freeing(run), "doc_id long, text_key binary, hits array<struct<seed:long,pos:array<int>>>"))
     # equal texts have equal hits, so one of them does; they combine before the shuffle
     texts = rows.where(F.size("hits") > 0).groupBy("text_key").agg(F.any_value("hits").alias("hits"))
     found = texts.select("text_key", F.explode("hits").alias("h")).select("text_key", "h.seed", "h.pos")
+    seeds = cut(seeds.groupBy("seed", "item_id", "version", "k", "n_item").agg(F.collect_list("at").alias("at")))
     if count * 64 <= BROADCAST_BYTES:
         met = found.join(F.broadcast(seeds), "seed")
     else:
@@ -193,10 +268,10 @@ def _meet(spark: SparkSession, docs: DataFrame, items: DataFrame, least: int) ->
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = batch.column("m")
-            ends, flat = m.offsets.to_numpy(), m.values
-            pos, at = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64), flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, shared = m.offsets.to_numpy(), m.values
+            pos, at = shared.field(0), shared.field(1)
             k, n = batch.column("k").to_numpy(), batch.column("n_item").to_numpy()
-            share = [tiled(pos[a:b], at[a:b], int(k[i]), int(n[i])) / int(n[i]) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
+            share = [covered(pos[a:b], at[a:b], int(k[i]), int(n[i])) / int(n[i]) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
             yield pa.RecordBatch.from_pydict({"text_key": batch.column("text_key"), "item_id": batch.column("item_id"), "coverage": pa.array(share, pa.float64())})
 
     return rows, pairs.mapInArrow(freeing(cover), "text_key binary, item_id long, coverage double")

@@ -214,9 +214,10 @@ def brute_coverage(doc, item, least=5):
     return 0.0
 
 
-@pytest.mark.parametrize("broadcast", [1 << 24, 0])
-def test_tiling_is_brute_force(spark, monkeypatch, broadcast):
+@pytest.mark.parametrize(("broadcast", "cells"), [(1 << 24, 1 << 12), (0, 0)])
+def test_tiling_is_brute_force(spark, monkeypatch, broadcast, cells):
     monkeypatch.setattr(tiling, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(tiling, "CELLS", cells)  # 0: every pair by search
     rng = random.Random(11)
     words = lambda n: [rng.choice("abcdefgh") for _ in range(n)]
     items = [(i, words(rng.choice([2, 4, 9, 25, 40]))) for i in range(12)] + [(3, words(12)), (20, ["zz"] * 12)]
@@ -240,6 +241,34 @@ def test_tiling_is_brute_force(spark, monkeypatch, broadcast):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, leaks, *_ in want if not leaks)
 
 
+def test_repeated_tokens_are_tiled_in_the_sum_of_their_places(spark):
+    """80 million matching places of one word; the places of each side are sent once."""
+    import time
+
+    turn = " ".join(["ab cd ef"] * 4000)
+    texts = [(1, "zz " * 40_000), (2, f"start {'zz ' * 700}middle {'zz ' * 900}end"), (3, turn), (4, "something else")]
+    items = [(1, "zz " * 2_000), (2, "ab cd ef " * 500 + "gh")]
+    began = time.time()
+    got = {r.doc_id: (r.leaks, round(r.coverage, 6)) for r in tiling.scores(spark.createDataFrame(texts, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: ([1], 1.0), 2: ([1], 0.8), 3: ([2], round(1500 / 1501, 6)), 4: ([], 0.0)}
+    assert time.time() - began < 120
+
+
+def test_both_ways_to_tile_agree():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        k, size = int(rng.integers(1, 4)), int(rng.integers(1, 4))
+        doc, item = rng.integers(0, size, rng.integers(3, 60)), rng.integers(0, size, rng.integers(3, 40))
+        places = lambda x: {g: [i for i in range(len(x) - k + 1) if tuple(x[i : i + k]) == g] for g in {tuple(x[i : i + k]) for i in range(len(x) - k + 1)}}  # noqa: E731,B023
+        a, b = places(doc), places(item)
+        shared = sorted(set(a) & set(b))
+        if not shared:
+            continue
+        pos, at = (pa.array([x[g] for g in shared], pa.list_(pa.int32())) for x in (a, b))
+        flat = lambda x: (np.concatenate([x[g] for g in shared]), np.concatenate([[i] * len(x[g]) for i, g in enumerate(shared)]))  # noqa: E731,B023
+        assert tiling.covered(pos, at, k, len(item)) == tiling.searched(*flat(a), *flat(b), k)
+
+
 def test_greedy_tiles_take_the_longest_first():
     assert sorted(tiling.tile([(6, 0, 0), (9, 3, 10), (5, 20, 12)], 40, 40, 3)) == [(3, 0, 0), (9, 3, 10)]
 
