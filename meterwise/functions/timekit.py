@@ -6,6 +6,7 @@ null. Lags are by time on a dense spine, never by position on a table with holes
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -138,14 +139,27 @@ def running_sum(df: DataFrame, col: str, name: str, unit: str = "month") -> Data
     return x.join(F.broadcast(starts), "_b").withColumn(name, F.col("_o") + F.coalesce(F.sum(col).over(inside), F.lit(0))).drop("_b", "_o")
 
 
+def bounds_below(bounds: list, x: Column, kind: str, equal: bool = False) -> Column:
+    """How many of the sorted bounds are less than x (or equal to it). Null has none below it.
+
+    The heads of runs of bounds come first, then one run: a row meets two times the root of all bounds, not each of them.
+    """
+    if not bounds:
+        return F.lit(0)
+    k = math.isqrt(len(bounds) - 1) + 1
+    array = lambda values: F.array(*[F.lit(b).cast(kind) for b in values])
+    count = lambda values: F.size(F.filter(values, (lambda b: b <= x) if equal else (lambda b: b < x)))
+    head = count(array(bounds[::k]))
+    return F.when(head == 0, F.lit(0)).otherwise((head - 1) * k + count(F.slice(array(bounds), (head - 1) * k + 1, F.lit(k)))).cast("int")
+
+
 def ranked(df: DataFrame, col: str, *ties: str, name: str = "n", cuts: int = 256) -> tuple[DataFrame, int]:
     """df with `name`, its place (from 1) in order of a numeric col (not null) and ties, and the number of rows.
 
     Rows fall into ranges cut at quantiles; each range is numbered apart, from the rows in the ranges before it.
     """
     got = df.agg(F.percentile_approx(col, [i / cuts for i in range(1, cuts)], 100 * cuts), F.count("*")).first()
-    bounds = F.array(*[F.lit(x) for x in sorted(set(got[0] or []))]) if got[0] else F.array().cast("array<double>")
-    rows = df.withColumn("_r", F.size(F.filter(bounds, lambda b: b < F.col(col))))
+    rows = df.withColumn("_r", bounds_below(sorted(set(got[0] or [])), F.col(col), "double"))
     before = Window.partitionBy(F.lit(1)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_r").agg(F.count("*").alias("_c")).select("_r", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))  # a row for each range
     inside = F.row_number().over(Window.partitionBy("_r").orderBy(col, *ties))

@@ -15,6 +15,7 @@ from meterwise.operators import areas as A
 from meterwise.operators import joins as J
 from meterwise.operators import metrics as M
 from meterwise.operators import outages as O
+from meterwise.operators.recalibration import recalibration_levels
 from meterwise.sources import payloads as P
 
 QUERIES: dict = {}
@@ -670,18 +671,6 @@ def Q02_quantile_at(spark, sf_dir):
     return x.select("event_type", "tau", r6(Q.quantile_at(F.col("q"), F.col("tau"))).alias("x"))
 
 
-def recalibration_levels(pits: DataFrame, days: DataFrame, keys: list[str], window_days: int = 365, min_days: int = 28) -> DataFrame:
-    """keys, day, n_days, taus: the levels to serve on each day, from PITs of the days up to the second before it.
-
-    Days meet their history by an equi join on the trailing days; with fewer than `min_days` of them taus is null.
-    """
-    back = F.explode(F.sequence(F.lit(2), F.lit(window_days + 1)))
-    asked = days.select(*keys, "day", back.alias("_k")).withColumn("_d", F.date_sub("day", F.col("_k")))
-    past = asked.join(pits.withColumnRenamed("day", "_d"), [*keys, "_d"])
-    got = past.groupBy(*keys, "day").agg(F.count_distinct("_d").alias("n_days"), F.percentile("u", F.array(*[F.lit(x) for x in Q.LEVELS])).alias("taus"))
-    return got.withColumn("taus", F.when(F.col("n_days") >= min_days, F.col("taus")))
-
-
 @query(f"""WITH {PITS}, p AS (SELECT event_type, CAST(ts AS DATE) AS d, u FROM u), days AS (SELECT DISTINCT event_type, CAST(ts AS DATE) AS day FROM events), j AS (SELECT days.event_type, day, d, u FROM days JOIN p ON p.event_type = days.event_type AND d <= day - 2 AND d > day - 12),
 g AS (SELECT event_type, day, count(DISTINCT d) AS n_days, quantile_cont(u, [{GRID}]) AS taus FROM j GROUP BY 1, 2 HAVING count(DISTINCT d) >= 5), x AS (SELECT g.event_type, day, n_days, f.q, least(greatest(taus[50], 1e-4), 1 - 1e-4) AS tau, taus[50] AS raw FROM g JOIN f ON f.event_type = g.event_type)
 SELECT event_type, strftime(day, '%Y-%m-%d') AS day, n_days, round(raw, 6) AS tau50, round({QUANTILE_SQL}, 6) AS median FROM x""")

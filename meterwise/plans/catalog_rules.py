@@ -9,6 +9,7 @@ from meterwise.functions import calendar as C
 from meterwise.functions import quantiles as Q
 from meterwise.functions import timekit as K
 from meterwise.operators import joins as J
+from meterwise.operators.recalibration import trailing_levels
 from meterwise.plans.catalog import DAYS, GRID, HOURS, LEVELS_SQL, NAIVE, PITS, T, WIDE, by_type, events, forecast_events, forecasts, naives, query, r6, table, wide
 from meterwise.sources import payloads as P
 
@@ -85,10 +86,10 @@ SELECT event_type, strftime(start, '%Y-%m-%d') AS start, count(*) AS n, count(DI
 def Q04_weekly_recalibration(spark, sf_dir):
     """The levels to serve from each step's start on, fitted on the fortnight to the second day before it."""
     starts = spark.sql("SELECT explode(sequence(DATE'2024-01-08', DATE'2024-01-30', INTERVAL 7 DAYS)) AS start")
-    asked = starts.select("start", F.explode(F.sequence(F.lit(2), F.lit(15))).alias("k")).select("start", F.date_sub("start", F.col("k")).alias("d"))
-    pits = forecast_events(spark, sf_dir).select("event_type", F.to_date("ts").alias("d"), Q.pit(F.col("q"), F.col("value")).alias("u"))
-    x = pits.join(F.broadcast(asked), "d").groupBy("event_type", "start").agg(F.count("*").alias("n"), F.count_distinct("d").alias("days"), F.percentile("u", F.array(*[F.lit(v) for v in Q.LEVELS])).alias("t"))
-    return x.select("event_type", F.col("start").cast("string").alias("start"), "n", "days", r6(F.element_at("t", 50)).alias("tau50"), r6(F.element_at("t", 95)).alias("tau95"))
+    pits = forecast_events(spark, sf_dir).select("event_type", F.to_date("ts").alias("day"), Q.pit(F.col("q"), F.col("value")).alias("u"))
+    asked = pits.select("event_type").distinct().crossJoin(F.broadcast(starts)).withColumnRenamed("start", "day")  # a row for each type and step
+    x = trailing_levels(pits, asked, ["event_type"], window=14)
+    return x.select("event_type", F.col("day").cast("string").alias("start"), "n", F.col("n_days").alias("days"), r6(F.element_at("taus", 50)).alias("tau50"), r6(F.element_at("taus", 95)).alias("tau95"))
 
 
 @query(f"WITH {WIDE} SELECT strftime(CAST(t AS DATE), '%Y-%m-%d') AS day, count(click) = 24 AND count(view) = 24 AS complete, CAST(48 - count(click) - count(view) AS BIGINT) AS lacking FROM w GROUP BY CAST(t AS DATE)")

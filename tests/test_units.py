@@ -13,9 +13,9 @@ from meterwise.functions import calendar as C
 from meterwise.functions import quantiles as Q
 from meterwise.functions import timekit as K
 from meterwise.models import lear, mix, nets, trees
-from meterwise.operators import areas, joins, metrics, outages, weather
+from meterwise.operators import areas, joins, metrics, outages, recalibration, weather
+from meterwise.operators.recalibration import recalibration_levels
 from meterwise.plans import feature_table, site
-from meterwise.plans.catalog import recalibration_levels
 from meterwise.sources import payloads, tables
 from meterwise.streaming import hourly
 
@@ -492,3 +492,48 @@ def test_stream_means_and_upserts(spark, tmp_path):
     for turn in range(2):
         hourly.start_upserts(renamed, str(tmp_path / "out"), str(tmp_path / f"cp{turn}"), ["k", "t"]).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 12
+
+
+def test_bounds_below_counts_bounds(spark):
+    for bounds, kind, values in (([], "long", [1, None]), ([3], "long", [2, 3, 4, None]), (sorted([5, 1, 9, 9, 12, 40, 41]), "long", [*range(-1, 45), None]), (["", "a", "ab", "b", "é"], "string", ["", "a", "aa", "ab", "z", "ü", None])):
+        df = spark.createDataFrame([(v,) for v in values], f"x {kind}")
+        got = df.select("x", K.bounds_below(bounds, F.col("x"), kind).alias("a"), K.bounds_below(bounds, F.col("x"), kind, equal=True).alias("b")).collect()
+        key = lambda v: v.encode() if isinstance(v, str) else v
+        assert [(r.a, r.b) for r in got] == [(0, 0) if r.x is None else (sum(key(b) < key(r.x) for b in bounds), sum(key(b) <= key(r.x) for b in bounds)) for r in got]
+
+
+@pytest.mark.parametrize("most", [1 << 23, 0])
+def test_trailing_levels_are_quantiles_of_the_days(spark, most):
+    rng = np.random.default_rng(6)
+    first = date(2023, 1, 1)
+    rows = [(k, first + timedelta(days=int(d)), float(u)) for k in ("a", None) for d in range(0, 90) if d % 7 and not 40 < d < 60 for u in rng.choice(20, rng.integers(1, 9)) / 20]
+    asks = [(k, first + timedelta(days=d)) for k in ("a", None, "none") for d in (0, 1, 2, 3, 20, 39, 58, 59, 61, 75, 91, 92, 300, 20)]
+    values = frame(spark, [*rows, ("a", None, 0.5), ("a", first, None)], "s string, day date, u double")
+    got = recalibration.trailing_levels(values, frame(spark, [*asks, ("a", None)], "s string, day date"), ["s"], window=10, levels=[0.0, 0.1, 0.5, 1.0], most=most).collect()
+    want = {}
+    for k, day in asks:
+        own = [(d, u) for s, d, u in rows if s == k and day - timedelta(days=11) <= d <= day - timedelta(days=2)]
+        if own:
+            want[k, day] = (len(own), len({d for d, _ in own}), np.quantile([u for _, u in own], [0.0, 0.1, 0.5, 1.0]).tolist())
+    assert len(got) == len(want) and len(want) >= 12
+    for r in got:
+        n, n_days, taus = want[r.s, r.day]
+        assert (r.n, r.n_days) == (n, n_days) and r.taus == pytest.approx(taus)
+
+
+def test_a_value_goes_to_two_blocks_whatever_the_window(spark):
+    days = frame(spark, [(date(2020, 1, 1) + timedelta(days=i),) for i in range(900)], "day date").withColumn("s", F.lit("x"))
+    got = recalibration.trailing_levels(days.withColumn("u", F.rand(1)), days, ["s"], window=365)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(array(") == 1 and "Join" not in plan and got.where("n_days = 365").count() == 900 - 366
+
+
+def test_frames_that_look_ahead_are_linear_in_the_series(spark):
+    import time
+
+    n = 60_000
+    df = spark.range(n).selectExpr("'s' AS k", "timestampadd(HOUR, id, TIMESTAMP_NTZ'2000-01-01') AS t", "if(id % 50 = 7, id * 1.0D, null) AS v")
+    began = time.time()
+    filled = K.fill_edges(df, ["v"], ["k"]).agg(F.count("v"), F.min("v")).first()
+    lines = K.interpolate(df, "v", ["k"]).agg(F.count("v"), F.max("v")).first()
+    assert tuple(filled) == (n, 7.0) and tuple(lines) == (n - 7, 59_957.0) and time.time() - began < 60
