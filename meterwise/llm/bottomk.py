@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterwise.functions.timekit import bounds_below
 from meterwise.llm.common import documents, partitions
 
 WORDS = 5
@@ -74,9 +75,8 @@ def ranges_with_next(docs: DataFrame, per_partition: int = 2) -> tuple[DataFrame
     got = rows.agg(F.percentile_approx("doc_id", [i / m for i in range(m)], 100 * m), F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     first = None if got[2] else got[1]
     cuts = sorted(c for c in set(got[0] or []) if first is None or c > first)
-    bound = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    rng = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(bound, lambda b: b <= F.col("doc_id"))))
-    before = F.when(F.array_contains(bound, F.col("doc_id")), rng - 1)
+    rng = bounds_below(cuts, F.col("doc_id"), "bigint", equal=True)
+    before = F.when(rng > bounds_below(cuts, F.col("doc_id"), "bigint"), rng - 1)  # it is one of the cuts
     last = F.when(F.col("doc_id").eqNullSafe(F.lit(first).cast("long")), F.lit(len(cuts)))
     places = F.array_compact(F.array(F.struct(rng.alias("r"), F.lit(0).alias("g")), F.when(before.isNotNull(), F.struct(before.alias("r"), F.lit(1).alias("g"))), F.when(last.isNotNull(), F.struct(last.alias("r"), F.lit(2).alias("g")))))
     dealt = rows.withColumn("_p", F.explode(places)).select("doc_id", "text", F.col("_p.r").alias("_rng"), F.col("_p.g").alias("_guest"))

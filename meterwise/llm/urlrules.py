@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwise.llm.common import partitions
+from meterwise.functions.timekit import bounds_below
+from meterwise.llm.common import cut, partitions
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST = "\U0010ffff"
@@ -37,23 +38,42 @@ def host_key(host):
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(".")))
 
 
+class Level:
+    """The rules of one host: by path, each path once, and the lengths of paths, longest first."""
+
+    def __init__(self, key: str):
+        self.key, self.by_path, self.lengths = key, {}, None
+
+    def add(self, path: str, rule: str, verdict: str) -> None:
+        last = self.by_path.get(path)
+        if last is None or (verdict, rule) < (last[1], last[0]):
+            self.by_path[path] = rule, verdict
+        self.lengths = None
+
+    def longest(self, path: str) -> tuple[str, str] | None:
+        """Rule and verdict of the longest path that the given one starts with: a look-up for each length."""
+        if self.lengths is None:
+            self.lengths = sorted(set(map(len, self.by_path)), reverse=True)
+        return next((self.by_path[path[:n]] for n in self.lengths if n <= len(path) and path[:n] in self.by_path), None)
+
+
 def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of (range, key, rules first); the stack holds (key, [(path, rule, verdict)...])."""
+    """Rows in order of (range, key, rules first); the stack holds the open hosts' rules, innermost on top."""
     at, stack = None, []
     for rows in batches:
         out = []
         for i, (rng, key, kind, path, rule, verdict) in enumerate(rows[["rng", "key", "kind", "path", "rule", "verdict"]].itertuples(index=False)):
             if rng != at:
                 at, stack = rng, []
-            while stack and not key.startswith(stack[-1][0]):
+            while stack and not key.startswith(stack[-1].key):
                 stack.pop()
             if kind == 0:
-                if not stack or stack[-1][0] != key:
-                    stack.append((key, []))
-                stack[-1][1].append((path, rule, verdict))
+                if not stack or stack[-1].key != key:
+                    stack.append(Level(key))
+                stack[-1].add(path, rule, verdict)
                 continue
-            found = next(((r, v) for _, own in reversed(stack) for p, r, v in sorted(own, key=lambda x: (-len(x[0]), x[2], x[1])) if path.startswith(p)), (None, None)) if key else (None, None)
-            out.append((i, *found))
+            found = next((hit for level in reversed(stack) if (hit := level.longest(path))), None) if key else None
+            out.append((i, *(found or (None, None))))
         if out:
             idx, rule, verdict = zip(*out, strict=True)
             got = rows.iloc[list(idx)]
@@ -67,9 +87,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
     n = partitions(spark)
     bounds = _bounds(urls, n)
-    bound = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
-    below = lambda key: F.size(F.filter(bound, lambda b: b < key))
-    upto = lambda key: F.size(F.filter(bound, lambda b: b <= key))
+    below = lambda key: bounds_below(bounds, key, "string")
+    upto = lambda key: bounds_below(bounds, key, "string", equal=True)
     # equal keys may go to any range whose bounds they meet; so one host is never one task
     lo, hi = below(F.col("key")), upto(F.col("key"))
     urls = urls.select(
@@ -87,7 +106,7 @@ def _bounds(urls: DataFrame, n: int) -> list[str]:
 
     From a sketch whose size depends on n alone: the heaviest keys, and for the others a sample by hash.
     """
-    counted = urls.groupBy("key").count()
+    counted = cut(urls.groupBy("key").count())  # the URLs are read once for it
     heavy = {r[0]: r[1] for r in counted.orderBy(F.desc("count"), "key").limit(4 * n).collect()}
     light = {r[0]: r[1] for r in counted.orderBy(F.xxhash64("key"), "key").limit(64 * n).collect() if r[0] not in heavy}
     rest = counted.agg(F.sum("count")).first()[0] or 0

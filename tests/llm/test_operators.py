@@ -193,6 +193,22 @@ def test_tiling_finds_reordered_passages(spark, empty):
     assert tiling.scores(empty, items).count() == 0 and tiling.scores(spark.createDataFrame([(1, "a")], DOCS), items.limit(0)).count() == 1
 
 
+def test_a_hundred_thousand_rules_of_one_host(spark):
+    """Rules are put in order once, not for each URL; the longest path that fits still wins."""
+    import time
+
+    rules = spark.range(100_000).selectExpr("'big.example' AS host", "concat('/', id % 100, '/', id) AS path", "if(id % 2 = 0, 'block', 'allow') AS verdict")
+    rules = rules.unionByName(spark.createDataFrame([("example", "/", "block"), ("big.example", "/7/", "allow"), ("big.example", "/7/", "block")], "host string, path string, verdict string"))
+    pages = spark.range(20_000).selectExpr("id AS page_id", "concat('http://www.big.example/', id % 100, '/', id, '?q') AS url")
+    pages = pages.unionByName(spark.createDataFrame([(-1, "http://big.example/7/x"), (-2, "http://big.example/zz"), (-3, "http://example/"), (-4, "http://other/7/7")], "page_id long, url string"))
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in urlrules.judge(pages, rules).collect()}
+    assert time.time() - began < 90
+    # /5/105 also starts with the rule of /5/10 or /5/1, if there is one; the longest wins
+    assert all(got[i] == (f"big.example/{i % 100}/{i}", "block" if i % 2 == 0 else "allow") for i in range(20_000))
+    assert got[-1] == ("big.example/7/", "allow") and got[-2] == ("example/", "block") and got[-3] == ("example/", "block") and got[-4] == (None, "allow")
+
+
 def brute_coverage(doc, item, least=5):
     """Item tokens covered: the longest common run of unmarked tokens is marked until none of `least` is left."""
     k, marked_doc, marked_item, covered = min(least, len(item)), set(), set(), 0
