@@ -761,11 +761,16 @@ def day_arrays(spark, sf_dir) -> DataFrame:
     return x.where(F.size("x") == 24).select("series", "day", of("click").alias("price"), F.array(of("view"), of("error")).alias("exog"))
 
 
+def shipped_hours(spark, sf_dir, **values) -> DataFrame:
+    """series, t and means by hour of all of lineitem over its years, as named; gaps are filled forward first."""
+    t = F.col("l_shipdate").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("l_quantity").cast("int") % 24)
+    hours = table(spark, sf_dir, "lineitem").groupBy(t.alias("t")).agg(*[F.avg(v).alias(k) for k, v in values.items()]).withColumn("series", F.lit("all"))
+    return K.fill_edges(K.dense(hours, ["series"]), list(values), ["series"])
+
+
 def shipped_days(spark, sf_dir) -> DataFrame:
-    """series, day, price (24), exog (2 x 24): hourly means of all of lineitem over its years; gaps are filled forward first."""
-    x = table(spark, sf_dir, "lineitem").select((F.col("l_shipdate").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("l_quantity").cast("int") % 24)).alias("t"), F.col("l_extendedprice") / 1000.0, "l_tax", "l_discount").toDF("t", "price", "load", "res")
-    hours = x.groupBy("t").agg(*[F.avg(c).alias(c) for c in ("price", "load", "res")]).withColumn("series", F.lit("all"))
-    hours = K.fill_edges(K.dense(hours, ["series"]), ["price", "load", "res"], ["series"])
+    """series, day, price (24), exog (2 x 24) of lineitem's years."""
+    hours = shipped_hours(spark, sf_dir, price=F.col("l_extendedprice") / 1000.0, load=F.col("l_tax"), res=F.col("l_discount"))
     days = hours.groupBy("series", F.to_date("t").alias("day")).agg(F.array_sort(F.collect_list(F.struct(F.hour("t").alias("h"), "price", "load", "res"))).alias("x"))
     return days.where(F.size("x") == 24).select("series", "day", F.col("x.price").alias("price"), F.array("x.load", "x.res").alias("exog"))
 
@@ -812,6 +817,22 @@ def M05_boosted_trees(spark, sf_dir):
     return out.select(K.stamp("t").alias("t"), r6("pred").alias("pred"), r6("v").alias("v"))
 
 
+@query("""WITH r AS (SELECT l_returnflag AS target, CAST(date_trunc('month', l_shipdate) AS DATE) AS m, CAST(l_linestatus = 'O' AS INT) AS x, l_quantity AS y FROM lineitem),
+g AS (SELECT target, m, x, count(*) AS n, sum(y) AS s FROM r GROUP BY ALL), a AS (SELECT DISTINCT target, m, k.x FROM g, (VALUES (0), (1)) k(x)),
+w AS (SELECT a.target, a.m, a.x, sum(g.n) AS n, sum(g.s) / sum(g.n) AS every, sum(g.s) FILTER (WHERE g.x = a.x) / sum(g.n) FILTER (WHERE g.x = a.x) AS own FROM a JOIN g ON g.target = a.target AND g.m < a.m AND g.m >= a.m - INTERVAL 3 MONTH GROUP BY ALL HAVING sum(g.n) >= 50)
+SELECT target, strftime(m, '%Y-%m-%d') AS month, CAST(x AS BIGINT) AS x, round(coalesce(own, every), 5) AS pred FROM w""")
+def M05_trees_of_one_split(spark, sf_dir):
+    """One split of a model for each flag and month: the mean of its side over the three months before."""
+    from meterwise.models import boosted
+
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("target"), F.col("l_shipdate").cast("timestamp_ntz").alias("t"), F.array((F.col("l_linestatus") == "O").cast("double")).alias("x"), F.col("l_quantity").cast("double").alias("y"))
+    months = rows.select("target", boosted.period_of(F.col("t"), "month").alias("period")).distinct()
+    models = boosted.fitted(rows, months, reach=3, rounds=1, rate=1.0, depth=1, least=1)
+    ask = months.select("target", F.col("period").cast("timestamp_ntz").alias("t"), F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("v")).withColumn("t", F.col("t") + F.make_dt_interval(hours=F.col("v").cast("int"))).withColumn("x", F.array("v"))
+    got = boosted.served(ask, models)
+    return got.select("target", F.date_format("t", "yyyy-MM-01").alias("month"), F.hour("t").cast("long").alias("x"), F.round("pred", 5).alias("pred"))
+
+
 @query(None)
 def M08_net_ensemble(spark, sf_dir):
     from meterwise.models import nets

@@ -13,8 +13,8 @@ from meterwise.operators import metrics as M
 from meterwise.operators import outages as O
 from meterwise.operators import weather as Wx
 from meterwise.plans import site
-from meterwise.plans.catalog import GRID, LEVELS_SQL, LINES, QUARTERS, SQL, T, WIDE, day_arrays, events, forecasts, lines, quarters, query, r6, table, wide
-from meterwise.production import archive, day, learned, run, shape
+from meterwise.plans.catalog import GRID, LEVELS_SQL, LINES, QUARTERS, SQL, T, WIDE, day_arrays, events, forecasts, lines, quarters, query, r6, shipped_hours, table, wide
+from meterwise.production import archive, day, learned, run, shape, surrogates
 from meterwise.sources import payloads as P
 from meterwise.sources import tables
 
@@ -448,6 +448,28 @@ def M16_refits(spark, sf_dir):
     return day.refits("2024-01-10", "2024-01-29", 7, spark).select(F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end_"))
 
 
+@query(None)
+def M14_own_renewables(spark, sf_dir):
+    """Three targets by rolling months of lineitem's last quarter, each from the year before its month."""
+    flag = lambda f: F.when(F.col("l_returnflag") == f, F.col("l_extendedprice"))
+    x = kept(shipped_hours(spark, sf_dir, tax=F.col("l_tax"), discount=F.col("l_discount"), onshore=flag("A"), offshore=flag("N"), solar=flag("R"), full=F.col("l_extendedprice") + 1))
+    first = x.agg(F.add_months(F.trunc(F.max("t"), "month"), -2).cast("string")).first()[0]
+    caps = {c: f"{c}_cap" for c in ("onshore", "offshore", "solar")}
+    capacity = x.select("t", *[(F.col("full") * k).alias(c) for k, c in enumerate(caps.values(), 1)])
+    parts = surrogates.own_renewables(x.select("t", "tax", "discount"), x.select("t", *caps), capacity, caps, first, reach=12, rounds=60)
+    return parts.select(K.stamp("t").alias("t"), "target", r6("mw").alias("mw"))
+
+
+@query(None)
+def M14_load_surrogate(spark, sf_dir):
+    """The load of lineitem's last quarter from what is out two days before, by rolling months."""
+    x = kept(shipped_hours(spark, sf_dir, tax=F.col("l_tax"), load=F.col("l_extendedprice")))
+    first = x.agg(F.add_months(F.trunc(F.max("t"), "month"), -2).cast("string")).first()[0]
+    days = x.select(F.to_date("t").alias("day")).distinct().withColumn("share", (F.dayofmonth("day") == 1).cast("double"))
+    got = surrogates.load_surrogate(x.select("t", "tax"), x.select("t", F.col("load").alias("v")), days, first, day_before=True, reach=12, rounds=60)
+    return got.select(K.stamp("t").alias("t"), r6("mw").alias("mw"))
+
+
 @query(f"""WITH {FILLED}, f AS (SELECT t, greatest(0, CASE WHEN view > 0 THEN click / view END * 1.5 * view) AS v FROM e) SELECT {T.format('t')} AS t, round(v, 5) AS mw FROM f""")
 def M14_capacity_round_trip(spark, sf_dir):
     """MW to capacity factor, a forecast of it (here one and a half times), and back to MW above zero."""

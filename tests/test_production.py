@@ -1,14 +1,15 @@
 """A delivery day: what the gate must not see, errors instead of stale inputs, learned mixes, quarters, runs, archives."""
 
+import math
 from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterwise.models import mix
+from meterwise.models import boosted, mix
 from meterwise.plans import catalog, catalog_day
-from meterwise.production import archive, day, learned, run, shape
+from meterwise.production import archive, day, learned, run, shape, surrogates
 from meterwise.sources import tables
 
 T0 = datetime(2024, 1, 1)
@@ -231,3 +232,88 @@ def test_ranks_and_tiles_are_the_window_s(spark, tiles, n):
     w = Window.orderBy("v", "i")
     want = df.withColumn("n", F.row_number().over(w).cast("long")).withColumn("q", F.ntile(tiles).over(w).cast("long"))
     assert sorted(map(tuple, got.select("i", "n", "q").collect())) == sorted(map(tuple, want.select("i", "n", "q").collect()))
+
+
+# ---- boosted trees and what they stand in for
+
+def test_a_tree_takes_the_best_split_and_the_better_side_for_missing_values():
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 6, (80, 3)).astype(float), rng.normal(0, 1, 80)
+    y += 3 * (x[:, 1] > 2)
+    x[rng.random((80, 3)) < 0.15] = np.nan
+    got = boosted.Trees(rounds=1, rate=1.0, depth=1, least=5).fit(x, y)
+    gains = []
+    for f in range(3):
+        have = np.unique(x[~np.isnan(x[:, f]), f])
+        for cut in (have[1:] + have[:-1]) / 2:
+            for missing in (True, False):
+                left = np.where(np.isnan(x[:, f]), missing, x[:, f] <= cut)
+                if 5 <= left.sum() <= 75:
+                    gains.append(-sum(((y[s] - y[s].mean()) ** 2).sum() for s in (left, ~left)))
+    assert -((y - got.predict(x)) ** 2).sum() == pytest.approx(max(gains))
+    again = boosted.Trees.from_bytes(got.to_bytes())
+    assert again.depth == 1 and (again.predict(x) == got.predict(x)).all()
+
+
+def test_more_rounds_fit_better_and_constants_stay():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (500, 4))
+    y = np.sin(2 * x[:, 0]) + x[:, 1] * (x[:, 2] > 0) + rng.normal(0, 0.1, 500)
+    errors = [((boosted.Trees(rounds=r, depth=4).fit(x[:400], y[:400]).predict(x[400:]) - y[400:]) ** 2).mean() for r in (1, 20, 150)]
+    assert errors[0] > errors[1] > errors[2] and errors[2] < 0.25 * y.var()
+    assert (boosted.Trees(rounds=3).fit(x, np.full(500, 7.0)).predict(x) == 7.0).all()
+    assert boosted.Trees(rounds=3).fit(np.full((60, 2), np.nan), np.arange(60.0)).predict(np.full((1, 2), np.nan)) == pytest.approx(29.5)
+
+
+@pytest.fixture(scope="module")
+def year(spark):
+    """Hours of two quarters: weather that says much, a weekly load, and capacities that grow."""
+    rng = np.random.default_rng(9)
+    first = datetime(2023, 1, 1)
+    rows = []
+    for i in range(24 * 150):
+        t = first + timedelta(hours=i)
+        wind, sun, warm = float(rng.random()), max(0.0, math.sin((t.hour - 6) / 12 * math.pi)) * float(rng.random()), float(rng.normal(10, 5))
+        load = 50 + 8 * math.sin(2 * math.pi * t.hour / 24) - 6 * (t.weekday() > 4) - 0.5 * warm + float(rng.normal(0, 0.5))
+        cap = 20 + i / 500
+        rows.append((t, wind, sun, warm, load, cap, cap * min(1.0, wind**2 * 1.5), 2 * cap * sun))
+    return spark.createDataFrame(rows, "t timestamp_ntz, wind double, sun double, warm double, load double, cap double, onshore double, solar double")
+
+
+def test_own_renewables_by_rolling_months_do_not_read_what_is_hidden(spark, year):
+    targets = {"onshore": "cap", "solar": "cap2"}
+    run = lambda df: surrogates.own_renewables(df.select("t", "wind", "sun"), df.select("t", *targets), df.select("t", "cap", (2 * F.col("cap")).alias("cap2")), targets, "2023-04-01", reach=4, rounds=40, depth=4)
+    parts = {(r.t, r.target): r.mw for r in run(year).collect()}
+    truth = {(r.t, c): r[c] for r in year.where("t >= '2023-04-01'").collect() for c in targets}
+    assert set(parts) == set(truth) and all(v >= 0 for v in parts.values())
+    past = {(r.t + timedelta(days=7), c): r[c] for r in year.collect() for c in targets}
+    error = lambda of: np.mean([abs(of[k] - truth[k]) for k in truth])
+    assert error(parts) < 0.5 * error(past)
+    # April's forecasts don't depend on April's values, nor May's on May's; May's do on April's
+    hide = lambda since: year.withColumns({c: F.when(F.col("t") >= F.lit(since).cast("timestamp_ntz"), F.lit(999.0)).otherwise(F.col(c)) for c in targets})
+    april = {(r.t, r.target): r.mw for r in run(hide("2023-04-01")).collect()}
+    assert all(april[k] == parts[k] for k in parts if k[0] < datetime(2023, 5, 1)) and any(april[k] != parts[k] for k in parts if k[0] >= datetime(2023, 5, 1))
+    may = {(r.t, r.target): r.mw for r in run(hide("2023-05-01")).collect()}
+    assert may == parts
+    total = {r.t: r.mw for r in surrogates.total_of(run(year), 2).collect()}
+    assert total[datetime(2023, 4, 3, 12)] == pytest.approx(sum(parts[datetime(2023, 4, 3, 12), c] for c in targets))
+
+
+def test_load_surrogate_reads_no_hour_that_is_not_out(spark, year):
+    days = spark.createDataFrame([(date(2023, 4, 10), 1.0), (date(2023, 1, 6), 0.4)], "day date, share double")
+    run = lambda df: {r.t: r.mw for r in surrogates.load_surrogate(year.select("t", "warm"), df, days, "2023-04-01", day_before=True, reach=4, rounds=40, depth=4).collect()}
+    load = year.select("t", F.col("load").alias("v"))
+    got = run(load)
+    truth = {r.t: r.v for r in load.where("t >= '2023-04-01'").collect()}
+    plain = {r.t: r.mw for r in surrogates.week_before(load).collect()}
+    assert set(got) == set(truth)
+    error = lambda of: np.mean([abs(of[t] - truth[t]) for t in truth])
+    assert error(got) < 0.7 * error(plain)
+    # for the 20th of April nothing from its own day on counts, nor the last two hours of the day before
+    day = datetime(2023, 4, 20)
+    hidden = load.withColumn("v", F.when(F.col("t") >= F.lit(day - timedelta(hours=2)), F.lit(1e6)).otherwise(F.col("v")))
+    changed = run(hidden)
+    assert all(changed[t] == got[t] for t in got if t < day + timedelta(days=1))
+    assert any(changed[t] != got[t] for t in got if t >= day + timedelta(days=1))
+    gone = surrogates.missing_weather(year.select("t"), spark.createDataFrame([(day,), (datetime(2024, 1, 1),)], "t timestamp_ntz")).collect()
+    assert [r.t for r in gone] == [datetime(2024, 1, 1)]
