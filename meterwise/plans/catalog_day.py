@@ -14,9 +14,10 @@ from meterwise.operators import outages as O
 from meterwise.operators import weather as Wx
 from meterwise.plans import site
 from meterwise.plans.catalog import GRID, LEVELS_SQL, LINES, QUARTERS, SQL, T, WIDE, day_arrays, events, forecasts, lines, quarters, query, r6, shipped_hours, table, wide
-from meterwise.production import archive, day, learned, run, shape, surrogates
+from meterwise.production import archive, day, learned, run, shape, surrogates, weather_table
 from meterwise.sources import payloads as P
 from meterwise.sources import tables
+from meterwise.sources.store import Store
 
 # ---- the stand-in for a market: wide hours with gaps filled, and one hole that is left
 
@@ -67,12 +68,12 @@ def S11_capacity_months(spark, sf_dir):
     return P.gw_by_month(x, "label", ["solar"]).select(F.to_date("t").cast("string").alias("t"), r6("solar_mw").alias("solar_mw"))
 
 
-@query("SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS t, round(value, 2) AS mw FROM events WHERE event_type = 'view'")
+@query("SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS t, round(value, 2) AS mw FROM events")
 def S12_german_csv(spark, sf_dir):
     """Lines with semicolons, points for thousands and decimal commas, and back."""
     number = F.translate(F.format_number("value", 2), ".,", ",.")
     text = F.concat_ws(";", F.date_format("ts", "dd.MM.yyyy"), F.date_format("ts", "HH:mm"), number)
-    x = P.german_csv(events(spark, sf_dir).where("event_type = 'view'").select(text.alias("value")), ["Datum", "von", "A (MW)"])
+    x = P.german_csv(events(spark, sf_dir).select(text.alias("value")), ["Datum", "von", "A (MW)"])
     return x.select(K.stamp("t").alias("t"), F.round("A (MW)", 2).alias("mw"))
 
 
@@ -193,23 +194,22 @@ def backfilled(spark, sf_dir) -> tuple[str, list[dict[str, int]]]:
     """Two runs of the backfill over documents made of lineitem; in the first every seventh document fails."""
     root = tables.scratch(spark)
     x = lines(spark, sf_dir).select(F.col("k").cast("string").alias("mrid"), F.col("v").alias("revision"), F.col("a").alias("start"), F.col("b").alias("end"), "mw", F.when(F.col("k") % 3 == 0, "B16").otherwise("B04").alias("plant_type"), F.date_format("a", "yyyy-MM").alias("month"))
-    months = x.where("month < '1995-07'").select("month").distinct()
+    months = x.select("month").distinct()
     latest = lambda m: O.latest(x.join(m, "month", "left_semi"))
     counts = []
     for fails in (F.col("mrid").cast("long") % 7 == 0, F.lit(False)):
         fetch = lambda asked, fails=fails: asked.select("mrid").join(x, "mrid").withColumn("failed", fails)
-        counts.append(archive.backfill(spark, root, months, latest, fetch, ["B16"], since="1995-03"))
+        counts.append(archive.backfill(spark, root, months, latest, fetch, ["B16"]))
     return root, counts
 
 
-@query("""WITH x AS (SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS v, l_shipdate AS a, strftime(l_shipdate, '%Y-%m') AS month FROM lineitem), f AS (SELECT k, v, a, month FROM x WHERE month < '1995-07' AND month >= '1995-03'),
-g AS (SELECT k, max(v) AS v FROM (SELECT k, v FROM x WHERE month < '1995-07') y GROUP BY 1), r AS (SELECT f.k, max(f.v) AS m FROM f JOIN g ON g.k = f.k AND g.v = f.v GROUP BY 1),
-c AS (SELECT k FROM r WHERE m > 1 AND k % 3 <> 0 UNION SELECT k FROM x WHERE month = '1995-06' AND k % 3 <> 0 GROUP BY 1 HAVING max(v) > 1) SELECT k AS mrid, count(*) AS revisions, k % 7 = 0 AS retried FROM (SELECT DISTINCT k, v, a FROM x JOIN c USING (k)) GROUP BY 1""")
+@query("SELECT k AS mrid, count(*) AS revisions, k % 7 = 0 AS retried FROM (SELECT DISTINCT l_orderkey AS k, l_linenumber AS v, l_shipdate AS a FROM lineitem) x WHERE k % 3 <> 0 GROUP BY 1 HAVING max(v) > 1")
 def S23_revision_backfill(spark, sf_dir):
-    """Revisions of the documents that changed, after a run in which some failed and one that asked again (and fetched the
-    last month anew)."""
+    """Revisions of all documents that have several, after a run in which some failed and one that asked again (and fetched
+    the last month anew)."""
     root, _ = backfilled(spark, sf_dir)
-    x = spark.read.parquet(f"{root}/revisions").groupBy(F.col("mrid").cast("long").alias("mrid")).agg(F.count("*").alias("revisions"))
+    rows = Store(spark, root).read("revisions", "mrid string, revision long, start timestamp_ntz")
+    x = rows.groupBy(F.col("mrid").cast("long").alias("mrid")).agg(F.count("*").alias("revisions"))
     return x.withColumn("retried", F.col("mrid") % 7 == 0)
 
 
@@ -345,6 +345,28 @@ def M18_weather_vintage(spark, sf_dir):
     return Wx.by_vintage(x, ["day"]).select(F.col("day").cast("string").alias("day"), F.col("h").cast("long").alias("run_hour"), r6("v").alias("v"))
 
 
+@query("""WITH h AS (SELECT date_trunc('hour', ts) AS t, avg(value) FILTER (WHERE user_id % 2 = 0) AS p, avg(value) FILTER (WHERE user_id % 2 = 1) AS f FROM events GROUP BY 1), d AS (SELECT *, dayofmonth(t) AS n FROM h),
+u AS (SELECT CAST(t AS DATE) AS day, bool_or(p IS NOT NULL) AS has_p, bool_or(f IS NOT NULL) AS has_f FROM d GROUP BY 1),
+k AS (SELECT t, CASE WHEN n % 2 = 0 AND has_p THEN p WHEN n % 3 = 0 AND has_p THEN p + 2000 WHEN n % 5 <> 0 THEN f END AS v, CASE WHEN n % 2 = 0 AND has_p THEN 2 WHEN n % 3 = 0 AND has_p THEN 2 WHEN n % 5 <> 0 AND has_f THEN 1 END AS vintage FROM d JOIN u ON u.day = CAST(d.t AS DATE))
+SELECT strftime(t, '%Y-%m-%d %H:%M:%S') AS t, vintage, round(v, 6) AS v FROM k WHERE v IS NOT NULL""")
+def M18_weather_table(spark, sf_dir):
+    """A stored table after three runs: fallbacks of most days and primaries of even ones; then other fallbacks, which change
+    nothing, and primaries of every third day; then the same again without leave to fall back."""
+    x = kept(events(spark, sf_dir).groupBy(K.trunc("hour", "ts").alias("t")).agg(F.avg(F.when(F.col("user_id") % 2 == 0, F.col("value"))).alias("p"), F.avg(F.when(F.col("user_id") % 2 == 1, F.col("value"))).alias("f")))
+    n, day_of = F.dayofmonth("t"), F.to_date("t")
+    at = lambda back, hour: F.date_sub(day_of, back).cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(hour))
+    primary = lambda where, more: x.where(where & F.col("p").isNotNull()).select(at(1, 0).alias("run_time"), "t", (F.col("p") + more).alias("v"))
+    fallback = lambda where, more: x.where(where & F.col("f").isNotNull()).select(at(2, 12).alias("run_time"), "t", (F.col("f") + more).alias("v"))
+    store = Store(spark, tables.scratch(spark))
+    most = n % 5 != 0
+    weather_table.update(store, primary(n % 2 == 0, 0).unionByName(fallback(most, 0)), True)
+    later = primary(n % 3 == 0, 2000).unionByName(fallback(most, 1000))
+    weather_table.update(store, later, True)
+    weather_table.update(store, later.unionByName(fallback(F.lit(True), 3000)), False)
+    got = weather_table.read(store, later)
+    return got.select(K.stamp("t").alias("t"), "vintage", r6("v").alias("v"))
+
+
 # ---- training rows and gate inputs
 
 @query(f"""WITH {MARKET}, mo AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-15', TIMESTAMP '2024-01-29', INTERVAL 7 DAY)) AS DATE) AS monday)

@@ -3,29 +3,15 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterwise.operators import outages
-from meterwise.sources.tables import exists
-
-
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
-
-
-def _replace(df: DataFrame, path: str) -> None:
-    """Write beside the old table under a new name first, since Spark can't overwrite what it reads."""
-    spark, staged = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    p = spark._jvm.org.apache.hadoop.fs.Path
-    fs = p(staged).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(p(path), True)
-    if not fs.rename(p(staged), p(path)):
-        raise OSError(f"could not move {staged} to {path}")
+from meterwise.sources.store import Store
+from meterwise.sources.tables import exists, remove, scratch
 
 
 PENDING = "mrid string, month string"
@@ -43,36 +29,44 @@ def backfill(spark: SparkSession, root: str, months: DataFrame, fetch_latest: Ca
     """Fetch the latest state of each month's documents and all revisions of those that changed; what fails is retried.
 
     months: month (yyyy-MM). fetch_latest(months) gives rows of outage documents with their month; fetch_revisions(mrid,
-    month) gives rows with `failed`, true for documents that could not be had. Tables under root: latest (by month),
-    revisions (each (mrid, revision, start) once) and pending (the queue, which the next run asks for again). Known
-    documents are not asked for twice; months before `since` keep their latest state alone.
+    month) gives rows with `failed`, true for documents that could not be had. Tables of the store at root: latest (by month),
+    revisions (each (mrid, revision, start) once, by month of the document's first state) and pending (the queue, which the
+    next run asks for again). All three change in one commit, so a run that stops anywhere is as one that never began. Known
+    documents are not asked for twice, months that didn't change and revisions once stored aren't written again; months before
+    `since` keep their latest state alone.
     """
-    pending = _table(spark, f"{root}/pending", PENDING)
+    store = Store(spark, root)
     schema = fetch_latest(months.limit(0)).schema
-    stored = spark.read.schema(schema).parquet(f"{root}/latest") if exists(spark, f"{root}/latest") else spark.createDataFrame([], schema)
-    landed = f"{root}/landed.{uuid.uuid4().hex}"
-    fetch_latest(months_to_fetch(months, stored)).write.parquet(landed)
+    pending, stored = store.read("pending", PENDING), store.read("latest", schema)
+    landed = scratch(spark)
+    fetch_latest(months_to_fetch(months, stored)).write.parquet(landed)  # asked for once, whatever is recomputed later
     fresh = spark.read.schema(schema).parquet(landed)
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{root}/latest")
     changed = fresh.where(F.col("month") >= since)
     first = changed.groupBy("mrid").agg(F.min("month").alias("month"))
     asked = outages.candidates(changed, renewable).select("mrid").join(first, "mrid")
-    have = exists(spark, f"{root}/revisions")
-    if have:
-        asked = asked.join(spark.read.parquet(f"{root}/revisions").select("mrid").distinct(), "mrid", "left_anti")
+    got_schema = fetch_revisions(pending.limit(0)).schema
+    revision = T.StructType([f for f in got_schema if f.name not in ("failed", "month")] + [T.StructField("month", T.StringType())])
+    known = store.read("revisions", revision)
+    asked = asked.join(known.select("mrid").distinct(), "mrid", "left_anti")
     asked = pending.unionByName(asked.join(pending.select("mrid"), "mrid", "left_anti").select("mrid", "month"))
-    staged = f"{root}/fetched.{uuid.uuid4().hex}"
-    fetch_revisions(asked).write.parquet(staged)  # asked for once, whatever is recomputed later
-    got = spark.read.parquet(staged)
+    fetched = scratch(spark)
+    fetch_revisions(asked).write.parquet(fetched)
+    got = spark.read.schema(got_schema).parquet(fetched)
     failed = got.where("failed").select("mrid").distinct()
-    rows = got.where("not failed").drop("failed")
-    if have:
-        rows = spark.read.parquet(f"{root}/revisions").unionByName(rows, allowMissingColumns=True)
-    queue = asked.join(failed, "mrid")
+    queue = asked.join(failed, "mrid").select("mrid", "month")
+    rows = got.where("not failed").drop("failed", "month").dropDuplicates(["mrid", "revision", "start"]).join(asked, "mrid", "left")
+    # a document in the queue may have revisions that came through before
+    key = ["mrid", "revision", "start"]
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"k.{k}")) for k in key]
+    rows = rows.alias("n").join(known.select(*key).alias("k"), same, "left_anti")
     counts = {"asked": asked.count(), "failed": queue.count()}
-    _replace(queue.select("mrid", "month"), f"{root}/pending.new")
-    _replace(rows.dropDuplicates(["mrid", "revision", "start"]), f"{root}/revisions")
-    _replace(spark.read.schema(PENDING).parquet(f"{root}/pending.new"), f"{root}/pending")
+    with store.commit() as batch:
+        batch.replace("latest", fresh, "month")
+        batch.append("revisions", rows.select(*revision.names), "month")
+        batch.replace("pending", queue)
+    store.sweep()
+    for path in (landed, fetched):
+        remove(spark, path)
     return counts
 
 

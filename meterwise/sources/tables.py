@@ -36,6 +36,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def load(spark: SparkSession, path: str, schema: T.StructType, start: str | None = None, end: str | None = None) -> DataFrame:
     """Rows of [start, end). Files are partitioned by year, so a range prunes them; a missing table is empty."""
     if not exists(spark, path):
@@ -72,8 +77,7 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str]) -> N
     else:
         new = merged(new.limit(0), new, keys)
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
-    p = spark._jvm.org.apache.hadoop.fs.Path(staged)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    remove(spark, staged)
 
 
 def last_time(df: DataFrame) -> DataFrame:

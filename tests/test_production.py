@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from meterwise.models import boosted, mix
 from meterwise.plans import catalog, catalog_day
-from meterwise.production import archive, day, learned, run, shape, surrogates
+from meterwise.production import archive, day, learned, run, shape, surrogates, weather_table
 from meterwise.sources import tables
+from meterwise.sources.store import Conflict, Store
 
 T0 = datetime(2024, 1, 1)
 N = 24 * 26
@@ -202,8 +203,9 @@ def test_run_keeps_replaces_and_picks_up(spark, tmp_path):
 def test_backfill_asks_again_for_what_failed(spark, sf):
     root, counts = catalog_day.backfilled(spark, sf)
     assert counts[0]["failed"] > 0 and counts[1]["failed"] == 0 and counts[1]["asked"] >= counts[0]["failed"]
-    assert spark.read.parquet(f"{root}/pending").count() == 0
-    rows = spark.read.parquet(f"{root}/revisions")
+    store = Store(spark, root)
+    assert store.read("pending", archive.PENDING).count() == 0
+    rows = store.read("revisions", "mrid string, revision long, start timestamp_ntz")
     assert rows.count() == rows.select("mrid", "revision", "start").distinct().count()
 
 
@@ -317,3 +319,82 @@ def test_load_surrogate_reads_no_hour_that_is_not_out(spark, year):
     assert any(changed[t] != got[t] for t in got if t >= day + timedelta(days=1))
     gone = surrogates.missing_weather(year.select("t"), spark.createDataFrame([(day,), (datetime(2024, 1, 1),)], "t timestamp_ntz")).collect()
     assert [r.t for r in gone] == [datetime(2024, 1, 1)]
+
+
+# ---- tables that change as one
+
+def contents(store):
+    return tuple(sorted(map(tuple, store.read(t, "k string, v long").collect()), key=str) for t in "ab")
+
+
+@pytest.mark.parametrize("step", ["_put", "_rename", "_write", "second"])
+def test_a_stop_between_any_two_steps_of_a_commit_loses_nothing(spark, tmp_path, monkeypatch, step):
+    df = lambda *rows: spark.createDataFrame(list(rows), "k string, v long")
+    store = Store(spark, str(tmp_path / "s"))
+    assert contents(store) == ([], []) and store.version() == 0
+    with store.commit() as c:
+        c.append("a", df(("x", 1), ("y", 2), (None, 3)), "k")
+        c.replace("b", df(("q", 9)))
+    first = contents(store)
+    assert first == ([("x", 1), ("y", 2), (None, 3)], [("q", 9)])
+
+    class Stop(Exception):
+        pass
+
+    def stop(*_):
+        raise Stop
+
+    with monkeypatch.context() as m, pytest.raises(Stop):
+        if step == "_write":
+            from meterwise.sources import store as module
+
+            m.setattr(module.Batch, step, stop)
+        elif step != "second":
+            m.setattr(Store, step, stop)
+        with store.commit() as c:
+            c.replace("a", df(("x", 10)), "k")
+            if step == "second":
+                raise Stop
+            c.replace("b", df(("q", 90)))
+    assert contents(store) == first and contents(Store(spark, str(tmp_path / "s"))) == first
+    # the next commit goes through, what was left over is swept, and no partition but x is written again
+    with store.commit() as c:
+        c.replace("a", df(("x", 10)), "k")
+        c.append("b", df(("z", 8)))
+    assert sorted(r.v for r in store.read("a", "k string, v long").collect()) == [2, 3, 10] and contents(store)[1] == [("q", 9), ("z", 8)]
+    assert store.manifest(2)["a"]["y"] == store.manifest(1)["a"]["y"] and store.parts("a") == ["null", "x", "y"]
+    store.sweep(keep=1)
+    named = {f.split("/")[1] for t in store.manifest().values() for own in t.values() for f in own}
+    assert {p.name for p in (tmp_path / "s" / "data").iterdir() if not p.name.startswith(".")} == named and len(list((tmp_path / "s" / "manifests").glob("*.json"))) == 1
+    assert sorted(r.v for r in store.read("a", "k string, v long").collect()) == [2, 3, 10]
+
+
+def test_of_two_commits_on_one_version_one_is_refused(spark, tmp_path):
+    df = spark.createDataFrame([("x", 1)], "k string, v long")
+    one, two = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    with pytest.raises(Conflict):
+        with one.commit() as a:
+            a.append("a", df)
+            with two.commit() as b:
+                b.append("a", df.withColumn("v", F.lit(2).cast("long")))
+    assert contents(one)[0] == [("x", 2)]
+    assert one.read("a", "k string, v long", version=0).count() == 0 and one.read("a", "k string, v long", parts=["none"]).count() == 0
+
+
+def test_a_stored_day_yields_only_to_a_better_vintage(spark, tmp_path):
+    day = date(2024, 3, 5)
+    at = lambda d, h: datetime(d.year, d.month, d.day, h)
+    runs = lambda *rows: spark.createDataFrame(list(rows), "run_time timestamp_ntz, t timestamp_ntz, v double")
+    row = lambda d, back, hour, v: (at(d - timedelta(days=back), hour), at(d, 7), v)
+    store = Store(spark, str(tmp_path))
+    other, late = day + timedelta(days=1), day + timedelta(days=2)
+    assert weather_table.update(store, runs(row(day, 2, 12, 1.0), row(other, 1, 0, 5.0), row(other, 2, 12, 6.0)), False) == [str(other)]
+    assert weather_table.update(store, runs(row(day, 2, 12, 1.0), row(day, 1, 6, 99.0), row(late, 2, 12, 7.0)), True, through=str(other)) == [str(day)]
+    # a fallback never takes the place of anything, a primary run that of a fallback alone, once
+    assert weather_table.update(store, runs(row(day, 2, 12, 2.0), row(other, 2, 12, 2.0)), True) == []
+    assert weather_table.update(store, runs(row(day, 1, 0, 3.0), row(day, 1, 0, 3.0), row(other, 1, 0, 9.0)), True) == [str(day)]
+    assert weather_table.update(store, runs(row(day, 1, 0, 4.0)), True) == []
+    like = runs(row(day, 1, 0, 0.0))
+    assert sorted((r.day, r.vintage, r.v) for r in weather_table.read(store, like).collect()) == [(day, 2, 3.0), (other, 2, 5.0)]
+    days = spark.createDataFrame([(day,), (late,)], "day date")
+    assert [r.day for r in weather_table.gaps(store, like, days).collect()] == [late]
