@@ -38,13 +38,38 @@ def full_outer(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, keys, "full_outer"), frames)
 
 
+UNITS = {"hour": 3_600, "day": 86_400, "month": 30 * 86_400}
+
+
+def blocks(first: Column, last: Column) -> Column:
+    """Whole numbers first..last as blocks (level, number) of 2^level neighbours each: two for each level at most."""
+    def of(level: Column) -> Column:
+        size = F.pow(F.lit(2.0), level)
+        lo, hi = F.ceil(first / size).cast("long"), F.floor((last + 1) / size).cast("long")
+        take = lambda odd, n: F.when((lo < hi) & (odd % 2 != 0), F.struct(level.alias("level"), n.alias("number")))
+        return F.array(take(lo, lo), take(hi, hi - 1))
+
+    top = F.ceil(F.log2((last - first + 2).cast("double"))).cast("int")
+    return F.when(first <= last, F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), top), of))))
+
+
 def stab(intervals: DataFrame, points: DataFrame, start: str, end: str, point: str, bucket: str = "month") -> DataFrame:
-    """Pairs with start <= point < end. Intervals go to every bucket of time they touch, points to their own."""
-    unit = f"1 {bucket}"
-    cut = lambda c: F.date_trunc(bucket, c).cast("timestamp_ntz")
-    spread = intervals.where(F.col(start) < F.col(end)).withColumn("_b", F.explode(F.sequence(cut(start), cut(end), F.expr(f"INTERVAL {unit}"))))
-    at = points.withColumn("_b", cut(point))
-    return spread.join(at, "_b").where((F.col(start) <= F.col(point)) & (F.col(end) > F.col(point))).drop("_b")
+    """Pairs with start <= point < end.
+
+    Time is cut into buckets; the buckets that an interval touches are put together from blocks of 1, 2, 4, ... neighbours, so
+    its rows grow with the logarithm of its length, and a point goes to the blocks that hold it, one of each size in use. So a
+    long life costs a few rows, and what is joined on a block is what the sweep over it would have open.
+    """
+    seconds = UNITS[bucket]
+    number = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (seconds * 1_000_000)).cast("long")
+    alive = intervals.where(F.col(start) < F.col(end)).withColumns({"_s": number(start), "_e": number(end)})
+    longest = alive.agg(F.max(F.col("_e") - F.col("_s"))).first()[0]
+    levels = range((int(longest or 0) + 1).bit_length() + 1)
+    spread = alive.withColumn("_k", F.explode(blocks(F.col("_s"), F.col("_e")))).drop("_s", "_e")
+    held = F.array(*[F.struct(F.lit(j).alias("level"), F.shiftright(F.col("_n"), j).alias("number")) for j in levels])
+    at = points.withColumn("_n", number(point)).withColumn("_k", F.explode(held)).drop("_n")
+    both = spread.withColumns({"_l": F.col("_k.level"), "_b": F.col("_k.number")}).drop("_k").join(at.withColumns({"_l": F.col("_k.level"), "_b": F.col("_k.number")}).drop("_k"), ["_l", "_b"])
+    return both.where((F.col(start) <= F.col(point)) & (F.col(end) > F.col(point))).drop("_l", "_b")
 
 
 def overlap(intervals: DataFrame, start: str, end: str, unit: str = "hour") -> DataFrame:
@@ -66,15 +91,17 @@ def overlap(intervals: DataFrame, start: str, end: str, unit: str = "hour") -> D
 def known_at(versions: DataFrame, cutoffs: DataFrame, key: list[str], created: str, revision: str, end: str) -> DataFrame:
     """For each day the rows of each key's largest revision among those created by the day's cut-off.
 
-    cutoffs: day, cutoff. A version meets the days from its creation to the last end that any version of its key has
-    (later days can't be touched), by an equi join on the day; so the join grows with life spans, not with all days.
+    cutoffs: day, cutoff (not after the day). A row counts from its creation until that of a larger revision, and no longer than
+    the last end that any version of its key has (later days can't be touched). That is one interval for each row, which meets
+    the cut-offs in it.
     """
-    until = F.max(end).over(Window.partitionBy(*key))
-    first = F.to_date(created)
-    spread = versions.withColumn("_u", F.greatest(F.to_date(until), first)).withColumn("day", F.explode(F.sequence(first, F.col("_u")))).drop("_u")
-    known = spread.join(cutoffs, "day").where(F.col(created) <= F.col("cutoff"))
-    w = Window.partitionBy("day", *key)
-    return known.withColumn("_r", F.max(revision).over(w)).where(F.col(revision) == F.col("_r")).drop("_r")
+    own = Window.partitionBy(*key)
+    larger = own.orderBy(F.desc(revision)).rangeBetween(Window.unboundedPreceding, -1)
+    last = F.greatest(F.to_date(F.max(end).over(own)), F.to_date(created))
+    rows = versions.where(F.col(revision).isNotNull()).withColumns({"_last": last, "_until": F.min(created).over(larger)})
+    rows = rows.withColumn("_to", F.least(F.coalesce("_until", F.lit("9999-01-01").cast("timestamp_ntz")).cast("timestamp_ntz"), F.date_add("_last", 1).cast("timestamp_ntz"))).withColumn("_from", F.col(created))
+    met = stab(rows, cutoffs, "_from", "_to", "cutoff", "day")
+    return met.where(F.col("day") <= F.col("_last")).drop("_last", "_until", "_to", "_from")
 
 
 def override(base: DataFrame, other: DataFrame, keys: list[str], cols: list[str], when: Column) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterwise.operators.joins import overlap
+from meterwise.functions.timekit import running_sum
+from meterwise.operators.joins import stab
 
 # The documents' codes, and the names that tables of decoded documents hold instead.
 INACTIVE = ["A09", "A13", "Cancelled", "Withdrawn"]
@@ -34,19 +35,34 @@ def cutoffs(days: DataFrame, hour: int = CUTOFF_HOUR) -> DataFrame:
 
 
 def hourly(docs: DataFrame) -> DataFrame:
-    """t, mw: time-averaged MW of every hour that an interval touches."""
-    return overlap(docs.withColumn("_mw", mw()), "start", "end").groupBy("t").agg(F.sum(F.col("_mw") * F.col("share")).alias("mw"))
+    """t, mw: time-averaged MW of every hour from the first that an interval touches to the last.
+
+    An interval is what it adds in its first hour, in the one after, in its last and behind it: four changes at most, however
+    long it is, and their running sum is the profile. Bounds are taken to the full minute before, MW to six decimals, so sums are
+    exact and what has ended leaves nothing behind.
+    """
+    minute = lambda c: F.date_trunc("minute", c).cast("timestamp_ntz")
+    hour = lambda c: F.date_trunc("hour", c).cast("timestamp_ntz")
+    x = docs.select(minute("start").alias("a"), minute("end").alias("b"), mw().cast("decimal(18,6)").alias("mw")).where("a < b and mw <> 0")
+    within = F.timestamp_diff("MINUTE", "ha", F.least("b", F.col("ha") + F.expr("INTERVAL 1 HOUR"))) - F.minute("a")
+    x = x.withColumns({"ha": hour("a"), "hb": hour("b")}).withColumn("first", within)
+    one = F.expr("INTERVAL 1 HOUR")
+    change = lambda t, minutes: F.struct(t.alias("t"), (F.col("mw") * minutes.cast("int")).cast("decimal(38,6)").alias("d"))
+    apart = F.array(change(F.col("ha"), F.col("first")), change(F.col("ha") + one, 60 - F.col("first")), change(F.col("hb"), F.minute("b") - 60), change(F.col("hb") + one, -F.minute("b")))
+    same = F.array(change(F.col("ha"), F.col("first")), change(F.col("ha") + one, -F.col("first")))
+    steps = x.select(F.explode(F.when(F.col("ha") == F.col("hb"), same).otherwise(apart)).alias("c")).groupBy(F.col("c.t").alias("t")).agg(F.sum("c.d").alias("d"))
+    # between two changes the profile is level: the hours of each month are filled in from the month's first
+    ends = steps.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))  # one row
+    hours = ends.select(F.explode(F.sequence("lo", "hi", one)).alias("t"))
+    level = running_sum(hours.join(steps, "t", "left"), "d", "level")
+    return level.where("level <> 0").select("t", (F.col("level") / 60).cast("double").alias("mw"))
 
 
 def at_cutoffs(docs: DataFrame, points: DataFrame, start_by_hours: int = 1) -> DataFrame:
     """day, mw: rows that run at the cut-off and whose document began at least an hour before it."""
-    w = Window.partitionBy("mrid")
-    rows = docs.withColumn("_begin", F.min("start").over(w)).withColumn("_mw", mw())
-    # a cut-off falls in a day; an interval is spread over the days it touches
-    spread = rows.where("start < end").withColumn("_b", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))))
-    hit = spread.join(points.withColumn("_b", F.to_date("cutoff")), "_b")
-    hit = hit.where((F.col("start") <= F.col("cutoff")) & (F.col("end") > F.col("cutoff")) & (F.col("_begin") <= F.col("cutoff") - F.expr(f"INTERVAL {start_by_hours} HOURS")))
-    return hit.groupBy("day").agg(F.sum("_mw").alias("mw"))
+    rows = docs.withColumn("_begin", F.min("start").over(Window.partitionBy("mrid"))).withColumn("_mw", mw())
+    hit = stab(rows.select("start", "end", "_begin", "_mw"), points, "start", "end", "cutoff", "day")
+    return hit.where(F.col("_begin") <= F.col("cutoff") - F.expr(f"INTERVAL {start_by_hours} HOURS")).groupBy("day").agg(F.sum("_mw").alias("mw"))
 
 
 def approximate(docs: DataFrame, hours: DataFrame) -> DataFrame:
@@ -67,16 +83,22 @@ def persistence(docs: DataFrame, hours: DataFrame) -> DataFrame:
 
 
 def exact(versions: DataFrame, hours: DataFrame) -> DataFrame:
-    """t, mw: the version current at each day's cut-off, averaged over the day's hours."""
-    rows = versions.dropDuplicates(["mrid", "revision", "start", "end"])
-    days = hours.select(F.to_date("t").alias("day")).distinct()
-    # a version is current from its creation until a larger revision's; it counts on the days it touches, however long its document lives
+    """t, mw: the version current at each day's cut-off, averaged over the day's hours.
+
+    A version is current from its creation until a larger revision's, so it counts on one run of days: one clipped interval.
+    """
+    rows = versions.where(F.col("revision").isNotNull()).dropDuplicates(["mrid", "revision", "start", "end"])
     larger = Window.partitionBy("mrid").orderBy(F.desc("revision")).rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.where(F.col("revision").isNotNull()).withColumn("_until", F.min("created_doc_time").over(larger))
-    rows = active(rows.where("start < end")).withColumn("day", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))))
-    known = rows.join(cutoffs(days), "day").where((F.col("created_doc_time") <= F.col("cutoff")) & (F.col("_until").isNull() | (F.col("_until") > F.col("cutoff"))))
-    clipped = known.withColumn("start", F.greatest("start", F.col("day").cast("timestamp_ntz"))).withColumn("end", F.least("end", F.date_add("day", 1).cast("timestamp_ntz")))
-    got = hourly(clipped)
+    rows = active(rows.withColumn("_until", F.min("created_doc_time").over(larger)))
+
+    def day_from(c: str):
+        """Midnight of the first day whose cut-off is at or after c."""
+        late = F.col(c).cast("timestamp_ntz") - F.expr(f"INTERVAL {CUTOFF_HOUR} HOURS")
+        whole = F.date_trunc("day", late).cast("timestamp_ntz")
+        return F.when(late > whole, whole + F.expr("INTERVAL 2 DAYS")).otherwise(whole + F.expr("INTERVAL 1 DAY"))
+
+    clipped = rows.withColumn("start", F.greatest(F.col("start"), day_from("created_doc_time"))).withColumn("end", F.least(F.col("end"), day_from("_until")))
+    got = hourly(clipped.where(F.col("created_doc_time").isNotNull() & (F.col("start") < F.col("end"))))
     return hours.join(got, "t", "left").select("t", F.coalesce("mw", F.lit(0.0)).alias("mw"))
 
 
