@@ -16,8 +16,8 @@ adds up and answers each run in the order of its question. Questions and answers
 A run's texts and its answers meet by the run's number. That number is made of the partition and the place in it, so `docs`
 must give the same partitions each time it is read, as a table of files does; a checksum of each run's n-grams guards that.
 
-Learning. Held-out events are tallied as counts (exact up to 16, then to four binary digits), so the table that each step of
-the maximisation reads has few rows, however long the texts. The driver holds two numbers for each order and bucket.
+Learning. Each run tallies its held-out events as counts (exact up to 16, then to four binary digits), packed, and each step of
+the maximisation reads these tallies. The driver holds two numbers for each order and bucket.
 
 Nulls: a null text is an empty one, its end its only token. A null doc_id is neither held out nor deleted, so it trains.
 Repeated rows score alike. An empty table gives an empty result; without training texts all mass is uniform. Other columns
@@ -294,10 +294,6 @@ def coarse(count: np.ndarray) -> np.ndarray:
     return (count >> shift) << shift
 
 
-def event_names(order: int) -> list[str]:
-    return [f"c{k + 1}" for k in range(order)] + [f"s{k + 1}" for k in range(1, order)]
-
-
 class Mixture:
     """weights[k - 1][level] is the weight of order k where the context's frequency is in that bucket; order 1 has one bucket."""
 
@@ -318,34 +314,35 @@ class Mixture:
 
 
 def fit(events: DataFrame, order: int, trained: int, known: int, steps: int = 25, tolerance: float = 1e-5) -> Mixture:
-    """Weights by expectation-maximisation over a table of events (counts c1.., contexts s2.., n).
+    """Weights by expectation-maximisation over tallies of events, a packed row for each run: the counts of each order, the
+    contexts from order 2 on, and how often such an event occurs.
 
     Of the mass that reaches an order in a bucket, the share that it keeps is its new weight, with half an event more on
     either side, so no weight is 0 or 1 for want of events.
     """
     model, last = Mixture(order), None
-    names = event_names(order)
     for _ in range(steps if trained else 0):
 
         def expect(batches: Iterator[pa.RecordBatch], model: Mixture = model) -> Iterator[pa.RecordBatch]:
             got, kept, gain = np.zeros((order, LEVELS)), np.zeros((order, LEVELS)), 0.0
             for batch in batches:
-                col = {c: batch.column(c).to_numpy().astype(np.float64) for c in (*names, "n")}
-                counts, seen = [col[f"c{k + 1}"] for k in range(order)], [col[f"s{k + 1}"] for k in range(1, order)]
-                p, shares = model.parts(counts, seen, trained, known)
-                gain += float(col["n"] @ np.log(p))
-                reach = np.ones(p.size)
-                for k in reversed(range(order)):
-                    at = np.zeros(p.size, np.int64) if k == 0 else level(seen[k - 1])
-                    mine = shares[k] / p
-                    np.add.at(got[k], at, col["n"] * reach)
-                    np.add.at(kept[k], at, col["n"] * mine)
-                    reach = np.maximum(reach - mine, 0.0)
+                for size, data in zip(batch.column("size").to_pylist(), batch.column("events"), strict=True):
+                    rows = np.frombuffer(pa.decompress(data.as_buffer(), size * 2 * order * 4, "zstd"), np.float32).reshape(2 * order, size).astype(np.float64)
+                    counts, seen, n = list(rows[:order]), list(rows[order:-1]), rows[-1]
+                    p, shares = model.parts(counts, seen, trained, known)
+                    gain += float(n @ np.log(p))
+                    reach = np.ones(p.size)
+                    for k in reversed(range(order)):
+                        at = np.zeros(p.size, np.int64) if k == 0 else level(seen[k - 1])
+                        mine = shares[k] / p
+                        got[k] += np.bincount(at, n * reach, LEVELS)
+                        kept[k] += np.bincount(at, n * mine, LEVELS)
+                        reach = np.maximum(reach - mine, 0.0)
             hit = np.argwhere(got > 0)
             yield pa.RecordBatch.from_pydict({"k": pa.array([*hit[:, 0], -1], pa.int32()), "level": pa.array([*hit[:, 1], 0], pa.int32()), "got": [*got[got > 0], gain], "kept": [*kept[got > 0], 0.0]})
 
         weights, now = np.full((order, LEVELS), np.nan), 0.0
-        for k, at, got, kept in events.mapInArrow(expect, "k int, level int, got double, kept double").groupBy("k", "level").agg(F.sum("got"), F.sum("kept")).collect():
+        for k, at, got, kept in events.mapInArrow(freeing(expect), "k int, level int, got double, kept double").groupBy("k", "level").agg(F.sum("got"), F.sum("kept")).collect():
             if k < 0:
                 now = got
             else:
@@ -392,18 +389,17 @@ def learn(docs: DataFrame, fold: Column, order: int = ORDER, run_bytes: int = RU
     known, trained, deleted = (int(x or 0) for x in answers.agg(F.sum("known"), F.sum("trained"), F.sum("trained_deleted")).first())
     model = Mixture(order)
     if deleted and trained > deleted:
-        names = event_names(order)
         n_train = about[1]
 
         def events(run: Run, rows: pa.Table, totals: np.ndarray, deleted: np.ndarray) -> pa.Table:
             left = run.by_order(totals - deleted)
             columns = np.stack([coarse(x) for x in left + contexts(left, run.first, n_train)])
             distinct, n = np.unique(columns, axis=1, return_counts=True)
-            return pa.table({**{c: distinct[i] for i, c in enumerate(names)}, "n": n})
+            # coarse counts are exact in single precision
+            return pa.table({"size": [n.size], "events": pa.array([pa.compress(np.vstack([distinct, n]).astype(np.float32, order="C"), "zstd", asbytes=True)], pa.binary())})
 
-        schema = ", ".join(f"{c} long" for c in (*names, "n"))
-        found = with_answers(texts.where(F.col("fold") == DELETED), answers.where(F.octet_length("deleted") > 0), run_bytes, order, events, schema)
-        model = fit(cut(found.groupBy(*names).agg(F.sum("n").alias("n"))), order, trained - deleted, known)
+        found = with_answers(texts.where(F.col("fold") == DELETED), answers.where(F.octet_length("deleted") > 0), run_bytes, order, events, "size long, events binary")
+        model = fit(cut(found), order, trained - deleted, known)
     return Learned(answers, model, order, run_bytes, about[1] + about[2], known, trained)
 
 
