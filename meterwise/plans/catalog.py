@@ -304,7 +304,11 @@ def J15_quarter_shape(spark, sf_dir):
     return x.select(K.stamp("t").alias("t"), r6(F.col("v") - F.col("m")).alias("dev"))
 
 
-HOLIDAYS = ", ".join(f"(DATE '{d}', {s})" for d, s in sorted(C.holidays(2023, 2025).items()))
+def holidays_sql(first: int, last: int) -> str:
+    return ", ".join(f"(DATE '{d}', {s})" for d, s in sorted(C.holidays(first, last).items()))
+
+
+HOLIDAYS = holidays_sql(2023, 2025)
 
 
 @query(f"""WITH {ALL}, z(day, share) AS (VALUES {HOLIDAYS}), l AS (SELECT t, CAST(timezone('Europe/Berlin', timezone('UTC', t)) AS DATE) AS d0, CAST(timezone('Europe/Berlin', timezone('UTC', t + INTERVAL 24 HOUR)) AS DATE) AS d1 FROM a)
@@ -384,11 +388,13 @@ def A10_spacing(spark, sf_dir):
     return M.spacing(x, ["event_type"]).select("event_type", F.col("day").cast("string").alias("day"), "step_s")
 
 
-@query(f"""WITH a AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-12-31 22:00:00', INTERVAL 1 HOUR)) AS t)
-SELECT strftime(CAST(timezone('Europe/Berlin', timezone('UTC', t)) AS DATE), '%Y-%m-%d') AS day, count(*) AS n FROM a GROUP BY 1 HAVING count(*) <> 24""")
+@query("""WITH s AS (SELECT CAST(min(l_shipdate) AS TIMESTAMP) AS lo, CAST(max(l_shipdate) AS TIMESTAMP) AS hi FROM lineitem), a AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS t FROM s), l AS (SELECT CAST(timezone('Europe/Berlin', timezone('UTC', t)) AS DATE) AS day FROM a)
+SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS n FROM l WHERE day > (SELECT min(day) FROM l) AND day < (SELECT max(day) FROM l) GROUP BY l.day HAVING count(*) <> 24""")
 def A11_dst_days(spark, sf_dir):
-    t = spark.sql("SELECT explode(sequence(TIMESTAMP_NTZ'2024-01-01', TIMESTAMP_NTZ'2024-12-31 22:00:00', INTERVAL 1 HOUR)) AS t")
-    return t.groupBy(F.to_date(C.local("t")).cast("string").alias("day")).agg(F.count("*").alias("n")).where("n <> 24")
+    """Local days of lineitem's years that don't have 24 hours."""
+    span = table(spark, sf_dir, "lineitem").agg(F.min("l_shipdate").cast("timestamp_ntz").alias("lo"), F.max("l_shipdate").cast("timestamp_ntz").alias("hi"))  # one row
+    days = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("t"), F.to_date(C.local("lo")).alias("first"), F.to_date(C.local("hi")).alias("last")).withColumn("day", F.to_date(C.local("t")))
+    return days.where("day > first AND day < last").groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n")).where("n <> 24")
 
 
 @query(f"WITH {WIDE} SELECT count(*) AS n, round(avg(abs(click - view)), 6) AS mean_abs, round(max(abs(click - view)), 6) AS max_abs, count(*) FILTER (WHERE abs(click - view) > 5) AS beyond, round(corr(click, view), 6) AS r FROM w WHERE click IS NOT NULL AND view IS NOT NULL")

@@ -15,6 +15,7 @@ from meterwise.operators import weather as Wx
 from meterwise.plans import site
 from meterwise.plans.catalog import GRID, LEVELS_SQL, LINES, QUARTERS, SQL, T, WIDE, day_arrays, events, forecasts, lines, quarters, query, r6, shipped_hours, table, wide
 from meterwise.production import archive, day, learned, run, shape, surrogates, weather_table
+from meterwise.sources import outage_documents
 from meterwise.sources import payloads as P
 from meterwise.sources import tables
 from meterwise.sources.store import Store
@@ -157,6 +158,34 @@ def S22_outage_numbers(spark, sf_dir):
     return x.groupBy("mrid").agg(F.count("*").alias("n"), F.count("avail_qty").alias("known"), F.round(F.sum(F.when(F.col("avail_qty").isNotNull(), O.mw())), 2).alias("mw"))
 
 
+@query("""WITH x AS (SELECT l_orderkey AS k, l_linenumber AS n, l_shipdate AS a, CAST(l_quantity AS INT) AS q, l_extendedprice AS p FROM lineitem), g AS (SELECT * FROM x WHERE k % 11 <> 0),
+s AS (SELECT k, p, q AS hours, CASE WHEN n % 3 = 0 THEN NULL ELSE q END AS qty FROM g WHERE n % 2 = 1 UNION ALL SELECT k, p, 1, q FROM g WHERE n % 2 = 0 UNION ALL SELECT k, p, q, q + 0.5 FROM g WHERE n % 2 = 0)
+SELECT CAST(k AS VARCHAR) AS mrid, count(*) AS rows_, CAST(sum(hours) AS BIGINT) AS hours, count(qty) AS known, round(sum(qty), 2) AS qty, round(max(p), 2) AS largest FROM s GROUP BY 1
+UNION ALL SELECT reason, count(DISTINCT k), NULL, NULL, NULL, NULL FROM (SELECT k, CASE WHEN k % 2 = 0 THEN 'not a document' ELSE 'no revision' END AS reason FROM x WHERE k % 11 = 0) b GROUP BY 1""")
+def S22_outage_documents(spark, sf_dir):
+    """Each order as an XML document of its lines, some with two points a period, some without a number, some broken."""
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("int").alias("n"), F.col("l_shipdate").cast("timestamp").alias("a"), F.col("l_quantity").cast("int").alias("q"), F.col("l_extendedprice").alias("p"))
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name.split(' ')[0]}>"))
+    iso = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm'Z'")
+    point = lambda at, q: tag("Point", F.concat(tag("position", F.lit(at)), tag("quantity", q)))
+    q = F.col("q").cast("string")
+    one = point("1", F.when(F.col("n") % 3 == 0, "n/e").otherwise(q))
+    two = F.concat(point("2", (F.col("q") + 0.5).cast("string")), point("1", q))  # out of order, an hour and the rest
+    odd = F.col("n") % 2 == 1
+    span = F.when(odd, F.col("q")).otherwise(F.col("q") + 1)
+    period = tag("Available_Period", F.concat(tag("timeInterval", F.concat(tag("start", iso(F.col("a"))), tag("end", iso(F.col("a") + F.make_dt_interval(hours=span))))), tag("resolution", F.lit("PT60M")), F.when(odd, one).otherwise(two)))
+    power = tag('production_RegisteredResource.pSRType.powerSystemResources.nominalP unit="MAW"', F.col("p").cast("string"))
+    series = tag("TimeSeries", F.concat(tag("businessType", F.lit("A53")), tag("production_RegisteredResource.pSRType.psrType", F.lit("B14")), power, tag("quantity_Measure_Unit.name", F.lit("MAW")), period))
+    docs = x.groupBy("k").agg(F.array_join(F.collect_list(series), "").alias("s"), F.max("n").cast("string").alias("n"), F.min("a").alias("a"))
+    revision = F.when((F.col("k") % 11 == 0) & (F.col("k") % 2 == 1), F.lit("none")).otherwise(F.col("n"))
+    text = tag("Unavailability_MarketDocument", F.concat(tag("mRID", F.col("k").cast("string")), tag("revisionNumber", revision), tag("createdDateTime", iso(F.col("a"))), F.col("s")))
+    text = F.when(F.col("k") % 22 == 0, F.substring(text, F.lit(1), F.length(text) - 20)).otherwise(text)
+    rows, bad = outage_documents.parsed(docs.select(F.lit("DE").alias("zone"), text.alias("value")))
+    hours = F.timestamp_diff("HOUR", "start", "end")
+    good = rows.groupBy("mrid").agg(F.count("*").alias("rows_"), F.sum(hours).alias("hours"), F.count("avail_qty").alias("known"), F.round(F.sum("avail_qty"), 2).alias("qty"), F.round(F.max("nominal_power"), 2).alias("largest"))
+    return good.unionByName(bad.groupBy(F.col("reason").alias("mrid")).agg(F.count("*").alias("rows_")), allowMissingColumns=True)
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, round(greatest(0, l_extendedprice - l_quantity * 1000), 2) AS mw FROM lineitem")
 def P05_outage_mw(spark, sf_dir):
     x = table(spark, sf_dir, "lineitem").withColumn("nominal_power", F.col("l_extendedprice")).withColumn("avail_qty", F.col("l_quantity") * 1000)
@@ -465,9 +494,11 @@ def M16_backtest(spark, sf_dir):
     return out.select("series", K.stamp("t").alias("t"), r6(F.element_at("q", 50)).alias("q50"), r6("actual").alias("actual"))
 
 
-@query("SELECT strftime(start, '%Y-%m-%d') AS start, strftime(least(start + 7, DATE '2024-01-30'), '%Y-%m-%d') AS end_ FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-29', INTERVAL 7 DAY)) AS DATE) AS start)")
+@query("WITH s AS (SELECT CAST(min(ts) AS DATE) + 9 AS lo, CAST(max(ts) AS DATE) AS hi FROM events) SELECT strftime(start, '%Y-%m-%d') AS start, strftime(least(start + 7, hi + 1), '%Y-%m-%d') AS end_ FROM (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS start, hi FROM s)")
 def M16_refits(spark, sf_dir):
-    return day.refits("2024-01-10", "2024-01-29", 7, spark).select(F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end_"))
+    """Weekly refits from the tenth day of events to the last."""
+    lo, hi = events(spark, sf_dir).agg(F.date_add(F.to_date(F.min("ts")), 9).cast("string"), F.to_date(F.max("ts")).cast("string")).first()
+    return day.refits(lo, hi, 7, spark).select(F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end_"))
 
 
 @query(None)
@@ -664,21 +695,27 @@ def Q11_site_mix(spark, sf_dir):
 
 # ---- the daily run
 
-@query("SELECT * FROM (VALUES (1, 'lear', 'done', ''), (2, 'nets', 'failed', 'ValueError: no inputs'), (3, 'mix', 'skipped', 'needs nets'), (4, 'nets', 'done', ''), (5, 'mix', 'done', '')) x(seq, step, state, note)")
+@query("""WITH n(name, rows_, total) AS (SELECT 'lear', count(*), round(sum(v), 4) FROM (SELECT avg(value) AS v FROM events GROUP BY date_trunc('hour', ts)) UNION ALL SELECT 'nets', count(*), round(sum(v), 4) FROM (SELECT sum(value) AS v FROM events GROUP BY CAST(ts AS DATE)) UNION ALL SELECT 'mix', count(*), round(sum(v), 4) FROM (SELECT max(value) AS v FROM events GROUP BY user_id))
+SELECT seq, step, state, note, CASE WHEN state = 'done' THEN rows_ END AS rows_, CASE WHEN state = 'done' THEN total END AS total FROM (VALUES (1, 'lear', 'done', ''), (2, 'nets', 'failed', 'ValueError: no inputs'), (3, 'mix', 'skipped', 'needs nets'), (4, 'nets', 'done', ''), (5, 'mix', 'done', '')) x(seq, step, state, note) JOIN n ON n.name = step""")
 def M20_daily_run(spark, sf_dir):
-    """A run whose nets fail, and a second one that picks up where it ended; what stands is kept."""
-    path, tries = tables.scratch(spark), []
+    """A run whose nets fail, and a second one that picks up where it ended; what stands is kept. Each step writes a table."""
+    path, root, tries = tables.scratch(spark), tables.scratch(spark), []
+    x = events(spark, sf_dir)
 
-    def fit(_: set[str]) -> None:
-        tries.append(1)
-        if len(tries) == 1:
+    def write(name: str, df: DataFrame) -> None:
+        if name == "nets" and not tries:
+            tries.append(1)
             raise ValueError("no inputs")
+        df.select(F.lit(name).alias("step"), "v").write.parquet(f"{root}/{name}")
 
-    first = events(spark, sf_dir)
-    steps = [run.Step("lear", lambda _: first.limit(1).count() and None, required=True), run.Step("nets", fit, ("lear",)), run.Step("mix", lambda _: None, ("nets",))]
+    parts = {"lear": x.groupBy(K.trunc("hour", "ts")).agg(F.avg("value").alias("v")), "nets": x.groupBy(F.to_date("ts")).agg(F.sum("value").alias("v")), "mix": x.groupBy("user_id").agg(F.max("value").alias("v"))}
+    needs = {"lear": (), "nets": ("lear",), "mix": ("nets",)}
+    steps = [run.Step(n, lambda _, n=n: write(n, parts[n]), needs[n], required=n == "lear") for n in parts]
     for _ in range(2):
         run.run_day(spark, path, "2024-01-29", steps)
-    return run.log_of(spark, path).select(F.col("seq").cast("int").alias("seq"), "step", "state", "note")
+    made = spark.read.parquet(*[f"{root}/{n}" for n in parts]).groupBy("step").agg(F.count("*").alias("rows_"), F.round(F.sum("v"), 4).alias("total"))
+    done = lambda c: F.when(F.col("state") == "done", F.col(c)).alias(c)
+    return run.log_of(spark, path).join(made, "step").select(F.col("seq").cast("int").alias("seq"), "step", "state", "note", done("rows_"), done("total"))
 
 
 # ---- SQL of queries that had none

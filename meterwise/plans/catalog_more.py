@@ -11,7 +11,7 @@ from meterwise.operators import joins as J
 from meterwise.operators import metrics as M
 from meterwise.operators import weather as Wx
 from meterwise.plans import feature_table, site
-from meterwise.plans.catalog import ALL, HOLIDAYS, HOURS, LEVELS_SQL, NAIVE, QUARTERS, T, WIDE, by_type, events, forecasts, naives, quarters, query, r6, table, total, wide
+from meterwise.plans.catalog import ALL, HOLIDAYS, HOURS, LEVELS_SQL, NAIVE, QUARTERS, T, WIDE, by_type, events, forecasts, holidays_sql, naives, quarters, query, r6, table, total, wide
 from meterwise.sources.tables import scratch
 
 MEMBERS = """m AS (SELECT date_trunc('day', ts) AS run_time, date_trunc('hour', ts) AS valid_time, CAST(user_id % 5 AS BIGINT) AS member, CAST(user_id % 3 AS DOUBLE) AS cell_lat, CAST(user_id % 2 AS DOUBLE) AS cell_lon, event_type AS variable, avg(value) AS value FROM events GROUP BY 1, 2, 3, 4, 5, 6)"""
@@ -127,11 +127,13 @@ def W14_change_points(spark, sf_dir):
     return x.select("event_type", F.col("day").cast("string").alias("day"), "before", "n")
 
 
-@query(f"""WITH z(day, share) AS (VALUES {HOLIDAYS}), d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-12-31', INTERVAL 1 DAY)) AS DATE) AS day), o AS (SELECT d.day, isodow(d.day) >= 6 AS weekend, z.day IS NOT NULL AS holiday FROM d LEFT JOIN z ON z.day = d.day AND z.share = 1),
+@query(f"""WITH z(day, share) AS (VALUES {holidays_sql(1990, 2030)}), d AS (SELECT CAST(unnest(generate_series(CAST(min(o_orderdate) AS TIMESTAMP), CAST(max(o_orderdate) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM orders), o AS (SELECT d.day, isodow(d.day) >= 6 AS weekend, z.day IS NOT NULL AS holiday FROM d LEFT JOIN z ON z.day = d.day AND z.share = 1),
 f AS (SELECT *, weekend OR holiday AS off_, coalesce(lag(weekend OR holiday) OVER (ORDER BY day), FALSE) AS off_before, coalesce(lead(weekend OR holiday) OVER (ORDER BY day), FALSE) AS off_after FROM o) SELECT strftime(day, '%Y-%m-%d') AS day, weekend, holiday, off_before, off_after, NOT off_ AND off_before AND off_after AS bridge FROM f""")
 def W17_bridge_days(spark, sf_dir):
-    days = spark.sql("SELECT explode(sequence(DATE'2024-01-01', DATE'2024-12-31', INTERVAL 1 DAY)) AS day")
-    x = C.bridge_flags(days, C.holiday_table(spark, 2023, 2025))
+    """Every day of the years of orders."""
+    span = table(spark, sf_dir, "orders").agg(F.to_date(F.min("o_orderdate")).alias("lo"), F.to_date(F.max("o_orderdate")).alias("hi"))  # one row
+    days = span.select(F.explode(F.sequence("lo", "hi")).alias("day"))
+    x = C.bridge_flags(days, C.holiday_table(spark, 1990, 2030))
     return x.select(F.col("day").cast("string").alias("day"), "weekend", "holiday", "off_before", "off_after", "bridge")
 
 
@@ -165,9 +167,10 @@ def H11_labels_and_scales(spark, sf_dir):
     return x.select(K.stamp("t").alias("t"), gone.alias("missing"), r6(1 / (1 + F.exp(-F.coalesce("click", F.lit(0.0)) / 100))).alias("w"), r6(F.asinh(F.col("click") / 10)).alias("scaled"), F.element_at(dummies, 1).alias("monday"))
 
 
-@query(f"WITH d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-03-28', TIMESTAMP '2024-04-03', INTERVAL 1 DAY)) AS DATE) AS day) SELECT strftime(day, '%Y-%m-%d') AS day, strftime(timezone('UTC', timezone('Europe/Berlin', CAST(day AS TIMESTAMP))), '%Y-%m-%d %H:%M:%S') AS origin, CAST(datediff('hour', timezone('UTC', timezone('Europe/Berlin', CAST(day AS TIMESTAMP))), timezone('UTC', timezone('Europe/Berlin', CAST(day + 1 AS TIMESTAMP)))) AS BIGINT) AS hours FROM d")
+@query("WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) SELECT strftime(day, '%Y-%m-%d') AS day, strftime(timezone('UTC', timezone('Europe/Berlin', CAST(day AS TIMESTAMP))), '%Y-%m-%d %H:%M:%S') AS origin, CAST(datediff('hour', timezone('UTC', timezone('Europe/Berlin', CAST(day AS TIMESTAMP))), timezone('UTC', timezone('Europe/Berlin', CAST(day + 1 AS TIMESTAMP)))) AS BIGINT) AS hours FROM d")
 def H08_local_midnight(spark, sf_dir):
-    d = spark.sql("SELECT explode(sequence(DATE'2024-03-28', DATE'2024-04-03', INTERVAL 1 DAY)) AS day")
+    """Of each day of orders the local midnight and how many hours follow it."""
+    d = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     return d.select(F.col("day").cast("string").alias("day"), K.stamp(C.to_utc(F.col("day").cast("timestamp_ntz"))).alias("origin"), C.day_length(F.col("day")).cast("long").alias("hours"))
 
 

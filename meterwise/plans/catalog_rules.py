@@ -65,12 +65,13 @@ def U05_distinct_keys(spark, sf_dir):
     return x.agg(F.count("*").alias("rows_"), F.count_distinct("l_orderkey", "l_linenumber").alias("keys_"), F.count_distinct("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey").alias("versions"))
 
 
-@query("""WITH y AS (SELECT unnest(range(1990, 2060)) AS y), a AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y), e AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM a),
+@query("""WITH y AS (SELECT DISTINCT year(o_orderdate) + o_custkey % 60 AS y FROM orders), a AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y), e AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM a),
 f AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM e), g AS (SELECT *, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS m FROM f) SELECT CAST(y AS BIGINT) AS year, strftime(make_date(CAST(y AS BIGINT), CAST(m // 31 AS BIGINT), CAST(m % 31 + 1 AS BIGINT)) + 1, '%Y-%m-%d') AS easter_monday FROM g""")
 def H05_easter(spark, sf_dir):
-    """Easter Mondays of seventy years, against another computus."""
-    mondays = [(y, (C.easter(y)).toordinal() + 1) for y in range(1990, 2060)]
-    x = spark.createDataFrame(mondays, "year long, ordinal int")
+    """Easter Mondays of the years up to sixty after the orders', against another computus."""
+    mondays = [(y, (C.easter(y)).toordinal() + 1) for y in range(1900, 2200)]  # a calendar
+    years = table(spark, sf_dir, "orders").select((F.year("o_orderdate") + F.col("o_custkey") % 60).cast("long").alias("year")).distinct()
+    x = years.join(F.broadcast(spark.createDataFrame(mondays, "year long, ordinal int")), "year")
     return x.select("year", F.date_add(F.lit("0001-01-01").cast("date"), F.col("ordinal") - 1).cast("string").alias("easter_monday"))
 
 

@@ -16,7 +16,7 @@ from meterwise.models import lear, mix, nets, trees
 from meterwise.operators import areas, joins, metrics, outages, recalibration, weather
 from meterwise.operators.recalibration import recalibration_levels
 from meterwise.plans import feature_table, site
-from meterwise.sources import payloads, tables
+from meterwise.sources import outage_documents, payloads, tables
 from meterwise.streaming import hourly
 
 T0 = datetime(2024, 1, 1)
@@ -537,3 +537,76 @@ def test_frames_that_look_ahead_are_linear_in_the_series(spark):
     filled = K.fill_edges(df, ["v"], ["k"]).agg(F.count("v"), F.min("v")).first()
     lines = K.interpolate(df, "v", ["k"]).agg(F.count("v"), F.max("v")).first()
     assert tuple(filled) == (n, 7.0) and tuple(lines) == (n - 7, 59_957.0) and time.time() - began < 60
+
+
+# ---- nested documents
+
+XML = """<Unavailability_MarketDocument><mRID>{mrid}</mRID><revisionNumber>{rev}</revisionNumber><createdDateTime>2024-01-02T03:04:05Z</createdDateTime><docStatus><value>A09</value></docStatus>
+<TimeSeries><businessType>A53</businessType><production_RegisteredResource.mRID>R1</production_RegisteredResource.mRID><production_RegisteredResource.name>Unit &amp; Co</production_RegisteredResource.name>
+<production_RegisteredResource.pSRType.psrType>B05</production_RegisteredResource.pSRType.psrType><production_RegisteredResource.pSRType.powerSystemResources.nominalP unit="MAW">250.5</production_RegisteredResource.pSRType.powerSystemResources.nominalP>
+<quantity_Measure_Unit.name>MAW</quantity_Measure_Unit.name>
+<Available_Period><timeInterval><start>2024-01-05T22:00Z</start><end>2024-01-06T22:00+01:00</end></timeInterval><resolution>PT60M</resolution><Point><position>3</position><quantity>n/e</quantity></Point><Point><position>1</position><quantity>100</quantity></Point></Available_Period>
+<Available_Period><timeInterval><start>2024-02-01T00:00Z</start><end>2024-02-03T00:00Z</end></timeInterval><resolution>P1D</resolution><Point><position>1</position><quantity>7</quantity></Point></Available_Period></TimeSeries>
+<TimeSeries><businessType>A54</businessType></TimeSeries></Unavailability_MarketDocument>"""
+
+
+def test_documents_become_rows_of_fifteen_columns(spark):
+    good = XML.format(mrid="D1", rev=2)
+    texts = [good, good, XML.format(mrid="", rev=1), XML.format(mrid="D3", rev="x"), good[:-40], None, "", "<other/>", XML.format(mrid="D4", rev=1).replace("2024-01-02T03:04:05Z", "soon")]
+    rows, bad = outage_documents.parsed(frame(spark, [("DE", t) for t in texts], "zone string, value string"))
+    assert tuple(rows.columns) == outage_documents.COLUMNS
+    got = sorted(map(tuple, rows.collect()), key=lambda r: r[10])
+    at = lambda *a: datetime(2024, *a)
+    head, unit = ("DE", "D1", 2, at(1, 2, 3, 4, 5), "A09", "A53", "B05", "R1", "Unit & Co", 250.5), "MAW"
+    assert got == [
+        (*head, at(1, 5, 22), at(1, 6, 0), "PT60M", 100.0, unit), (*head, at(1, 6, 0), at(1, 6, 21), "PT60M", None, unit), (*head, at(2, 1), at(2, 3), "P1D", 7.0, unit),
+    ]
+    reasons = sorted(r.reason for r in bad.collect())
+    assert reasons.count("not a document") >= 3 and {"no id", "no revision", "no creation time"} <= set(reasons) and len(reasons) == 7
+
+
+def test_json_documents_read_alike(spark):
+    import json
+
+    doc = {
+        "mRID": "J", "revisionNumber": "1", "createdDateTime": "2024-01-02T03:04Z", "docStatus": {"value": "A13"},
+        "TimeSeries": [{"businessType": "A54", "production_RegisteredResource.pSRType.powerSystemResources.nominalP": "10", "Available_Period": [{"timeInterval": {"start": "2024-01-01T00:00Z", "end": "2024-01-01T01:00Z"}, "resolution": "PT15M", "Point": [{"position": "1", "quantity": "4"}, {"position": "3", "quantity": "2"}]}]}],
+    }
+    rows, bad = outage_documents.parsed(frame(spark, [("FR", json.dumps(doc)), ("FR", json.dumps(doc)[:-3]), ("FR", "[]")], "zone string, value string"), "json")
+    got = sorted((r.start.minute, r.end.minute, r.avail_qty, r.nominal_power, r.docstatus) for r in rows.collect())
+    assert got == [(0, 30, 4.0, 10.0, "A13"), (30, 0, 2.0, 10.0, "A13")] and bad.count() == 2
+
+
+def test_blocks_cover_a_range_once_and_are_few(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(a), int(a + n)) for a, n in zip(rng.integers(-50, 5000, 300), rng.choice([0, 1, 2, 7, 100, 4000], 300), strict=True)]
+    for r in frame(spark, rows, "a long, b long").select("a", "b", joins.blocks(F.col("a"), F.col("b")).alias("k")).collect():
+        held = [v for k in r.k for v in range(k.number << k.level, (k.number + 1) << k.level)]
+        assert sorted(held) == list(range(r.a, r.b + 1)) and len(r.k) <= 2 * max(1, (r.b - r.a + 1).bit_length())
+
+
+def test_a_long_life_meets_its_points_by_few_rows(spark):
+    day = timedelta(days=1)
+    lives = [(1, T0, T0 + 3650 * day), (2, T0 + 5 * day, T0 + 5 * day), (3, T0 + 9 * day, T0 + 9.5 * day), (4, None, T0)]
+    points = [(T0 + k * day,) for k in (-1, 0, 9, 10, 1000, 3649, 3650)]
+    i, p = frame(spark, lives, "k int, a timestamp_ntz, b timestamp_ntz"), frame(spark, points, "c timestamp_ntz")
+    got = joins.stab(i, p, "a", "b", "c", "day")
+    assert sorted((r.k, (r.c - T0).days) for r in got.collect()) == [(1, 0), (1, 9), (1, 10), (1, 1000), (1, 3649), (3, 9)]
+    spread = i.where("a < b").select(F.explode(joins.blocks(F.lit(0).cast("long"), F.datediff("b", "a").cast("long"))))
+    assert spread.count() <= 30
+
+
+def test_profiles_of_changes_are_those_of_minutes(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(60):
+        a = T0 + timedelta(minutes=int(rng.integers(0, 60 * 24 * 4)))
+        rows.append((f"d{k}", a, a + timedelta(minutes=int(rng.choice([1, 20, 60, 90, 600, 5000]))), 100.0 + k, float(rng.integers(0, 100))))
+    got = {r.t: r.mw for r in outages.hourly(frame(spark, rows, "mrid string, start timestamp_ntz, end timestamp_ntz, nominal_power double, avail_qty double")).collect()}
+    want = {}
+    for _, a, b, p, q in rows:
+        while a < b:
+            h = a.replace(minute=0)
+            want[h] = want.get(h, 0.0) + (p - q) / 60
+            a += timedelta(minutes=1)
+    assert set(got) == set(want) and all(got[h] == pytest.approx(want[h]) for h in want)
