@@ -723,6 +723,16 @@ def M19_area_fill(spark, sf_dir):
     return x.select(K.stamp("t").alias("t"), r6("filled").alias("filled"), "rule")
 
 
+def outage_documents_of(spark, sf_dir) -> DataFrame:
+    """Outage documents from lineitem."""
+    x = table(spark, sf_dir, "lineitem")
+    end = F.col("l_shipdate") + F.make_dt_interval(F.lit(0), F.col("l_quantity").cast("int"))
+    return x.select(
+        F.col("l_orderkey").alias("mrid"), F.col("l_linenumber").alias("revision"), (F.col("l_shipdate") - F.expr("INTERVAL 3 DAYS")).alias("created_doc_time"), F.when(F.col("l_returnflag") == "A", "A09").alias("docstatus"),
+        F.when(F.col("l_linestatus") == "F", O.PLANNED).otherwise("A54").alias("businesstype"), F.col("l_shipdate").alias("start"), end.alias("end"), F.col("l_extendedprice").alias("nominal_power"), (F.col("l_extendedprice") * F.col("l_discount")).alias("avail_qty"),
+    )
+
+
 @query(f"""WITH d AS (SELECT l_orderkey AS mrid, l_linenumber AS revision, l_shipdate - INTERVAL 3 DAY AS created, coalesce(l_returnflag = 'A', false) AS inactive, coalesce(l_linestatus = 'F', false) AS planned,
  l_shipdate AS a, l_shipdate + to_hours(CAST(l_quantity AS BIGINT)) AS b, greatest(0, l_extendedprice - l_extendedprice * l_discount) AS mw FROM lineitem),
 l AS (SELECT *, min(a) OVER (PARTITION BY mrid) AS began, min(a) OVER (PARTITION BY mrid, planned) AS began_alike FROM (SELECT *, max(revision) OVER (PARTITION BY mrid) AS r FROM d) WHERE revision = r AND NOT inactive),
@@ -742,12 +752,7 @@ def J12_outage_profiles(spark, sf_dir):
 
     Hours run from the day of the first start to the day after the last end, the last that can see an outage at its cut-off.
     """
-    x = table(spark, sf_dir, "lineitem")
-    end = F.col("l_shipdate") + F.make_dt_interval(F.lit(0), F.col("l_quantity").cast("int"))
-    docs = x.select(
-        F.col("l_orderkey").alias("mrid"), F.col("l_linenumber").alias("revision"), (F.col("l_shipdate") - F.expr("INTERVAL 3 DAYS")).alias("created_doc_time"), F.when(F.col("l_returnflag") == "A", "A09").alias("docstatus"),
-        F.when(F.col("l_linestatus") == "F", O.PLANNED).otherwise("A54").alias("businesstype"), F.col("l_shipdate").alias("start"), end.alias("end"), F.col("l_extendedprice").alias("nominal_power"), (F.col("l_extendedprice") * F.col("l_discount")).alias("avail_qty"),
-    )
+    docs = outage_documents_of(spark, sf_dir)
     span = docs.agg(K.trunc("day", F.min("start")).alias("lo"), (K.trunc("day", F.max("end")) + F.expr("INTERVAL 47 HOURS")).alias("hi"))  # one row
     hours = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("t"))
     parts = [f(docs, hours).withColumnRenamed("mw", n) for f, n in ((O.approximate, "approximate"), (O.persistence, "persistence"), (O.exact, "exact"))]

@@ -12,8 +12,8 @@ from meterwise.operators import joins as J
 from meterwise.operators import metrics as M
 from meterwise.operators import outages as O
 from meterwise.operators import weather as Wx
-from meterwise.plans import site
-from meterwise.plans.catalog import GRID, LEVELS_SQL, LINES, QUARTERS, SQL, T, WIDE, day_arrays, events, forecasts, lines, quarters, query, r6, shipped_hours, table, wide
+from meterwise.plans import feature_table, site
+from meterwise.plans.catalog import GRID, LEVELS_SQL, LINES, QUARTERS, SQL, T, WIDE, day_arrays, events, forecasts, lines, outage_documents_of, quarters, query, r6, shipped_hours, table, wide
 from meterwise.production import archive, day, learned, run, shape, surrogates, weather_table
 from meterwise.sources import outage_documents
 from meterwise.sources import payloads as P
@@ -693,6 +693,49 @@ def Q11_site_mix(spark, sf_dir):
     return x.select("event_id", r6(got["q"]).alias("q"), got["source"].alias("source"))
 
 
+# ---- the whole feature table
+
+WHOLE = f"""WITH r AS (SELECT l_shipdate + to_hours(CAST(l_quantity AS BIGINT) % 24) AS t, * FROM lineitem),
+h AS (SELECT t, avg(l_extendedprice) FILTER (WHERE l_returnflag = 'R') AS p1, avg(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS p2, avg(l_tax * 1e4) FILTER (WHERE l_linenumber = 1) AS a1, avg(l_tax * 1e4) FILTER (WHERE l_linenumber = 2) AS a2, avg(l_tax * 1e4) AS a3, avg(l_discount * 100) AS w,
+ avg(l_quantity) FILTER (WHERE l_linenumber < 4) AS n, avg(l_discount) FILTER (WHERE l_linenumber = 1) AS n1, avg(l_discount) FILTER (WHERE l_linenumber = 2) AS n2 FROM r GROUP BY 1),
+f AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS gas, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'P') AS coal FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1),
+g AS (SELECT CAST(day AS TIMESTAMP) + INTERVAL 2 DAY AS t, last_value(gas IGNORE NULLS) OVER (ORDER BY day) AS gas, last_value(coal IGNORE NULLS) OVER (ORDER BY day) AS coal FROM f),
+o AS ({SQL['J12_outage_profiles']}),
+x AS (SELECT h.t, coalesce(p1, p2) AS price, CASE WHEN p1 IS NULL THEN 2 ELSE 1 END AS price_rung, coalesce(a1, a2, a3) AS load, CASE WHEN a1 IS NOT NULL THEN 1 WHEN a2 IS NOT NULL THEN 2 ELSE 3 END AS load_rung, w, n, n - CASE WHEN n1 IS NOT NULL OR n2 IS NOT NULL THEN coalesce(n1, 0) + coalesce(n2, 0) END AS rl, coalesce(o.exact, 0) AS away, coalesce(o.persistence, 0) AS held
+ FROM h LEFT JOIN o ON o.t = strftime(h.t, '%Y-%m-%d %H:%M:%S') WHERE coalesce(p1, p2) IS NOT NULL),
+y AS (SELECT x.*, gas, coal FROM x ASOF LEFT JOIN g ON x.t >= g.t)"""
+
+
+def whole_table(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    x = table(spark, sf_dir, "lineitem").withColumn("t", F.col("l_shipdate").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("l_quantity").cast("int") % 24))
+    of = lambda v, where="true": x.where(where).select("t", F.col(v).alias("v") if isinstance(v, str) else v.alias("v"))
+    load, share = F.col("l_tax") * 1e4, F.col("l_discount") * 100
+    docs = outage_documents_of(spark, sf_dir)
+    hours = x.select(K.trunc("hour", "t").alias("t")).distinct()
+    fuels = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").groupBy(F.to_date("o_orderdate").alias("day")).agg(*[F.avg(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice"))).alias(n) for n, s in (("gas", "F"), ("coal", "P"))])
+    profile = lambda f: f(docs, hours).withColumnRenamed("mw", "v")
+    return feature_table.whole(
+        [of("l_extendedprice", "l_returnflag = 'R'"), of("l_extendedprice", "l_returnflag = 'A'")],
+        {"load": [of(load, "l_linenumber = 1"), of(load, "l_linenumber = 2"), of(load)], "wind": [of(share)]}, "load", ["wind"],
+        {"nb": (of("l_quantity", "l_linenumber < 4"), [of("l_discount", "l_linenumber = 1"), of("l_discount", "l_linenumber = 2")])},
+        {"away": profile(O.exact), "held": profile(O.persistence)}, fuels, ["gas", "coal"],
+    )
+
+
+@query(f"{WHOLE} SELECT {T.format('t')} AS t, round(price, 5) AS price, CAST(price_rung AS BIGINT) AS price_rung, round(load, 5) AS load, CAST(load_rung AS BIGINT) AS load_rung, round(load - w, 5) AS residual_load, round(n, 5) AS load_nb, round(rl, 5) AS rl_nb, round(away, 4) AS away, round(held, 4) AS held, round(gas, 4) AS gas, round(coal, 4) AS coal FROM y")
+def M22_whole_table(spark, sf_dir):
+    """Prices, forecasts with rungs, a neighbour, outages and lagged fuels of all of lineitem's hours in one plan."""
+    x, _ = whole_table(spark, sf_dir)
+    r5, r4 = (lambda c, n=n: F.round(c, n).alias(c) for n in (5, 4))
+    return x.select(K.stamp("t").alias("t"), r5("price"), "price_rung", r5("load"), "load_rung", r5("residual_load"), r5("load_nb"), r5("rl_nb"), r4("away"), r4("held"), r4("gas"), r4("coal"))
+
+
+@query(f"{WHOLE} SELECT count(*) AS rows_, count(*) FILTER (WHERE price_rung = 2) AS price_from_2, count(*) FILTER (WHERE load_rung = 2) AS load_from_2, count(*) FILTER (WHERE load_rung = 3) AS load_from_3, count(*) FILTER (WHERE n IS NOT NULL AND rl IS NOT NULL AND gas IS NOT NULL AND coal IS NOT NULL) AS complete_rows FROM y")
+def M22_whole_summary(spark, sf_dir):
+    _, s = whole_table(spark, sf_dir)
+    return s.select(F.col("rows").alias("rows_"), "price_from_2", "load_from_2", "load_from_3", "complete_rows")
+
+
 # ---- the daily run
 
 @query("""WITH n(name, rows_, total) AS (SELECT 'lear', count(*), round(sum(v), 4) FROM (SELECT avg(value) AS v FROM events GROUP BY date_trunc('hour', ts)) UNION ALL SELECT 'nets', count(*), round(sum(v), 4) FROM (SELECT sum(value) AS v FROM events GROUP BY CAST(ts AS DATE)) UNION ALL SELECT 'mix', count(*), round(sum(v), 4) FROM (SELECT max(value) AS v FROM events GROUP BY user_id))

@@ -610,3 +610,29 @@ def test_profiles_of_changes_are_those_of_minutes(spark):
             want[h] = want.get(h, 0.0) + (p - q) / 60
             a += timedelta(minutes=1)
     assert set(got) == set(want) and all(got[h] == pytest.approx(want[h]) for h in want)
+
+
+def test_the_whole_table_is_one_exchange_by_hour(spark):
+    h = hours(6)
+    s = lambda *v: frame(spark, [(t + timedelta(minutes=15 * k), x) for t, x in zip(h, v, strict=False) if x is not None for k in (0, 1)], "t timestamp_ntz, v double")
+    fuels = frame(spark, [(date(2023, 12, 29), 1.0, None), (date(2023, 12, 30), None, 7.0)], "day date, gas double, coal double")
+    zones = {"a": (s(9.0, 9.0, 9.0, 9.0, 9.0), [s(1.0, None, 1.0), s(2.0, None, None)]), "b": (s(4.0), [])}
+    x, summary = feature_table.whole(
+        [s(1.0, None, 3.0, None, None, 6.0), s(9.0, 2.0, 9.0)], {"load": [s(5.0), s(7.0, 7.0), s(8.0, 8.0, 8.0)], "wind": [s(1.0, 1.0, None, None, None, 2.0)]}, "load", ["wind"], zones,
+        {"away": frame(spark, [(h[1], 50.0)], "t timestamp_ntz, v double")}, fuels, ["gas", "coal"],
+    )
+    got = {r.t: r for r in x.collect()}
+    assert sorted(got) == [h[0], h[1], h[2], h[5]]
+    rows = [(r.price, r.price_rung, r.load, r.load_rung, r.residual_load, r.load_a, r.rl_a, r.load_b, r.rl_b, r.away, r.gas, r.coal) for _, r in sorted(got.items())]
+    assert rows == [
+        (1.0, 1, 5.0, 1, 4.0, 9.0, 6.0, 4.0, 4.0, 0.0, 1.0, 7.0), (2.0, 2, 7.0, 2, 6.0, 9.0, None, None, None, 50.0, 1.0, 7.0),
+        (3.0, 1, 8.0, 3, None, 9.0, 8.0, None, None, 0.0, 1.0, 7.0), (6.0, 1, None, None, None, None, None, None, None, 0.0, 1.0, 7.0),
+    ]
+    one = summary.first()
+    assert (one.rows, one.price_from_2, one.load_from_2, one.load_from_3, one.load_missing, one.complete_rows) == (4, 1, 1, 1, 1, 1)
+    # settlements count from two days on, and none before the first
+    early = feature_table.settled(frame(spark, [(datetime(2023, 12, d),) for d in (30, 31)], "t timestamp_ntz"), fuels, ["gas", "coal"], 2)
+    assert [tuple(r)[1:] for r in early.orderBy("t").collect()] == [(None, None), (1.0, None)]
+    plan = x._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning(t") == 1 and "SortMergeJoin" not in plan
+    assert feature_table.settled(frame(spark, [(T0,)], "t timestamp_ntz"), fuels.limit(0), ["gas"], 2).first().gas is None
