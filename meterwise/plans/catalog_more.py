@@ -206,15 +206,13 @@ def Q06_regrid(spark, sf_dir):
 
 @query(f"WITH q AS (SELECT event_type, {T.format("date_trunc('hour', ts)")} AS t, count(value) AS n, round(avg(value), 6) AS v FROM events GROUP BY 1, 2) SELECT * FROM q")
 def STREAM_hourly_means(spark, sf_dir):
-    """A stream over the landed file, run to its end; the rows of open windows come with the last batch (update mode)."""
+    """A stream over the landed file, run to its end in update mode: windows are upserted as batches change them."""
     from meterwise.streaming import hourly
 
     schema = table(spark, sf_dir, "events").schema
     stream = hourly.hourly_means(hourly.read(spark, f"{sf_dir}/events.parquet*", schema, 1000), ["event_type"], "value", late="60 days")
     out = scratch(spark)
-    write = lambda batch, _: batch.write.mode("overwrite").parquet(out)
-    run = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
-    run.awaitTermination()
+    hourly.start_upserts(stream, out, scratch(spark), ["event_type", "t"], "update").awaitTermination()
     return spark.read.parquet(out).select("event_type", K.stamp("t").alias("t"), "n", r6("v").alias("v"))
 
 

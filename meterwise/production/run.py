@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JNetworkError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterwise.plans.site import edition_action
 from meterwise.sources.tables import append_log, exists
 
+LOG = logging.getLogger(__name__)
+#: What no later step can outlive: the JVM is gone or memory is.
+FATAL = (Py4JNetworkError, MemoryError)
 KEPT = ("keep", "keep-late")
 SCHEMA = "t timestamp_ntz, seq long, step string, edition string, state string, note string"
 
@@ -58,7 +63,10 @@ def run_day(spark: SparkSession, path: str, delivery: str, steps: list[Step], ev
                     s.run(set(done))
                     state = "done"
                     done.add(s.name)
+                except FATAL:
+                    raise
                 except Exception as e:
+                    LOG.exception("step %s of %s failed", s.name, delivery)
                     if s.required:
                         add(s.name, "failed", f"{type(e).__name__}: {e}")
                         _log(spark, [r for r in rows if r[4] not in KEPT], path)

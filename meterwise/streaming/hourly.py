@@ -20,6 +20,10 @@ def hourly_means(events: DataFrame, keys: list[str], value: str, t: str = "ts",
     return out.select(*keys, F.col("window.start").alias("t"), "n", "v")
 
 
-def start_upserts(stream: DataFrame, path: str, checkpoint: str, keys: list[str]):
-    """Each micro-batch's rows replace older ones of the same key in the table."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: upsert(df.sparkSession, path, df, keys)).trigger(availableNow=True).start()
+def start_upserts(stream: DataFrame, path: str, checkpoint: str, keys: list[str], mode: str = "append"):
+    """Each micro-batch's rows replace older ones of the same key in the table.
+
+    In update mode a batch holds the windows that it has changed, so only their years are written again; the state keeps the
+    windows that the watermark has not passed, and rows that come later than it allows are left out.
+    """
+    return stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).foreachBatch(lambda df, _: upsert(df.sparkSession, path, df, keys)).trigger(availableNow=True).start()

@@ -636,3 +636,29 @@ def test_the_whole_table_is_one_exchange_by_hour(spark):
     plan = x._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning(t") == 1 and "SortMergeJoin" not in plan
     assert feature_table.settled(frame(spark, [(T0,)], "t timestamp_ntz"), fuels.limit(0), ["gas"], 2).first().gas is None
+
+
+def test_a_stream_in_update_mode_bounds_its_state_and_leaves_out_late_rows(spark, tmp_path):
+    schema = "k string, ts timestamp_ntz, value double"
+    batches = [
+        [("a", T0, 1.0), ("a", T0 + timedelta(minutes=30), 3.0)],
+        [("a", T0 + timedelta(minutes=45), 5.0), ("a", T0 + timedelta(hours=1), 7.0)],  # within the watermark: the first hour changes
+        [("a", T0 + timedelta(days=2), 9.0)],
+        [("a", T0 + timedelta(minutes=50), 1000.0), ("a", T0 + timedelta(days=2, minutes=5), 11.0)],  # the first is too late
+    ]
+    for i, rows in enumerate(batches):
+        frame(spark, rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+    out = str(tmp_path / "out")
+    progress = []
+    for i in range(len(batches)):  # a file lands, the stream goes on where it was
+        target = tmp_path / "landed"
+        target.mkdir(exist_ok=True)
+        part = next((tmp_path / "in" / f"b{i}").glob("part-*"))
+        part.rename(target / f"{i}-{part.name}")
+        stream = hourly.hourly_means(hourly.read(spark, str(target), frame(spark, [], schema).schema), ["k"], "value")
+        query = hourly.start_upserts(stream, out, str(tmp_path / "checkpoint"), ["k", "t"], "update")
+        query.awaitTermination()
+        progress.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = {r.t: (r.n, r.v) for r in spark.read.parquet(out).collect()}
+    assert got == {T0: (3, 3.0), T0 + timedelta(hours=1): (1, 7.0), T0 + timedelta(days=2): (2, 10.0)}
+    assert progress[-1] < len(got) and max(progress) <= 3  # closed windows have left the state
