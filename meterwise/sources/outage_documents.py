@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterwise.sources.tables import scratch
+
 #: The names of the format's elements.
 RESOURCE = "production_RegisteredResource"
 POINT = "struct<position:string,quantity:string>"
@@ -53,10 +55,14 @@ def moment(x: Column) -> Column:
     return F.try_to_timestamp(whole).cast("timestamp_ntz")
 
 
-def segments(period: Column) -> Column:
-    """start, end, quantity of each point of a period, points in order of their position."""
-    points = F.array_sort(F.transform(F.filter(period["Point"], lambda p: p["position"].try_cast("int").isNotNull()), lambda p: F.struct(p["position"].try_cast("int").alias("at"), p["quantity"].alias("q"))))
-    begin, end, step = moment(period["timeInterval"]["start"]), moment(period["timeInterval"]["end"]), minutes(period["resolution"])
+def points(period: Column) -> Column:
+    """at, q of a period's points in order of their position; those without a position are left out."""
+    placed = F.transform(period["Point"], lambda p: F.struct(p["position"].try_cast("int").alias("at"), p["quantity"].alias("q")))
+    return F.array_sort(F.filter(placed, lambda p: p["at"].isNotNull()))
+
+
+def segments(points: Column, begin: Column, end: Column, step: Column) -> Column:
+    """start, end, quantity of each point of a period; all four are columns, since a lambda works its expressions out for each point."""
     at = lambda p: begin + F.make_dt_interval(mins=(p["at"] - 1) * step)
     until = lambda i: F.when(i + 1 < F.size(points), at(F.get(points, i + 1))).otherwise(end)
     return F.transform(points, lambda p, i: F.struct(at(p).alias("start"), until(i).alias("end"), number(p["q"]).alias("q")))
@@ -64,7 +70,11 @@ def segments(period: Column) -> Column:
 
 def parsed(docs: DataFrame, kind: str = "xml") -> tuple[DataFrame, DataFrame]:
     """(rows of COLUMNS, bad documents: zone, value, reason). docs: zone, value (text of one document). The session's time zone
-    must be UTC."""
+    must be UTC.
+
+    Each text is parsed once: the parsed documents are written to the shared folder and both results read them there. As one
+    plan every condition and field would parse the text anew.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     read = F.from_xml if kind == "xml" else F.from_json
     x = docs.select("zone", "value").dropDuplicates().withColumn("d", read("value", schema(kind), options))
@@ -76,13 +86,17 @@ def parsed(docs: DataFrame, kind: str = "xml") -> tuple[DataFrame, DataFrame]:
         .when(moment(d["createdDateTime"]).isNull(), "no creation time")
         .when(d["TimeSeries"].isNull() | (F.size(d["TimeSeries"]) == 0), "no series")
     )
-    x = x.withColumn("reason", reason)
+    path = scratch(docs.sparkSession)
+    x.withColumn("reason", reason).select("zone", "d", "reason", F.when(F.col("reason").isNotNull(), F.col("value")).alias("value")).write.parquet(path)
+    x = docs.sparkSession.read.parquet(path)
     bad = x.where("reason is not null").select("zone", "value", "reason")
     series = x.where("reason is null").select("zone", F.col("d.mRID").alias("mrid"), d["revisionNumber"].try_cast("long").alias("revision"), moment(d["createdDateTime"]).alias("created_doc_time"), F.col("d.docStatus.value").alias("docstatus"), F.explode("d.TimeSeries").alias("s"))
     s = F.col("s")
     power = s[NOMINAL]["_VALUE"] if kind == "xml" else s[NOMINAL]
     periods = series.select("*", F.explode(F.coalesce(s["Available_Period"], F.array())).alias("p"))
-    cut = periods.select("*", F.explode(segments(F.col("p"))).alias("g"))
+    p = F.col("p")
+    timed = periods.select("*", points(p).alias("points"), moment(p["timeInterval"]["start"]).alias("begin"), moment(p["timeInterval"]["end"]).alias("until"), minutes(p["resolution"]).alias("step"))
+    cut = timed.select("*", F.explode(segments(*map(F.col, ("points", "begin", "until", "step")))).alias("g"))
     rows = cut.select(
         "zone", "mrid", "revision", "created_doc_time", "docstatus", s["businessType"].alias("businesstype"), s[f"{RESOURCE}.pSRType.psrType"].alias("plant_type"),
         s[f"{RESOURCE}.mRID"].alias("production_resource_id"), s[f"{RESOURCE}.name"].alias("production_resource_name"), number(power).alias("nominal_power"),
