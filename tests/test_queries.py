@@ -98,3 +98,21 @@ def test_outage_profiles_cover_the_whole_table(spark, sf, duck):
         assert {str(t) for t in want} <= set(got)
         for t, r in got.items():
             assert r[part] == pytest.approx(want.get(datetime.fromisoformat(t), 0.0), abs=1e-4), (part, t)
+
+
+def changed_tables(sf, folder, name, select):
+    """The tables of sf under folder, but one made by a select from `old`; and a DuckDB over them."""
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for f in os.listdir(sf):
+        os.symlink(f"{sf}/{f}", folder / f)
+    os.unlink(folder / f"{name}.parquet")
+    con.execute(f"COPY (WITH old AS (SELECT * FROM '{sf}/{name}.parquet') {select}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    for f in os.listdir(sf):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{folder}/{f}'")
+    return con
+
+
+def test_outages_that_agree_in_number_and_times_all_count(spark, sf, tmp_path):
+    con = changed_tables(sf, tmp_path, "lineitem", "SELECT * FROM old UNION ALL SELECT * REPLACE (l_extendedprice + 7 AS l_extendedprice) FROM old WHERE l_partkey % 3 = 0")
+    test_query_equals_sql(spark, str(tmp_path), con, "J12_outage_profiles")
