@@ -116,3 +116,8 @@ def changed_tables(sf, folder, name, select):
 def test_outages_that_agree_in_number_and_times_all_count(spark, sf, tmp_path):
     con = changed_tables(sf, tmp_path, "lineitem", "SELECT * FROM old UNION ALL SELECT * REPLACE (l_extendedprice + 7 AS l_extendedprice) FROM old WHERE l_partkey % 3 = 0")
     test_query_equals_sql(spark, str(tmp_path), con, "J12_outage_profiles")
+
+
+def test_fuels_at_a_rounding_tie_equal_sql(spark, sf, tmp_path):
+    con = changed_tables(sf, tmp_path, "orders", "SELECT * REPLACE (361788.06375 AS o_totalprice) FROM old")
+    test_query_equals_sql(spark, str(tmp_path), con, "M22_whole_table")
