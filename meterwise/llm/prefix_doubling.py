@@ -1,12 +1,13 @@
-"""Prefix doubling over every byte position, by Spark's sort alone: exact integer ranks, no hashes.
+"""Prefix doubling: exact integer ranks, no hashes.
 
-A position's first rank is the value of its 8 bytes. At each growing offset the pair (rank here, rank at the offset)
-is read by a range window over the document's own positions, Spark deals the pairs into ranges and sorts them, and
-each range numbers its distinct pairs; a pair gets the same rank wherever it stands. Positions alone with their pair
-are unique from then on and leave. After the last offset positions of one rank start equal strings of `length` bytes.
+A position's first rank is by its 8 bytes. At each growing offset the pairs (rank here, rank at the offset) are sorted and
+numbered anew; equal pairs get the same rank wherever they stand. Positions alone with their pair are unique from then on
+and leave. After the last offset positions of one rank start equal strings of `length` bytes.
 
-suffix_dedup.remove_repeats(every_position=True) runs on it. All positions are shuffled twice for each offset, so it
-needs many times its input in disk (README has figures); the plain call ranks chosen positions only, to the same result.
+ranks_in() does that over the bytes that Spark has dealt to one task. ranks() does it over every position of all texts by
+Spark's sort alone: the rank at the offset is read by a range window over the document's own positions, the pairs are dealt
+into ranges and sorted, and each range numbers its distinct pairs. suffix_dedup.remove_repeats(every_position=True) runs on
+it; all positions are shuffled twice for each offset, so it needs many times its input in disk (README has figures).
 """
 
 from __future__ import annotations
@@ -36,6 +37,46 @@ def offsets(length: int) -> list[int]:
     return out
 
 
+def _rerank(here: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of pairs of ranks, and how often the pair of each rank stands."""
+    _, rank, count = np.unique((here << 32) | there, return_inverse=True, return_counts=True)
+    return rank, count
+
+
+def ranks_in(data: np.ndarray, begin: np.ndarray, width: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that start a string of `length` bytes met again in data, and its rank; strings lie within begin, width."""
+    rank = np.full(data.size, -1, np.int64)
+    end = np.repeat(begin + width, width)
+    at = np.flatnonzero(np.arange(data.size) + FIRST <= end)
+    value = np.lib.stride_tricks.sliding_window_view(data, FIRST)[at].view(">u8").ravel() if at.size else np.zeros(0)
+    value = value.astype(np.uint64)
+    _, first, count = np.unique(value, return_inverse=True, return_counts=True)
+    keep = count[first] > 1
+    at = at[keep]
+    rank[at] = first[keep]
+    for step in offsets(length):
+        # where the string at the offset leaves its body or is unique, the pair is not met again
+        at = at[at + step + FIRST <= end[at]]
+        at = at[rank[at + step] >= 0]
+        new, count = _rerank(rank[at], rank[at + step])
+        keep = count[new] > 1
+        at, new = at[keep], new[keep]
+        rank[:] = -1
+        rank[at] = new
+    return at, rank[at]
+
+
+def ranks_of_rows(rows: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Ranks of rows of bytes (their number divisible by 8), those of one kind (a small integer) among themselves."""
+    _, rank = np.unique(rows.view(np.uint64), return_inverse=True)
+    rank = rank.reshape(rows.shape[0], -1)
+    while rank.shape[1] > 1:
+        odd = rank[:, -1:] if rank.shape[1] % 2 else rank[:, :0]
+        pairs, _ = _rerank(rank[:, : rank.shape[1] // 2 * 2 : 2].ravel(), rank[:, 1::2].ravel())
+        rank = np.hstack([pairs.reshape(rows.shape[0], -1), odd])
+    return _rerank(rank[:, 0], kind.astype(np.int64))[0] if rank.size else np.zeros(rows.shape[0], np.int64)
+
+
 def _positions(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,21 +3,20 @@
 Every byte covered by a 50-byte string that also starts in a document with a smaller doc_id goes. Strings are judged
 on the input as UTF-8 bytes, never cross documents, and may overlap.
 
-Prefix doubling ranks positions by ever longer strings and drops those that stay alone. Ranks here are 64-bit names
-(Karp-Rabin hashes), so a rank pair needs no global renumbering; at each of three offsets Spark deals the pairs
-(name, document) by name and sorts them, and only positions that share a name go on:
-
-1. 20 bytes. Of each 50-byte string one 20-byte part stands for it (the one with the least hash), so equal strings
-   are represented alike and one position in about 15 has to be ranked. Positions alone with their name are done.
-2. The whole context of such a position, up to 80 bytes: all 50-byte strings it may stand for. Where a smaller
-   document has the same context, all those strings are repeats; of equal contexts only the first goes on.
-3. 50 bytes, the threshold: what is left sends its context to the tasks of its 20-byte name, where its strings are
-   ranked by name pairs. Strings of a name with many contexts are dealt by their own names instead, so that a common
-   line does not gather in one task.
-
-Exact copies of a text are settled beforehand by digest: all but the first are covered whole (texts of 50 bytes on).
-Names are compared as pairs of 96 bits and more, so a false match is not to be expected at any size. With
-every_position=True exact ranks of all positions are doubled instead (prefix_doubling), at many times the shuffle.
+1. Which positions can be repeats: of each 50-byte string one 20-byte part stands for it (the one with the least hash),
+   so equal strings are represented alike by one position in about 15, an anchor. Spark deals anchors by a hash of those
+   20 bytes; anchors whose hash is met in one document alone leave. This only leaves out strings that are not repeated:
+   a hash in common decides nothing.
+2. Prefix doubling decides. An anchor that stays sends the bytes of all strings that it stands for to the task of its
+   name, where all strings that may be equal meet. There every position has an integer rank by its 8 bytes; the pair
+   (rank here, rank at the offset) is sorted and ranked anew for growing offsets until the ranks are those of 50 bytes,
+   and positions alone with their pair leave (prefix_doubling.ranks_in). Bytes that equal those of a smaller document
+   as a whole are found beforehand by pairs of ranks as well (ranks_of_rows), in the sending task too, so that a
+   common passage does not gather. Strings of a name that is met very often are dealt by their own hash instead.
+
+Ranks are exact: no string is judged by a hash, but for exact copies of a text: they are settled beforehand by their
+SHA-256 (all but the first are covered whole, if of 50 bytes on). With every_position=True all positions of all texts are
+ranked by Spark's sort (prefix_doubling.ranks), at many times the shuffle.
 
 Nulls: a null text is empty. Rows with a null doc_id neither cover others nor are covered. Repeated rows don't cover
 each other; where one doc_id has different texts, the one with the least digest is judged and the others stay whole.
@@ -35,13 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterwise.llm import prefix_doubling
-from meterwise.llm.common import Substrings, freeing, mix, partitions, ranges, text_chunks
+from meterwise.llm.common import Substrings, freed, freeing, mix, partitions, ranges, text_chunks
 
 LENGTH = 50
 NAME = 20
-HOT = 64
+HOT = 512
 #: Bytes of text whose anchors one task ranks at once; there are as many buckets as the corpus asks for.
 BUCKET = 1 << 24
+#: Bytes of text that are looked at in one go.
+CHUNK = 1 << 19
 WIDE = 1 << 20
 #: Stands for a null doc_id inside.
 NONE = -(1 << 63)
@@ -81,12 +82,6 @@ class Run:
         self.names = names[self.at]
         self.doc = np.searchsorted(offsets, self.at, "right") - 1
 
-    def context(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and end of each anchor's context, and its name (with the anchor's place in it)."""
-        lo = np.maximum(self.at - (self.length - self.name), self.begin[self.at])
-        hi = np.minimum(self.at + self.length, self.end[self.at])
-        return lo, hi, mix(self.subs.hash(lo, hi) + (self.at - lo).astype(np.uint64))
-
     def strings(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the strings that anchors stand for, and the anchor of each."""
         at = self.at[anchors]
@@ -96,25 +91,17 @@ class Run:
         keep = self.whole[pos] & (self.least[pos] == self.names[anchors][own])
         return pos[keep], own[keep]
 
+    def spans(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First start and number of the strings that each anchor stands for; their starts are neighbours."""
+        pos, own = self.strings(anchors)
+        count = np.bincount(own, minlength=anchors.size)
+        return pos[np.cumsum(count) - count], count
+
 
 def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
     return ((names >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _messages(bucket: np.ndarray, buckets: int, **arrays: np.ndarray) -> pa.RecordBatch | None:
-    """One row for each bucket that is met, with each array's part as bytes."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    met = np.flatnonzero(np.diff(cuts))
-    if not met.size:
-        return None
-    out = {"bucket": pa.array(met, pa.int64())}
-    for k, v in arrays.items():
-        v = v[order]
-        out[k] = pa.array([v[cuts[b] : cuts[b + 1]].tobytes() for b in met], pa.binary())
-    return pa.RecordBatch.from_pydict(out)
-
-
 def _six(x: np.ndarray) -> np.ndarray:
     """The low 48 bits as three 16-bit columns."""
     return np.ascontiguousarray(x.astype("<u8")).view("<u2").reshape(-1, 4)[:, :3]
@@ -125,47 +112,49 @@ def _of_six(b: bytes) -> np.ndarray:
     return x[:, 0] | (x[:, 1] << np.uint64(16)) | (x[:, 2] << np.uint64(32))
 
 
+def _small(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
 def _read(table: pa.Table, name: str, kind) -> list[np.ndarray]:
     return [kind(x) if kind is _of_six else np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
 
 
-ANCHORS = "bucket long, name binary, context binary, doc binary, pos binary, ids binary, flag binary"
+ANCHORS = "bucket long, name binary, doc binary, pos binary, ids binary, flag binary"
 
 
-PLAIN, MARK, OF_HOT, REPEAT = 0, 1, 2, 3
+PLAIN, MARK, OF_HOT = 0, 1, 2
 
 
-def _anchors(buckets: int, length: int, name: int, hot: int, most: int = 700_000):
-    """Step 1, sending side. Of a task's anchors, the first of each (name, context) goes to the task of its name.
+def _anchors(buckets: int, length: int, name: int, hot: int, most: int = 500_000):
+    """Step 1, sending side: anchors go to the task of their name.
 
-    What is decided here only passes through, dealt evenly: repeats of a context by larger documents, and positions
-    of names with more than `hot` contexts, of which one mark goes to the task of the name.
+    Those of names met more than `hot` times in two documents or more only pass through, dealt evenly; one mark for
+    each such name goes to the name's task.
     """
 
-    def send(held: list) -> pa.RecordBatch | None:
-        names, contexts, docs, pos = (np.concatenate([h[i] for h in held]) for i in range(4))
-        order = np.lexsort((docs, contexts, names))
-        n, c, d = names[order], contexts[order], docs[order]
-        new, fresh = _starts(n), _starts(n, c)
-        group = np.cumsum(new) - 1
-        first = d[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        many = (np.bincount(group, weights=fresh) > hot)[group]
-        flag = np.empty(n.size, np.uint8)
-        flag[order] = np.where(d > first, REPEAT, np.where(many, OF_HOT, PLAIN))
+    def send(held: list) -> pa.RecordBatch:
+        names, docs, pos = (np.concatenate([h[i] for h in held]) for i in range(3))
+        order = np.lexsort((docs, names))
+        n, d = names[order], docs[order]
+        new = _starts(n)
+        at, group = np.flatnonzero(new), np.cumsum(new) - 1
+        many = ((np.bincount(group, minlength=at.size) > hot) & (np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)))[group]
         marks = order[new & many]
-        bucket = _bucket(names, buckets)
-        bucket = np.where(flag == OF_HOT, _bucket(contexts, buckets), np.where(flag == REPEAT, _bucket(mix(contexts + docs.astype(np.uint64)), buckets), bucket))
+        flag = np.empty(n.size, np.uint8)
+        flag[order] = np.where(many, OF_HOT, PLAIN)
+        bucket = np.where(flag == OF_HOT, _bucket(mix(names + docs.astype(np.uint64)), buckets), _bucket(names, buckets))
         take = np.concatenate([np.arange(n.size), marks])
         flag = np.concatenate([flag, np.full(marks.size, MARK, np.uint8)])
         bucket = np.concatenate([bucket, _bucket(names[marks], buckets)])
-        names, contexts, docs, pos = names[take], contexts[take], docs[take], pos[take]
+        names, docs, pos = names[take], docs[take], pos[take]
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        out: dict[str, list] = {k: [] for k in ("bucket", "name", "context", "doc", "pos", "ids", "flag")}
+        out: dict[str, list] = {k: [] for k in ("bucket", "name", "doc", "pos", "ids", "flag")}
         for b in np.flatnonzero(np.diff(cuts)):
             own = order[cuts[b] : cuts[b + 1]]
             ids, index = np.unique(docs[own], return_inverse=True)
-            bytes_of = {"name": _six(names[own]), "context": _six(contexts[own]), "doc": index.astype(_index_kind(ids.size)), "pos": pos[own].astype("<u4"), "ids": np.diff(ids, prepend=0).astype("<i8"), "flag": flag[own]}
+            bytes_of = {"name": _six(names[own]), "doc": index.astype(_index_kind(ids.size)), "pos": pos[own].astype("<u4"), "ids": np.diff(ids, prepend=0).astype("<i8"), "flag": flag[own]}
             out["bucket"].append(int(b))
             for k, v in bytes_of.items():
                 out[k].append(np.ascontiguousarray(v).tobytes())
@@ -175,9 +164,9 @@ def _anchors(buckets: int, length: int, name: int, hot: int, most: int = 700_000
         held, count = [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            for lo, hi, offsets, data in text_chunks(batch):
+            for lo, hi, offsets, data in text_chunks(batch, most=CHUNK):
                 r = Run(offsets, data, length, name)
-                held.append((r.names, r.context()[2], ids[lo:hi][r.doc], r.at - r.offsets[r.doc]))
+                held.append((r.names, ids[lo:hi][r.doc], r.at - r.offsets[r.doc]))
                 count += r.at.size
                 if count >= most:
                     yield send(held)
@@ -193,7 +182,7 @@ def _index_kind(n: int) -> str:
 
 
 REPLIES = "doc_id long, code long"
-COVERED, ASK, ASK_HOT = 0, 1, 2
+ASK, ASK_HOT = 1, 2
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -205,41 +194,122 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _rank_contexts(table: pa.Table) -> pa.Table:
-    """Steps 1 and 2, receiving side: of the positions in a bucket, what is covered and what has to go on."""
-    names, contexts, flag, pos = (np.concatenate(_read(table, k, t)) for k, t in (("name", _of_six), ("context", _of_six), ("flag", np.uint8), ("pos", "<u4")))
-    ids = [np.cumsum(x) for x in _read(table, "ids", "<i8")]
-    docs = np.concatenate([own[np.frombuffer(x, _index_kind(own.size))] for own, x in zip(ids, table.column("doc").to_pylist(), strict=True)])
-    code = np.where(flag == REPEAT, COVERED, -1)
-    for kinds in ((PLAIN, MARK), (OF_HOT,)):
-        own = np.flatnonzero(np.isin(flag, kinds))
-        if not own.size:
-            continue
-        own = own[np.lexsort((docs[own], contexts[own], names[own]))]
-        n, c, d, f = names[own], contexts[own], docs[own], flag[own]
-        new, fresh = _starts(n), _starts(n, c)
-        at, group = np.flatnonzero(new), np.cumsum(new) - 1
-        first = np.minimum.reduceat(np.where(f == MARK, np.iinfo(np.int64).max, d), np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
-        hot = (np.maximum.reduceat((f != PLAIN).astype(np.int8), at) > 0)[group]
-        shared = (np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)) & (np.add.reduceat(fresh.astype(np.int64), at) > 1)
-        own_code = np.select([f == MARK, d > first, hot, shared[group]], [-1, COVERED, ASK_HOT, ASK], -1)
-        code[own] = own_code
-    keep = code >= 0
-    return pa.table({"doc_id": pa.array(docs[keep], pa.int64()), "code": pa.array(pos[keep].astype(np.int64) * 4 + code[keep], pa.int64())})
+def _shared(hot: int):
+    """Step 1, receiving side: the anchors of a bucket whose name is met in two documents; hot ones may be 16 x `hot` in all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, flag, pos = (np.concatenate(_read(table, k, t)) for k, t in (("name", _of_six), ("flag", np.uint8), ("pos", "<u4")))
+        ids = [np.cumsum(x) for x in _read(table, "ids", "<i8")]
+        docs = np.concatenate([own[np.frombuffer(x, _index_kind(own.size))] for own, x in zip(ids, table.column("doc").to_pylist(), strict=True)])
+        code = np.where(flag == OF_HOT, ASK_HOT, 0)
+        own = np.flatnonzero(flag != OF_HOT)
+        if own.size:
+            own = own[np.lexsort((docs[own], names[own]))]
+            d, new = docs[own], _starts(names[own])
+            at, group = np.flatnonzero(new), np.cumsum(new) - 1
+            many = (np.maximum.reduceat((flag[own] == MARK).astype(np.int8), at) > 0) | (np.bincount(group) > 16 * hot)
+            shared = (np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)) | many
+            code[own] = np.where(flag[own] == MARK, 0, np.where(many, ASK_HOT, np.where(shared, ASK, 0))[group])
+        keep = code > 0
+        return pa.table({"doc_id": pa.array(docs[keep], pa.int64()), "code": pa.array(pos[keep].astype(np.int64) * 4 + code[keep], pa.int64())})
+
+    return run
+
+
+STRINGS = "bucket long, name binary, doc binary, pos binary, count binary, body binary, settled binary"
+
 
+def _cut(data: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of data[start : start + width], with zeros at their ends, and which bytes are none of these; data goes on long enough."""
+    room = -(-int(width.max(initial=1)) // 8) * 8
+    rows = np.lib.stride_tricks.sliding_window_view(data, room)[start]
+    inside = np.arange(room) < width[:, None]
+    return rows * inside, inside
 
-STRINGS = "bucket long, kind binary, name binary, doc binary, pos binary, body binary, length binary"
 
+class Bodies:
+    """Runs of `count` strings with neighbouring starts, from byte `pos` of a document on; their bytes are at `begin` of data.
+
+    joined() gives data an end of zeros, so that rows of equal width can be cut from it.
+    """
+
+    def __init__(self, name: np.ndarray, doc: np.ndarray, pos: np.ndarray, count: np.ndarray, length: int, data: np.ndarray, begin: np.ndarray | None = None):
+        self.name, self.doc, self.pos, self.count, self.length, self.data = name, doc, pos, count, length, data
+        self.width = count + length - 1
+        self.begin = np.cumsum(self.width) - self.width if begin is None else begin
+
+    @classmethod
+    def joined(cls, parts: list[Bodies]) -> Bodies:
+        before = np.cumsum([0] + [p.data.size for p in parts])
+        begin = np.concatenate([p.begin + n for p, n in zip(parts, before, strict=False)])
+        return cls(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("name", "doc", "pos", "count")), parts[0].length, np.concatenate([p.data for p in parts] + [np.zeros(2 * parts[0].length + 8, np.uint8)]), begin)
+
+    def take(self, own: np.ndarray) -> Bodies:
+        """These, their bytes still where they are."""
+        return Bodies(self.name[own], self.doc[own], self.pos[own], self.count[own], self.length, self.data, self.begin[own])
+
+    def bytes(self) -> np.ndarray:
+        """Their bytes, one body after the other."""
+        rows, inside = _cut(self.data, self.begin, self.width)
+        return rows[inside]
+
+    def copies(self) -> np.ndarray:
+        """Which have the very bytes of one in a smaller document."""
+        rank = prefix_doubling.ranks_of_rows(_cut(self.data, self.begin, self.width)[0], self.count)
+        least = np.full(int(rank.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, rank, self.doc)
+        return self.doc > least[rank]
+
+    def hits(self) -> tuple[np.ndarray, np.ndarray]:
+        """doc and start of the strings that a smaller document has too."""
+        begin = np.cumsum(self.width) - self.width
+        at, rank = prefix_doubling.ranks_in(self.bytes(), begin, self.width, self.length)
+        own = np.searchsorted(begin, at, "right") - 1
+        doc = self.doc[own]
+        least = np.full(int(rank.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, rank, doc)
+        hit = doc > least[rank]
+        return doc[hit], (self.pos[own] + at - begin[own])[hit]
+
+
+def _strings(buckets: int, length: int, name: int, most: int = 1 << 24):
+    """Step 2, sending side: the bytes of the strings that anchors stand for, by the anchor's name.
+
+    Of a task's equal ones the first document's goes on; the others are settled and only pass through. Strings of hot
+    names go one by one, by a hash of their own.
+    """
 
-def _strings(buckets: int, length: int, name: int):
-    """Step 3, sending side: contexts that go on, by their 20-byte name; strings of hot names by their own."""
-    room = 2 * length - name
+    def send(held: list[Bodies], hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        all_ = Bodies.joined(held)
+        # ranks are worked out where a hash is met again: others can't be equal
+        _, index, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        again = np.flatnonzero(times[index] > 1)
+        copy = np.zeros(all_.count.size, bool)
+        if again.size:
+            copy[again] = all_.take(again).copies()
+        for settled, own in ((1, np.flatnonzero(copy)), (0, np.flatnonzero(~copy))):
+            if not own.size:
+                continue
+            b = _bucket(mix(all_.doc[own].astype(np.uint64)) if settled else all_.name[own], buckets)
+            order = np.argsort(b, kind="stable")
+            x, cuts = all_.take(own[order]), np.searchsorted(b[order], np.arange(buckets + 1))
+            met = np.flatnonzero(np.diff(cuts))
+            out: dict[str, list] = {k: [] for k in ("name", "doc", "pos", "count", "body")}
+            for i in met:
+                y = x.take(np.arange(cuts[i], cuts[i + 1]))
+                out["name"].append(b"" if settled else np.ascontiguousarray(_six(y.name)).tobytes())
+                out["doc"].append(_small(y.doc))
+                out["pos"].append(y.pos.astype("<u4").tobytes())
+                out["count"].append(y.count.astype(np.uint8).tobytes())
+                out["body"].append(b"" if settled else _small(y.bytes()))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(met, pa.int64()), **{k: pa.array(out[k], pa.binary()) for k in ("name", "doc", "pos", "count", "body")}, "settled": pa.array([bytes([settled])] * met.size, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hashes, size = [], [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             codes = batch.column("codes")
-            for lo, hi, offsets, data in text_chunks(batch):
+            for lo, hi, offsets, data in text_chunks(batch, most=CHUNK):
                 own = codes.slice(lo, hi - lo)
                 count = np.diff(own.offsets.to_numpy()) if own.null_count == 0 else np.array([len(x) if x is not None else 0 for x in own.to_pylist()])
                 flat = own.flatten().to_numpy()
@@ -249,72 +319,71 @@ def _strings(buckets: int, length: int, name: int):
                 kind, at = flat % 4, offsets[row] + flat // 4
                 r = Run(offsets, data, length, name)
                 where = np.searchsorted(r.at, at)
-                ask = where[kind == ASK]
-                left, right, _ = r.context()
-                if ask.size:
-                    body = np.zeros((ask.size, room), np.uint8)
-                    width = right[ask] - left[ask]
-                    body[np.repeat(np.arange(ask.size), width), ranges(np.zeros(ask.size, np.int64), width)] = data[ranges(left[ask], width)]
-                    lengths = np.stack([r.at[ask] - left[ask], width], 1).astype(np.uint8)
-                    out = _messages(_bucket(r.names[ask], buckets), buckets, name=r.names[ask], doc=ids[lo:hi][r.doc[ask]], pos=(r.at[ask] - offsets[r.doc[ask]]).astype("<u4"), body=body, length=lengths)
-                    yield _with_kind(out, ASK)
-                ask = where[kind == ASK_HOT]
+                ask, hot = where[kind == ASK], where[kind == ASK_HOT]
+                parts = []
                 if ask.size:
-                    pos, own_ = r.strings(ask)
-                    if pos.size:
-                        doc = r.doc[ask][own_]
-                        names = r.subs.hash(pos, pos + length)
-                        other = Substrings(data, seed=2).hash(pos, pos + length)  # 128 bits in all
-                        out = _messages(_bucket(names, buckets), buckets, name=names, doc=ids[lo:hi][doc], pos=(pos - offsets[doc]).astype("<u4"), body=other, length=np.zeros((pos.size, 0), np.uint8))
-                        yield _with_kind(out, ASK_HOT)
+                    start, count = r.spans(ask)
+                    parts.append((r.names[ask], r.doc[ask], start, count))
+                if hot.size:
+                    start, own_ = r.strings(hot)
+                    parts.append((r.subs.hash(start, start + length), r.doc[hot][own_], start, np.ones(start.size, np.int64)))
+                for names, doc, start, count in parts:
+                    held.append(Bodies(names, ids[lo:hi][doc], start - offsets[doc], count, length, data, start))
+                    hashes.append(r.subs.hash(start, start + count + length - 1))
+                    size += data.size + 100 * start.size
+                if size >= most:
+                    yield from send(held, hashes)
+                    held, hashes, size = [], [], 0
+        if held:
+            yield from send(held, hashes)
 
     return run
 
 
-def _with_kind(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
-    got = {k: batch.column(k) for k in ("bucket", "name", "doc", "pos", "body", "length")}
-    return pa.RecordBatch.from_pydict({"bucket": got.pop("bucket"), "kind": pa.array([bytes([kind])] * batch.num_rows, pa.binary()), **got})
-
-
-def _rank_strings(length: int, name: int):
-    """Step 3, receiving side: the 50-byte strings of a bucket that a smaller document has too."""
-    room = 2 * length - name
+def _rank_strings(length: int, most: int = 1 << 19):
+    """Step 2, receiving side: the strings of a bucket that a smaller document has too, by prefix doubling."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = []
-        for kind, names, docs, pos, body, lengths in zip(*(table.column(k).to_pylist() for k in ("kind", "name", "doc", "pos", "body", "length")), strict=True):
-            names, docs, pos = np.frombuffer(names, np.uint64), np.frombuffer(docs, np.int64), np.frombuffer(pos, "<u4").astype(np.int64)
-            if kind[0] == ASK_HOT:
-                parts.append((names, np.frombuffer(body, np.uint64), docs, pos))
-                continue
-            place, width = np.frombuffer(lengths, np.uint8).reshape(-1, 2).astype(np.int64).T
-            base = np.arange(names.size) * room
-            subs = Substrings(np.frombuffer(body, np.uint8))
-            first = np.maximum(place - (length - name), 0)
-            count = np.maximum(np.minimum(place, width - length) - first + 1, 0)
-            own = np.repeat(np.arange(names.size), count)
-            at = ranges(first, count)
-            parts.append((names[own], subs.hash(base[own] + at, base[own] + at + length), docs[own], pos[own] - place[own] + at))
-        names, strings, docs, pos = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        order = np.lexsort((docs, strings, names))
-        names, strings, docs, pos = names[order], strings[order], docs[order], pos[order]
-        fresh = _starts(names, strings)
-        first = docs[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if docs.size else docs
-        hit = docs > first
-        docs, pos = docs[hit], pos[hit]
-        order = np.lexsort((pos, docs))
-        docs, pos = docs[order], pos[order]
-        # runs of neighbouring starts become one reply, or several if very long
-        new = _starts(docs, pos - np.arange(pos.size))
-        since = np.arange(pos.size) - np.flatnonzero(new)[np.cumsum(new) - 1]
-        at = np.flatnonzero(since % (WIDE - 1) == 0)
-        code = pos[at] * WIDE + np.diff(np.append(at, pos.size))
-        return pa.table({"doc_id": pa.array(docs[at], pa.int64()), "code": pa.array(code, pa.int64())})
+        found, parts = [], []
+        for settled, names, docs, pos, count, body in zip(*(table.column(k).to_pylist() for k in ("settled", "name", "doc", "pos", "count", "body")), strict=True):
+            pos, count = np.frombuffer(pos, "<u4").astype(np.int64), np.frombuffer(count, np.uint8).astype(np.int64)
+            docs = np.frombuffer(pa.decompress(docs, 8 * count.size, codec="zstd"), np.int64)
+            if settled[0]:
+                found.append((docs, pos, count))
+            else:
+                size = int(count.sum()) + count.size * (length - 1)
+                parts.append(Bodies(_of_six(names), docs, pos, count, length, np.frombuffer(pa.decompress(body, size, codec="zstd"), np.uint8)))
+        if parts:
+            every = Bodies.joined(parts)
+            every = every.take(np.argsort(every.name, kind="stable"))
+            # a few names at a time, so that memory has a bound
+            edge = np.append(np.flatnonzero(_starts(every.name)), every.name.size)
+            done = np.append(0, np.cumsum(every.width))[edge]
+            i = 0
+            while i < edge.size - 1:
+                j = max(i + 1, int(np.searchsorted(done, done[i] + most, "right")) - 1)
+                own, i = every.take(np.arange(edge[i], edge[j])), j
+                copy = own.copies()
+                found.append((own.doc[copy], own.pos[copy], own.count[copy]))
+                own = own.take(np.flatnonzero(~copy))
+                new = _starts(own.name)
+                at, group = np.flatnonzero(new), np.cumsum(new) - 1
+                several = np.minimum.reduceat(own.doc, at) != np.maximum.reduceat(own.doc, at)
+                doc, pos = own.take(np.flatnonzero(several[group])).hits()
+                order = np.lexsort((pos, doc))
+                doc, pos = doc[order], pos[order]
+                # runs of neighbouring starts become one reply, or several if very long
+                new = _starts(doc, pos - np.arange(pos.size))
+                since = np.arange(pos.size) - np.flatnonzero(new)[np.cumsum(new) - 1]
+                first = np.flatnonzero(since % (WIDE - 1) == 0)
+                found.append((doc[first], pos[first], np.diff(np.append(first, pos.size))))
+        docs, pos, count = (np.concatenate([f[i] for f in found]) for i in range(3))
+        return pa.table({"doc_id": pa.array(docs, pa.int64()), "code": pa.array(pos * WIDE + count, pa.int64())})
 
     return run
 
 
-def _remove(length: int, name: int):
+def _remove(length: int):
     """The removed bytes of each text, from what was found; `first` is the smallest doc_id with the same text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,21 +394,13 @@ def _remove(length: int, name: int):
                 size = np.diff(offsets)
                 n = hi - lo
                 copies = batch.column("copy").slice(lo, n).to_numpy(zero_copy_only=False) & (size >= length)
-                for k, wide in (("codes", 4), ("spans", WIDE)):
-                    col = batch.column(k).slice(lo, n)
-                    count = np.array([len(x) if x is not None else 0 for x in col.to_pylist()]) if col.null_count else np.diff(col.offsets.to_numpy())
-                    flat = col.flatten().to_numpy()
-                    row = np.repeat(np.arange(n), count)
-                    if k == "codes":
-                        row, flat = row[flat % 4 == COVERED], flat[flat % 4 == COVERED] // 4
-                        # all strings of a covered context: from its first start to its last start's end
-                        a = np.maximum(flat - (length - name), 0)
-                        b = np.minimum(flat + length, size[row])
-                    else:
-                        a = flat // WIDE
-                        b = a + flat % WIDE + length - 1
-                    np.add.at(step, offsets[row] + a, 1)
-                    np.add.at(step, offsets[row] + b, -1)
+                col = batch.column("spans").slice(lo, n)
+                count = np.array([len(x) if x is not None else 0 for x in col.to_pylist()]) if col.null_count else np.diff(col.offsets.to_numpy())
+                flat = col.flatten().to_numpy()
+                row = np.repeat(np.arange(n), count)
+                a = flat // WIDE
+                np.add.at(step, offsets[row] + a, 1)
+                np.add.at(step, offsets[row] + a + flat % WIDE + length - 1, -1)
                 np.add.at(step, offsets[:-1][copies], 1)
                 np.add.at(step, offsets[1:][copies], -1)
                 gone = np.cumsum(step[:-1]) > 0
@@ -395,18 +456,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, name: int = NAME, hot:
     # all columns go everywhere, so that the shuffle of the texts is one and the same
     if every_position:
         starts = prefix_doubling.covered(texts.where(judged).where(F.col("doc_id") != NONE).select("doc_id", "text"), length)
-        codes = docs.sparkSession.createDataFrame([], "doc_id long, codes array<long>")
         spans = starts.select("doc_id", (F.col("pos").cast("long") * WIDE + 1).alias("code"))
     else:
         sent = texts.where(judged).select("doc_id", "text", "carried").mapInArrow(freeing(_anchors(buckets, length, name, hot)), ANCHORS)
-        replies = sent.groupBy("bucket").applyInArrow(_rank_contexts, REPLIES)
+        replies = sent.groupBy("bucket").applyInArrow(freed(_shared(hot)), REPLIES)
         codes = replies.groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
         asked = texts.where(judged).join(codes, "doc_id").select("doc_id", "text", "carried", "codes")
         strings = asked.mapInArrow(freeing(_strings(buckets, length, name)), STRINGS)
-        spans = strings.groupBy("bucket").applyInArrow(_rank_strings(length, name), REPLIES)
+        spans = strings.groupBy("bucket").applyInArrow(freed(_rank_strings(length)), REPLIES)
     spans = spans.groupBy("doc_id").agg(F.collect_list("code").alias("spans"))
-    found = texts.join(codes, "doc_id", "left").join(spans, "doc_id", "left").select(
-        F.nullif("doc_id", F.lit(NONE)).alias("doc_id"), "text", "sha", "carried", F.when(judged, F.col("codes")).alias("codes"), F.when(judged, F.col("spans")).alias("spans"),
+    found = texts.join(spans, "doc_id", "left").select(
+        F.nullif("doc_id", F.lit(NONE)).alias("doc_id"), "text", "sha", "carried", F.when(judged, F.col("spans")).alias("spans"),
         F.coalesce((F.col("own") == F.col("sha")) & (F.col("first") < F.col("doc_id")), F.lit(False)).alias("copy"),
     )
     schema = T.StructType([
@@ -414,5 +474,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, name: int = NAME, hot:
         T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())),
         T.StructField("carried", found.schema["carried"].dataType),
     ])
-    out = found.mapInArrow(freeing(_remove(length, name)), schema)
+    out = found.mapInArrow(freeing(_remove(length)), schema)
     return out if carry else out.drop("carried")

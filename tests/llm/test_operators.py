@@ -7,12 +7,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 pytest.importorskip("meterwise.llm")
 
 from meterwise.llm import bottomk, components, dac, feistel, ftrl, jaccard, langid, prefix_doubling, segment, suffix_dedup, tiling, toxicity, urlrules  # noqa: E402
-from meterwise.llm.common import mix  # noqa: E402
+from meterwise.llm.common import Substrings, mix  # noqa: E402
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string"
@@ -101,6 +102,61 @@ def test_doubling_across_batches(monkeypatch):
         assert got.column("rank").to_pylist() == [2 * prefix_doubling.ROOM + int(x) for x in inverse[count[inverse] > 1]]
 
 
+@pytest.mark.parametrize("hot", [512, 1])
+def test_suffix_dedup_decides_by_ranks_not_hashes(monkeypatch, rows, hot):
+    """Where nearly all hashes are equal, only the integer ranks of prefix doubling tell strings apart."""
+    every, whole = Substrings.every, Substrings.hash
+    monkeypatch.setattr(Substrings, "every", lambda self, k: every(self, k) & np.uint64(7))
+    monkeypatch.setattr(Substrings, "hash", lambda self, start, end: whole(self, start, end) & np.uint64(1))
+    first, some = {}, []
+    for i, t in rows:
+        if len(t or "") < 5000 and first.setdefault(t or "", i) == i:
+            some.append((i, t or ""))
+
+    def dealt(batches, f):
+        table = pa.Table.from_batches(batches)
+        return pa.concat_tables(f(table.filter(pc.equal(table.column("bucket"), b))) for b in set(table.column("bucket").to_pylist())).to_pylist()
+
+    def batch(own):
+        return pa.RecordBatch.from_pylist(own, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("codes", pa.list_(pa.int64()))]))
+
+    halves = [[{"doc_id": i, "text": t} for i, t in some[k::2]] for k in (0, 1)]
+    sent = [x for h in halves for x in suffix_dedup._anchors(3, 50, 20, hot)(iter([batch(h)]))]
+    codes = collections.defaultdict(list)
+    for r in dealt(sent, suffix_dedup._shared(hot)):
+        codes[r["doc_id"]].append(r["code"])
+    halves = [[d | {"codes": codes[d["doc_id"]]} for d in h if codes[d["doc_id"]]] for h in halves]
+    sent = [x for h in halves for x in suffix_dedup._strings(3, 50, 20)(iter([batch(h)]))]
+    gone = {i: bytearray(len(t.encode())) for i, t in some}
+    for r in dealt(sent, suffix_dedup._rank_strings(50, most=4000)):
+        at, n = divmod(r["code"], suffix_dedup.WIDE)
+        gone[r["doc_id"]][at : at + n + 49] = b"\1" * (n + 49)
+    assert {i: sum(g) for i, g in gone.items()} == {i: n for i, _, n, *_ in brute_removed(some, 50)}
+
+
+def test_ranks_of_a_task_are_brute_force():
+    rng = random.Random(4)
+    bodies = ["".join(rng.choice("ab") for _ in range(rng.randint(50, 60))).encode() for _ in range(40)]
+    bodies = [x + b"\0" * 3 for x in bodies[:9]] + bodies + bodies[:7]
+    width = np.array([len(x) for x in bodies])
+    begin, data = np.cumsum(width) - width, np.frombuffer(b"".join(bodies), np.uint8)
+    for length in (50, 21, 8):
+        at, rank = prefix_doubling.ranks_in(data, begin, width, length)
+        met = collections.defaultdict(list)
+        for b, w in zip(begin, width, strict=True):
+            for p in range(b, b + w - length + 1):
+                met[data[p : p + length].tobytes()].append(p)
+        of = collections.defaultdict(list)
+        for p, r in zip(at.tolist(), rank.tolist(), strict=True):
+            of[r].append(p)
+        assert sorted(of.values()) == sorted(v for v in met.values() if len(v) > 1)
+    rows = np.zeros((len(bodies), 64), np.uint8)
+    for i, x in enumerate(bodies):
+        rows[i, : len(x)] = np.frombuffer(x, np.uint8)
+    rank = prefix_doubling.ranks_of_rows(rows, width)
+    assert all((rank[i] == rank[j]) == (bodies[i] == bodies[j]) for i in range(len(bodies)) for j in range(len(bodies)))
+
+
 def test_suffix_dedup_null_ids_repeated_rows_and_empty(spark, rows, empty):
     some = rows[:12] + rows[:3] + [(None, rows[0][1])]
     got = suffix_dedup.remove_repeats(spark.createDataFrame(some, DOCS)).select("doc_id", "n_removed").collect()
