@@ -31,7 +31,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, size: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.5, l2: float = 1.0, epochs: int = 3, seed: int = 7) -> Model:
-    """FTRL-proximal over the rows in shuffled order; the intercept is not penalised."""
+    """FTRL-proximal over the rows (index, value of any number type) in shuffled order; the intercept is not penalised."""
     z, n = np.zeros((size, classes)), np.zeros((size, classes))
     bz, bn = np.zeros(classes), np.zeros(classes)
     order = np.random.default_rng(seed)
@@ -41,7 +41,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes
 
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
-            index, value = rows[i]
+            index, value = rows[i][0], np.asarray(rows[i][1], float)
             zi, ni = z[index], n[index]
             w, b = weight(zi, ni, l1, l2), weight(bz, bn, 0.0, 0.0)
             p = softmax(value @ w + b)
@@ -52,9 +52,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes
                     bz, bn = zz + g - sigma * ww, nn + g * g
                 else:
                     z[put], n[put] = zz + g - sigma * ww, nn + g * g
-    w = weight(z, n, l1, l2)
-    used = np.flatnonzero(w.any(1))
-    return Model(used, w[used], weight(bz, bn, 0.0, 0.0))
+    met = np.flatnonzero(z.any(1))  # features not met have no weight
+    w = weight(z[met], n[met], l1, l2)
+    used = w.any(1)
+    return Model(met[used], w[used], weight(bz, bn, 0.0, 0.0))
 
 
 def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:

@@ -41,8 +41,10 @@ NAME = 20
 HOT = 512
 #: Bytes of text whose anchors one task ranks at once; there are as many buckets as the corpus asks for.
 BUCKET = 1 << 24
-#: Bytes of text that are looked at in one go.
-CHUNK = 1 << 19
+#: Bytes of text that are looked at in one go; a task needs some 100 times as many for its arrays.
+CHUNK = 1 << 17
+#: Bytes that go out in one batch, and that are ranked in one go on the sending side (one kind, if larger).
+PIECE = 1 << 20
 WIDE = 1 << 20
 #: Stands for a null doc_id inside.
 NONE = -(1 << 63)
@@ -120,6 +122,21 @@ def _read(table: pa.Table, name: str, kind) -> list[np.ndarray]:
     return [kind(x) if kind is _of_six else np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
 
 
+def _groups(new: np.ndarray, size: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Rows of whole groups (`new`: where one starts) of `most` in size together, or of one group, if larger."""
+    edge = np.append(np.flatnonzero(new), new.size)
+    done = np.append(0, np.cumsum(size))[edge]
+    i = 0
+    while i < edge.size - 1:
+        j = max(i + 1, int(np.searchsorted(done, done[i] + most, "right")) - 1)
+        yield np.arange(edge[i], edge[j])
+        i = j
+
+
+def _batch(columns: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k == "bucket" else pa.binary()) for k, v in columns.items()})
+
+
 ANCHORS = "bucket long, name binary, doc binary, pos binary, ids binary, flag binary"
 
 
@@ -133,32 +150,40 @@ def _anchors(buckets: int, length: int, name: int, hot: int, most: int = 500_000
     each such name goes to the name's task.
     """
 
-    def send(held: list) -> pa.RecordBatch:
+    def send(held: list) -> Iterator[pa.RecordBatch]:
         names, docs, pos = (np.concatenate([h[i] for h in held]) for i in range(3))
+        held.clear()  # what was put together is not held twice
         order = np.lexsort((docs, names))
         n, d = names[order], docs[order]
         new = _starts(n)
-        at, group = np.flatnonzero(new), np.cumsum(new) - 1
+        at, group = np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - 1
         many = ((np.bincount(group, minlength=at.size) > hot) & (np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)))[group]
         marks = order[new & many]
         flag = np.empty(n.size, np.uint8)
         flag[order] = np.where(many, OF_HOT, PLAIN)
+        del order, n, d, new, at, group, many
         bucket = np.where(flag == OF_HOT, _bucket(mix(names + docs.astype(np.uint64)), buckets), _bucket(names, buckets))
-        take = np.concatenate([np.arange(n.size), marks])
-        flag = np.concatenate([flag, np.full(marks.size, MARK, np.uint8)])
-        bucket = np.concatenate([bucket, _bucket(names[marks], buckets)])
-        names, docs, pos = names[take], docs[take], pos[take]
+        if marks.size:
+            flag = np.concatenate([flag, np.full(marks.size, MARK, np.uint8)])
+            bucket = np.concatenate([bucket, _bucket(names[marks], buckets)])
+            names, docs, pos = (np.concatenate([x, x[marks]]) for x in (names, docs, pos))
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        out: dict[str, list] = {k: [] for k in ("bucket", "name", "doc", "pos", "ids", "flag")}
+        del bucket
+        out, size = {k: [] for k in ("bucket", "name", "doc", "pos", "ids", "flag")}, 0
         for b in np.flatnonzero(np.diff(cuts)):
             own = order[cuts[b] : cuts[b + 1]]
             ids, index = np.unique(docs[own], return_inverse=True)
-            bytes_of = {"name": _six(names[own]), "doc": index.astype(_index_kind(ids.size)), "pos": pos[own].astype("<u4"), "ids": np.diff(ids, prepend=0).astype("<i8"), "flag": flag[own]}
+            bytes_of = {"name": _six(names[own]), "doc": index.astype(_index_kind(ids.size)), "pos": pos[own], "ids": np.diff(ids, prepend=0).astype("<i8"), "flag": flag[own]}
             out["bucket"].append(int(b))
             for k, v in bytes_of.items():
                 out[k].append(np.ascontiguousarray(v).tobytes())
-        return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k == "bucket" else pa.binary()) for k, v in out.items()})
+                size += v.nbytes
+            if size >= PIECE:
+                yield _batch(out)
+                out, size = {k: [] for k in out}, 0
+        if size:
+            yield _batch(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -166,13 +191,14 @@ def _anchors(buckets: int, length: int, name: int, hot: int, most: int = 500_000
             ids = batch.column("doc_id").to_numpy()
             for lo, hi, offsets, data in text_chunks(batch, most=CHUNK):
                 r = Run(offsets, data, length, name)
-                held.append((r.names, ids[lo:hi][r.doc], r.at - r.offsets[r.doc]))
+                held.append((r.names, ids[lo:hi][r.doc], (r.at - r.offsets[r.doc]).astype("<u4")))
                 count += r.at.size
+                del r
                 if count >= most:
-                    yield send(held)
-                    held, count = [], 0
+                    yield from send(held)
+                    count = 0
         if count:
-            yield send(held)
+            yield from send(held)
 
     return run
 
@@ -281,28 +307,34 @@ def _strings(buckets: int, length: int, name: int, most: int = 1 << 24):
 
     def send(held: list[Bodies], hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         all_ = Bodies.joined(held)
-        # ranks are worked out where a hash is met again: others can't be equal
+        held.clear()
+        # ranks are worked out where a hash is met again: others can't be equal; a few hashes at a time, so that memory has a bound
         _, index, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
         again = np.flatnonzero(times[index] > 1)
+        again = again[np.argsort(index[again], kind="stable")]
         copy = np.zeros(all_.count.size, bool)
-        if again.size:
-            copy[again] = all_.take(again).copies()
+        for own in _groups(_starts(index[again]), all_.width[again], PIECE):
+            copy[again[own]] = all_.take(again[own]).copies()
+        del index, times, again
         for settled, own in ((1, np.flatnonzero(copy)), (0, np.flatnonzero(~copy))):
             if not own.size:
                 continue
             b = _bucket(mix(all_.doc[own].astype(np.uint64)) if settled else all_.name[own], buckets)
             order = np.argsort(b, kind="stable")
             x, cuts = all_.take(own[order]), np.searchsorted(b[order], np.arange(buckets + 1))
-            met = np.flatnonzero(np.diff(cuts))
-            out: dict[str, list] = {k: [] for k in ("name", "doc", "pos", "count", "body")}
-            for i in met:
+            out, size = {k: [] for k in ("bucket", "name", "doc", "pos", "count", "body", "settled")}, 0
+            for i in np.flatnonzero(np.diff(cuts)):
                 y = x.take(np.arange(cuts[i], cuts[i + 1]))
-                out["name"].append(b"" if settled else np.ascontiguousarray(_six(y.name)).tobytes())
-                out["doc"].append(_small(y.doc))
-                out["pos"].append(y.pos.astype("<u4").tobytes())
-                out["count"].append(y.count.astype(np.uint8).tobytes())
-                out["body"].append(b"" if settled else _small(y.bytes()))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(met, pa.int64()), **{k: pa.array(out[k], pa.binary()) for k in ("name", "doc", "pos", "count", "body")}, "settled": pa.array([bytes([settled])] * met.size, pa.binary())})
+                row = {"name": b"" if settled else np.ascontiguousarray(_six(y.name)).tobytes(), "doc": _small(y.doc), "pos": y.pos.astype("<u4").tobytes(), "count": y.count.astype(np.uint8).tobytes(), "body": b"" if settled else _small(y.bytes()), "settled": bytes([settled])}
+                out["bucket"].append(int(i))
+                for k, v in row.items():
+                    out[k].append(v)
+                    size += len(v)
+                if size >= PIECE:
+                    yield _batch(out)
+                    out, size = {k: [] for k in out}, 0
+            if size:
+                yield _batch(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hashes, size = [], [], 0
@@ -331,6 +363,7 @@ def _strings(buckets: int, length: int, name: int, most: int = 1 << 24):
                     held.append(Bodies(names, ids[lo:hi][doc], start - offsets[doc], count, length, data, start))
                     hashes.append(r.subs.hash(start, start + count + length - 1))
                     size += data.size + 100 * start.size
+                del r
                 if size >= most:
                     yield from send(held, hashes)
                     held, hashes, size = [], [], 0
@@ -357,12 +390,8 @@ def _rank_strings(length: int, most: int = 1 << 19):
             every = Bodies.joined(parts)
             every = every.take(np.argsort(every.name, kind="stable"))
             # a few names at a time, so that memory has a bound
-            edge = np.append(np.flatnonzero(_starts(every.name)), every.name.size)
-            done = np.append(0, np.cumsum(every.width))[edge]
-            i = 0
-            while i < edge.size - 1:
-                j = max(i + 1, int(np.searchsorted(done, done[i] + most, "right")) - 1)
-                own, i = every.take(np.arange(edge[i], edge[j])), j
+            for rows in _groups(_starts(every.name), every.width, most):
+                own = every.take(rows)
                 copy = own.copies()
                 found.append((own.doc[copy], own.pos[copy], own.count[copy]))
                 own = own.take(np.flatnonzero(~copy))
@@ -388,8 +417,9 @@ def _remove(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256", "starts", "ends")}
-            for lo, hi, offsets, data in text_chunks(batch):
+            # a chunk is a batch of its own on the way out
+            for lo, hi, offsets, data in text_chunks(batch, most=CHUNK):
+                out: dict[str, list] = {k: [] for k in ("kept_text", "kept_sha256", "starts", "ends")}
                 step = np.zeros(data.size + 1, np.int64)
                 size = np.diff(offsets)
                 n = hi - lo
@@ -422,14 +452,11 @@ def _remove(length: int):
                     s, e = starts[spans[i] : spans[i + 1]] - offsets[i], ends[spans[i] : spans[i + 1]] - offsets[i]
                     out["starts"].append(s)
                     out["ends"].append(e)
-                out["n_bytes"] += size.tolist()
-                out["n_removed"] += removed.tolist()
-                out["n_spans"] += np.diff(spans).tolist()
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()),
-                "n_spans": pa.array(out["n_spans"], pa.int64()), "kept_text": pa.array(out["kept_text"], pa.string()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()),
-                "starts": pa.array(out["starts"], pa.list_(pa.int64())), "ends": pa.array(out["ends"], pa.list_(pa.int64())), "carried": batch.column("carried"),
-            })
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column("doc_id").slice(lo, n), "n_bytes": pa.array(size.astype(np.int64)), "n_removed": pa.array(removed.astype(np.int64)),
+                    "n_spans": pa.array(np.diff(spans).astype(np.int64)), "kept_text": pa.array(out["kept_text"], pa.string()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()),
+                    "starts": pa.array(out["starts"], pa.list_(pa.int64())), "ends": pa.array(out["ends"], pa.list_(pa.int64())), "carried": batch.column("carried").slice(lo, n),
+                })
 
     return run
 
@@ -449,7 +476,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, name: int = NAME, hot:
     ids = rows.select("doc_id", "sha").where(F.col("doc_id") != NONE).groupBy("doc_id").agg(F.min("sha").alias("sha"), (F.min("sha") != F.max("sha")).alias("several"))
     least = ids.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     info = ids.join(least, "sha", "left").where("several or first is not null").select("doc_id", F.col("sha").alias("own"), "first")
-    info = info.unionByName(docs.sparkSession.createDataFrame([(NONE, "", None)], "doc_id long, own string, first long"))
+    info = info.unionByName(docs.sparkSession.range(1).select(F.lit(NONE).alias("doc_id"), F.lit("").alias("own"), F.lit(None).cast("long").alias("first")))
     # the one shuffle of texts; every later step meets them there, so no filter may slip below it
     texts = rows.repartition(n, "doc_id").join(info, "doc_id", "left")
     judged = (F.col("own").isNull() | (F.col("own") == F.col("sha"))) & (F.col("first").isNull() | (F.col("first") == F.col("doc_id")))

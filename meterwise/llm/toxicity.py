@@ -221,9 +221,10 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = S
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "index": pa.array(index, pa.binary()), "value": pa.array(value, pa.binary())})
 
     def fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
-        data = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.uint16).astype(float)) for i, v in zip(table.column("index").to_pylist(), table.column("value").to_pylist(), strict=True)]
-        m = ftrl.train(data, table.column("toxic").to_numpy(), 2, FEATURES, alpha=0.1, l1=3.0, l2=0.1, epochs=3)
+        # rows stay where they came in, as packed integers; the trainer makes doubles of one row at a time
+        order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+        index, value = ([np.frombuffer(x.as_buffer(), kind) for x in table.column(k)] for k, kind in (("index", np.int32), ("value", np.uint16)))
+        m = ftrl.train([(index[i], value[i]) for i in order], table.column("toxic").to_numpy()[order], 2, FEATURES, alpha=0.1, l1=3.0, l2=0.1, epochs=3)
         w = m.weights[:, 1] - m.weights[:, 0]
         return pa.table({"feature": np.append(m.features, -1), "weight": np.append(w, m.intercept[1] - m.intercept[0])})
 

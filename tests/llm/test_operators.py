@@ -1,8 +1,10 @@
 """Small fixtures against brute force; nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import collections
+import gc
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -134,6 +136,53 @@ def test_suffix_dedup_decides_by_ranks_not_hashes(monkeypatch, rows, hot):
     assert {i: sum(g) for i, g in gone.items()} == {i: n for i, _, n, *_ in brute_removed(some, 50)}
 
 
+def peak(f) -> tuple[int, list]:
+    """Most bytes that f's arrays and objects take at once, and what it returns."""
+    gc.collect()
+    tracemalloc.start()
+    try:
+        out = f()
+        return tracemalloc.get_traced_memory()[1], out
+    finally:
+        tracemalloc.stop()
+
+
+def test_suffix_dedup_tasks_stay_small():
+    """A task's arrays follow its chunks, not its whole input, and no batch that it gives away is large."""
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(5000)]
+    texts = [" ".join(vocabulary[w] for w in rng.integers(0, 5000, 380)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(3000), pa.int64()), "text": texts})
+    most, sent = peak(lambda: list(suffix_dedup._anchors(48, 50, 20, 512)(iter([batch]))))
+    total = sum(len(x) for b in sent for x in b.column("name").to_pylist()) // 6
+    assert total > 400_000 and most < 60 << 20 and max(b.nbytes for b in sent) < 2 << 20
+    # every fifth anchor of each text is asked for
+    at = collections.defaultdict(list)
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+    run = suffix_dedup.Run(offsets, np.frombuffer("".join(texts).encode(), np.uint8), 50, 20)
+    for d, p in zip(run.doc[::5].tolist(), (run.at - offsets[run.doc])[::5].tolist(), strict=True):
+        at[d].append(4 * p + suffix_dedup.ASK)
+    del run
+    asked = batch.append_column("codes", pa.array([at[d] for d in range(3000)], pa.list_(pa.int64())))
+    most, sent = peak(lambda: list(suffix_dedup._strings(48, 50, 20)(iter([asked]))))
+    assert most < 60 << 20 and max(b.nbytes for b in sent) < 2 << 20
+    spans = batch.append_column("spans", pa.array([[100 * suffix_dedup.WIDE + 10]] * 3000, pa.list_(pa.int64())))
+    found = spans.append_column("copy", pa.array([False] * 3000)).append_column("carried", pa.array(range(3000)))
+    most, rows = peak(lambda: [b.nbytes for b in suffix_dedup._remove(50)(iter([found]))])
+    assert most < 20 << 20 and max(rows) < 1 << 20
+
+
+def test_trainer_takes_packed_rows_in_little_memory():
+    """Small integers give the very weights that doubles give; features that are not met cost no more than their sums."""
+    rng = np.random.default_rng(2)
+    rows = [(np.sort(rng.choice(1 << 20, 50, False)).astype(np.int32), rng.integers(1, 9, 50).astype(np.uint16)) for _ in range(20)]
+    labels = np.arange(20) % 2
+    most, m = peak(lambda: ftrl.train(rows, labels, 2, 1 << 20, l1=0.1))
+    plain = ftrl.train([(i, v.astype(float)) for i, v in rows], labels, 2, 1 << 20, l1=0.1)
+    assert m.features.size and (m.features == plain.features).all() and (m.weights == plain.weights).all() and (m.intercept == plain.intercept).all()
+    assert most < 48 << 20
+
+
 def test_ranks_of_a_task_are_brute_force():
     rng = random.Random(4)
     bodies = ["".join(rng.choice("ab") for _ in range(rng.randint(50, 60))).encode() for _ in range(40)]
