@@ -52,7 +52,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Three sampled segmentations of each document, with packed ids and inclusion scores; a row for each row."""
-    return segment.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), k=3, ids="packed", run_bytes=1 << 19)
+    return segment.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), k=3, ids="packed", run_bytes=1 << 17)
 
 
 STAGES = [("toxicity", toxic), ("n-gram Jaccard join", near_copies), ("suffix-array dedup", repeats), ("benchmark decontamination", leaks), ("SentencePiece encoding", pieces)]

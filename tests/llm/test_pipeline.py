@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("meterwise.llm")
@@ -22,3 +23,14 @@ def test_run_takes_an_empty_table(spark, tmp_path, sf):
         df = spark.read.parquet(f"{sf}/{name}.parquet")
         (df.limit(0) if name == "documents" else df).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_encoding_works_in_small_runs(monkeypatch):
+    """The arrays of a run of texts are large, so the last stage takes at most 128 kB of text at once."""
+    sent = {}
+    stub = type("Rows", (), {"mapInArrow": lambda self, f, schema: sent.update(f=f)})()
+    monkeypatch.setattr(corpus_pipeline.segment, "documents", lambda docs: stub)
+    corpus_pipeline.pieces(None, None, "")
+    text = "the old man and his dog went over a long road to see the house by the sea " * 100
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(40), pa.int64()), "text": [text] * 40})
+    assert max(b.num_rows for b in sent["f"](iter([batch]))) * len(text) <= 1 << 17
